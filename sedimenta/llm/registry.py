@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import content_sort, reply_trees
+from . import content_sort, reply_trees, secret_scan, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op9_content_sort": content_sort.op9_content_sort,
+    "op3_secret_scan": secret_scan.op3_secret_scan,
     "op6_reply_trees": reply_trees.op6_reply_trees,
+    "op9_content_sort": content_sort.op9_content_sort,
+    "op10_warc": warc.op10_warc,
 }
 
 ORACLE_SQL: dict[str, str] = {
-    "op9_content_sort": content_sort.OP9_SQL,
     "op6_reply_trees": reply_trees.OP6_SQL,
+    "op9_content_sort": content_sort.OP9_SQL,
 }
