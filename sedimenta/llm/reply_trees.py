@@ -58,28 +58,30 @@ def paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     known = nodes.select("tree_id", F.col("node_id").alias("parent_id"), F.lit(True).alias("there"))
     up = F.when(F.col("there"), F.col("parent_id")).alias("up")
     first = nodes.join(known, ["tree_id", "parent_id"], "left")
-    ups = [staged(first.select("tree_id", "node_id", up, "score", F.lit(1).alias("steps")), "ancestors")]
-    most = ups[0].count()
-    while ups[-1].where("up is not null").limit(1).count():
-        if 1 << len(ups) > 2 * most:
-            break  # what is left runs in cycles
-        above = ups[-1].select(
+    at = staged(first.select("tree_id", "node_id", up, "score", F.lit(1).alias("steps")), "ancestors")
+    most, ups, rooted = at.count(), [], at.where("up is null")
+    while True:
+        ups.append(at.where("up is not null"))
+        if ups[-1].limit(1).count() == 0 or 1 << len(ups) > 2 * most:
+            break  # all are at their root, or what is left runs in cycles
+        above = ups[-1].unionByName(rooted).select(
             "tree_id",
             F.col("node_id").alias("up"),
             F.col("up").alias("next_up"),
             F.col("score").alias("more"),
             F.col("steps").alias("further"),
         )
-        doubled = ups[-1].join(above, ["tree_id", "up"], "left").select(
+        doubled = ups[-1].join(above, ["tree_id", "up"]).select(
             "tree_id",
             "node_id",
             F.col("next_up").alias("up"),
-            (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"),
-            (F.col("steps") + F.coalesce("further", F.lit(0))).alias("steps"),
+            (F.col("score") + F.col("more")).alias("score"),
+            (F.col("steps") + F.col("further")).alias("steps"),
         )
-        ups.append(staged(doubled, "ancestors"))
-    parents = ups[0].where("up is not null").select("tree_id", F.col("up").alias("node_id")).distinct()
-    leaves = ups[-1].where("up is null").join(parents, ["tree_id", "node_id"], "left_anti")
+        at = staged(doubled, "ancestors")
+        rooted = rooted.unionByName(at.where("up is null"))
+    parents = ups[0].select("tree_id", F.col("up").alias("node_id")).distinct()
+    leaves = rooted.join(parents, ["tree_id", "node_id"], "left_anti")
     best = Window.partitionBy("tree_id").orderBy(F.desc("path_score"), F.desc("depth"), "node_id")
     at = (
         leaves.select("tree_id", "node_id", F.col("steps").alias("depth"), (F.col("score") / F.col("steps")).alias("path_score"))
@@ -88,7 +90,7 @@ def paths(messages: DataFrame, branches: int = 1) -> DataFrame:
         .select("tree_id", F.col("node_id").alias("leaf_id"), "node_id", "depth", "path_score")
     )
     for k in reversed(range(len(ups))):
-        jump = ups[k].where("up is not null").select("tree_id", "node_id", "up")
+        jump = ups[k].select("tree_id", "node_id", "up")
         moved = at.join(jump, ["tree_id", "node_id"]).select(
             "tree_id", "leaf_id", F.col("up").alias("node_id"), (F.col("depth") - (1 << k)).alias("depth"), "path_score"
         )
