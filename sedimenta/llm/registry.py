@@ -6,16 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import content_sort, reply_trees, secret_scan, warc
+from . import content_sort, dart_minhash, decontaminate, reply_trees, secret_scan, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_secret_scan": secret_scan.op3_secret_scan,
     "op6_reply_trees": reply_trees.op6_reply_trees,
+    "op7_decontaminate": decontaminate.op7_decontaminate,
+    "op8_dart_minhash": dart_minhash.op8_dart_minhash,
     "op9_content_sort": content_sort.op9_content_sort,
     "op10_warc": warc.op10_warc,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op6_reply_trees": reply_trees.OP6_SQL,
+    "op7_decontaminate": decontaminate.OP7_SQL,
     "op9_content_sort": content_sort.OP9_SQL,
 }
