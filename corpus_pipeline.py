@@ -1,4 +1,8 @@
-"""A corpus pipeline of five stages; each keeps rows of ``documents`` or, at last, packs them."""
+"""A corpus pipeline of five stages over ``documents``.
+
+Each stage takes the documents that its predecessor kept.  All but the last
+return the columns of documents; the last returns packed pieces.
+"""
 
 from __future__ import annotations
 
@@ -7,19 +11,56 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedimenta.llm import content_sort
+from sedimenta.llm import content_sort, dart_minhash, decontaminate, lid_crf, packing
 from sedimenta.llm.common import staged, table
 
+#: A text whose words agree less than this on any language is rejected.
+LEAST_LANGUAGE_SCORE = 0.4
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops texts without letters and texts of no clear language; rows that share an id go together."""
+    model = lid_crf.learn(docs)
+    unsure = lid_crf.identify(docs, model).where((F.col("lang_pred") == lid_crf.UNKNOWN) | (F.col("score") < LEAST_LANGUAGE_SCORE))
+    return docs.join(unsure.select("doc_id").distinct(), "doc_id", "left_anti")
+
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with equal normalised texts, the one with the smallest id."""
-    return docs.join(content_sort.exact_duplicates(docs).where("kept").select("doc_id"), "doc_id", "left_semi")
+    """Of documents with equal normalised texts, the one with the smallest id stays."""
+    found = content_sort.exact_duplicates(docs)
+    kept = found.where("kept").select("doc_id", "text_sha256")
+    sha = F.sha2(content_sort.normalised(F.col("text")), 256)
+    rows = docs.withColumn("text_sha256", sha).join(kept, ["doc_id", "text_sha256"], "left_semi")
+    twice = found.groupBy("doc_id", "text_sha256").count().where("count > 1").drop("count")
+    once = rows.join(twice, ["doc_id", "text_sha256"], "left_anti")
+    again = rows.join(twice, ["doc_id", "text_sha256"], "left_semi").dropDuplicates(["doc_id", "text_sha256"])
+    return once.unionByName(again).select(docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates stays: that with the smallest id."""
+    return dart_minhash.one_of_each(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents of which a twentieth of the words is verbatim benchmark text."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token sequences with their place in a packed sequence."""
+    return packing.pack(packing.pieces(docs, packing.tokenizer_path()))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language", language),
     ("exact_dedup", exact_dedup),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("packing", pack),
 ]
 
+#: The language model, similarity classes and the tokenizer are not expressible in SQL.
 ORACLE_SQL: str | None = None
 
 

@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import content_sort, dart_minhash, decontaminate, reply_trees, secret_scan, warc
+from . import content_sort, dart_minhash, decontaminate, lid_crf, packing, reply_trees, secret_scan, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lid_crf": lid_crf.op1_lid_crf,
     "op3_secret_scan": secret_scan.op3_secret_scan,
+    "op5_packing": packing.op5_packing,
     "op6_reply_trees": reply_trees.op6_reply_trees,
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_dart_minhash": dart_minhash.op8_dart_minhash,
