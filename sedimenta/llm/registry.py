@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import content_sort, dart_minhash, decontaminate, lid_crf, packing, reply_trees, secret_scan, suffix_dedup, warc
+from . import content_sort, dart_minhash, decontaminate, lid_crf, ngram_trie, packing, reply_trees, secret_scan, suffix_dedup, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lid_crf": lid_crf.op1_lid_crf,
     "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
     "op3_secret_scan": secret_scan.op3_secret_scan,
+    "op4_ngram_trie": ngram_trie.op4_ngram_trie,
     "op5_packing": packing.op5_packing,
     "op6_reply_trees": reply_trees.op6_reply_trees,
     "op7_decontaminate": decontaminate.op7_decontaminate,
