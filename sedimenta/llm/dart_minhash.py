@@ -41,6 +41,8 @@ SIMILARITY = 0.8
 BANDS, PER_BAND = 25, 5
 #: All coordinates of a text are filled with probability 1 - exp(-MARGIN) at the first look.
 MARGIN = 4.0
+#: Bound of the darts that a task holds at once.
+DARTS_AT_ONCE = 250_000
 #: Rounds of checks against one head per bucket before all pairs that are left are checked.
 HEAD_ROUNDS = 5
 #: Pairs per document up to which the pairs that are left are checked at once.
@@ -93,8 +95,9 @@ def signatures(elements: np.ndarray, text: np.ndarray, texts: int, size: int) ->
         parts = max(1, int(np.ceil(rate / 512)))  # a region of many darts is thrown in parts
         for part in range(parts):
             own = mix(seed + np.uint64(part * 0x51ED27 + 1))
-            for at in range(0, len(e), max(1, int(2_000_000 / (1 + rate / parts)))):
-                s = own[at : at + max(1, int(2_000_000 / (1 + rate / parts)))]
+            block = max(1, int(DARTS_AT_ONCE / (1 + rate / parts)))
+            for at in range(0, len(e), block):
+                s = own[at : at + block]
                 many = _poisson(_unit(s), rate / parts)
                 of = np.repeat(np.arange(len(s)), many)
                 nth = np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
