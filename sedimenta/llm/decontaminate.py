@@ -110,6 +110,8 @@ class Block:
 
 def _joined(block: Block, w: Words, word: np.ndarray, window: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
     """Longest matches ``(text, item, first word in text, in item, words)``."""
+    if not len(word):
+        return
     text, item = w.doc[word], block.item[window]
     start, item_at, size = word - w.first[text], block.at[window], block.size[window]
     order = np.lexsort((start, start - item_at, item, text))
