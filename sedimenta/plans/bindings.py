@@ -6,5 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import bronze, silver
+
+SECTIONS = (bronze, silver)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for s in SECTIONS for k, v in s.QUERIES.items()}
+ORACLE_SQL: dict[str, str] = {k: v for s in SECTIONS for k, v in s.ORACLE_SQL.items()}
