@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bronze, silver
+from . import bronze, dims, facts, silver
 
-SECTIONS = (bronze, silver)
+SECTIONS = (bronze, silver, dims, facts)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for s in SECTIONS for k, v in s.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {k: v for s in SECTIONS for k, v in s.ORACLE_SQL.items()}
