@@ -6,8 +6,9 @@ into a first ``response`` record and ``continuation`` records that name their
 origin, and the last one states the total length.  Of pages with equal
 payloads (of ``least_revisit`` bytes or more) the largest page id is a
 ``response`` and the others are ``revisit`` records that refer to it.  Spark's
-text writer writes the files: its line separator is the record separator, so
-any file system that Spark knows will do, and lost tasks are written again.
+text writer writes the files, in gzip form: its line separator is the record
+separator, so any file system that Spark knows will do, and lost tasks are
+written again.
 
 ``read_archive`` splits the files into records, groups continuation records by
 origin, orders them by segment number, verifies numbers and total length, and
@@ -20,15 +21,17 @@ the same id and payload one is the response.  Other columns are ignored.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import new_path, staged, table
+from .common import batch_rows, new_path, staged, table
 
 SEGMENT_BYTES = 32 * 1024
 CHUNK_BYTES = 8 * 1024
@@ -115,27 +118,42 @@ def records_of(page_id: int | None, url: str | None, payload: bytes, kind: str,
         )
 
 
+def squeezed(batches):
+    """A ``mapInArrow`` function: html to its zlib form."""
+    import pyarrow as pa
+
+    for b in batches:
+        packed = pa.array([zlib.compress(x.as_buffer(), 3) for x in b.column("html")], pa.binary())
+        yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(4)), packed], ["page_id", "url", "sha", "size", "packed"])
+
+
 def revisits(pages: DataFrame, least_revisit: int = 0) -> DataFrame:
-    """``pages`` (page_id, url, html) with ``kind`` and ``unique`` (its payload has a group)."""
+    """``(page_id, url, packed, kind, unique)``: the html in zlib form, and whether its payload is in a group.
+
+    Groups are found on digests alone; only compressed pages move.
+    """
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("sha", F.sha1("html"))
     keys = rows.groupBy("page_id", "sha", F.octet_length("html").alias("size")).count()
     grouped = keys.where(F.col("size") >= least_revisit)
     groups = grouped.groupBy("sha").agg(F.max("page_id").alias("top"), F.sum("count").alias("rows")).where("rows > 1")
     flags = grouped.join(groups, "sha").select("page_id", "sha", "top")
     same = Window.partitionBy("page_id", "sha").orderBy("url")
-    told = rows.alias("r").join(
+    packed = rows.select("page_id", "url", "sha", F.octet_length("html").alias("size"), F.col("html").cast("binary").alias("html"))
+    kind = pages.schema["page_id"].dataType.simpleString()
+    packed = packed.mapInArrow(squeezed, f"page_id {kind}, url string, sha string, size int, packed binary")
+    told = packed.alias("r").join(
         flags.alias("f"), F.col("r.page_id").eqNullSafe(F.col("f.page_id")) & (F.col("r.sha") == F.col("f.sha")), "left"
     )
     picked = told.select(
-        "r.page_id", "r.url", "r.html", "r.sha", "f.top", F.col("f.sha").isNotNull().alias("grouped")
+        "r.page_id", "r.url", "r.size", "r.packed", "r.sha", "f.top", F.col("f.sha").isNotNull().alias("grouped")
     ).withColumn("nth", F.row_number().over(same))
     first = F.col("page_id").eqNullSafe(F.col("top")) & (F.col("nth") == 1)
     return picked.select(
         "page_id",
         "url",
-        "html",
+        "packed",
         F.when(~F.col("grouped") | first, "response").otherwise("revisit").alias("kind"),
-        (F.col("grouped") | (F.octet_length("html") >= least_revisit)).alias("unique"),
+        (F.col("grouped") | (F.col("size") >= least_revisit)).alias("unique"),
     )
 
 
@@ -145,15 +163,15 @@ def write_archive(
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for page_id, url, html, kind, unique in b.itertuples(index=False, name=None):
+            for page_id, url, packed, kind, unique in b.itertuples(index=False, name=None):
                 number = None if pd.isna(page_id) else int(page_id)
-                out += records_of(number, url, bytes(html), kind, unique, segment)
+                out += records_of(number, url, zlib.decompress(packed), kind, unique, segment)
             yield pd.DataFrame({"record": out})
 
-    told = revisits(pages, least_revisit).withColumn("html", F.col("html").cast("binary"))
-    told.select("page_id", "url", "html", "kind", "unique").mapInPandas(encode, "record binary").select(
+    batch_rows(pages.sparkSession, 1_000)
+    revisits(pages, least_revisit).mapInPandas(encode, "record binary").select(
         F.col("record").cast("string").alias("value")
-    ).write.option("lineSep", GAP.decode()).option("maxRecordsPerFile", per_file).text(path)
+    ).write.option("lineSep", GAP.decode()).option("maxRecordsPerFile", per_file).option("compression", "gzip").text(path)
 
 
 def parse(content: bytes) -> Iterator[tuple]:
@@ -195,7 +213,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     def decode(batches):
         for b in batches:
             for content in b.column(0):
-                rows = list(parse(content.as_buffer().to_pybytes()))
+                rows = list(parse(gzip.decompress(content.as_buffer())))
                 for i in range(0, len(rows), 256):
                     part = list(zip(*rows[i : i + 256], strict=True))
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(part, kinds, strict=True)], names)
