@@ -39,7 +39,7 @@ from .common import batch_rows, staged, table
 LENGTH = 100
 GRAM = 24
 _PLACE = 26  # bits of a place in a block
-BLOCK = 8 << 20
+BLOCK = 2 << 20
 SHARD_SEGMENTS = 10_000
 LAST = (1 << 63) - 1
 
