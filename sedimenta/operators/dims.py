@@ -10,28 +10,32 @@ from .merge import merge
 
 # Public holidays by month and day.
 HOLIDAYS = {
+    "01-01": "New Year's Day",
     "01-26": "Republic Day",
-    "05-01": "Labour Day",
     "08-15": "Independence Day",
     "10-02": "Gandhi Jayanti",
-    "12-25": "Christmas",
+    "12-25": "Christmas Day",
 }
 
 # Channels, and order statuses with category and sort order.
-CHANNELS = [("D2C", "Direct to Consumer"), ("B2B", "Business to Business"), ("STORE", "Retail Store")]
+CHANNELS = [
+    ("D2C", "Direct to Consumer", "D2C", "Online direct-to-consumer ecommerce orders"),
+    ("B2B", "Business to Business", "B2B", "Sales-rep-driven B2B orders"),
+    ("STORE", "Physical Store", "STORE", "In-store retail purchases"),
+]
 STATUSES = [
-    ("PENDING", "OPEN", 1),
-    ("CONFIRMED", "OPEN", 2),
-    ("SHIPPED", "IN_TRANSIT", 3),
-    ("DELIVERED", "COMPLETE", 4),
-    ("CANCELLED", "CLOSED", 5),
-    ("RETURN_INITIATED", "RETURN", 6),
-    ("RETURNED", "RETURN", 7),
+    ("PENDING", "Pending", "ACTIVE", 1),
+    ("PROCESSING", "Processing", "ACTIVE", 2),
+    ("SHIPPED", "Shipped", "ACTIVE", 3),
+    ("DELIVERED", "Delivered", "CLOSED", 4),
+    ("CANCELLED", "Cancelled", "EXCEPTION", 5),
+    ("RETURN_INITIATED", "Return Initiated", "EXCEPTION", 6),
+    ("RETURNED", "Returned", "EXCEPTION", 7),
 ]
 
 
 def dim_date(spark: SparkSession, first: str = "2020-01-01", last: str = "2030-12-31") -> DataFrame:
-    """One row per day, with a fiscal year from April to March named by the year in which it ends."""
+    """One row per day, with a fiscal year from April to March named by the year in which it begins."""
     days = spark.range(1).select(F.explode(F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date"))).alias("full_date"))
     d = F.col("full_date")
     holidays = F.create_map(*[F.lit(x) for pair in HOLIDAYS.items() for x in pair])
@@ -40,13 +44,13 @@ def dim_date(spark: SparkSession, first: str = "2020-01-01", last: str = "2030-1
         date_key(d).alias("date_id"),
         "full_date",
         F.date_format(d, "EEEE").alias("day_of_week"),
-        (F.weekday(d) + 1).alias("day_number"),
+        F.dayofmonth(d).alias("day_number"),
         F.weekofyear(d).alias("week_number"),
         F.month(d).alias("month_number"),
         F.date_format(d, "MMMM").alias("month_name"),
         F.quarter(d).alias("quarter"),
         F.year(d).alias("year"),
-        (F.year(d) + F.when(F.month(d) >= 4, 1).otherwise(0)).alias("fiscal_year"),
+        (F.year(d) - F.when(F.month(d) >= 4, 0).otherwise(1)).alias("fiscal_year"),
         (F.floor(F.pmod(F.month(d) + 8, F.lit(12)) / 3) + 1).cast("int").alias("fiscal_quarter"),
         (F.weekday(d) >= 5).alias("is_weekend"),
         holiday.isNotNull().alias("is_public_holiday"),
@@ -56,8 +60,8 @@ def dim_date(spark: SparkSession, first: str = "2020-01-01", last: str = "2030-1
 
 def lookup_dims(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     return (
-        spark.createDataFrame(CHANNELS, "channel_id string, channel_name string"),
-        spark.createDataFrame(STATUSES, "status_id string, status_category string, sort_order int"),
+        spark.createDataFrame(CHANNELS, "channel_id string, channel_name string, channel_type string, description string"),
+        spark.createDataFrame(STATUSES, "status_id string, status_name string, status_category string, sort_order int"),
     )
 
 

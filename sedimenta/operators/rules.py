@@ -56,6 +56,11 @@ def known(code: str, flag: str) -> Rule:
     return Rule(code, ~F.col(flag), True)
 
 
+def unknown(code: str, column: str, flag: str | None = None) -> Rule:
+    """The key is set, and the flag of its reference check (``_<column>_known``) is false."""
+    return Rule(code, F.col(column).isNotNull() & ~F.col(flag or f"_{column}_known"))
+
+
 def both_in_set(code: str, first: str, second: str, allowed: list) -> Rule:
     """One code for two columns; a null in the first is allowed."""
     return Rule(code, (F.col(first).isNotNull() & ~F.col(first).isin(allowed)) | ~F.col(second).isin(allowed))

@@ -68,7 +68,7 @@ def lookup_dims(spark: SparkSession, d: str) -> DataFrame:
     """Orders by channel, with the channels' names."""
     channels, _ = dims.lookup_dims(spark)
     n = orders(spark, d).groupBy(F.col("channel").alias("channel_id")).agg(F.count(F.lit(1)).alias("orders"))
-    return channels.join(n, "channel_id", "left")
+    return channels.join(n, "channel_id", "left").select("channel_id", "channel_name", "orders")
 
 
 def _latest(spark: SparkSession, d: str, until: str, dim: DataFrame | None = None) -> DataFrame:
@@ -113,14 +113,14 @@ ORACLE_SQL = {
     "timeline_orphans": f"WITH {TIMELINE} SELECT * FROM timeline WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment <> 'BUILDING')",
     "surrogate_key": f"WITH {TIMELINE} SELECT count(*) AS versions, count(*) AS keys FROM timeline",
     "dim_date": f"""WITH {ORDERS}, days AS (SELECT CAST(x AS DATE) AS d FROM (SELECT unnest(generate_series(DATE '1995-01-01', DATE '2030-12-31', INTERVAL 1 DAY)) AS x)),
-        hol AS (SELECT * FROM (VALUES ('01-26', 'Republic Day'), ('05-01', 'Labour Day'), ('08-15', 'Independence Day'), ('10-02', 'Gandhi Jayanti'), ('12-25', 'Christmas')) AS h(md, name)),
+        hol AS (SELECT * FROM (VALUES ('01-01', 'New Year''s Day'), ('01-26', 'Republic Day'), ('08-15', 'Independence Day'), ('10-02', 'Gandhi Jayanti'), ('12-25', 'Christmas Day')) AS h(md, name)),
         n AS (SELECT order_date, count(*) AS orders FROM ord GROUP BY 1)
-        SELECT CAST(strftime(d, '%Y%m%d') AS INTEGER) AS date_id, d AS full_date, dayname(d) AS day_of_week, CAST(isodow(d) AS INTEGER) AS day_number,
+        SELECT CAST(strftime(d, '%Y%m%d') AS INTEGER) AS date_id, d AS full_date, dayname(d) AS day_of_week, CAST(day(d) AS INTEGER) AS day_number,
         CAST(weekofyear(d) AS INTEGER) AS week_number, CAST(month(d) AS INTEGER) AS month_number, monthname(d) AS month_name, CAST(quarter(d) AS INTEGER) AS quarter,
-        CAST(year(d) AS INTEGER) AS year, CAST(year(d) + CASE WHEN month(d) >= 4 THEN 1 ELSE 0 END AS INTEGER) AS fiscal_year,
+        CAST(year(d) AS INTEGER) AS year, CAST(year(d) - CASE WHEN month(d) >= 4 THEN 0 ELSE 1 END AS INTEGER) AS fiscal_year,
         CAST((month(d) + 8) % 12 // 3 + 1 AS INTEGER) AS fiscal_quarter, isodow(d) >= 6 AS is_weekend, name IS NOT NULL AS is_public_holiday, name AS holiday_name,
         coalesce(orders, 0) AS orders FROM days LEFT JOIN hol ON md = strftime(d, '%m-%d') LEFT JOIN n ON order_date = d""",
-    "lookup_dims": f"""WITH {ORDERS} SELECT channel AS channel_id, CASE channel WHEN 'D2C' THEN 'Direct to Consumer' WHEN 'B2B' THEN 'Business to Business' ELSE 'Retail Store' END AS channel_name,
+    "lookup_dims": f"""WITH {ORDERS} SELECT channel AS channel_id, CASE channel WHEN 'D2C' THEN 'Direct to Consumer' WHEN 'B2B' THEN 'Business to Business' ELSE 'Physical Store' END AS channel_name,
         count(*) AS orders FROM ord GROUP BY 1""",
     "dim_from_bronze": f"WITH {ORDERS} {LATEST.format(T1)}",
     "dim_synthesized": """SELECT id AS n_nationkey, n_name, n_regionkey, CASE WHEN n_nationkey IS NULL THEN 'UNKNOWN' ELSE 'KNOWN' END AS status FROM

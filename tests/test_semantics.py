@@ -202,8 +202,8 @@ def test_calendar(spark):
     days = {str(r.full_date): r for r in dims.dim_date(spark).collect()}
     assert len(days) == 4018 and days["2020-02-29"].date_id == 20200229
     assert days["2021-01-01"].week_number == 53
-    assert (days["2021-03-31"].fiscal_year, days["2021-03-31"].fiscal_quarter) == (2021, 4)
-    assert (days["2021-04-01"].fiscal_year, days["2021-04-01"].fiscal_quarter) == (2022, 1)
+    assert (days["2021-03-31"].fiscal_year, days["2021-03-31"].fiscal_quarter) == (2020, 4)
+    assert (days["2021-04-01"].fiscal_year, days["2021-04-01"].fiscal_quarter) == (2021, 1)
     assert days["2021-08-15"].is_weekend and days["2021-08-15"].is_public_holiday
 
 
@@ -284,3 +284,23 @@ def test_failure_classes(spark):
     assert detect.duration_anomaly(runs.where("day < 8"), "entity", "day", "seconds").count() == 0
     skew = spark.createDataFrame([(1, D(2024, 1, 2), D(2024, 1, 1)), (2, D(2024, 1, 1), D(2024, 1, 1))], "run int, updated date, came date")
     assert rows(detect.clock_skew(skew, "updated", "came", "run").select("run", "ahead", "went_back")) == [(1, 1, False), (2, 0, True)]
+
+
+def test_entity_rules(spark):
+    from sedimenta.plans.entities import entities
+
+    every = entities()
+    assert sorted(len(e.rules) for e in every.values()) == sorted([9, 7, 5, 5, 6, 4, 6, 7, 4, 5])
+    ties = [F.col("line_id")]
+    lines = spark.createDataFrame(
+        [("l1", "o1", "p1", 1, 2.0, 1), ("l1", "o1", "p1", 1, 3.0, 2), ("l2", "o9", "p9", 0, None, 1), ("l3", None, None, None, 1.0, 1)],
+        "line_id string, order_id string, product_id string, quantity int, unit_price double, _bronze_timestamp int",
+    )
+    tables = {"orders": spark.createDataFrame([("o1",)], "order_id string"), "products": spark.createDataFrame([("p1",)], "product_id string")}
+    got = {r.line_id: (r.unit_price, r.dq_rejection_reason) for r in every["order_lines"].tag(lines, tables, ties).collect()}
+    assert got["l1"] == (3.0, None)
+    assert got["l2"][1] == "UNKNOWN_ORDER_ID;UNKNOWN_PRODUCT_ID;INVALID_QUANTITY;INVALID_UNIT_PRICE"
+    assert got["l3"][1] == "NULL_ORDER_ID;NULL_PRODUCT_ID;INVALID_QUANTITY"
+    log = spark.createDataFrame([("a", "o1", None, "SHIPPED", 1), ("b", "o1", "LOST", "SHIPPED", 1), ("c", "o1", "PENDING", None, 1)], "log_id string, order_id string, from_status string, to_status string, _bronze_timestamp int")
+    got = {r.log_id: r.dq_rejection_reason for r in every["order_status_log"].tag(log, tables, [F.col("log_id")]).collect()}
+    assert got == {"a": None, "b": "INVALID_STATUS", "c": "NULL_TO_STATUS"}
