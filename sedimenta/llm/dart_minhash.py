@@ -12,11 +12,14 @@ with its weight, so a long text throws few darts per shingle.  Weights are one
 
 Texts with equal word sequences are joined first and go on as one
 representative.  Representatives that share a band are candidates.  In each
-bucket they are checked against one head, joined classes are found, and only
-pairs of different classes go into the next round, in the end all that are
-left; so every candidate pair is either checked in full or already joined, and
-a group of copies costs its size, not its square.  With 25 bands of 5
-coordinates a pair of similarity 0.8 has no band in common with probability
+bucket they are checked against one head, the text that shares most, and joined
+classes are found.  What is then left in buckets of several classes goes
+through an exact filter before its pairs are made: with shingles in one order,
+rare ones first, two texts of that similarity share one of their first few, at
+places that still leave enough behind (prefix, length and position bounds).
+So every candidate pair is joined already, checked in full, or ruled out by a
+bound, and a group of copies costs its size, not its square.  With 25 bands of
+5 coordinates a pair of similarity 0.8 has no band in common with probability
 5e-5.  Checks compute the similarity from the full shingle sets.
 
 One row per row of the input: the class is named by its smallest doc_id.  Null
@@ -43,10 +46,12 @@ BANDS, PER_BAND = 25, 5
 MARGIN = 4.0
 #: Bound of the darts that a task holds at once.
 DARTS_AT_ONCE = 250_000
-#: Rounds of checks against one head per bucket before all pairs that are left are checked.
-HEAD_ROUNDS = 5
+#: Rounds of checks against one head per bucket before what is left is filtered.
+HEAD_ROUNDS = 2
 #: Pairs per document up to which the pairs that are left are checked at once.
-PAIRS_PER_DOC = 2
+PAIRS_PER_DOC = 1
+#: Bound of the list of frequent shingles that the filter puts last; it bears on speed alone.
+FREQUENT = 100_000
 
 
 def shingles(w: Words, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -63,6 +68,21 @@ def shingles(w: Words, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     return h, w.doc[at]
 
 
+def elements(w: Words, weighted: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct elements of each text, in order of text and hash; repeats are elements of their own if weighted."""
+    e, t = shingles(w)
+    order = np.lexsort((e, t))
+    e, t = e[order], t[order]
+    if not len(e):
+        return e, t
+    same = np.concatenate([[False], (e[1:] == e[:-1]) & (t[1:] == t[:-1])])
+    if not weighted:
+        return e[~same], t[~same]
+    place = np.arange(len(e))
+    nth = place - np.maximum.accumulate(np.where(same, 0, place))
+    return mix(e + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), t
+
+
 def _poisson(uniform: np.ndarray, rate: float) -> np.ndarray:
     """Counts with the given mean, one for each uniform number."""
     k = np.arange(int(rate + 12 * np.sqrt(rate) + 12))
@@ -129,14 +149,7 @@ def sketch(weighted: bool = False, bands: int = BANDS, per_band: int = PER_BAND)
         for b in batches:
             for row, nxt, data, at in chunks(b.column("text")):
                 w = words_of(data, at, ALNUM)
-                e, t = shingles(w)
-                if weighted and len(e):
-                    order = np.lexsort((e, t))
-                    e, t = e[order], t[order]
-                    same = np.concatenate([[False], (e[1:] == e[:-1]) & (t[1:] == t[:-1])])
-                    place = np.arange(len(e))
-                    nth = place - np.maximum.accumulate(np.where(same, 0, place))
-                    e = mix(e + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+                e, t = elements(w, weighted) if weighted else shingles(w)  # repeats throw the same darts
                 keys = bucket_keys(signatures(e, t, nxt - row, bands * per_band), bands, per_band)
                 first, last = w.first[:-1], w.first[1:]
                 yield pa.RecordBatch.from_arrays(
@@ -161,18 +174,12 @@ def similarities(weighted: bool = False):
     def sets(column) -> list[np.ndarray]:
         out = []
         for row, nxt, data, at in chunks(column):
-            e, t = shingles(words_of(data, at, ALNUM))
+            e, t = elements(words_of(data, at, ALNUM), weighted)
             cuts = np.searchsorted(t, np.arange(nxt - row + 1))
             out += [e[cuts[i] : cuts[i + 1]] for i in range(nxt - row)]
         return out
 
-    def one(x: np.ndarray, y: np.ndarray) -> float:
-        if weighted:
-            (u, m), (v, n) = np.unique(x, return_counts=True), np.unique(y, return_counts=True)
-            _, i, j = np.intersect1d(u, v, assume_unique=True, return_indices=True)
-            both = int(np.minimum(m[i], n[j]).sum())
-            return both / max(1, len(x) + len(y) - both)
-        u, v = np.unique(x), np.unique(y)
+    def one(u: np.ndarray, v: np.ndarray) -> float:
         joined = np.sort(np.concatenate([u, v]))
         both = int(np.count_nonzero(joined[1:] == joined[:-1]))
         return both / max(1, len(u) + len(v) - both)
@@ -185,6 +192,79 @@ def similarities(weighted: bool = False):
     return run
 
 
+def count_elements(weighted: bool):
+    """A ``mapInArrow`` function: texts to shingles that a block of texts holds several times."""
+
+    def run(batches):
+        for b in batches:
+            for _, _, data, at in chunks(b.column("text")):
+                own, times = np.unique(elements(words_of(data, at, ALNUM), weighted)[0], return_counts=True)
+                some = times > 1
+                yield pa.RecordBatch.from_arrays([pa.array(own[some].view(np.int64)), pa.array(times[some], pa.int64())], ["token", "n"])
+
+    return run
+
+
+def prefixes(frequent: np.ndarray, least: float, weighted: bool):
+    """A ``mapInArrow`` function: ``(doc_id, label, text)`` to the first shingles of each text, rare ones first.
+
+    ``frequent`` are the shingles that come last, the most frequent at the end.
+    """
+    order = np.argsort(frequent)
+    known, rank = frequent[order], np.arange(1, len(frequent) + 1)[order]
+
+    def run(batches):
+        for b in batches:
+            for row, nxt, data, at in chunks(b.column("text")):
+                e, t = elements(words_of(data, at, ALNUM), weighted)
+                late = np.zeros(len(e), np.int64)
+                if len(known) and len(e):
+                    i = np.minimum(np.searchsorted(known, e), len(known) - 1)
+                    late = np.where(known[i] == e, rank[i], 0)
+                o = np.lexsort((e, late, t))
+                e, t = e[o], t[o]
+                size = np.bincount(t, minlength=nxt - row)
+                place = np.arange(len(e)) - np.repeat(np.cumsum(size) - size, size)
+                first = place <= size[t] - np.ceil(least * size[t] - 1e-9)
+                e, t, place = e[first], t[first], place[first]
+                rows = pa.array(t + row)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("doc_id").take(rows), b.column("label").take(rows), pa.array(e.view(np.int64)), pa.array(place), pa.array(size[t])],
+                    ["doc_id", "label", "token", "place", "size"],
+                )
+
+    return run
+
+
+def filtered_pairs(texts: DataFrame, least: float, weighted: bool) -> DataFrame:
+    """``(a, b)``: a superset of the pairs of at least that similarity and different labels.
+
+    Of two texts the smaller one's prefix can be shorter; a shared shingle
+    counts only if the shingles behind it can still make up the overlap.
+    """
+    counts = texts.mapInArrow(count_elements(weighted), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    top = counts.orderBy(F.desc("n"), "token").limit(FREQUENT).collect()
+    frequent = np.array([r["token"] for r in reversed(top)], np.int64).view(np.uint64)
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    rows = staged(
+        texts.select("doc_id", "label", "text").mapInArrow(
+            prefixes(frequent, least, weighted), f"doc_id {kind}, label {kind}, token long, place long, size long"
+        ),
+        "prefixes",
+    )
+    p = rows.alias("p")
+    q = rows.where(F.col("place") <= F.col("size") - F.ceil(2 * least / (1 + least) * F.col("size") - 1e-9)).alias("q")
+    need = F.ceil(least / (1 + least) * (F.col("p.size") + F.col("q.size")) - 1e-9)
+    behind = F.least(F.col("p.size") - F.col("p.place"), F.col("q.size") - F.col("q.place"))
+    smaller = (F.col("q.size") < F.col("p.size")) | ((F.col("q.size") == F.col("p.size")) & (F.col("q.doc_id") < F.col("p.doc_id")))
+    fits = (F.col("q.size") >= least * F.col("p.size") - 1e-9) & (behind >= need) & smaller & (F.col("p.label") != F.col("q.label"))
+    return (
+        p.join(q, (F.col("p.token") == F.col("q.token")) & fits)
+        .select(F.least("p.doc_id", "q.doc_id").alias("a"), F.greatest("p.doc_id", "q.doc_id").alias("b"))
+        .distinct()
+    )
+
+
 def _checked(pairs: DataFrame, texts: DataFrame, least: float, weighted: bool) -> DataFrame:
     """The pairs of at least that similarity."""
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
@@ -194,6 +274,12 @@ def _checked(pairs: DataFrame, texts: DataFrame, least: float, weighted: bool) -
     return both.mapInArrow(similarities(weighted), f"a {kind}, b {kind}, similarity double").where(F.col("similarity") >= least)
 
 
+def _labelled(placed: DataFrame, labels: DataFrame | None) -> DataFrame:
+    if labels is None:
+        return placed.withColumn("label", F.col("doc_id"))
+    return placed.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+
+
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY, weighted: bool = False) -> DataFrame:
     """``(doc_id, class_id, n_words)``, one row per row of ``docs``."""
     spark = docs.sparkSession
@@ -208,42 +294,42 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, weighted: bool =
     chosen = worded.join(members.where("doc_id = head").select("doc_id"), "doc_id", "left_semi")
     placed = chosen.select("doc_id", F.explode("buckets").alias("bucket")).distinct()
     shared = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    placed = staged(placed.join(shared.select("bucket"), "bucket"), "buckets")
+    placed = placed.join(shared, "bucket")
+    sharing = placed.groupBy("doc_id").agg(F.sum("n").alias("sharing"))
+    placed = staged(placed.drop("n").join(sharing, "doc_id"), "buckets")
     texts = staged(
-        given.where("doc_id is not null").join(placed.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]),
+        given.where("doc_id is not null").join(sharing.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]),
         "texts",
     )
     total = texts.count()
     tested = links = labels = None
     for turn in range(HEAD_ROUNDS + 1):
-        if labels is None:
-            at = placed.withColumn("label", F.col("doc_id"))
-        else:
-            at = placed.join(labels, placed["doc_id"] == labels["node"], "left").select(
-                placed["doc_id"], "bucket", F.coalesce("label", placed["doc_id"]).alias("label")
-            )
+        at = _labelled(placed, labels)
         sizes = at.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
-        open_ = (
+        mixed = (
             sizes.groupBy("bucket")
             .agg(F.count(F.lit(1)).alias("labels"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"))
             .where("labels > 1")
         )
-        at = staged(at.join(open_.select("bucket", "n", "squares"), "bucket"), "open")
+        at = staged(at.join(mixed.select("bucket", "n", "squares"), "bucket"), "open")
         left = at.agg(F.sum((F.col("n") - F.col("squares") / F.col("n")) / 2)).first()[0]
         if not left:
             break
-        everything = turn == HEAD_ROUNDS or left <= PAIRS_PER_DOC * total
-        other = at.select("bucket", F.col("doc_id").alias("other"), F.col("label").alias("other_label"))
-        if not everything:
-            order = F.xxhash64(F.lit(turn), "other")
-            other = other.groupBy("bucket").agg(F.min_by(F.struct("other", "other_label"), order).alias("h")).select("bucket", "h.*")
-        pairs = (
-            at.join(other, "bucket")
-            .where((F.col("doc_id") < F.col("other")) if everything else (F.col("doc_id") != F.col("other")))
-            .where("label != other_label")
-            .select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b"))
-            .distinct()
-        )
+        few = left <= PAIRS_PER_DOC * total
+        other = at.select("bucket", F.col("doc_id").alias("other"), F.col("label").alias("other_label"), "sharing")
+        if few or turn < HEAD_ROUNDS:
+            if not few:
+                order = F.struct("sharing", F.xxhash64("other")) if turn == 0 else F.struct(F.xxhash64(F.lit(turn), "other"))
+                other = other.groupBy("bucket").agg(F.max_by(F.struct("other", "other_label"), order).alias("h")).select("bucket", "h.*")
+            pairs = (
+                at.join(other.drop("sharing"), "bucket")
+                .where((F.col("doc_id") < F.col("other")) if few else (F.col("doc_id") != F.col("other")))
+                .where("label != other_label")
+                .select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b"))
+                .distinct()
+            )
+        else:
+            pairs = filtered_pairs(texts.join(at.select("doc_id", "label").distinct(), "doc_id"), least, weighted)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = staged(pairs, "pairs")
@@ -251,7 +337,7 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, weighted: bool =
         tested = pairs if tested is None else tested.unionByName(pairs)
         links = fresh if links is None else links.unionByName(fresh)
         labels = components(links)
-        if everything:
+        if few:
             break
     named = members if labels is None else members.join(labels, members["head"] == labels["node"], "left").select(
         "doc_id", F.coalesce("label", "head").alias("head")
