@@ -10,8 +10,11 @@ fewer shards, until one shard has seen all that are left.
 
 A tokenizer of this kind never joins characters across white space, so a text
 is the concatenation of its white-space-separated chunks; chunks are encoded
-once per worker and kept in a cache of bounded size.  Texts with control
-characters on which Unicode and the tokenizer differ are encoded whole.
+once per worker and kept in a cache of bounded size.  A chunk of printable
+ASCII and Latin-1 letters is cut and mapped to byte symbols here, and only its
+new pieces go through the tokenizer's model; any other chunk is encoded by the
+tokenizer.  Texts with control characters on which Unicode and the tokenizer
+differ are encoded whole.
 
 Null and empty texts have the end id alone.  Repeated rows are packed each.
 Other columns are ignored.
@@ -20,6 +23,8 @@ Other columns are ignored.
 from __future__ import annotations
 
 import math
+import re
+import struct
 import zlib
 
 import numpy as np
@@ -40,6 +45,12 @@ LOOSE = 64
 DONORS = 24
 PASSES = 6
 
+# The tokenizer's word pattern and byte symbols, over the characters of plain chunks.
+_PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_SYMBOLS = {b: chr(b) for b in _SHOWN} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(_SHOWN)))}
+
 _tokenizers: dict[str, tuple] = {}
 
 
@@ -56,17 +67,18 @@ def _worker(path: str) -> tuple:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _tokenizers[path] = (Tokenizer.from_file(path), {})
+        tokenizer = Tokenizer.from_file(path)
+        _tokenizers[path] = (tokenizer, tokenizer.model, {}, {})
     return _tokenizers[path]
 
 
 def _bytes(ids: list[int]) -> bytes:
-    return np.array(ids, "<u4").tobytes()
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 def encode(texts: list[str], path: str) -> list[bytes]:
     """The ids of each text as little-endian 32-bit numbers."""
-    tokenizer, cache = _worker(path)
+    tokenizer, model, cache, known = _worker(path)
     split, whole = [], []
     for i, text in enumerate(texts):
         odd = any(c in text for c in "\x1c\x1d\x1e\x1f")
@@ -75,11 +87,23 @@ def encode(texts: list[str], path: str) -> list[bytes]:
             whole.append(i)
     if len(cache) > CACHE_WORDS:
         cache.clear()
-    missing = list(set().union(*split) - cache.keys())
-    for at in range(0, len(missing), 4096):
-        part = missing[at : at + 4096]
-        for word, found in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-            cache[word] = _bytes(found.ids)
+        known.clear()
+    rest = []
+    for chunk in set().union(*split) - cache.keys():
+        if "<|" in chunk or not _PLAIN.fullmatch(chunk):
+            rest.append(chunk)
+            continue
+        ids = b""
+        for piece in _PIECES.findall(chunk.lower()):
+            if piece not in known:
+                symbols = piece if piece.isascii() else "".join(map(_SYMBOLS.__getitem__, piece.encode()))
+                known[piece] = _bytes([t.id for t in model.tokenize(symbols)])
+            ids += known[piece]
+        cache[chunk] = ids
+    for at in range(0, len(rest), 4096):
+        part = rest[at : at + 4096]
+        for chunk, found in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+            cache[chunk] = _bytes(found.ids)
     out = [b"".join(map(cache.__getitem__, words)) for words in split]
     for i in whole:
         out[i] = _bytes(tokenizer.encode(texts[i], add_special_tokens=False).ids)
