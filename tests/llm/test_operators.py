@@ -247,6 +247,9 @@ def test_pieces_are_the_tokenizers(spark, odd):
     rng = random.Random(4)
     alphabet = "abcXYZ'’sé İΣς́  \x1c\x85\n\t<|endoftext|>123!?漢字"
     texts = [r.text or "" for r in odd.select("text").collect()]
+    plain = "abcXYZ'.,-ÀÉÖßéöøÿ19st'dllreve"
+    texts += ["".join(rng.choice(plain) for _ in range(rng.randint(0, 40))) for _ in range(500)]
+    texts += ["".join(map(chr, range(33, 0x180))), " ".join(map(chr, range(33, 0x180)))]
     texts += ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 60))) for _ in range(300)] + ["a <|endoftext|> b<|startoftext|>"]
     for text, ids in zip(texts, packing.encode(texts, path), strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text[:80])
