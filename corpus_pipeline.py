@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedimenta.llm import content_sort, dart_minhash, decontaminate, lid_crf, packing
-from sedimenta.llm.common import staged, table
+from sedimenta.llm.common import id_key, staged, table, without_ids
 
 #: A text whose words agree less than this on any language is rejected.
 LEAST_LANGUAGE_SCORE = 0.4
@@ -22,19 +22,17 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts without letters and texts of no clear language; rows that share an id go together."""
     model = lid_crf.learn(docs)
     unsure = lid_crf.identify(docs, model).where((F.col("lang_pred") == lid_crf.UNKNOWN) | (F.col("score") < LEAST_LANGUAGE_SCORE))
-    return docs.join(unsure.select("doc_id").distinct(), "doc_id", "left_anti")
+    return without_ids(docs, unsure)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents with equal normalised texts, the one with the smallest id stays."""
-    found = content_sort.exact_duplicates(docs)
-    kept = found.where("kept").select("doc_id", "text_sha256")
-    sha = F.sha2(content_sort.normalised(F.col("text")), 256)
-    rows = docs.withColumn("text_sha256", sha).join(kept, ["doc_id", "text_sha256"], "left_semi")
-    twice = found.groupBy("doc_id", "text_sha256").count().where("count > 1").drop("count")
-    once = rows.join(twice, ["doc_id", "text_sha256"], "left_anti")
-    again = rows.join(twice, ["doc_id", "text_sha256"], "left_semi").dropDuplicates(["doc_id", "text_sha256"])
-    return once.unionByName(again).select(docs.columns)
+    found = content_sort.exact_duplicates(docs).withColumn("_id", id_key())
+    rows = docs.withColumn("_id", id_key()).withColumn("text_sha256", F.sha2(content_sort.normalised(F.col("text")), 256))
+    keys = ["_id", "text_sha256"]
+    counts = found.groupBy(keys).agg(F.count(F.lit(1)).alias("n"), F.bool_or("kept").alias("kept"))
+    kept = rows.join(counts.where("kept"), keys)
+    return kept.where("n = 1").unionByName(kept.where("n > 1").dropDuplicates(keys)).select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -62,6 +62,16 @@ def crc_mod(col: str, n: int) -> Column:
     return F.crc32(F.col(col).cast("string").cast("binary")) % n
 
 
+def id_key() -> Column:
+    """A join key of rows by id; all rows without an id share one."""
+    return F.coalesce(F.col("doc_id").cast("string"), F.lit("none")).alias("_id")
+
+
+def without_ids(docs: DataFrame, bad: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id is not in ``bad``."""
+    return docs.withColumn("_id", id_key()).join(bad.select(id_key()).distinct(), "_id", "left_anti").select(docs.columns)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytewords import ALNUM, Words, chunks, mix, words_of
-from .common import table
+from .common import table, without_ids
 
 WINDOW = 13
 LEADING = 3
@@ -189,8 +189,7 @@ def contaminated(share: int = 20):
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the rows whose id is that of a contaminated one."""
-    bad = contamination(docs, benchmark).where(contaminated()).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti")
+    return without_ids(docs, contamination(docs, benchmark).where(contaminated()))
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
