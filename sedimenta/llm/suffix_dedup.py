@@ -40,7 +40,8 @@ LENGTH = 100
 GRAM = 24
 _PLACE = 26  # bits of a place in a block
 BLOCK = 2 << 20
-SHARD_SEGMENTS = 10_000
+#: Bound of the contents of one anchor that a shard sorts; an anchor with more is split.
+SHARD_SEGMENTS = 25_000
 LAST = (1 << 63) - 1
 
 
@@ -125,7 +126,7 @@ def two_stage_order(data: np.ndarray, places: np.ndarray, direct: np.ndarray, le
     """
     first = data[places]
     falls = ~direct & (first > data[np.minimum(places + 1, len(data) - 1)])
-    rank = np.zeros(len(data) + 1, np.int64)
+    rank = np.zeros(len(data) + 1, np.int32)
     view = np.lib.stride_tricks.sliding_window_view(data, length)
     own = places[~falls]
     keys = np.ascontiguousarray(view[own]).view(f"S{length}").ravel()
@@ -174,7 +175,7 @@ def repeats(parts: list[bytes], doc: np.ndarray, start: np.ndarray, length: int
     seg = np.repeat(np.arange(len(parts)), count)
     offset = np.arange(len(seg)) - np.repeat(np.cumsum(count) - count, count)
     places, real = base[seg] + offset, offset < windows[seg]
-    owner, shift = np.full(len(data), -1), np.zeros(len(data), np.int64)
+    owner, shift = np.full(len(data), -1, np.int32), np.zeros(len(data), np.int32)
     owner[places[real]], shift[places[real]] = seg[real], offset[real]
     order = two_stage_order(data, places, offset == count[seg] - 1, length)
     order = order[owner[order] >= 0]
@@ -299,7 +300,7 @@ def removed_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         ),
         "suffixes",
     )
-    shards = max(1, math.ceil(cut.count() / SHARD_SEGMENTS))
+    shards = max(1, math.ceil(2 * cut.count() / SHARD_SEGMENTS))  # half full, with room for a large anchor
     salts = F.ceil(F.col("segs") / SHARD_SEGMENTS)
     dealt = cut.withColumn("split", salts > 1).withColumn(
         "shard", F.pmod(F.xxhash64("anchor", F.pmod(F.xxhash64("doc_id", "start"), salts)), F.lit(shards))
