@@ -1 +1 @@
-
+"""General operators: DataFrames in, DataFrames out."""
