@@ -6,7 +6,9 @@ best fit in decreasing order opens the sequences, and local search then takes
 pieces from the emptiest ones: moves, one-for-one and two-for-one exchanges
 that raise the sum of squared fills, until sequences come empty.  Sequences
 that stay underfull give their pieces back, and these are dealt again into
-fewer shards, until one shard has seen all that are left.
+fewer shards of the same bound.  When a round hardly lowers their number, or
+one shard holds all that are left, every shard closes what it has, underfull
+sequences too.  So no task ever sees more than about a shard's bound.
 
 A tokenizer of this kind never joins characters across white space, so a text
 is the concatenation of its white-space-separated chunks; chunks are encoded
@@ -44,6 +46,8 @@ LOOSE = 64
 #: How many of the emptiest sequences local search looks at for each underfull one.
 DONORS = 24
 PASSES = 6
+#: A round that leaves more than this share of its shards is followed by the last.
+SHRINK = 0.9
 
 # The tokenizer's word pattern and byte symbols, over the characters of plain chunks.
 _PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
@@ -239,21 +243,23 @@ def pack(found: DataFrame, size: int = SIZE, shard_pieces: int = SHARD_PIECES) -
     left, done, level = staged(found, "pieces"), None, 0
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in left.schema.fields)
     shards = max(1, math.ceil(left.count() / shard_pieces))
+    last = shards == 1
     while True:
         dealt = left.withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)))
         packed = staged(
             dealt.groupBy("shard").applyInPandas(
-                _pack_shard(size, level, shards == 1), schema + ", sequence_id long, offset long"
+                _pack_shard(size, level, last), schema + ", sequence_id long, offset long"
             ),
             "packed",
         )
         placed = packed.where("sequence_id >= 0")
         done = placed if done is None else done.unionByName(placed)
-        if shards == 1:
+        if last:
             return done
         left = packed.where("sequence_id < 0").drop("sequence_id", "offset")
         fewer = max(1, math.ceil(left.count() / shard_pieces))
-        shards, level = (fewer if fewer < shards else max(1, shards // 2)), level + 1
+        last = fewer == 1 or fewer > SHRINK * shards
+        shards, level = fewer, level + 1
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -286,6 +286,14 @@ def test_packing_odd_and_many_shards(spark, odd, none):
     assert packing.pack(packing.pieces(none, packing.tokenizer_path())).count() == 0
 
 
+def test_packing_never_deals_all_leftovers_to_one_shard(spark):
+    """Pieces of which no two fit together: no sequence closes before the last round."""
+    found = spark.range(1000).select(F.col("id").alias("doc_id"), (F.lit(2100) + F.col("id") % 1900).alias("length"))
+    rows = packing.pack(found, shard_pieces=50).collect()
+    assert len(rows) == 1000 and len({r.sequence_id for r in rows}) == 1000 and {r.offset for r in rows} == {0}
+    assert max(Counter(r.sequence_id >> 24 for r in rows).values()) <= 100
+
+
 # 6: chat formatting
 
 
