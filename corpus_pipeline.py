@@ -12,17 +12,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedimenta.llm import content_sort, dart_minhash, decontaminate, lid_crf, packing
-from sedimenta.llm.common import id_key, staged, table, without_ids
+from sedimenta.llm.common import id_key, staged, table, whole_rows
 
 #: A text whose words agree less than this on any language is rejected.
 LEAST_LANGUAGE_SCORE = 0.4
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts without letters and texts of no clear language; rows that share an id go together."""
-    model = lid_crf.learn(docs)
-    unsure = lid_crf.identify(docs, model).where((F.col("lang_pred") == lid_crf.UNKNOWN) | (F.col("score") < LEAST_LANGUAGE_SCORE))
-    return without_ids(docs, unsure)
+    """Drops texts without letters and texts of no clear language, each row by its own text."""
+    found = lid_crf.identify(whole_rows(docs), lid_crf.learn(docs))
+    sure = (F.col("lang_pred") != lid_crf.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)
+    return found.where(sure).select("doc_id.*")
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

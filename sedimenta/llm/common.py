@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..session import settle
 
@@ -67,9 +68,14 @@ def id_key() -> Column:
     return F.coalesce(F.col("doc_id").cast("string"), F.lit("none")).alias("_id")
 
 
-def without_ids(docs: DataFrame, bad: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is not in ``bad``."""
-    return docs.withColumn("_id", id_key()).join(bad.select(id_key()).distinct(), "_id", "left_anti").select(docs.columns)
+def whole_rows(docs: DataFrame) -> DataFrame:
+    """``docs`` with each row's columns as its ``doc_id``, so that what is found for a row comes back with it."""
+    return docs.select(F.struct(*docs.columns).alias("doc_id"), "text")
+
+
+def with_id(docs: DataFrame, columns: str) -> StructType:
+    """A schema of the ``doc_id`` of ``docs`` and more columns."""
+    return StructType([docs.schema["doc_id"], *StructType.fromDDL(columns).fields])
 
 
 def partitions(spark: SparkSession) -> int:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytewords import ALNUM, Words, chunks, mix, words_of
-from .common import table, without_ids
+from .common import table, whole_rows, with_id
 
 WINDOW = 13
 LEADING = 3
@@ -173,12 +173,11 @@ def blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[lis
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``(doc_id, spans, n_words, n_hit)`` for each row of ``docs``."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
     at = docs.select("doc_id", "text", F.array().cast(SPANS).alias("spans"))
     found = list(map(Block, blocks(benchmark)))
     for i, block in enumerate(found):
         last = i + 1 == len(found)
-        schema = f"doc_id {kind}, spans {SPANS}, " + ("n_words long, n_hit long" if last else "text string")
+        schema = with_id(docs, f"spans {SPANS}, " + ("n_words long, n_hit long" if last else "text string"))
         at = at.mapInArrow(search(block, last), schema)
     return at
 
@@ -188,8 +187,8 @@ def contaminated(share: int = 20):
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose id is that of a contaminated one."""
-    return without_ids(docs, contamination(docs, benchmark).where(contaminated()))
+    """The rows of ``docs`` that are not contaminated."""
+    return contamination(whole_rows(docs), benchmark).where(~contaminated()).select("doc_id.*")
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,3 +33,16 @@ def test_stage_on_odd_rows(spark, sf, odd, none, stage):
     every = sorted(str(r.doc_id) for r in given.select("doc_id").distinct().collect())
     gone = {"language": {"3", "4", "5", "10"}, "exact_dedup": {"2", "4"}, "near_dedup": {"2", "7", "9"}}.get(stage, set())
     assert set(ids) == set(every) - gone
+
+
+def test_rows_that_share_an_id_are_judged_one_by_one(spark, sf, none):
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").where("length(text) > 200").first().text
+    clear = {r.lang: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").where("lang is not null and n_chars > 300").collect()}
+    one, two = [clear[k] for k in sorted(clear)[:2]]
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select(none.columns)
+    rows = lambda bad: spark.createDataFrame([(i, t, "en", s, len(t)) for i in (None, -7) for t, s in ((bad, "bad"), (one, "one"), (two, "two"))], none.schema)
+    stages = dict(corpus_pipeline.STAGES)
+    for stage, bad in (("language", "12345 67890 ---"), ("decontamination", item)):
+        given = rows(bad).unionByName(docs) if stage == "language" else rows(bad)
+        found = stages[stage](spark, given, sf).where("doc_id is null or doc_id = -7")
+        assert sorted((str(r.doc_id), r.source, r.text) for r in found.collect()) == sorted((i, s, t) for i in ("None", "-7") for t, s in ((one, "one"), (two, "two")))
