@@ -17,15 +17,19 @@ several shards, and the earliest windows of these are compared once more by
 their content's hash.
 
 Null and empty texts, and texts under ``LENGTH`` bytes, keep all they have.
-Rows with equal ids are copies of one document at one place: their strings do
-not count as earlier than each other.  A null id sorts last.  Other columns
+A document is an id with a text (its 64-bit hash): rows with equal ids and
+texts are copies of one document at one place, and their strings do not count
+as earlier than each other.  Documents with equal ids and different texts
+follow each other by the texts' hashes.  A null id sorts last.  Other columns
 are ignored.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
+import operator
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +47,7 @@ BLOCK = 2 << 20
 #: Bound of the contents of one anchor that a shard sorts; an anchor with more is split.
 SHARD_SEGMENTS = 25_000
 LAST = (1 << 63) - 1
+DOCUMENT = ["doc_id", "text_id"]
 
 
 def segments_of(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM):
@@ -90,12 +95,12 @@ def _blocks(data: np.ndarray, offsets: np.ndarray, length: int):
 
 
 def anchors(length: int = LENGTH, only_anchor: bool = False):
-    """A ``mapInArrow`` function: ``(doc_id, text)`` to segments."""
+    """A ``mapInArrow`` function: ``(doc_id, text_id, text)`` to segments."""
 
     def run(batches):
         for b in batches:
             for row, nxt, data, at in chunks(b.column("text")):
-                ids = b.column("doc_id").slice(row, nxt - row)
+                ids, texts = (b.column(c).slice(row, nxt - row) for c in ("doc_id", "text_id"))
                 for part, offsets, shift in _blocks(data, at, length):
                     anchor, seg, text, start, windows = segments_of(part, offsets, length)
                     if only_anchor:
@@ -106,10 +111,11 @@ def anchors(length: int = LENGTH, only_anchor: bool = False):
                             pa.array(anchor.view(np.int64)),
                             pa.array(seg.view(np.int64)),
                             ids.take(pa.array(text)),
+                            texts.take(pa.array(text)),
                             pa.array(start + shift),
                             pa.array(windows.astype(np.int32)),
                         ],
-                        ["anchor", "seg", "doc_id", "start", "windows"],
+                        ["anchor", "seg", "doc_id", "text_id", "start", "windows"],
                     )
 
     return run
@@ -202,7 +208,8 @@ def sort_shard(length: int = LENGTH):
 
     def run(t: pa.Table) -> pa.Table:
         parts = t.column("bytes").to_pylist()
-        doc, start = t.column("doc_id").to_numpy(), t.column("start").to_numpy()
+        ids, texts, start = (t.column(c).to_numpy() for c in ("doc_id", "text_id", "start"))
+        doc = np.unique(np.stack([ids, texts], axis=1), axis=0, return_inverse=True)[1].ravel()  # in order of both
         split = t.column("split").to_numpy(zero_copy_only=False).astype(bool)
         s, o, _, first = repeats(parts, doc, start, length)
         rs, ra, rb = _runs(s[~first], o[~first], length) if (~first).any() else (np.zeros(0, np.int64),) * 3
@@ -211,7 +218,8 @@ def sort_shard(length: int = LENGTH):
         digests = [hashlib.blake2b(parts[i][j : j + length], digest_size=16).digest() for i, j in zip(es, eo, strict=True)]
         return pa.table(
             {
-                "doc_id": pa.array(np.concatenate([doc[rs], doc[es]]), pa.int64()),
+                "doc_id": pa.array(np.concatenate([ids[rs], ids[es]]), pa.int64()),
+                "text_id": pa.array(np.concatenate([texts[rs], texts[es]]), pa.int64()),
                 "begin": pa.array(np.concatenate([start[rs] + ra, start[es] + eo]), pa.int64()),
                 "end": pa.array(np.concatenate([start[rs] + rb, start[es] + eo + length]), pa.int64()),
                 "content": pa.array([None] * len(rs) + digests, pa.binary()),
@@ -225,7 +233,9 @@ def squeezed(batches):
     for b in batches:
         press = zstandard.ZstdCompressor(level=3)
         texts = [press.compress((x or "").encode()) for x in b.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts, pa.binary())], ["doc_id", "packed"])
+        yield pa.RecordBatch.from_arrays(
+            [b.column("doc_id"), b.column("text_id"), pa.array(texts, pa.binary())], ["doc_id", "text_id", "packed"]
+        )
 
 
 def cut_segments(length: int):
@@ -241,12 +251,12 @@ def cut_segments(length: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         wanted.field("anchor"),
-                        pa.array([b.column("doc_id")[i].as_py()] * len(parts), pa.int64()),
+                        *(pa.array([b.column(c)[i].as_py()] * len(parts), pa.int64()) for c in ("doc_id", "text_id")),
                         wanted.field("start"),
                         wanted.field("segs"),
                         pa.array(parts, pa.binary()),
                     ],
-                    ["anchor", "doc_id", "start", "segs", "bytes"],
+                    ["anchor", "doc_id", "text_id", "start", "segs", "bytes"],
                 )
 
     return run
@@ -277,43 +287,54 @@ def without_spans(batches):
         )
 
 
+def _elsewhere(at: str):
+    """Whether a place is another than its ``lead``."""
+    return functools.reduce(operator.or_, (F.col(c) != F.col(f"lead.{c}") for c in (*DOCUMENT, at)))
+
+
 def removed_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """``(doc_id, begin, end)``: spans to remove; they may touch and overlap.  ``docs``: doc_id long, text, no nulls."""
+    """``(doc_id, text_id, begin, end)``: spans to remove; they may touch and overlap.
+
+    ``docs``: doc_id long, text_id long, text, no nulls.
+    """
     every = docs.mapInArrow(anchors(length, only_anchor=True), "anchor long")
     shared = every.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
-    schema = "anchor long, seg long, doc_id long, start long, windows int"
+    schema = "anchor long, seg long, doc_id long, text_id long, start long, windows int"
     found = staged(docs.mapInArrow(anchors(length), schema).join(shared, "anchor", "left_semi"), "segments")
-    lead = F.min(F.struct("doc_id", "start", "windows")).alias("lead")
+    lead = F.min(F.struct(*DOCUMENT, "start", "windows")).alias("lead")
     contents = staged(found.groupBy("anchor", "seg").agg(lead, F.count(F.lit(1)).alias("n")), "contents")
     copies = (
         found.join(contents.where("n > 1").select("anchor", "seg", "lead"), ["anchor", "seg"])
-        .where((F.col("doc_id") != F.col("lead.doc_id")) | (F.col("start") != F.col("lead.start")))
-        .select("doc_id", F.col("start").alias("begin"), (F.col("start") + F.col("windows") + (length - 1)).alias("end"))
+        .where(_elsewhere("start"))
+        .select(*DOCUMENT, F.col("start").alias("begin"), (F.col("start") + F.col("windows") + (length - 1)).alias("end"))
     )
     several = contents.groupBy("anchor").agg(F.count(F.lit(1)).alias("segs")).where("segs > 1")
     leads = contents.join(several, "anchor").select("anchor", "lead.*", "segs")
-    wanted = leads.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "start", "windows", "segs")).alias("wanted"))
-    packed = docs.mapInArrow(squeezed, "doc_id long, packed binary").dropDuplicates(["doc_id"])
+    wanted = leads.groupBy(DOCUMENT).agg(F.collect_list(F.struct("anchor", "start", "windows", "segs")).alias("wanted"))
+    packed = docs.mapInArrow(squeezed, "doc_id long, text_id long, packed binary").dropDuplicates(DOCUMENT)
     cut = staged(
-        packed.join(wanted, "doc_id").mapInArrow(
-            cut_segments(length), "anchor long, doc_id long, start long, segs long, bytes binary"
+        packed.join(wanted, DOCUMENT).mapInArrow(
+            cut_segments(length), "anchor long, doc_id long, text_id long, start long, segs long, bytes binary"
         ),
         "suffixes",
     )
     shards = max(1, math.ceil(2 * cut.count() / SHARD_SEGMENTS))  # half full, with room for a large anchor
     salts = F.ceil(F.col("segs") / SHARD_SEGMENTS)
     dealt = cut.withColumn("split", salts > 1).withColumn(
-        "shard", F.pmod(F.xxhash64("anchor", F.pmod(F.xxhash64("doc_id", "start"), salts)), F.lit(shards))
+        "shard", F.pmod(F.xxhash64("anchor", F.pmod(F.xxhash64(*DOCUMENT, "start"), salts)), F.lit(shards))
     )
     sorted_ = staged(
-        dealt.groupBy("shard").applyInArrow(sort_shard(length), "doc_id long, begin long, end long, content binary"), "sorted"
+        dealt.groupBy("shard").applyInArrow(
+            sort_shard(length), "doc_id long, text_id long, begin long, end long, content binary"
+        ),
+        "sorted",
     )
     early = sorted_.where("content is not null")
-    firsts = early.groupBy("content").agg(F.min(F.struct("doc_id", "begin")).alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    firsts = early.groupBy("content").agg(F.min(F.struct(*DOCUMENT, "begin")).alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1")
     later = (
         early.join(firsts, "content")
-        .where((F.col("doc_id") != F.col("lead.doc_id")) | (F.col("begin") != F.col("lead.begin")))
-        .select("doc_id", "begin", "end")
+        .where(_elsewhere("begin"))
+        .select(*DOCUMENT, "begin", "end")
     )
     return copies.unionByName(sorted_.where("content is null").drop("content")).unionByName(later)
 
@@ -323,10 +344,10 @@ def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     batch_rows(docs.sparkSession, 1_000)
     given = docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")
-    )
-    spans = removed_spans(given, length).groupBy("doc_id").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
-    packed = given.mapInArrow(squeezed, "doc_id long, packed binary")
-    kept = packed.join(spans, "doc_id", "left").mapInArrow(
+    ).withColumn("text_id", F.xxhash64("text"))
+    spans = removed_spans(given, length).groupBy(DOCUMENT).agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
+    packed = given.mapInArrow(squeezed, "doc_id long, text_id long, packed binary")
+    kept = packed.join(spans, DOCUMENT, "left").mapInArrow(
         without_spans, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
     )
     return kept.withColumn("doc_id", F.when(F.col("doc_id") != LAST, F.col("doc_id")))

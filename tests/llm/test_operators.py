@@ -155,6 +155,21 @@ def test_repeats_odd(spark, odd, none):
     assert by[6].n_removed > by[6].n_bytes - 200 and by[7].n_removed >= by[7].n_bytes - 4
 
 
+def test_repeats_among_texts_that_share_an_id(spark):
+    rng = random.Random(12)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = word(150)
+    rows = [(i, word(rng.randint(0, 120)) + passage * (k % 2) + word(rng.randint(90, 200))) for i in (None, 3, 5) for k in range(8)]
+    rows += [(None, passage), (None, passage + passage), (3, passage), (3, passage), (4, word(400)), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    hashed = {r.text: r.h for r in df.select(F.coalesce("text", F.lit("")).alias("text"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()}
+    own = sorted({(suffix_dedup.LAST if i is None else i, hashed[t or ""], t or "") for i, t in rows})
+    by_hand = removed_by_hand([(n, t) for n, (_, _, t) in enumerate(own)])
+    expected = {(i, t): by_hand[n] for n, (i, _, t) in enumerate(own)}
+    found = [(str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in suffix_dedup.deduplicated(df).collect()]
+    assert sorted(found) == sorted((str(i), *expected[suffix_dedup.LAST if i is None else i, t or ""]) for i, t in rows)
+
+
 # 3: secrets
 
 
