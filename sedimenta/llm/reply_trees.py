@@ -13,8 +13,9 @@ role becomes backslash-n.  So no text can hold a control string, and
 ``unescape`` gives back the exact text.
 
 Null texts and roles count as empty.  A message whose parent is missing is a
-root; messages on a cycle have no root and are left out.  Ties in score go to
-the longer path, then to the smaller leaf.  Other columns are ignored.
+root; messages on a cycle have no root and are left out.  Rows without a tree
+(or conversation) id are one tree.  Ties in score go to the longer path, then
+to the smaller leaf.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -49,6 +50,13 @@ def unescape_role(role: Column) -> Column:
     return F.array_join(plain, "\\")
 
 
+def _in_tree(a: DataFrame, b: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """Joins on ``key`` within a tree; rows without a tree id are of one tree."""
+    b = b.withColumnsRenamed({"tree_id": "_tree_id", key: "_key"})
+    same = F.col("tree_id").eqNullSafe(F.col("_tree_id")) & (F.col(key) == F.col("_key"))
+    return a.join(b, same, how).drop("_tree_id", "_key")
+
+
 def paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     """``(tree_id, leaf_id, node_id, depth, path_score)`` for the best ``branches`` leaves of each tree.
 
@@ -57,7 +65,7 @@ def paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     nodes = messages.select("tree_id", "node_id", "parent_id", F.coalesce("score", F.lit(0.0)).alias("score"))
     known = nodes.select("tree_id", F.col("node_id").alias("parent_id"), F.lit(True).alias("there"))
     up = F.when(F.col("there"), F.col("parent_id")).alias("up")
-    first = nodes.join(known, ["tree_id", "parent_id"], "left")
+    first = _in_tree(nodes, known, "parent_id", "left")
     at = staged(first.select("tree_id", "node_id", up, "score", F.lit(1).alias("steps")), "ancestors")
     most, ups, rooted = at.count(), [], at.where("up is null")
     while True:
@@ -71,7 +79,7 @@ def paths(messages: DataFrame, branches: int = 1) -> DataFrame:
             F.col("score").alias("more"),
             F.col("steps").alias("further"),
         )
-        doubled = ups[-1].join(above, ["tree_id", "up"]).select(
+        doubled = _in_tree(ups[-1], above, "up").select(
             "tree_id",
             "node_id",
             F.col("next_up").alias("up"),
@@ -81,7 +89,7 @@ def paths(messages: DataFrame, branches: int = 1) -> DataFrame:
         at = staged(doubled, "ancestors")
         rooted = rooted.unionByName(at.where("up is null"))
     parents = ups[0].select("tree_id", F.col("up").alias("node_id")).distinct()
-    leaves = rooted.join(parents, ["tree_id", "node_id"], "left_anti")
+    leaves = _in_tree(rooted, parents, "node_id", "left_anti")
     best = Window.partitionBy("tree_id").orderBy(F.desc("path_score"), F.desc("depth"), "node_id")
     at = (
         leaves.select("tree_id", "node_id", F.col("steps").alias("depth"), (F.col("score") / F.col("steps")).alias("path_score"))
@@ -91,7 +99,7 @@ def paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     )
     for k in reversed(range(len(ups))):
         jump = ups[k].select("tree_id", "node_id", "up")
-        moved = at.join(jump, ["tree_id", "node_id"]).select(
+        moved = _in_tree(at, jump, "node_id").select(
             "tree_id", "leaf_id", F.col("up").alias("node_id"), (F.col("depth") - (1 << k)).alias("depth"), "path_score"
         )
         at = staged(at.unionByName(moved), "paths")
@@ -108,8 +116,7 @@ def format_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     )
     head = F.concat(F.lit(START), escape_role(F.col("role")), F.lit("\n"))
     turns = (
-        paths(messages, branches)
-        .join(said, ["tree_id", "node_id"])
+        _in_tree(paths(messages, branches), said, "node_id")
         .select(
             "tree_id",
             "leaf_id",

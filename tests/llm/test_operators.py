@@ -361,6 +361,15 @@ def test_chat_odd(spark):
     assert reply_trees.format_paths(reply_trees.chains(df.limit(0))).count() == 0
 
 
+def test_rows_without_a_conversation_are_one(spark, tmp_path):
+    rows = [(None, t, "assistant" if t % 2 else "user", f"say {t}") for t in range(5)] + [(1, 0, "user", "hi"), (1, 1, "assistant", "yes")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    found = reply_trees.op6_reply_trees(spark, str(tmp_path)).collect()
+    assert sorted((str(r.conv_id), r.n_turns) for r in found) == [("-1", 2), ("1", 2), ("None", 5)]
+    told = "".join(f"{role}\n{text}\n" for conv, _, role, text in rows if conv is None)
+    assert {r.turns_sha256 for r in found if r.conv_id is None} == {hashlib.sha256(told.encode()).hexdigest()}
+
+
 # 7: decontamination
 
 
