@@ -12,9 +12,16 @@ content is left.  These are dealt by anchor into shards of bounded size; a
 shard sorts its suffixes in two stages (suffixes smaller than their successor
 directly, all others induced from them bucket by bucket), computes common
 prefixes of neighbours, and in every interval of windows with ``LENGTH`` equal
-bytes all but the earliest go.  An anchor with very many contents is dealt over
-several shards, and the earliest windows of these are compared once more by
-their content's hash.
+bytes all but the earliest go.
+
+An anchor with very many contents is cut finer first.  Its windows are filed
+by the anchor's place in them, ``STEP`` neighbouring places together, and by
+the bytes that all windows of such a file share: equal windows have equal
+anchors at equal places, so they still meet, while different surroundings part.
+Equal pieces are aggregated like segments.  Where even that leaves more than a
+shard's bound, which takes as many texts that agree in all but a few bytes, the
+pieces are dealt over several shards, and the earliest windows of these are
+compared once more by their content's digest.
 
 Null and empty texts, and texts under ``LENGTH`` bytes, keep all they have.
 A document is an id with a text (its 64-bit hash): rows with equal ids and
@@ -44,15 +51,17 @@ LENGTH = 100
 GRAM = 24
 _PLACE = 26  # bits of a place in a block
 BLOCK = 2 << 20
-#: Bound of the contents of one anchor that a shard sorts; an anchor with more is split.
+#: Bound of the contents of one anchor that a shard sorts; an anchor with more is cut finer.
 SHARD_SEGMENTS = 25_000
+#: Places of an anchor that are filed together when it is cut finer.
+STEP = 10
 LAST = (1 << 63) - 1
 DOCUMENT = ["doc_id", "text_id"]
 
 
 def segments_of(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM):
-    """``(anchor, segment hash, text, start, windows)`` of every run of windows with one anchor."""
-    none = [np.zeros(0, np.uint64), np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3]
+    """``(anchor, segment hash, text, start, windows, anchor's place from start)`` of every run of windows with one anchor."""
+    none = [np.zeros(0, np.uint64), np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 4]
     n = len(data)
     if n < length:
         return none
@@ -81,7 +90,27 @@ def segments_of(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gra
     windows = np.diff(np.append(head, len(at)))
     start = at[head]
     text = np.searchsorted(offsets, start, "right") - 1
-    return [grams[place[head]], span_hashes(data, start, start + windows + length - 1), text, start - offsets[text], windows]
+    hashes = span_hashes(data, start, start + windows + length - 1)
+    return [grams[place[head]], hashes, text, start - offsets[text], windows, place[head] - start]
+
+
+def finer(parts: list[bytes], length: int = LENGTH, step: int = STEP):
+    """``(key, hash, segment, begin, end)`` of the pieces of segments, cut where the anchor's place passes a multiple of ``step``."""
+    data = np.frombuffer(b"".join(parts), np.uint8)
+    offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
+    anchor, _, seg, at, windows, place = segments_of(data, offsets, length)
+    at = offsets[seg] + at
+    lowest, highest = (place - windows + 1) // step, place // step
+    many = highest - lowest + 1
+    of = np.repeat(np.arange(len(seg)), many)
+    group = lowest[of] + np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
+    first = np.maximum(place[of] - (group + 1) * step + 1, 0)  # windows whose anchor's place is in the group
+    last = np.minimum(place[of] - group * step, windows[of] - 1)
+    begin, end = at[of] + first, at[of] + last + length
+    core = at[of] + place[of] - group * step
+    shared = span_hashes(data, core, core + length - step + 1)
+    key = mix(mix(anchor[of] ^ mix(group.astype(np.uint64) + np.uint64(1))) ^ shared)
+    return key, span_hashes(data, begin, end), seg[of], begin - offsets[seg[of]], end - offsets[seg[of]]
 
 
 def _blocks(data: np.ndarray, offsets: np.ndarray, length: int):
@@ -102,7 +131,7 @@ def anchors(length: int = LENGTH, only_anchor: bool = False):
             for row, nxt, data, at in chunks(b.column("text")):
                 ids, texts = (b.column(c).slice(row, nxt - row) for c in ("doc_id", "text_id"))
                 for part, offsets, shift in _blocks(data, at, length):
-                    anchor, seg, text, start, windows = segments_of(part, offsets, length)
+                    anchor, seg, text, start, windows, _ = segments_of(part, offsets, length)
                     if only_anchor:
                         yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64))], ["anchor"])
                         continue
@@ -238,25 +267,39 @@ def squeezed(batches):
         )
 
 
-def cut_segments(length: int):
-    """A ``mapInArrow`` function: packed texts and their segments' places to the segments' bytes."""
+def cut_segments(length: int, most: int):
+    """A ``mapInArrow`` function: packed texts and their segments' places to the segments' bytes.
+
+    Segments of an anchor with more than ``most`` contents come as finer pieces, with a hash ``piece``.
+    """
 
     def run(batches):
         for b in batches:
             press = zstandard.ZstdDecompressor()
             for i, (packed, wanted) in enumerate(zip(b.column("packed"), b.column("wanted"), strict=True)):
                 text, wanted = press.decompress(packed.as_py()), wanted.values
-                start, windows = wanted.field("start").to_numpy(), wanted.field("windows").to_numpy()
+                start, windows, segs = (wanted.field(c).to_numpy() for c in ("start", "windows", "segs"))
                 parts = [text[s : s + w + length - 1] for s, w in zip(start.tolist(), windows.tolist(), strict=True)]
+                plain, many = np.flatnonzero(segs <= most), np.flatnonzero(segs > most)
+                anchor, begin, piece = wanted.field("anchor").to_numpy()[plain], start[plain], [None] * len(plain)
+                cut = [parts[k] for k in plain]
+                if len(many):
+                    key, own, seg, a, e = finer([parts[k] for k in many], length)
+                    anchor = np.concatenate([anchor, key.view(np.int64)])
+                    begin = np.concatenate([begin, start[many][seg] + a])
+                    piece += own.view(np.int64).tolist()
+                    cut += [parts[many[k]][x:y] for k, x, y in zip(seg.tolist(), a.tolist(), e.tolist(), strict=True)]
+                segs = np.concatenate([segs[plain], np.zeros(len(cut) - len(plain), np.int64)])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        wanted.field("anchor"),
-                        *(pa.array([b.column(c)[i].as_py()] * len(parts), pa.int64()) for c in ("doc_id", "text_id")),
-                        wanted.field("start"),
-                        wanted.field("segs"),
-                        pa.array(parts, pa.binary()),
+                        pa.array(anchor, pa.int64()),
+                        *(pa.array([b.column(c)[i].as_py()] * len(cut), pa.int64()) for c in ("doc_id", "text_id")),
+                        pa.array(begin, pa.int64()),
+                        pa.array(segs, pa.int64()),
+                        pa.array(piece, pa.int64()),
+                        pa.array(cut, pa.binary()),
                     ],
-                    ["anchor", "doc_id", "text_id", "start", "segs", "bytes"],
+                    ["anchor", "doc_id", "text_id", "start", "segs", "piece", "bytes"],
                 )
 
     return run
@@ -314,10 +357,21 @@ def removed_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     packed = docs.mapInArrow(squeezed, "doc_id long, text_id long, packed binary").dropDuplicates(DOCUMENT)
     cut = staged(
         packed.join(wanted, DOCUMENT).mapInArrow(
-            cut_segments(length), "anchor long, doc_id long, text_id long, start long, segs long, bytes binary"
+            cut_segments(length, SHARD_SEGMENTS), "anchor long, doc_id long, text_id long, start long, segs long, piece long, bytes binary"
         ),
         "suffixes",
     )
+    finer_cut = cut.where("piece is not null").drop("segs")
+    lead = F.min(F.struct(*DOCUMENT, "start", "bytes")).alias("lead")
+    pieces = staged(finer_cut.groupBy("anchor", "piece").agg(lead, F.count(F.lit(1)).alias("n")), "pieces")
+    piece_copies = (
+        finer_cut.join(pieces.where("n > 1").select("anchor", "piece", "lead"), ["anchor", "piece"])
+        .where(_elsewhere("start"))
+        .select(*DOCUMENT, F.col("start").alias("begin"), (F.col("start") + F.length("bytes")).alias("end"))
+    )
+    several = pieces.groupBy("anchor").agg(F.count(F.lit(1)).alias("segs")).where("segs > 1")
+    columns = ["anchor", *DOCUMENT, "start", "segs", "bytes"]
+    cut = cut.where("piece is null").select(columns).unionByName(pieces.join(several, "anchor").select("anchor", "segs", "lead.*").select(columns))
     shards = max(1, math.ceil(2 * cut.count() / SHARD_SEGMENTS))  # half full, with room for a large anchor
     salts = F.ceil(F.col("segs") / SHARD_SEGMENTS)
     dealt = cut.withColumn("split", salts > 1).withColumn(
@@ -336,7 +390,7 @@ def removed_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         .where(_elsewhere("begin"))
         .select(*DOCUMENT, "begin", "end")
     )
-    return copies.unionByName(sorted_.where("content is null").drop("content")).unionByName(later)
+    return copies.unionByName(piece_copies).unionByName(sorted_.where("content is null").drop("content")).unionByName(later)
 
 
 def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
