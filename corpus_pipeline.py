@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedimenta.llm import content_sort, dart_minhash, decontaminate, lid_crf, packing
-from sedimenta.llm.common import id_key, staged, table, whole_rows
+from sedimenta.llm.common import staged, table, whole_rows
 
 #: A text whose words agree less than this on any language is rejected.
 LEAST_LANGUAGE_SCORE = 0.4
@@ -26,13 +26,18 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with equal normalised texts, the one with the smallest id stays."""
-    found = content_sort.exact_duplicates(docs).withColumn("_id", id_key())
-    rows = docs.withColumn("_id", id_key()).withColumn("text_sha256", F.sha2(content_sort.normalised(F.col("text")), 256))
-    keys = ["_id", "text_sha256"]
-    counts = found.groupBy(keys).agg(F.count(F.lit(1)).alias("n"), F.bool_or("kept").alias("kept"))
-    kept = rows.join(counts.where("kept"), keys)
-    return kept.where("n = 1").unionByName(kept.where("n > 1").dropDuplicates(keys)).select(docs.columns)
+    """Of documents with equal normalised texts, the one with the smallest id stays, one without an id only among such.
+
+    Columns travel as one struct, so no name of theirs can clash.
+    """
+    row = F.struct(*docs.columns).alias("row")
+    rows = docs.select(row, F.col("doc_id").alias("id"), F.sha2(content_sort.normalised(F.col("text")), 256).alias("sha")).alias("r")
+    found = content_sort.exact_duplicates(docs).groupBy(F.col("doc_id").alias("id"), F.col("text_sha256").alias("sha"))
+    counts = found.agg(F.count(F.lit(1)).alias("copies"), F.bool_or("kept").alias("kept")).where("kept").alias("c")
+    same = (F.col("r.sha") == F.col("c.sha")) & F.col("r.id").eqNullSafe(F.col("c.id"))
+    kept = rows.join(counts, same).select("r.row", "r.id", "r.sha", "c.copies")
+    once, again = kept.where("copies = 1"), kept.where("copies > 1").dropDuplicates(["id", "sha"])
+    return once.unionByName(again).select("row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
