@@ -20,12 +20,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, notebooks on one machine) a
-    temporary folder is made and set as the session's checkpoint folder.
+    Only where the session names none and runs on one machine (tests,
+    notebooks) a temporary folder is made and set as the session's checkpoint
+    folder; on a cluster that raises, since executors do not share such folders.
     """
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-")
         sc.setCheckpointDir(base)
     return base.rstrip("/")
@@ -63,11 +66,6 @@ def crc_mod(col: str, n: int) -> Column:
     return F.crc32(F.col(col).cast("string").cast("binary")) % n
 
 
-def id_key() -> Column:
-    """A join key of rows by id; all rows without an id share one."""
-    return F.coalesce(F.col("doc_id").cast("string"), F.lit("none")).alias("_id")
-
-
 def whole_rows(docs: DataFrame) -> DataFrame:
     """``docs`` with each row's columns as its ``doc_id``, so that what is found for a row comes back with it."""
     return docs.select(F.struct(*docs.columns).alias("doc_id"), "text")

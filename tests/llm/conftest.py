@@ -21,10 +21,12 @@ def odd(spark):
         (9, near.replace("word100 ", "other "), "de", "b"),
         (10, "12345 67890 ---", "de", None),
         (None, "a text without an id", "fr", "c"),
+        (None, "another text that has no id, and nothing else that tells it from the first", "en", None),
+        (None, None, "fr", "c"),
         (11, "Überall 東京 naïve «été» \x1c\x00 end", "fr", "c"),
     ]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
-    extra = {c: F.lit(7) for c in ("n", "range", "run", "bucket", "label", "seg", "shard", "piece", "anchor", "spans", "score", "html", "packed")}
+    extra = {c: F.lit(7) for c in ("n", "range", "run", "bucket", "label", "seg", "shard", "piece", "anchor", "spans", "score", "html", "packed", "kept", "text_sha256", "_id", "row", "id", "sha", "copies", "doc", "window", "word")}
     return df.withColumns(extra).withColumn("n_chars", F.char_length("text"))
 
 
