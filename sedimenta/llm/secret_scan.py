@@ -8,8 +8,11 @@ labelled samples; a run of key characters outside every base span is a secret
 if the mean log-likelihood ratio of its transitions is above a threshold.
 
 Positions are code points, end exclusive.  A match's place follows from the
-lengths of the pieces that ``split`` leaves between matches, so every step is
-a built-in expression over one scan without a shuffle.
+lengths of the pieces that ``split`` leaves between matches: lengths are summed
+within blocks of about the square root of the number of matches and then over
+blocks, so a text with very many matches costs little more than its length.
+Candidates look up the base span before their end by binary search.  Every step
+is a built-in expression over one scan without a shuffle.
 
 Null and empty texts have no spans.  Repeated rows each get a row.  With no
 labelled samples at all every ratio is zero and nothing is added.
@@ -43,11 +46,39 @@ THRESHOLD = 1.0
 SPAN = "array<struct<start:int,end:int,found:string>>"
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once for each row."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _summed(parts: Column) -> Column:
+    """The spans of ``parts`` (gap before, size, found), each one placed behind the one before it."""
+    none = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans"))
+
+    def step(acc: Column, p: Column) -> Column:
+        begin = acc["at"] + p["gap"]
+        one = F.struct(begin.alias("start"), (begin + p["size"]).alias("end"), p["found"].alias("found"))
+        return F.struct((begin + p["size"]).alias("at"), F.concat(acc["spans"], F.array(one)).alias("spans"))
+
+    def block_of(parts: Column) -> Column:
+        size = F.ceil(F.sqrt(F.size(parts))).cast("int")
+        return F.transform(F.sequence(F.lit(1), F.size(parts), size), lambda at: F.aggregate(F.slice(parts, at, size), none, step))
+
+    def placed(blocks: Column) -> Column:
+        starts = F.aggregate(blocks, F.array(F.lit(0)), lambda acc, b: F.concat(acc, F.array(F.element_at(acc, -1) + b["at"])))
+        moved = lambda b, by: F.transform(
+            b["spans"], lambda s: F.struct((s["start"] + by).alias("start"), (s["end"] + by).alias("end"), s["found"].alias("found"))
+        )
+        return F.flatten(F.zip_with(blocks, F.slice(starts, F.lit(1), F.size(blocks)), moved))
+
+    return F.when(F.size(parts) == 0, F.array().cast(SPAN)).otherwise(_let(block_of(parts), placed))
+
+
 def spans(text: Column, pattern: str, group: int = 0) -> Column:
     """All matches as ``(start, end, found)``, where ``found`` is the given group."""
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(whole))
+    gaps = F.split(text, pattern, -1)
     parts = F.zip_with(
         F.arrays_zip(whole.alias("whole"), found.alias("found")),
         gaps,
@@ -55,14 +86,17 @@ def spans(text: Column, pattern: str, group: int = 0) -> Column:
             F.char_length(gap).alias("gap"), F.char_length(m["whole"]).alias("size"), m["found"].alias("found")
         ),
     )
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans"))
+    return _let(F.filter(parts, lambda p: p["size"].isNotNull()), _summed)
 
-    def step(acc: Column, p: Column) -> Column:
-        begin = acc["at"] + p["gap"]
-        one = F.struct(begin.alias("start"), (begin + p["size"]).alias("end"), p["found"].alias("found"))
-        return F.struct((begin + p["size"]).alias("at"), F.concat(acc["spans"], F.array(one)).alias("spans"))
 
-    return F.aggregate(parts, start, step, lambda acc: acc["spans"])
+def met(known: Column, c: Column) -> Column:
+    """Whether a span of ``known``, which are in order and apart, overlaps ``c``: binary search for the last that begins before its end."""
+    before = F.aggregate(
+        F.array(*[F.lit(1 << k) for k in reversed(range(30))]),
+        F.lit(0),
+        lambda at, step: F.when((at + step <= F.size(known)) & (F.get(known, at + step - 1)["start"] < c["end"]), at + step).otherwise(at),
+    )
+    return F.when(F.size(known) == 0, False).otherwise(F.coalesce(F.get(known, before - 1)["end"] > c["start"], F.lit(False)))
 
 
 def _where(test: Column, value: Column) -> Column:
@@ -88,9 +122,11 @@ def base_spans(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def labelled_samples(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
-    """``(random, sample)``: values of base matches and digests against words of a bounded sample of documents."""
-    ids = docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
-    chosen = base_spans(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi"))
+    """``(random, sample)``: values of base matches and digests against words of about ``sample_docs`` documents, drawn by a hash of their ids."""
+    total = docs.count()
+    share = min(1.0, sample_docs / total) if total else 0.0
+    drawn_ids = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample")), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))
+    chosen = base_spans(docs.where(drawn_ids).select("doc_id", "text"))
     values = F.transform(F.concat("assign", "access", "hex"), lambda s: s["found"])
     digest = F.sha2(F.col("doc_id").cast("string"), 256)
     drawn = F.array(digest, F.upper(digest), F.base64(F.unhex(digest)), F.translate(F.base64(F.unhex(F.sha1(digest))), "+/=", ""))
@@ -146,12 +182,10 @@ def scan(docs: DataFrame, ratios: list[float], threshold: float = THRESHOLD) ->
     """``(doc_id, assign, access, hex, markov)``: arrays of ``(start, end, found)``."""
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     based = base_spans(texts)
-    known = F.concat("assign", "access", "hex")
     t = F.col("text")
     free = F.filter(
         spans(t, CANDIDATE),
-        lambda c: ~F.exists(known, lambda k: (k["start"] < c["end"]) & (c["start"] < k["end"]))
-        & (mean_ratio(c["found"], ratios) > threshold),
+        lambda c: ~(met(F.col("assign"), c) | met(F.col("access"), c) | met(F.col("hex"), c)) & (mean_ratio(c["found"], ratios) > threshold),
     )
     return based.withColumn("markov", _where(t.rlike(CANDIDATE), free)).drop("text")
 

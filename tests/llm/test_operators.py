@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -200,6 +201,63 @@ def test_secret_spans(spark, sf):
     assert [texts[7][s.start : s.end] for s in rows[7].markov] == ["Xq9ZrT4vB7nM2kLpW8sD"]
 
 
+def markov_by_hand(text, ratios):
+    base = [(a, e) for a, _, e in base_by_hand(text)]
+    n, out = len(secret_scan.ALPHABET), []
+    for m in re.finditer(secret_scan.CANDIDATE, text):
+        if any(a < m.end() and m.start() < e for a, e in base):
+            continue
+        codes = [secret_scan.ALPHABET.index(c) for c in m[0]]
+        if sum(ratios[a * n + b] for a, b in zip(codes, codes[1:], strict=False)) / (len(codes) - 1) > secret_scan.THRESHOLD:
+            out.append((m.start(), 3, m.end()))
+    return out
+
+
+def test_secret_query_against_python(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    ratios = secret_scan.train(secret_scan.labelled_samples(docs))
+    texts = texts_of(spark, sf)
+    for r in secret_scan.op3_secret_scan(spark, sf).collect():
+        base = base_by_hand(texts[r.doc_id])
+        every = sorted(base + markov_by_hand(texts[r.doc_id], ratios))
+        shown = lambda x: ",".join(f"{secret_scan.KINDS[k]}:{a}:{e}" for a, k, e in x)
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == i for _, k, _ in base) for i in range(3))
+        assert r.base_sha256 == hashlib.sha256(shown(base).encode()).hexdigest() and r.spans == shown(every)
+
+
+def test_planted_random_strings_are_found(spark, sf):
+    """Recall of random strings without a keyword, and precision against identifiers and paths, planted in ordinary texts."""
+    rng = random.Random(31)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    ratios = secret_scan.train(secret_scan.labelled_samples(docs))
+    texts = [t for t in texts_of(spark, sf).values() if t][:200]
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    verbs, nouns = ["get", "set", "load", "update", "remove", "parse", "format", "render"], ["customer", "order", "window", "account", "request", "session", "document", "message"]
+
+    def name():
+        parts = [rng.choice(verbs), *(rng.choice(nouns) for _ in range(3))]
+        return rng.choice(["_".join(parts), "".join(p.title() for p in parts), "/".join(parts), "".join(parts)])
+
+    rows, planted = [], {}
+    for i, text in enumerate(texts):
+        secret = "".join(rng.choice(alphabet) for _ in range(rng.randint(24, 44)))
+        head = " ".join(w for w in text.split()[:30] if len(w) < 15)
+        rows.append((i, f"{head} {secret if i % 2 else name()} end"))
+        planted[i] = (len(head) + 1, len(head) + 1 + len(secret)) if i % 2 else None
+    found = {r.doc_id: [(s.start, s.end) for s in r.markov] for r in secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string"), ratios).collect()}
+    caught = sum(planted[i] in found[i] for i in found if planted[i])
+    false = sum(len(found[i]) - (planted[i] in found[i]) for i in found)
+    assert caught >= 0.9 * sum(p is not None for p in planted.values()) and caught >= 0.95 * (caught + false)
+
+
+def test_very_many_secrets_in_one_text(spark):
+    text = " ".join(f"{i:032x}" for i in range(20_000)) + " token=abcdefgh Xq9ZrT4vB7nM2kLpW8sD"
+    began = time.time()
+    row = secret_scan.scan(spark.createDataFrame([(1, text)], "doc_id long, text string"), [0.0] * len(secret_scan.ALPHABET) ** 2, -1.0).first()
+    assert [(s.start, s.end) for s in row.hex] == [(33 * i, 33 * i + 32) for i in range(20_000)] and len(row.markov) == 1 and len(row["assign"]) == 1
+    assert time.time() - began < 30
+
+
 def test_secrets_odd(spark, odd, none):
     assert secret_scan.scan(odd, secret_scan.train(secret_scan.labelled_samples(odd))).count() == odd.count()
     assert secret_scan.scan(none, secret_scan.train(secret_scan.labelled_samples(none))).count() == 0
