@@ -10,9 +10,10 @@ fewer shards of the same bound.  When a round hardly lowers their number, or
 one shard holds all that are left, every shard closes what it has, underfull
 sequences too.  So no task ever sees more than about a shard's bound.
 
-A tokenizer of this kind never joins characters across white space, so a text
-is the concatenation of its white-space-separated chunks; chunks are encoded
-once per worker and kept in a cache of bounded size.  A chunk of printable
+A tokenizer with the settings that ``_SETTINGS`` states never joins characters
+across white space, so a text is the concatenation of its white-space-separated
+chunks; chunks are encoded once per worker and kept in a cache of bounded size.
+With any other tokenizer file, whole texts are encoded as they are.  A chunk of printable
 ASCII and Latin-1 letters is cut and mapped to byte symbols here, and only its
 new pieces go through the tokenizer's model; any other chunk is encoded by the
 tokenizer.  Texts with control characters on which Unicode and the tokenizer
@@ -24,6 +25,7 @@ Other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import math
 import re
 import struct
@@ -55,9 +57,35 @@ _PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _SYMBOLS = {b: chr(b) for b in _SHOWN} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(_SHOWN)))}
 
+# The settings of a tokenizer file for which texts may be cut into chunks.
+_SETTINGS = {
+    "normalizer": {
+        "type": "Sequence",
+        "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
+    },
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {
+                "type": "Split",
+                "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+                "behavior": "Removed",
+                "invert": True,
+            },
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
 _tokenizers: dict[str, tuple] = {}
 
 
+def cuts_at_spaces(settings: dict) -> bool:
+    """Whether a tokenizer file has the settings for which texts may be cut, and no added token that a plain chunk can hold."""
+    added = [t["content"] for t in settings.get("added_tokens", [])]
+    return all(settings.get(k) == v for k, v in _SETTINGS.items()) and all("<|" in x for x in added)
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
@@ -72,7 +100,9 @@ def _worker(path: str) -> tuple:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        _tokenizers[path] = (tokenizer, tokenizer.model, {}, {})
+        with open(path) as f:
+            cut = cuts_at_spaces(json.load(f))
+        _tokenizers[path] = (tokenizer, tokenizer.model if cut else None, {}, {})
     return _tokenizers[path]
 
 
@@ -83,6 +113,8 @@ def _bytes(ids: list[int]) -> bytes:
 def encode(texts: list[str], path: str) -> list[bytes]:
     """The ids of each text as little-endian 32-bit numbers."""
     tokenizer, model, cache, known = _worker(path)
+    if model is None:
+        return [_bytes(x.ids) for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
     split, whole = [], []
     for i, text in enumerate(texts):
         odd = any(c in text for c in "\x1c\x1d\x1e\x1f")
