@@ -72,7 +72,7 @@ def exact_duplicates(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     )
     here = Window.partitionBy("range").orderBy("norm", F.col("doc_id").asc_nulls_last())
     before = F.lag(F.struct("norm", "doc_id")).over(here)
-    neighbours = keyed.repartition(ranges, "range").select(
+    neighbours = keyed.repartitionById(ranges, "range").select(
         "doc_id",
         "range",
         "text_sha256",
