@@ -1,7 +1,8 @@
 """Benchmark decontamination with suffix arrays over the training texts.
 
-Benchmark items are read in blocks of bounded size, and each block's word
-windows are broadcast.  Every task takes its texts a shard at a time, keeps
+Distinct benchmark items are read in blocks of bounded size, and one block's
+word windows at a time are built and broadcast; between blocks the texts with
+what was found go to the shared folder.  Every task takes its texts a shard at a time, keeps
 the word suffixes that start like some window (their first words are a run
 that the benchmark holds), sorts them into a suffix array and finds every
 benchmark suffix in it by binary search: the range of training suffixes with
@@ -28,12 +29,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytewords import ALNUM, Words, chunks, mix, words_of
-from .common import table, whole_rows, with_id
+from .common import staged, table, whole_rows, with_id
 
 WINDOW = 13
 LEADING = 3
-#: Bound of a broadcast block of benchmark texts.
-BLOCK_BYTES = 8 << 20
+#: Bound of the benchmark texts of a block, which is broadcast in a form about 16 times that large.
+BLOCK_BYTES = 4 << 20
 
 SPANS = "array<struct<item_id:string,start:long,item_start:long,words:long>>"
 _SPAN = pa.list_(
@@ -159,26 +160,27 @@ def _covered(spans: list[dict]) -> int:
     return total
 
 
-def blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[str, str]]]:
-    """Items in blocks of about ``block_bytes`` bytes, one on the driver at a time."""
+def blocks(benchmark: DataFrame, block_bytes: int) -> tuple[int, Iterator[list[tuple[str, bytes]]]]:
+    """How many blocks of about ``block_bytes`` bytes of distinct items there are, and the blocks, read one at a time."""
     items = benchmark.select(
         F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.coalesce("text", F.lit("")).alias("text")
-    )
-    total = items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    ).distinct()
+    total = items.agg(F.sum(F.octet_length("text")).alias("bytes")).first()["bytes"] or 0
     n = max(1, math.ceil(total / block_bytes))
-    for i in range(n):
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i)
-        yield [(r.item_id, r.text.encode()) for r in part.collect()]
+    parts = (items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i) for i in range(n))
+    return n, ([(r.item_id, r.text.encode()) for r in part.collect()] for part in parts)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``(doc_id, spans, n_words, n_hit)`` for each row of ``docs``."""
     at = docs.select("doc_id", "text", F.array().cast(SPANS).alias("spans"))
-    found = list(map(Block, blocks(benchmark)))
-    for i, block in enumerate(found):
-        last = i + 1 == len(found)
+    many, found = blocks(benchmark, BLOCK_BYTES)
+    for i, items in enumerate(found):
+        last = i + 1 == many
         schema = with_id(docs, f"spans {SPANS}, " + ("n_words long, n_hit long" if last else "text string"))
-        at = at.mapInArrow(search(block, last), schema)
+        at = at.mapInArrow(search(Block(items), last), schema)
+        if not last:
+            at = staged(at, "searched")
     return at
 
 
