@@ -8,7 +8,8 @@ payloads (of ``least_revisit`` bytes or more) the largest page id is a
 ``response`` and the others are ``revisit`` records that refer to it.  Spark's
 text writer writes the files, in gzip form: its line separator is the record
 separator, so any file system that Spark knows will do, and lost tasks are
-written again.
+written again.  A file has at most ``RECORDS_PER_FILE`` records, none longer
+than a segment and its head, so about 34 MB before compression.
 
 ``read_archive`` splits the files into records, groups continuation records by
 origin, orders them by segment number, verifies numbers and total length, and
@@ -223,7 +224,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def reassemble(records: DataFrame) -> DataFrame:
-    """Whole records: continuation records joined to their origin by number, ``complete`` if nothing is missing."""
+    """Whole records with their ``blocks`` in order, found by origin and number; ``complete`` if nothing is missing."""
     part = F.struct("segment", "block")
     joined = (
         records.where("segment is not null")
@@ -234,15 +235,14 @@ def reassemble(records: DataFrame) -> DataFrame:
             F.array_sort(F.collect_list(part)).alias("parts"),
         )
     )
-    block = F.aggregate("parts", F.lit(b""), lambda acc, p: F.concat(acc, p["block"]))
     numbered = F.transform("parts", lambda p: p["segment"]) == F.sequence(F.lit(1), F.size("parts"))
-    columns = ["record_id", "record_type", "page_id", "url", "payload_digest", "refers_to_id", "block", "complete"]
-    whole = joined.withColumn("block", block).withColumn(
-        "complete", F.coalesce(numbered & (F.octet_length("block") == F.col("total_length")), F.lit(False))
-    )
-    return records.where("segment is null").withColumn("complete", F.lit(True)).select(columns).unionByName(
-        whole.select(columns)
+    total = F.aggregate("parts", F.lit(0).cast("long"), lambda acc, p: acc + F.octet_length(p["block"]))
+    columns = ["record_id", "record_type", "page_id", "url", "payload_digest", "refers_to_id", "blocks", "complete"]
+    whole = joined.withColumn("blocks", F.transform("parts", lambda p: p["block"])).withColumn(
+        "complete", F.coalesce(numbered & (total == F.col("total_length")), F.lit(False))
     )
+    single = records.where("segment is null").withColumn("blocks", F.array("block")).withColumn("complete", F.lit(True))
+    return single.select(columns).unionByName(whole.select(columns))
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
@@ -252,11 +252,11 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             payloads = []
-            for kind, block, complete, digest in zip(b.record_type, b.block, b.complete, b.payload_digest, strict=True):
-                body = bytes(block).partition(GAP)[2] if complete else b""
+            for kind, blocks, complete, digest in zip(b.record_type, b.blocks, b.complete, b.payload_digest, strict=True):
+                body = b"".join(blocks).partition(GAP)[2] if complete else b""
                 payload = from_chunks(body) if complete and kind == "response" else None
                 payloads.append(payload if payload is not None and payload_digest(payload) == digest else None)
-            out = b.drop(columns="block").assign(payload=payloads)
+            out = b.drop(columns="blocks").assign(payload=payloads)
             out["complete"] = [p is not None or (c and k != "response") for p, c, k in zip(payloads, b.complete, b.record_type, strict=True)]
             out["page_id"] = b.page_id.astype("Int64")
             yield out[[x.split()[0] for x in schema.split(", ")]]
