@@ -6,9 +6,11 @@ neighbouring words, and forward-backward gives each word a probability for
 every language, also where a text switches language.  A text's language has
 the largest mean probability over its words, and that mean is the score.
 
-Chains hold at most ``CHAIN`` consecutive words; a longer text is several
-chains, all of which count.  The model is fitted on about ``PER_LANGUAGE``
-labelled texts of each language, spliced into chains that switch between
+A text is one chain, however long: it is worked on in blocks of ``CHAIN``
+words, whose transfer matrices carry the forward and backward scores over every
+block's edges, so the result is that of the whole chain.  The model is fitted
+on about ``PER_LANGUAGE`` labelled texts of each language, and at most
+``TRAINING_WORDS`` of their words, spliced into chains that switch between
 languages, by stochastic gradient steps on the chain likelihood.
 
 Null and empty texts, and texts without a letter, are ``und`` with score 0;
@@ -96,8 +98,14 @@ def chain_layout(doc: np.ndarray, texts: int, most: int = CHAIN) -> tuple[np.nda
     return (np.cumsum(per) - per)[doc] + within // most, within % most, int(per.sum())
 
 
-def forward_backward(scores: np.ndarray, valid: np.ndarray, start: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Label probabilities (place, chain, label), expected transitions and log-normalisers."""
+def forward_backward(
+    scores: np.ndarray, valid: np.ndarray, start: np.ndarray, moves: np.ndarray, leave: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Label probabilities (place, chain, label), expected transitions and log-normalisers.
+
+    ``start`` holds the log scores of the first label, of all chains or of each;
+    ``leave`` the backward scores of each chain's last label, one if not given.
+    """
     steps, chains, k = scores.shape
     top = scores.max(axis=2, keepdims=True)
     e, a = np.exp(scores - top), np.exp(moves)
@@ -108,13 +116,15 @@ def forward_backward(scores: np.ndarray, valid: np.ndarray, start: np.ndarray, m
             alpha[t] = np.where(valid[t][:, None], (alpha[t - 1] @ a) * e[t], alpha[t - 1])
         scale[t] = alpha[t].sum(axis=1)
         alpha[t] /= scale[t][:, None]
-    beta = np.ones_like(e)
+    after = np.ones_like(e[0]) if leave is None else leave
+    beta = np.empty_like(e)
+    beta[-1] = after
     pairs = np.zeros((k, k))
     for t in range(steps - 2, -1, -1):
         ahead = e[t + 1] * beta[t + 1] / scale[t + 1][:, None]
         live = valid[t + 1]
         pairs += np.einsum("ci,cj->ij", alpha[t][live], ahead[live]) * a
-        beta[t] = np.where(live[:, None], ahead @ a.T, 1.0)
+        beta[t] = np.where(live[:, None], ahead @ a.T, after)
     probability = alpha * beta * valid[:, :, None]
     norm = (np.log(scale) * valid + top[:, :, 0] * valid).sum(axis=0)
     return probability / np.maximum(probability.sum(axis=2, keepdims=True), 1e-30), pairs, norm
@@ -128,6 +138,44 @@ def _laid(w: Words, scores: np.ndarray, texts: int):
     return chain, place, laid, valid
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    return x / x.max(axis=tuple(range(1, x.ndim)), keepdims=True)
+
+
+def marginals(laid: np.ndarray, valid: np.ndarray, per: np.ndarray, start: np.ndarray, moves: np.ndarray) -> np.ndarray:
+    """Label probabilities (place, block, label) of texts of ``per`` blocks each, every text one chain.
+
+    A block's transfer matrix turns the forward scores before it into those
+    after it, and the backward scores after it into those before it.
+    """
+    _, blocks, k = laid.shape
+    base = np.cumsum(per) - per
+    enter, leave = np.zeros((blocks, k), np.float32), np.ones((blocks, k), np.float32)
+    enter[:] = start
+    long = np.flatnonzero(per > 1)
+    if len(long):
+        a = np.exp(moves).astype(np.float32)
+        mine = np.repeat(base[long], per[long]) + np.arange(per[long].sum()) - np.repeat(np.cumsum(per[long]) - per[long], per[long])
+        head = np.isin(mine, base)
+        e = np.exp(laid[:, mine] - laid[:, mine].max(axis=2, keepdims=True))
+        m = np.where(head[:, None, None], np.eye(k, dtype=np.float32), a) * e[0][:, None, :]
+        for t in range(1, len(e)):
+            m = _scaled(np.where(valid[t, mine][:, None, None], (m @ a) * e[t][:, None, :], m))
+        spot = np.empty(blocks, np.int64)
+        spot[mine] = np.arange(len(mine))
+        before = np.broadcast_to(np.exp(start - start.max()).astype(np.float32), (len(long), k)).copy()
+        after = np.ones((len(long), k), np.float32)
+        for j in range(int(per[long].max()) - 1):
+            go = per[long] > j + 1
+            at = base[long][go] + j
+            before[go] = _scaled(np.einsum("ci,cij->cj", before[go], m[spot[at]]))
+            enter[at + 1] = np.log(before[go] @ a + 1e-30)
+            at = base[long][go] + per[long][go] - 1 - j
+            after[go] = _scaled(np.einsum("cij,cj->ci", m[spot[at]], after[go]))
+            leave[at - 1] = after[go]
+    return forward_backward(laid, valid, enter, moves, leave)[0]
+
+
 def spliced(texts: list[str], labels: list[int], words: int, rng: random.Random) -> tuple[list[str], list[np.ndarray]]:
     """Chains made of runs of 4 to 32 words from texts in random order, and each word's label."""
     runs = []
@@ -206,7 +254,7 @@ def label_batches(model: dict):
                 mean, words, switches = np.zeros((n, max(1, len(names)))), np.bincount(w.doc, minlength=n), np.zeros(n, np.int64)
                 if len(w.starts) and names:
                     chain, place, laid, valid = _laid(w, emissions(w, model), n)
-                    p = forward_backward(laid, valid, model["start"], model["moves"])[0][place, chain]
+                    p = marginals(laid, valid, -(-words // CHAIN), model["start"], model["moves"])[place, chain]
                     for j in range(len(names)):
                         mean[:, j] = np.bincount(w.doc, p[:, j], n) / np.maximum(words, 1)
                     label = p.argmax(axis=1)
