@@ -95,6 +95,24 @@ def test_forward_backward_against_all_paths():
     assert np.allclose(p[:4, 0], marginal / total) and np.allclose(pairs, moved / total)
 
 
+def test_long_texts_are_one_chain():
+    """Texts of several blocks against one block as long as the text."""
+    rng = np.random.default_rng(5)
+    k, sizes = 4, [300, 1, 64, 65, 0, 129]
+    start, moves = rng.normal(size=k).astype(np.float32), rng.normal(size=(k, k)).astype(np.float32) * 2
+    scores = rng.normal(size=(sum(sizes), k)).astype(np.float32)
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    chain, place, chains = lid_crf.chain_layout(doc, len(sizes))
+    laid, valid = np.zeros((lid_crf.CHAIN, chains, k), np.float32), np.zeros((lid_crf.CHAIN, chains), bool)
+    laid[place, chain], valid[place, chain] = scores, True
+    found = lid_crf.marginals(laid, valid, -(-np.array(sizes) // lid_crf.CHAIN), start, moves)[place, chain]
+    for d, n in enumerate(sizes):
+        if n:
+            own = scores[doc == d][:, None, :]
+            whole = lid_crf.forward_backward(own.astype(float), np.ones((n, 1), bool), start, moves)[0][:, 0]
+            assert np.allclose(found[doc == d], whole, atol=1e-4)
+
+
 def test_language_odd(spark, odd, none):
     model = lid_crf.learn(odd)
     rows = lid_crf.identify(odd, model).collect()
@@ -328,6 +346,36 @@ def test_pieces_are_the_tokenizers(spark, odd):
         assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text[:80])
 
 
+def test_other_tokenizers_encode_whole_texts(tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    settings = json.load(open(packing.tokenizer_path()))
+    assert packing.cuts_at_spaces(settings)
+    settings["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] = r"\s*\S+"
+    assert not packing.cuts_at_spaces(settings)
+    (tmp_path / "other.json").write_text(json.dumps(settings))
+    tokenizer = Tokenizer.from_file(f"{tmp_path}/other.json")
+    texts = ["Some words, and some more.", "", "a  b\tc <|endoftext|>"]
+    got = packing.encode(texts, f"{tmp_path}/other.json")
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_packing_query_against_the_tokenizer(spark, sf):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(packing.tokenizer_path())
+    expected = []
+    for k, text in texts_of(spark, sf).items():
+        ids = np.array([*tokenizer.encode(text, add_special_tokens=False).ids, 1], "<u4")
+        for n, at in enumerate(range(0, len(ids), 4096)):
+            part = ids[at : at + 4096]
+            expected.append((k, n, at, len(part), zlib.crc32(part.tobytes())))
+    found = packing.op5_packing(spark, sf).select("doc_id", "piece", "start", "length", "ids_crc32").collect()
+    assert sorted(map(tuple, found)) == sorted(expected)
+
+
 def test_packing(spark, sf):
     rows = packing.op5_packing(spark, sf).collect()
     total = sum(r.length for r in rows)
