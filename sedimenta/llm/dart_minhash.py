@@ -1,14 +1,17 @@
 """Near-duplicate classes by DartMinHash signatures, banded joins and exact checks.
 
 A text is the set of its five-word shingles (fewer words, but not none: one
-shingle), each of a weight.  Hashed darts fall into the plane of (weight,
-rank) regions of every shingle; the darts of a region depend on the shingle
-alone, so equal shingles get equal darts in every text.  A dart has a
-coordinate and a rank, and per coordinate the earliest dart under the text's
-weights is its signature: two texts agree in a coordinate with the probability
-of their (weighted) Jaccard similarity.  How far in rank a text must look falls
-with its weight, so a long text throws few darts per shingle.  Weights are one
-(plain Jaccard); ``weighted=True`` counts repeated shingles, one region each.
+shingle), each of a weight.  Hashed darts fall into the plane of weight and
+rank of every shingle, which is cut into regions: weights [0, 1), [1, 2),
+[2, 4), ... by ranks that double as well.  The darts of a region depend on the
+shingle and the region alone, so equal shingles get equal darts in every text.
+A dart has a coordinate, a weight and a rank; a text sees the darts below its
+own weight of the shingle, in the regions that this weight reaches, and per
+coordinate the earliest of them is its signature: two texts agree in a
+coordinate with the probability of their weighted Jaccard similarity.  How far
+in rank a text must look falls with its total weight, so a long text throws few
+darts per shingle.  Weights are one (plain Jaccard) in production;
+``weighted=True`` takes the number of times that a text has the shingle.
 
 Texts with equal word sequences are joined first and go on as one
 representative.  Representatives that share a band are candidates.  In each
@@ -18,7 +21,8 @@ through an exact filter before its pairs are made: with shingles in one order,
 rare ones first, two texts of that similarity share one of their first few, at
 places that still leave enough behind (prefix, length and position bounds).
 So every candidate pair is joined already, checked in full, or ruled out by a
-bound, and a group of copies costs its size, not its square.  With 25 bands of
+bound, and a group of copies costs its size, not its square.  The candidates
+are the same by either way and at every size: pairs that share a band.  With 25 bands of
 5 coordinates a pair of similarity 0.8 has no band in common with probability
 5e-5.  Checks compute the similarity from the full shingle sets.
 
@@ -50,6 +54,8 @@ DARTS_AT_ONCE = 250_000
 HEAD_ROUNDS = 2
 #: Pairs per document up to which the pairs that are left are checked at once.
 PAIRS_PER_DOC = 1
+#: Parts of a key in joins that a large group of copies could make uneven.
+KEY_SALTS, BUCKET_SALTS = 32, 4
 #: Bound of the list of frequent shingles that the filter puts last; it bears on speed alone.
 FREQUENT = 100_000
 
@@ -68,6 +74,15 @@ def shingles(w: Words, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     return h, w.doc[at]
 
 
+def counted(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(hash, text, times)`` of the distinct shingles of each text, in order of text and hash."""
+    e, t = shingles(w)
+    order = np.lexsort((e, t))
+    e, t = e[order], t[order]
+    head = np.flatnonzero(np.concatenate([[True], (e[1:] != e[:-1]) | (t[1:] != t[:-1])])) if len(e) else np.zeros(0, np.int64)
+    return e[head], t[head], np.diff(np.append(head, len(e))).astype(np.float64)
+
+
 def elements(w: Words, weighted: bool) -> tuple[np.ndarray, np.ndarray]:
     """Distinct elements of each text, in order of text and hash; repeats are elements of their own if weighted."""
     e, t = shingles(w)
@@ -94,43 +109,64 @@ def _unit(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(11)).astype(np.float64) * 2.0**-53
 
 
-def signatures(elements: np.ndarray, text: np.ndarray, texts: int, size: int) -> np.ndarray:
+def _seed(number: int) -> np.uint64:
+    return np.uint64((number * 0x9E3779B97F4A7C15 + 0x1234567) & 0xFFFFFFFFFFFFFFFF)
+
+
+def _throw(best: np.ndarray, e: np.ndarray, t: np.ndarray, weight: np.ndarray | None, size: int, ranks: tuple[float, float], weights: tuple[float, float]) -> None:
+    """Lower ``best`` by the darts of one region of every element: ``ranks`` and ``weights`` are (low, width)."""
+    rate = ranks[1] * weights[1] * size
+    parts = max(1, int(np.ceil(rate / 512)))  # a region of many darts is thrown in parts
+    for part in range(parts):
+        own = mix(e + np.uint64(part * 0x51ED27 + 1))
+        block = max(1, int(DARTS_AT_ONCE / (1 + rate / parts)))
+        for at in range(0, len(e), block):
+            s = own[at : at + block]
+            many = _poisson(_unit(s), rate / parts)
+            of = np.repeat(np.arange(len(s)), many)
+            nth = np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
+            dart = mix(s[of] + (nth.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93))
+            if weight is not None:
+                seen = weights[0] + weights[1] * _unit(mix(dart ^ np.uint64(0x3C3C3C3C3C3C3C3C))) < weight[at : at + block][of]
+                dart, of = dart[seen], of[seen]
+            place = mix(dart ^ np.uint64(0xA5A5A5A5A5A5A5A5))
+            rank = (ranks[0] + ranks[1] * _unit(place)).astype(np.float32).view(np.uint32).astype(np.uint64)
+            where = t[at : at + len(s)][of] * size + ((dart >> np.uint64(32)) % np.uint64(size)).astype(np.int64)
+            np.minimum.at(best, where, (rank << np.uint64(32)) | (dart & np.uint64(0xFFFFFFFF)))
+
+
+def signatures(elements: np.ndarray, text: np.ndarray, texts: int, size: int, weights: np.ndarray | None = None) -> np.ndarray:
     """The earliest dart of each coordinate, ``texts`` x ``size`` numbers; texts without elements get zeros.
 
-    Rank bands are [0, r), [r, 2r), [2r, 4r), ... with r = 1 / (8 size); a
-    band's darts are drawn from the element's and the band's hash.
+    Rank bands are [0, r), [r, 2r), [2r, 4r), ... with r = 1 / (8 size), weight
+    bands [0, 1), [1, 2), [2, 4), ...; a region's darts are drawn from the hash
+    of the element and of both bands.  Without ``weights`` all are one.
     """
     best = np.full(texts * size, np.iinfo(np.uint64).max, np.uint64)
-    weight = np.bincount(text, minlength=texts)
-    need = np.where(weight > 0, (np.log(size) + MARGIN) / np.maximum(weight, 1), 0.0)
+    total = np.bincount(text, weights, minlength=texts)
+    need = np.where(total > 0, (np.log(size) + MARGIN) / np.maximum(total, 1e-9), 0.0)
     first = 1.0 / (8 * size)
-    level, todo = 0, weight > 0
+    level, todo = 0, total > 0
     while todo.any():
         low = 0.0 if level == 0 else first * 2.0 ** (level - 1)
         width = first if level == 0 else low
         chosen = np.flatnonzero(todo[text])
         e, t = elements[chosen], text[chosen]
-        seed = mix(e ^ np.uint64((level * 0x9E3779B97F4A7C15 + 0x1234567) & 0xFFFFFFFFFFFFFFFF))
-        rate = width * size
-        parts = max(1, int(np.ceil(rate / 512)))  # a region of many darts is thrown in parts
-        for part in range(parts):
-            own = mix(seed + np.uint64(part * 0x51ED27 + 1))
-            block = max(1, int(DARTS_AT_ONCE / (1 + rate / parts)))
-            for at in range(0, len(e), block):
-                s = own[at : at + block]
-                many = _poisson(_unit(s), rate / parts)
-                of = np.repeat(np.arange(len(s)), many)
-                nth = np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
-                dart = mix(s[of] + (nth.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93))
-                place = mix(dart ^ np.uint64(0xA5A5A5A5A5A5A5A5))
-                rank = (low + width * _unit(place)).astype(np.float32).view(np.uint32).astype(np.uint64)
-                where = t[at : at + len(s)][of] * size + ((dart >> np.uint64(32)) % np.uint64(size)).astype(np.int64)
-                np.minimum.at(best, where, (rank << np.uint64(32)) | (dart & np.uint64(0xFFFFFFFF)))
+        w = None if weights is None else weights[chosen]
+        band = 0
+        while len(e):
+            over = 0.0 if band == 0 else 2.0 ** (band - 1)
+            _throw(best, mix(e ^ _seed(level + (band << 20))), t, w, size, (low, width), (over, max(over, 1.0)))
+            band += 1
+            if w is None:
+                break
+            reach = w > 2.0 ** (band - 1)
+            e, t, w = e[reach], t[reach], w[reach]
         level += 1
         if first * 2.0 ** (level - 1) >= need.min(where=todo, initial=np.inf):
             filled = (best.reshape(texts, size) != np.iinfo(np.uint64).max).all(axis=1)
             todo &= ~(filled & (first * 2.0 ** (level - 1) >= need))
-    best[np.repeat(weight == 0, size)] = 0
+    best[np.repeat(total == 0, size)] = 0
     return best.reshape(texts, size)
 
 
@@ -149,8 +185,8 @@ def sketch(weighted: bool = False, bands: int = BANDS, per_band: int = PER_BAND)
         for b in batches:
             for row, nxt, data, at in chunks(b.column("text")):
                 w = words_of(data, at, ALNUM)
-                e, t = elements(w, weighted) if weighted else shingles(w)  # repeats throw the same darts
-                keys = bucket_keys(signatures(e, t, nxt - row, bands * per_band), bands, per_band)
+                found = counted(w) if weighted else (*shingles(w), None)  # without weights repeats throw the same darts
+                keys = bucket_keys(signatures(*found[:2], nxt - row, bands * per_band, found[2]), bands, per_band)
                 first, last = w.first[:-1], w.first[1:]
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -274,6 +310,20 @@ def _checked(pairs: DataFrame, texts: DataFrame, least: float, weighted: bool) -
     return both.mapInArrow(similarities(weighted), f"a {kind}, b {kind}, similarity double").where(F.col("similarity") >= least)
 
 
+def salted_join(left: DataFrame, right: DataFrame, key: list[str], salts: int, how: str = "inner") -> DataFrame:
+    """A join whose left side may have very many rows of one key: they are dealt by ``doc_id`` over ``salts`` parts."""
+    parts = F.explode(F.array(*[F.lit(i).cast("long") for i in range(salts)]))
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(salts).cast("long"))
+    return left.withColumn("_salt", salt).join(right.withColumn("_salt", parts), [*key, "_salt"], how).drop("_salt")
+
+
+def sharing_a_bucket(pairs: DataFrame, at: DataFrame) -> DataFrame:
+    """The pairs of which both have some bucket of ``at``."""
+    own = at.groupBy("doc_id").agg(F.collect_set("bucket").alias("own"))
+    a, b = (own.select(F.col("doc_id").alias(x), F.col("own").alias(f"of_{x}")) for x in ("a", "b"))
+    return pairs.join(a, "a").join(b, "b").where(F.arrays_overlap("of_a", "of_b")).select("a", "b")
+
+
 def _labelled(placed: DataFrame, labels: DataFrame | None) -> DataFrame:
     if labels is None:
         return placed.withColumn("label", F.col("doc_id"))
@@ -289,12 +339,13 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, weighted: bool =
     schema = f"doc_id {kind}, n_words long, key_a long, key_b long, buckets array<long>"
     sketches = staged(given.mapInArrow(sketch(weighted), schema), "sketches")
     worded = sketches.where("n_words > 0 and doc_id is not null")
-    heads = worded.groupBy("key_a", "key_b").agg(F.min("doc_id").alias("head"))
-    members = staged(worded.select("doc_id", "key_a", "key_b").join(heads, ["key_a", "key_b"]).select("doc_id", "head").distinct(), "members")
+    heads = worded.groupBy("key_a", "key_b").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    told = salted_join(worded.select("doc_id", "key_a", "key_b"), heads, ["key_a", "key_b"], KEY_SALTS, "left")
+    members = staged(told.select("doc_id", F.coalesce("head", "doc_id").alias("head")).distinct(), "members")
     chosen = worded.join(members.where("doc_id = head").select("doc_id"), "doc_id", "left_semi")
     placed = chosen.select("doc_id", F.explode("buckets").alias("bucket")).distinct()
     shared = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    placed = placed.join(shared, "bucket")
+    placed = salted_join(placed, shared, ["bucket"], BUCKET_SALTS)
     sharing = placed.groupBy("doc_id").agg(F.sum("n").alias("sharing"))
     placed = staged(placed.drop("n").join(sharing, "doc_id"), "buckets")
     texts = staged(
@@ -311,7 +362,7 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, weighted: bool =
             .agg(F.count(F.lit(1)).alias("labels"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"))
             .where("labels > 1")
         )
-        at = staged(at.join(mixed.select("bucket", "n", "squares"), "bucket"), "open")
+        at = staged(salted_join(at, mixed.select("bucket", "n", "squares"), ["bucket"], BUCKET_SALTS), "open")
         left = at.agg(F.sum((F.col("n") - F.col("squares") / F.col("n")) / 2)).first()[0]
         if not left:
             break
@@ -322,7 +373,7 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, weighted: bool =
                 order = F.struct("sharing", F.xxhash64("other")) if turn == 0 else F.struct(F.xxhash64(F.lit(turn), "other"))
                 other = other.groupBy("bucket").agg(F.max_by(F.struct("other", "other_label"), order).alias("h")).select("bucket", "h.*")
             pairs = (
-                at.join(other.drop("sharing"), "bucket")
+                salted_join(at, other.drop("sharing"), ["bucket"], BUCKET_SALTS)
                 .where((F.col("doc_id") < F.col("other")) if few else (F.col("doc_id") != F.col("other")))
                 .where("label != other_label")
                 .select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b"))
@@ -330,6 +381,7 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, weighted: bool =
             )
         else:
             pairs = filtered_pairs(texts.join(at.select("doc_id", "label").distinct(), "doc_id"), least, weighted)
+            pairs = sharing_a_bucket(pairs, at)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = staged(pairs, "pairs")

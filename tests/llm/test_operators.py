@@ -555,6 +555,35 @@ def test_signature_agreement_is_the_similarity():
     assert rng is not None
 
 
+def test_weighted_signature_agreement_is_the_weighted_similarity():
+    rng = np.random.default_rng(10)
+    pool = bytewords.mix(np.arange(1, 601, dtype=np.uint64))
+    wa, wb = rng.choice([0.3, 1.0, 2.5, 7.0, 40.0], 600), rng.choice([0.3, 1.0, 2.5, 7.0, 40.0], 600)
+    wb[:300] = wa[:300]
+    s = dart_minhash.signatures(np.concatenate([pool, pool]), np.repeat([0, 1], 600), 2, 3000, np.concatenate([wa, wb]))
+    assert abs((s[0] == s[1]).mean() - np.minimum(wa, wb).sum() / np.maximum(wa, wb).sum()) < 0.03
+    one = dart_minhash.signatures(pool, np.zeros(600, np.int64), 1, 125, np.ones(600))
+    assert (one == dart_minhash.signatures(pool, np.zeros(600, np.int64), 1, 125)).all()
+
+
+def test_both_ways_find_the_same_classes(spark, monkeypatch):
+    """Pairs of a bucket at once, or heads and the filter: the size of the input must not change a class."""
+    rng = random.Random(16)
+    rows = []
+    for g in range(12):
+        words = [f"w{rng.randint(0, 400)}" for _ in range(60)]
+        for i in range(15):
+            if rng.random() < 0.7:
+                words[rng.randrange(60)] = f"v{g}-{i}"
+            rows.append((g * 100 + i, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = []
+    for per_doc in (10**9, 0):
+        monkeypatch.setattr(dart_minhash, "PAIRS_PER_DOC", per_doc)
+        found.append({r.doc_id: r.class_id for r in dart_minhash.near_duplicates(df).collect()})
+    assert found[0] == found[1] == classes_by_hand(dict(rows))
+
+
 def test_weighted_similarity_counts_repeats(spark):
     rows = [(1, "a b c d e " * 9), (2, "a b c d e " * 30)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
