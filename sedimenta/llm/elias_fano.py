@@ -3,33 +3,54 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 import numpy as np
 
-_ONE = np.uint64(1)
+
+def saved(path: str, values: np.ndarray) -> None:
+    """Write an array under ``path`` in one step, so that attempts of one task on several machines do not mix."""
+    part = f"{path}.{uuid.uuid4().hex}"
+    with open(part, "wb") as f:
+        np.save(f, values)
+    os.replace(part, path)
+
+
+def _packed(values: np.ndarray, width: int) -> np.ndarray:
+    """``width`` bits of each value, back to back in 64-bit words: 64 values fill ``width`` words."""
+    n = -(-len(values) // 64)
+    rows = np.zeros(n * 64, np.uint64)
+    rows[: len(values)] = values
+    rows = rows.reshape(n, 64)
+    out = np.zeros((n, width), np.uint64)
+    for j in range(64 if width else 0):
+        word, off = divmod(j * width, 64)
+        out[:, word] |= rows[:, j] << np.uint64(off)
+        if off + width > 64:
+            out[:, word + 1] |= rows[:, j] >> np.uint64(64 - off)
+    return np.append(out.ravel(), np.uint64(0))  # a word more, so that a read may look one ahead
 
 
 class EliasFano:
     """A non-decreasing sequence of numbers below ``universe``.
 
-    The low ``8 * width`` bits of each number are stored as bytes, the rest in
+    The low ``width`` bits of each number are stored back to back, the rest in
     unary as a bit vector in which each value of the high part ends with a
     zero; ``zeros`` counts the zeros before each 64-bit word, for selection.
     """
 
     def __init__(self, n: int, width: int, low: np.ndarray, high: np.ndarray, zeros: np.ndarray):
         self.n, self.width, self.low, self.high, self.zeros = n, width, low, high, zeros
+        self.mask = np.uint64((1 << width) - 1)
 
     @classmethod
     def build(cls, values: np.ndarray, universe: int) -> EliasFano:
         values = np.asarray(values, np.uint64)
         n = len(values)
-        width = max(0, min(7, round(((max(universe, 1) // max(n, 1)).bit_length() - 1) / 8)))
-        low = np.empty((n, width), np.uint8)
-        for i in range(width):
-            low[:, i] = (values >> np.uint64(8 * (width - 1 - i))) & np.uint64(255)
-        top = (values >> np.uint64(8 * width)).astype(np.int64)
-        size = n + (max(universe - 1, 0) >> (8 * width)) + 1
+        width = min(60, max(0, (max(universe, 1) // max(n, 1)).bit_length() - 1))
+        low = _packed(values & np.uint64((1 << width) - 1), width)
+        top = (values >> np.uint64(width)).astype(np.int64)
+        size = n + (max(universe - 1, 0) >> width) + 1
         bits = np.zeros(-(-size // 64) * 64, np.uint8)
         bits[top + np.arange(n)] = 1
         bits[size:] = 1  # no zeros behind the end
@@ -39,16 +60,14 @@ class EliasFano:
         return cls(n, width, low, high, zeros)
 
     def save(self, path: str) -> None:
+        saved(f"{path}.shape.npy", np.array([self.n, self.width]))
         for name in ("low", "high", "zeros"):
-            part = f"{path}.{name}.npy.{os.getpid()}"
-            with open(part, "wb") as f:
-                np.save(f, getattr(self, name))
-            os.replace(part, f"{path}.{name}.npy")
+            saved(f"{path}.{name}.npy", getattr(self, name))
 
     @classmethod
     def load(cls, path: str) -> EliasFano:
-        low, high, zeros = (np.load(f"{path}.{x}.npy", mmap_mode="r") for x in ("low", "high", "zeros"))
-        return cls(len(low), low.shape[1], low, high, zeros)
+        n, width = np.load(f"{path}.shape.npy").tolist()
+        return cls(n, width, *(np.load(f"{path}.{x}.npy", mmap_mode="r") for x in ("low", "high", "zeros")))
 
     def select0(self, k: np.ndarray) -> np.ndarray:
         """Place of the ``k``-th zero, from 0."""
@@ -64,18 +83,23 @@ class EliasFano:
         return at * 64 + place
 
     def lows(self, at: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(at), np.uint64)
-        for i in range(self.width):
-            out = (out << np.uint64(8)) | self.low[at, i].astype(np.uint64)
-        return out
+        if not self.width:
+            return np.zeros(len(at), np.uint64)
+        bit = at * self.width
+        word, off = bit >> 6, (bit & 63).astype(np.uint64)
+        ahead = (self.low[word + 1] << np.uint64(1)) << (np.uint64(63) - off)
+        return ((self.low[word] >> off) | ahead) & self.mask
+
+    def _top(self, x: np.ndarray) -> np.ndarray:
+        return (x >> np.uint64(self.width)).astype(np.int64)
 
     def successor(self, x: np.ndarray) -> np.ndarray:
         """Index of the first number that is at least ``x`` (``n`` if there is none)."""
         x = np.asarray(x, np.uint64)
-        top = (x >> np.uint64(8 * self.width)).astype(np.int64)
+        top = self._top(x)
         end = self.select0(top) - top
         start = np.where(top > 0, self.select0(np.maximum(top - 1, 0)) - (top - 1), 0)
-        want = x & np.uint64((1 << (8 * self.width)) - 1)
+        want = x & self.mask
         live = np.flatnonzero(start < end)
         lo, hi = start.copy(), end.copy()
         while len(live):
@@ -91,11 +115,9 @@ class EliasFano:
         if not self.n or not len(x):
             return np.full(len(x), -1, np.int64)
         x = np.asarray(x, np.uint64)
-        at = self.successor(x)
-        top = (x >> np.uint64(8 * self.width)).astype(np.int64)
+        at, top = self.successor(x), self._top(x)
         inside = at < self.select0(top) - top
-        safe = np.minimum(at, self.n - 1)
-        same = inside & (self.lows(safe) == (x & np.uint64((1 << (8 * self.width)) - 1)))
+        same = inside & (self.lows(np.minimum(at, self.n - 1)) == (x & self.mask))
         return np.where(same, at, -1)
 
     def access(self, i: np.ndarray) -> np.ndarray:
@@ -111,4 +133,4 @@ class EliasFano:
             place += half * on
             word = np.where(on, word >> np.uint64(half), word)
         top = (at * 64 + place - i).astype(np.uint64)
-        return (top << np.uint64(8 * self.width)) | self.lows(i)
+        return (top << np.uint64(self.width)) | self.lows(i)

@@ -1,21 +1,26 @@
-"""Language-model scores from an Elias-Fano n-gram trie of words.
+"""Language-model scores from an Elias-Fano n-gram trie of words, three levels deep.
 
 Level one holds the training words, as the sorted sequence of their hashes,
-with exact counts; a word's number is its place.  Level two holds, for every
-context word in order, the numbers of the words seen after it: the monotone
-sequence ``context * width + word``, with monotone pointers to each context's
-range and a quantised discounted probability for each pair.  Both levels are
-cut into shards of bounded size that are files in the shared folder; scoring
-maps them into memory and finds a pair by successor search in its context's
-range.  A context that follows very many words is split over shards.
-
-    p(word | context) = discounted(context, word) + left(context) * p(word)
+with exact counts (the contract's base needs them) and quantised
+probabilities; a word's number is its place.  Level two holds, for every
+context word in order, the numbers of the words seen after it, level three the
+same for every pair of level two: the monotone sequence
+``context * width + word``, with monotone pointers to each context's range and
+a quantised discounted probability for each entry.  An entry's number, its
+place in its level, is its context number one level down.  Levels are cut into
+shards of bounded size that are files in the shared folder; scoring maps those
+that it needs into memory and finds an entry by successor search in its
+context's range.  A context that very many words follow is split over shards.
+
+    p(w | u v) = discounted(u v, w) + left(u v) * p(w | v)
+    p(w | v) = discounted(v, w) + left(v) * p(w)
     discounted = (count - D) / count(context),  left = D * successors / count(context)
-    p(word) = (count + 1) / (N + V + 1)
+    p(w) = (count + 1) / (N + V + 1)
 
-which sums to one over all training words and one unknown word.  All training
-texts are counted: every task counts its own words and pairs first and sends
-sorted, delta-coded blocks by shard.
+which sums to one over all training words and one unknown word.  The first
+word of a text has the start as its only context.  All training texts are
+counted: every task counts its own entries first and sends sorted, delta-coded
+blocks by shard.
 
 Null and empty texts are the end token alone.  Without training texts every
 probability is one.  A null id counts as training.  Repeated rows each get a
@@ -24,7 +29,7 @@ row.  Other columns are ignored.
 
 from __future__ import annotations
 
-import os
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -34,13 +39,13 @@ from pyspark.sql import functions as F
 
 from .bytewords import SOLID, chunks, words_of
 from .common import batch_rows, crc_mod, new_folder, table
-from .elias_fano import EliasFano
+from .elias_fano import EliasFano, saved
 
 DISCOUNT = 0.75
 SHARD_TOKENS = 2_000_000
 BUFFER_TOKENS = 4_000_000
 SAMPLE_TEXTS = 1_000
-#: Steps of a quantised probability to a factor of ten.
+#: Steps of a quantised probability or count to a factor of ten.
 STEPS = 4096
 END = np.uint64(0x2545F4914F6CDD1D)
 
@@ -79,60 +84,78 @@ def token_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return out, np.repeat(np.arange(texts), np.diff(w.first) + 1)
 
 
+def _runs(shard: np.ndarray):
+    """``(shard, first, last)`` of each run in a sorted array of shard numbers."""
+    if len(shard):
+        head = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))
+        yield from zip(shard[head].tolist(), head.tolist(), [*head[1:].tolist(), len(shard)], strict=True)
+
+
+def _code(x: np.ndarray, up: bool = False) -> np.ndarray:
+    """Logarithms in steps, of counts or of inverse probabilities."""
+    steps = np.log10(x) * STEPS
+    return np.minimum(np.ceil(steps) if up else np.rint(steps), 65535).astype(np.uint16)
+
+
+def _value(code: np.ndarray) -> np.ndarray:
+    return 10.0 ** (code.astype(np.float64) / STEPS)
+
+
 class Level:
     """The word level: shards by the leading bits of the hash."""
 
     def __init__(self, folder: str, sizes: list[int]):
         self.folder, self.shards = folder, len(sizes)
+        self.bits = self.shards.bit_length() - 1
         self.first = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-        self.files: dict[int, tuple[EliasFano, np.ndarray]] = {}
+        self.files: dict[int, tuple[EliasFano, np.ndarray, np.ndarray]] = {}
 
-    def part(self, s: int) -> tuple[EliasFano, np.ndarray]:
+    def part(self, s: int) -> tuple[EliasFano, np.ndarray, np.ndarray]:
         if s not in self.files:
             path = f"{self.folder}/words-{s}"
-            self.files[s] = EliasFano.load(path), np.load(f"{path}.counts.npy", mmap_mode="r")
+            self.files[s] = EliasFano.load(path), *(np.load(f"{path}.{x}.npy", mmap_mode="r") for x in ("counts", "codes"))
         return self.files[s]
 
-    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Number (or -1) and count of each word."""
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Number (or -1), count, and quantised count plus one of each word."""
         own, back = np.unique(hashes, return_inverse=True)
-        number, count = np.full(len(own), -1, np.int64), np.zeros(len(own), np.int64)
-        bits = self.shards.bit_length() - 1
-        cuts = np.searchsorted(own >> np.uint64(64 - bits), np.arange(self.shards + 1).astype(np.uint64)) if bits else [0, len(own)]
-        for s in range(self.shards):
-            a, b = int(cuts[s]), int(cuts[s + 1])
-            if a == b or self.first[s] == self.first[s + 1]:
+        number, count, code = np.full(len(own), -1, np.int64), np.zeros(len(own), np.int64), np.zeros(len(own), np.uint16)
+        for s, a, b in _runs(_word_shard(own, self.bits)):
+            if self.first[s] == self.first[s + 1]:
                 continue
-            ef, counts = self.part(s)
-            at = ef.find(own[a:b] & np.uint64((1 << (64 - bits)) - 1))
+            ef, counts, codes = self.part(s)
+            at = ef.find(own[a:b] & np.uint64((1 << (64 - self.bits)) - 1))
             number[a:b] = np.where(at >= 0, at + self.first[s], -1)
             count[a:b] = np.where(at >= 0, counts[np.maximum(at, 0)], 0)
-        return number[back], count[back]
+            code[a:b] = np.where(at >= 0, codes[np.maximum(at, 0)], 0)
+        return number[back], count[back], _value(code)[back]
+
+    def totals(self, numbers: np.ndarray) -> np.ndarray:
+        """The counts of sorted word numbers."""
+        out = np.zeros(len(numbers), np.float64)
+        for s, a, b in _runs(np.searchsorted(self.first, numbers, "right") - 1):
+            out[a:b] = self.part(s)[1][numbers[a:b] - self.first[s]]
+        return out
 
 
-def _saved(path: str, values: np.ndarray) -> None:
-    part = f"{path}.{os.getpid()}"
-    with open(part, "wb") as f:
-        np.save(f, values)
-    os.replace(part, path)
+def _word_shard(hashes: np.ndarray, bits: int) -> np.ndarray:
+    return (hashes >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(hashes), np.int64)
 
 
-def count_words(shards: int):
-    """A ``mapInArrow`` function: texts to blocks of counted words by shard."""
-    bits = shards.bit_length() - 1
+def counter(keys_of: Callable, shard_of: Callable):
+    """A ``mapInArrow`` function: texts to blocks of counted keys by shard."""
 
     def out(parts: list[np.ndarray]):
-        words, counts = _summed(np.concatenate(parts))
-        cuts = np.searchsorted(words >> np.uint64(64 - bits), np.arange(shards + 1).astype(np.uint64)) if bits else [0, len(words)]
-        some = [s for s in range(shards) if cuts[s] < cuts[s + 1]]
-        blocks = [_block(words[cuts[s] : cuts[s + 1]], counts[cuts[s] : cuts[s + 1]]) for s in some]
-        return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(blocks, pa.binary())], ["shard", "block"])
+        keys, counts = _summed(np.concatenate(parts))
+        runs = list(_runs(shard_of(keys)))
+        blocks = [_block(keys[a:b], counts[a:b]) for _, a, b in runs]
+        return pa.RecordBatch.from_arrays([pa.array([s for s, _, _ in runs], pa.int32()), pa.array(blocks, pa.binary())], ["shard", "block"])
 
     def run(batches):
         parts, held = [], 0
         for b in batches:
             for _, _, data, at in chunks(b.column("text")):
-                parts.append(token_hashes(data, at)[0])
+                parts.append(keys_of(token_hashes(data, at)[0]))
                 held += len(parts[-1])
                 if held > BUFFER_TOKENS:
                     yield out(parts)
@@ -143,127 +166,189 @@ def count_words(shards: int):
     return run
 
 
-def build_words(folder: str, shards: int):
+def sampler(keys_of: Callable):
+    """A ``mapInArrow`` function: texts to bare keys."""
+
+    def run(batches):
+        for b in batches:
+            for _, _, data, at in chunks(b.column("text")):
+                yield pa.RecordBatch.from_arrays([pa.array(keys_of(token_hashes(data, at)[0]).view(np.int64))], ["key"])
+
+    return run
+
+
+def _gathered(t: pa.Table) -> tuple[int, np.ndarray, np.ndarray]:
+    parts = [_unblock(x) for x in t.column("block").to_pylist()]
+    return t.column("shard")[0].as_py(), *_summed(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
+
+
+def build_words(folder: str, bits: int):
     """An ``applyInArrow`` function: one shard's blocks to its files."""
-    bits = shards.bit_length() - 1
 
     def run(t: pa.Table) -> pa.Table:
-        s = t.column("shard")[0].as_py()
-        parts = [_unblock(x) for x in t.column("block").to_pylist()]
-        words, counts = _summed(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
-        EliasFano.build(words & np.uint64((1 << (64 - bits)) - 1), 1 << (64 - bits)).save(f"{folder}/words-{s}")
-        _saved(f"{folder}/words-{s}.counts.npy", counts)
+        s, words, counts = _gathered(t)
+        path = f"{folder}/words-{s}"
+        EliasFano.build(words & np.uint64((1 << (64 - bits)) - 1), 1 << (64 - bits)).save(path)
+        saved(f"{path}.counts.npy", counts)
+        saved(f"{path}.codes.npy", _code(counts + 1.0))
         return pa.table({"shard": pa.array([s], pa.int32()), "n": [len(words)], "tokens": [int(counts.sum())]})
 
     return run
 
 
-class Pairs:
-    """The pair level: shards by ranges of ``context * width + word``; width - 1 is the context before the first word."""
-
-    def __init__(self, folder: str, width: int, cuts: list[int], built: dict[int, tuple[int, int]]):
-        self.folder, self.width, self.cuts, self.built = folder, width, np.array(cuts, np.uint64), built
+class Grams:
+    """A level of entries ``context * width + word`` in shards by ranges of these.
+
+    ``built``: of each shard its first and last context, its entries, and how
+    many of them are of the first and of the last context.
+    """
+
+    def __init__(self, folder: str, name: str, width: int, cuts: list[int], built: dict[int, tuple[int, int, int, int, int]]):
+        self.path, self.width, self.cuts, self.built = f"{folder}/{name}", width, np.array(cuts, np.uint64), built
+        order = sorted(built)
+        self.numbers = np.concatenate([[0], np.cumsum([built[s][2] for s in order])]).astype(np.int64)
+        self.order, self.first = order, dict(zip(order, self.numbers[:-1].tolist(), strict=True))
+        edges: dict[int, int] = {}
+        for low, high, _, at_low, at_high in built.values():
+            edges[low] = edges.get(low, 0) + at_low
+            if high != low:
+                edges[high] = edges.get(high, 0) + at_high
+        self.edges = np.array(sorted(edges), np.int64)  # contexts that may be split, with all their successors
+        self.at_edges = np.array([edges[c] for c in sorted(edges)], np.int64)
         self.files: dict[int, tuple] = {}
 
-    def part(self, s: int) -> tuple[EliasFano, EliasFano, np.ndarray]:
+    def part(self, s: int) -> tuple[EliasFano, EliasFano, np.ndarray, np.ndarray]:
         if s not in self.files:
-            path = f"{self.folder}/pairs-{s}"
-            self.files[s] = EliasFano.load(path), EliasFano.load(f"{path}.pointers"), np.load(f"{path}.codes.npy", mmap_mode="r")
+            path = f"{self.path}-{s}"
+            arrays = (np.load(f"{path}.{x}.npy", mmap_mode="r") for x in ("codes", "totals"))
+            self.files[s] = EliasFano.load(path), EliasFano.load(f"{path}.pointers"), *arrays
         return self.files[s]
 
-    def keys(self, numbers: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Key of each token behind its predecessor, and whether both are known."""
-        before = np.empty(len(numbers), np.int64)
-        before[1:] = numbers[:-1]
-        before[np.concatenate([[True], ends[:-1]])] = self.width - 1
-        known = (numbers >= 0) & (before >= 0)
-        return np.where(known, before, 0).astype(np.uint64) * np.uint64(self.width) + np.where(known, numbers, 0).astype(np.uint64), before
-
-    def discounted(self, keys: np.ndarray) -> np.ndarray:
-        """Discounted probability of each of the sorted ``keys``; 0 for pairs not seen."""
-        out = np.zeros(len(keys))
-        at = np.concatenate([[0], np.searchsorted(keys, self.cuts), [len(keys)]])
-        for s in self.built:
-            a, b = int(at[s]), int(at[s + 1])
-            if a == b:
+    def shard_of(self, keys: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.cuts, keys, "right")
+
+    def lookup(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Number (or -1), discounted probability (or 0) and quantised count of each of the sorted ``keys``."""
+        number, p, total = np.full(len(keys), -1, np.int64), np.zeros(len(keys)), np.zeros(len(keys))
+        for s, a, b in _runs(self.shard_of(keys)):
+            if s not in self.built:
                 continue
-            ef, pointers, codes = self.part(s)
-            low, high = self.built[s]
+            ef, pointers, codes, totals = self.part(s)
+            low, high = self.built[s][:2]
             context = (keys[a:b] // np.uint64(self.width)).astype(np.int64)
             here = np.flatnonzero((context >= low) & (context <= high))
             if not len(here):
                 continue
             found = ef.find(keys[a:b][here] - np.uint64(low * self.width))
-            ranges = pointers.access(context[here] - low).astype(np.int64), pointers.access(context[here] - low + 1).astype(np.int64)
-            seen = (found >= ranges[0]) & (found < ranges[1])
-            out[a + here[seen]] = 10.0 ** (-codes[found[seen]].astype(np.float64) / STEPS)
+            begin, end = (pointers.access(context[here] - low + i).astype(np.int64) for i in (0, 1))
+            seen = (found >= begin) & (found < end)
+            at = found[seen]
+            number[a + here[seen]] = self.first[s] + at
+            p[a + here[seen]] = 1.0 / _value(codes[at])
+            total[a + here[seen]] = _value(totals[at])
+        return number, p, total
+
+    def totals(self, numbers: np.ndarray) -> np.ndarray:
+        """The quantised counts of sorted entry numbers."""
+        out = np.zeros(len(numbers))
+        for k, a, b in _runs(np.searchsorted(self.numbers, numbers, "right") - 1):
+            s = self.order[k]
+            out[a:b] = _value(self.part(s)[3][numbers[a:b] - self.first[s]])
         return out
 
     def successors(self, contexts: np.ndarray) -> np.ndarray:
         """How many different words follow each of the sorted ``contexts``."""
         out = np.zeros(len(contexts), np.int64)
-        for s, (low, high) in self.built.items():
-            a, b = np.searchsorted(contexts, [low, high + 1])
-            if a < b:
-                pointers = self.part(s)[1]
-                at = contexts[a:b] - low
-                out[a:b] += (pointers.access(at + 1) - pointers.access(at)).astype(np.int64)
+        for s, a, b in _runs(self.shard_of(contexts.astype(np.uint64) * np.uint64(self.width))):
+            if s not in self.built:
+                continue
+            low, high = self.built[s][:2]
+            here = a + np.flatnonzero((contexts[a:b] >= low) & (contexts[a:b] <= high))
+            pointers, at = self.part(s)[1], contexts[here] - low
+            out[here] = (pointers.access(at + 1) - pointers.access(at)).astype(np.int64)
+        if len(self.edges) and len(contexts):
+            at = np.minimum(np.searchsorted(self.edges, contexts), len(self.edges) - 1)
+            out = np.where(self.edges[at] == contexts, self.at_edges[at], out)
         return out
 
 
-def count_pairs(level: Level, pairs: Pairs, sample: bool = False):
-    """A ``mapInArrow`` function: texts to blocks of counted pairs by shard, or to bare keys of a sample."""
+def build_grams(grams: Grams, totals_of: Callable, discount: float):
+    """An ``applyInArrow`` function: one shard's blocks to its files; ``totals_of`` gives the counts of contexts."""
+    width = grams.width
 
-    def out(parts: list[np.ndarray]):
-        keys, counts = _summed(np.concatenate(parts))
-        at = np.concatenate([[0], np.searchsorted(keys, pairs.cuts), [len(keys)]])
-        some = [s for s in range(len(at) - 1) if at[s] < at[s + 1]]
-        blocks = [_block(keys[at[s] : at[s + 1]], counts[at[s] : at[s + 1]]) for s in some]
-        return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(blocks, pa.binary())], ["shard", "block"])
-
-    def run(batches):
-        parts, held = [], 0
-        for b in batches:
-            for _, _, data, at in chunks(b.column("text")):
-                tokens, _ = token_hashes(data, at)
-                keys = pairs.keys(level.find(tokens)[0], tokens == END)[0]
-                if sample:
-                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64))], ["key"])
-                    continue
-                parts.append(keys)
-                held += len(keys)
-                if held > BUFFER_TOKENS:
-                    yield out(parts)
-                    parts, held = [], 0
-        if parts:
-            yield out(parts)
+    def run(t: pa.Table) -> pa.Table:
+        s, keys, counts = _gathered(t)
+        context = (keys // np.uint64(width)).astype(np.int64)
+        low, high = int(context[0]), int(context[-1])
+        path = f"{grams.path}-{s}"
+        EliasFano.build(keys - np.uint64(low * width), (high - low + 1) * width).save(path)
+        own, begin, many = np.unique(context, return_index=True, return_counts=True)
+        pointers = np.zeros(high - low + 2, np.uint64)
+        pointers[own - low + 1] = many
+        EliasFano.build(np.cumsum(pointers, dtype=np.uint64), len(keys) + 1).save(f"{path}.pointers")
+        of = np.repeat(np.arange(len(own)), many)
+        saved(f"{path}.codes.npy", _code(totals_of(own)[of] / (counts - discount), up=True))
+        saved(f"{path}.totals.npy", _code(counts.astype(np.float64)))
+        told = {"low": low, "high": high, "n": len(keys), "at_low": int(many[0]), "at_high": int(many[-1])}
+        return pa.table({"shard": pa.array([s], pa.int32()), **{k: [v] for k, v in told.items()}})
 
     return run
 
 
-def build_pairs(folder: str, level: Level, width: int, texts: int, discount: float):
-    """An ``applyInArrow`` function: one shard's blocks to its files."""
+class Trie:
+    """The three levels; ``texts`` is the count of the context before a first word, whose number is the last one."""
 
-    def run(t: pa.Table) -> pa.Table:
-        s = t.column("shard")[0].as_py()
-        parts = [_unblock(x) for x in t.column("block").to_pylist()]
-        keys, counts = _summed(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
-        context = (keys // np.uint64(width)).astype(np.int64)
-        low, high = int(context[0]), int(context[-1])
-        EliasFano.build(keys - np.uint64(low * width), (high - low + 1) * width).save(f"{folder}/pairs-{s}")
-        pointers = np.searchsorted(context, np.arange(low, high + 2))
-        EliasFano.build(pointers.astype(np.uint64), len(keys) + 1).save(f"{folder}/pairs-{s}.pointers")
-        own, back = np.unique(context, return_inverse=True)
-        totals = np.full(len(own), texts, np.int64)
-        for w in range(level.shards):
-            a, b = np.searchsorted(own, level.first[w : w + 2])
-            if a < b:
-                totals[a:b] = level.part(w)[1][own[a:b] - level.first[w]]
-        p = (counts - discount) / totals[back]
-        _saved(f"{folder}/pairs-{s}.codes.npy", np.minimum(np.ceil(-np.log10(p) * STEPS), 65535).astype(np.uint16))
-        return pa.table({"shard": pa.array([s], pa.int32()), "low": [low], "high": [high]})
+    def __init__(self, level: Level, width: int, texts: int):
+        self.level, self.width, self.texts = level, width, texts
+        self.pairs: Grams | None = None
+        self.triples: Grams | None = None
 
-    return run
+    def pair_keys(self, number: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Key of each token behind its predecessor, the predecessor's number (or -1), and whether both are known."""
+        before = np.empty(len(number), np.int64)
+        before[1:] = number[:-1]
+        before[np.concatenate([[True], ends[:-1]])] = self.width - 1
+        known = (number >= 0) & (before >= 0)
+        return np.where(known, before, 0).astype(np.uint64) * np.uint64(self.width) + np.where(known, number, 0).astype(np.uint64), before, known
+
+    def contexts(self, pair: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The number of the pair before each token, or -1."""
+        out = np.full(len(pair), -1, np.int64)
+        out[1:] = np.where(ends[:-1], -1, pair[:-1])
+        return out
+
+    def of_pairs(self, tokens: np.ndarray) -> np.ndarray:
+        return self.pair_keys(self.level.find(tokens)[0], tokens == END)[0]
+
+    def of_triples(self, tokens: np.ndarray) -> np.ndarray:
+        number, ends = self.level.find(tokens)[0], tokens == END
+        own, back = np.unique(self.pair_keys(number, ends)[0], return_inverse=True)
+        context = self.contexts(self.pairs.lookup(own)[0][back], ends)
+        some = context >= 0
+        return context[some].astype(np.uint64) * np.uint64(self.width) + number[some].astype(np.uint64)
+
+    def context_totals(self, contexts: np.ndarray) -> np.ndarray:
+        """The counts of sorted contexts of one word, of which the start is the last."""
+        words = contexts[contexts < self.width - 1]
+        return np.append(self.level.totals(words), np.full(len(contexts) - len(words), float(self.texts)))
+
+
+def _level(texts: DataFrame, trie: Trie, name: str, contexts: int, keys_of: Callable, totals_of: Callable, total: int, tokens: int, discount: float) -> Grams:
+    """One level over the whole of ``texts``; its shards are cut at keys of a sample of them."""
+    folder, width = trie.level.folder, trie.width
+    if contexts * width >= 1 << 64:
+        raise OverflowError(f"{contexts} contexts of {width} words do not fit 64-bit keys")
+    parts = max(1, tokens // SHARD_TOKENS)
+    some = texts.sample(min(1.0, SAMPLE_TEXTS / total), seed=7) if total > SAMPLE_TEXTS else texts
+    drawn = some.mapInArrow(sampler(keys_of), "key long").where(F.pmod(F.xxhash64("key"), F.lit(16)) == 0)
+    keys = np.sort(np.array([r[0] for r in drawn.collect()], np.int64).view(np.uint64)) if parts > 1 else []
+    cuts = sorted({int(keys[i * len(keys) // parts]) for i in range(1, parts)}) if len(keys) else []
+    grams = Grams(folder, name, width, cuts, {})
+    blocks = texts.mapInArrow(counter(keys_of, grams.shard_of), "shard int, block binary")
+    done = blocks.groupBy("shard").applyInArrow(
+        build_grams(grams, totals_of, discount), "shard int, low long, high long, n long, at_low long, at_high long"
+    )
+    return Grams(folder, name, width, cuts, {r["shard"]: tuple(r)[1:] for r in done.collect()})
 
 
 def train(texts: DataFrame, discount: float = DISCOUNT) -> dict:
@@ -272,53 +357,64 @@ def train(texts: DataFrame, discount: float = DISCOUNT) -> dict:
     batch_rows(spark, 2_000)
     folder = new_folder(spark, "ngrams")
     size = texts.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
-    shards = 1 << max(0, int((size["bytes"] or 0) // (32 * SHARD_TOKENS)).bit_length())
-    counted = texts.mapInArrow(count_words(shards), "shard int, block binary")
-    built = counted.groupBy("shard").applyInArrow(build_words(folder, shards), "shard int, n long, tokens long").collect()
-    sizes, tokens = [0] * shards, 0
+    bits = max(0, int((size["bytes"] or 0) // (32 * SHARD_TOKENS)).bit_length())
+    counted = texts.mapInArrow(counter(lambda tokens: tokens, lambda words: _word_shard(words, bits)), "shard int, block binary")
+    built = counted.groupBy("shard").applyInArrow(build_words(folder, bits), "shard int, n long, tokens long").collect()
+    sizes, tokens = [0] * (1 << bits), 0
     for r in built:
         sizes[r["shard"]] = r["n"]
         tokens += r["tokens"]
-    level = Level(folder, sizes)
     words = sum(sizes)
-    width = words + 1
-    pairs = Pairs(folder, width, [], {})
+    trie = Trie(Level(folder, sizes), words + 1, size["n"])
     if size["n"]:
-        parts = max(1, tokens // SHARD_TOKENS)
-        some = texts.sample(min(1.0, SAMPLE_TEXTS / size["n"]), seed=7) if size["n"] > SAMPLE_TEXTS else texts
-        drawn = some.mapInArrow(count_pairs(level, pairs, sample=True), "key long")
-        share = drawn.select(F.xxhash64("key").alias("h"), "key").where(F.pmod("h", F.lit(16)) == 0).select("key")
-        keys = np.sort(np.array([r[0] for r in share.collect()], np.int64).view(np.uint64))
-        cuts = sorted({int(keys[i * len(keys) // parts]) for i in range(1, parts)}) if len(keys) else []
-        pairs = Pairs(folder, width, cuts, {})
-        blocks = texts.mapInArrow(count_pairs(level, pairs), "shard int, block binary")
-        done = blocks.groupBy("shard").applyInArrow(
-            build_pairs(folder, level, width, size["n"], discount), "shard int, low long, high long"
-        )
-        pairs.built = {r["shard"]: (r["low"], r["high"]) for r in done.collect()}
-    return {"level": level, "pairs": pairs, "tokens": tokens, "words": words, "texts": size["n"], "discount": discount}
+        about = (size["n"], tokens, discount)
+        trie.pairs = _level(texts, trie, "pairs", words + 1, trie.of_pairs, trie.context_totals, *about)
+        pairs = int(trie.pairs.numbers[-1])
+        trie.triples = _level(texts, trie, "triples", pairs, trie.of_triples, trie.pairs.totals, *about)
+    else:
+        trie.pairs, trie.triples = (Grams(folder, x, 1, [], {}) for x in ("pairs", "triples"))
+    return {"trie": trie, "tokens": tokens, "words": words, "discount": discount}
+
+
+def _left(grams: Grams, contexts: np.ndarray, total: np.ndarray, discount: float) -> np.ndarray:
+    """What a context leaves to the shorter one; all where the context is unknown or nothing followed it."""
+    own, back = np.unique(contexts, return_inverse=True)
+    known = own >= 0
+    follow = np.zeros(len(own), np.int64)
+    follow[known] = grams.successors(own[known])
+    follow = follow[back]
+    return np.where((follow > 0) & (total > 0), discount * follow / np.maximum(total, 1e-9), 1.0)
+
+
+def probabilities(model: dict, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each token's probability behind those before it in its text, and its count in training."""
+    trie, discount = model["trie"], model["discount"]
+    ends = tokens == END
+    number, count, more = trie.level.find(tokens)
+    p = more / (model["tokens"] + model["words"] + 1)
+    keys, before, known = trie.pair_keys(number, ends)
+    own, back = np.unique(keys, return_inverse=True)
+    pair, seen, total = (np.where(known, x[back], none) for x, none in zip(trie.pairs.lookup(own), (-1, 0.0, 0.0), strict=True))
+    counts = np.where(before == trie.width - 1, trie.texts, np.concatenate([[0], count[:-1]]))
+    p = seen + _left(trie.pairs, before, counts, discount) * p
+    context = trie.contexts(pair, ends)
+    known = (context >= 0) & (number >= 0)
+    keys = np.where(known, context, 0).astype(np.uint64) * np.uint64(trie.width) + np.where(known, number, 0).astype(np.uint64)
+    own, back = np.unique(keys, return_inverse=True)
+    seen = np.where(known, trie.triples.lookup(own)[1][back], 0.0)
+    p = seen + _left(trie.triples, context, np.concatenate([[0.0], total[:-1]]), discount) * p
+    return np.minimum(p, 1.0), count
 
 
 def score_batches(model: dict):
-    level, pairs, n, v = model["level"], model["pairs"], model["tokens"], model["words"]
+    """A ``mapInArrow`` function: ``(doc_id, text)`` to scores."""
+    n, v = model["tokens"], model["words"]
 
     def run(batches):
         for b in batches:
             for row, nxt, data, at in chunks(b.column("text")):
                 tokens, text = token_hashes(data, at)
-                number, count = level.find(tokens)
-                alone = (count + 1) / (n + v + 1)
-                keys, before = pairs.keys(number, tokens == END)
-                own, back = np.unique(keys, return_inverse=True)
-                seen = np.where((number >= 0) & (before >= 0), pairs.discounted(own)[back], 0.0)
-                contexts, of = np.unique(before, return_inverse=True)
-                follow = pairs.successors(contexts)[of]
-                total = np.empty(len(tokens))
-                total[1:] = count[:-1]
-                total[before == pairs.width - 1] = model["texts"]
-                known = (before >= 0) & (total > 0)
-                left = np.where(known, model["discount"] * follow / np.maximum(total, 1), 1.0)
-                p = np.minimum(seen + left * alone, 1.0)
+                p, count = probabilities(model, tokens)
                 base = np.log10((count + 1) / (n + 1 * (v + 1)))
                 rows = nxt - row
                 add = lambda x: np.bincount(text, x, rows)
