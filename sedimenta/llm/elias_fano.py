@@ -42,6 +42,7 @@ class EliasFano:
     def __init__(self, n: int, width: int, low: np.ndarray, high: np.ndarray, zeros: np.ndarray):
         self.n, self.width, self.low, self.high, self.zeros = n, width, low, high, zeros
         self.mask = np.uint64((1 << width) - 1)
+        self.ones: np.ndarray | None = None  # ones before each word, on first use
 
     @classmethod
     def build(cls, values: np.ndarray, universe: int) -> EliasFano:
@@ -123,9 +124,10 @@ class EliasFano:
     def access(self, i: np.ndarray) -> np.ndarray:
         """The numbers at ``i``; by search over zeros, for pointers that are read in small numbers."""
         i = np.asarray(i, np.int64)
-        ones = np.arange(len(self.zeros), dtype=np.int64) * 64 - self.zeros
-        at = np.searchsorted(ones, i, "right") - 1
-        left, word, place = i - ones[at], self.high[at].copy(), np.zeros(len(i), np.int64)
+        if self.ones is None:
+            self.ones = np.arange(len(self.zeros), dtype=np.int64) * 64 - self.zeros
+        at = np.searchsorted(self.ones, i, "right") - 1
+        left, word, place = i - self.ones[at], self.high[at].copy(), np.zeros(len(i), np.int64)
         for half in (32, 16, 8, 4, 2, 1):
             count = np.bitwise_count(word & np.uint64((1 << half) - 1)).astype(np.int64)
             on = left >= count

@@ -42,7 +42,9 @@ from .common import batch_rows, crc_mod, new_folder, table
 from .elias_fano import EliasFano, saved
 
 DISCOUNT = 0.75
-SHARD_TOKENS = 2_000_000
+SHARD_TOKENS = 4_000_000
+#: Bytes of text that are looked up at once: each shard that they hit costs the same again.
+LOOKUP_BYTES = 4 << 20
 BUFFER_TOKENS = 4_000_000
 SAMPLE_TEXTS = 1_000
 #: Steps of a quantised probability or count to a factor of ten.
@@ -154,7 +156,7 @@ def counter(keys_of: Callable, shard_of: Callable):
     def run(batches):
         parts, held = [], 0
         for b in batches:
-            for _, _, data, at in chunks(b.column("text")):
+            for _, _, data, at in chunks(b.column("text"), LOOKUP_BYTES):
                 parts.append(keys_of(token_hashes(data, at)[0]))
                 held += len(parts[-1])
                 if held > BUFFER_TOKENS:
@@ -171,7 +173,7 @@ def sampler(keys_of: Callable):
 
     def run(batches):
         for b in batches:
-            for _, _, data, at in chunks(b.column("text")):
+            for _, _, data, at in chunks(b.column("text"), LOOKUP_BYTES):
                 yield pa.RecordBatch.from_arrays([pa.array(keys_of(token_hashes(data, at)[0]).view(np.int64))], ["key"])
 
     return run
@@ -412,7 +414,7 @@ def score_batches(model: dict):
 
     def run(batches):
         for b in batches:
-            for row, nxt, data, at in chunks(b.column("text")):
+            for row, nxt, data, at in chunks(b.column("text"), LOOKUP_BYTES):
                 tokens, text = token_hashes(data, at)
                 p, count = probabilities(model, tokens)
                 base = np.log10((count + 1) / (n + 1 * (v + 1)))
