@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytewords import ALNUM, Words, chunks, mix, span_hashes, words_of
-from .common import batch_rows, staged, table
+from .common import bound_batches, staged, table
 from .components import components
 
 SHINGLE = 5
@@ -333,7 +333,7 @@ def _labelled(placed: DataFrame, labels: DataFrame | None) -> DataFrame:
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY, weighted: bool = False) -> DataFrame:
     """``(doc_id, class_id, n_words)``, one row per row of ``docs``."""
     spark = docs.sparkSession
-    batch_rows(spark, 2_000)
+    bound_batches(spark)
     given = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_words long, key_a long, key_b long, buckets array<long>"

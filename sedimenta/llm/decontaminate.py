@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytewords import ALNUM, Words, chunks, mix, words_of
-from .common import staged, table, whole_rows, with_id
+from .common import bound_batches, staged, table, whole_rows, with_id
 
 WINDOW = 13
 LEADING = 3
@@ -173,6 +173,7 @@ def blocks(benchmark: DataFrame, block_bytes: int) -> tuple[int, Iterator[list[t
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``(doc_id, spans, n_words, n_hit)`` for each row of ``docs``."""
+    bound_batches(docs.sparkSession)
     at = docs.select("doc_id", "text", F.array().cast(SPANS).alias("spans"))
     many, found = blocks(benchmark, BLOCK_BYTES)
     for i, items in enumerate(found):

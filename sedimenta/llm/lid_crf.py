@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytewords import byte_class, chunks, mix, span_hashes
-from .common import batch_rows, crc_mod, table, with_id
+from .common import bound_batches, crc_mod, table, with_id
 
 CHAIN = 64
 #: Bound of the training sample: texts of each language, and words in all.
@@ -295,7 +295,7 @@ def labelled_sample(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[
 
 def identify(docs: DataFrame, model: dict) -> DataFrame:
     """``(doc_id, lang_pred, score, n_words, n_switches)`` for each row of ``docs``."""
-    batch_rows(docs.sparkSession, 2_000)
+    bound_batches(docs.sparkSession)
     schema = with_id(docs, "lang_pred string, score double, n_words long, n_switches long")
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     return texts.mapInArrow(label_batches(model), schema)

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytewords import SOLID, chunks, words_of
-from .common import batch_rows, crc_mod, new_folder, table
+from .common import bound_batches, crc_mod, new_folder, table
 from .elias_fano import EliasFano, saved
 
 DISCOUNT = 0.75
@@ -356,7 +356,7 @@ def _level(texts: DataFrame, trie: Trie, name: str, contexts: int, keys_of: Call
 def train(texts: DataFrame, discount: float = DISCOUNT) -> dict:
     """The model's place and measures; ``texts`` has a column text without nulls."""
     spark = texts.sparkSession
-    batch_rows(spark, 2_000)
+    bound_batches(spark)
     folder = new_folder(spark, "ngrams")
     size = texts.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
     bits = max(0, int((size["bytes"] or 0) // (32 * SHARD_TOKENS)).bit_length())

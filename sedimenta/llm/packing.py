@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch_rows, staged, table
+from .common import bound_batches, staged, table
 
 SIZE = 4096
 END_ID = 1
@@ -148,7 +148,7 @@ def encode(texts: list[str], path: str) -> list[bytes]:
 
 def pieces(docs: DataFrame, path: str, size: int = SIZE, end_id: int = END_ID) -> DataFrame:
     """``(doc_id, piece, start, length, ids_crc32)`` of every text with its end id."""
-    batch_rows(docs.sparkSession, 500)
+    bound_batches(docs.sparkSession)
     end = _bytes([end_id])
 
     def run(batches):

@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytewords import chunks, mix, powers, span_hashes
-from .common import batch_rows, staged, table
+from .common import bound_batches, staged, table
 
 LENGTH = 100
 GRAM = 24
@@ -395,7 +395,7 @@ def removed_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """``(doc_id, n_bytes, n_removed, n_spans, kept)`` for each row of ``docs``; ``kept`` is what stays of the text."""
-    batch_rows(docs.sparkSession, 1_000)
+    bound_batches(docs.sparkSession)
     given = docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")
     ).withColumn("text_id", F.xxhash64("text"))

@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import batch_rows, new_path, staged, table
+from .common import bound_batches, new_path, staged, table
 
 SEGMENT_BYTES = 32 * 1024
 CHUNK_BYTES = 8 * 1024
@@ -169,7 +169,7 @@ def write_archive(
                 out += records_of(number, url, zlib.decompress(packed), kind, unique, segment)
             yield pd.DataFrame({"record": out})
 
-    batch_rows(pages.sparkSession, 1_000)
+    bound_batches(pages.sparkSession)
     revisits(pages, least_revisit).mapInPandas(encode, "record binary").select(
         F.col("record").cast("string").alias("value")
     ).write.option("lineSep", GAP.decode()).option("maxRecordsPerFile", per_file).option("compression", "gzip").text(path)
