@@ -88,9 +88,20 @@ def grid_completeness(df: DataFrame, day: str, left: str, right: str, first: str
 
 
 def daily_audit(df: DataFrame, day: Column, ts: str) -> DataFrame:
+    """Rows per day with the first and last time."""
     return df.groupBy(day.alias("day")).agg(_rows().alias("rows"), F.min(ts).alias("first_at"), F.max(ts).alias("last_at"))
 
 
+def lines_per_day(lines: DataFrame, orders: DataFrame, line_key: str, order_key: str, day: str) -> DataFrame:
+    """Lines per day of their order."""
+    dated = orders.select(F.col(order_key).alias("_key"), F.col(day).alias("day"))
+    return lines.select(line_key).join(dated, F.col(line_key) == F.col("_key")).groupBy("day").agg(_rows().alias("rows"))
+
+
+def last_rows(df: DataFrame, ts: str, ties: list[str], k: int = 3) -> DataFrame:
+    return df.orderBy(F.desc(ts), *[F.desc(c) for c in ties]).limit(k)
+
+
 def cardinality_histogram(df: DataFrame, key: str) -> DataFrame:
     """How many keys have how many rows."""
     return df.groupBy(key).agg(_rows().alias("size")).groupBy("size").agg(_rows().alias("keys"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -61,10 +63,11 @@ def late_dimension(facts: DataFrame, dim: DataFrame, key: str, dim_key: str, day
     return facts.join(first, facts[key] == first["_key"]).where(F.col(day) < F.col("first_seen")).drop("_key")
 
 
-def clock_skew(df: DataFrame, updated: str, ingested: str, run: str) -> DataFrame:
-    """Per run: rows dated after they came in, and whether the run's latest date went back."""
-    runs = df.groupBy(run).agg(F.count_if(F.col(updated) > F.col(ingested)).alias("ahead"), F.max(updated).alias("latest"))
-    before = F.max("latest").over(Window.orderBy(run).rowsBetween(Window.unboundedPreceding, -1))  # one row per run
+def clock_skew(df: DataFrame, updated: str, ingested: str, run: str, entity: str | None = None) -> DataFrame:
+    """Per run (of an entity, so that runs are ordered within each): rows dated after they came in, and whether the run's latest date went back."""
+    of = [entity] if entity else []
+    runs = df.groupBy(*of, run).agg(F.count_if(F.col(updated) > F.col(ingested)).alias("ahead"), F.max(updated).alias("latest"))
+    before = F.max("latest").over(Window.partitionBy(*of).orderBy(run).rowsBetween(Window.unboundedPreceding, -1))
     return runs.withColumn("went_back", F.coalesce(F.col("latest") < before, F.lit(False)))
 
 
@@ -111,22 +114,33 @@ def text_chunks(df: DataFrame, row_id: str, text: str, size: int = 500, overlap:
     return parts.select(row_id, "chunk", F.size(part).alias("tokens"), F.array_join(part, " ").alias("chunk_text"))
 
 
-def cosine(a: Column, b: Column) -> Column:
-    dot = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    return F.try_divide(dot, norm(a) * norm(b))
+def unit_vectors(df: DataFrame, row_id: str, vector: str, name: str) -> DataFrame:
+    """``(row_id, name)``: vectors over their lengths, in doubles; those without a length are left out."""
+    wide = df.select(row_id, F.transform(vector, lambda x: x.cast("double")).alias("_w"))
+    length = F.sqrt(F.aggregate("_w", F.lit(0.0), lambda s, x: s + x * x))
+    return wide.withColumn("_n", length).where("_n > 0").select(row_id, F.transform("_w", lambda x: x / F.col("_n")).alias(name))
+
 
+#: Queries of a block, which is broadcast: about 16 MB at 100 dimensions.
+QUERY_BLOCK = 20_000
 
-def cosine_topk(corpus: DataFrame, queries: DataFrame, row_id: str, vector: str, k: int = 5, least: float = 0.7) -> DataFrame:
+
+def cosine_topk(corpus: DataFrame, queries: DataFrame, row_id: str, vector: str, k: int = 5, least: float = 0.7, block: int = QUERY_BLOCK) -> DataFrame:
     """The ``k`` nearest rows of each query above ``least``: ``(query_id, row_id, similarity, rank)``.
 
-    ``queries`` is a stated set, compared with every row; Spark broadcasts it
-    if it is below the broadcast threshold.  Each task keeps its own best ``k``
-    of a query before rows are dealt by query.
+    ``queries`` is a stated set, compared with every row.  It is counted and
+    broadcast in blocks of at most about ``block`` rows.  Lengths are taken out
+    once per row, so a comparison is a dot product.  Each task keeps its own
+    best ``k`` of a query before rows are dealt by query.
     """
-    q = queries.select(F.col(row_id).alias("query_id"), F.col(vector).alias("_q"))
-    scored = corpus.join(q, F.col(row_id) != F.col("query_id")).select(
-        "query_id", row_id, cosine(F.col(vector), F.col("_q")).alias("similarity")
-    )
+    rows = unit_vectors(corpus, row_id, vector, "_v")
+    every = unit_vectors(queries, row_id, vector, "_q").withColumnRenamed(row_id, "query_id")
+    blocks = max(1, -(-queries.count() // block))
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), row_id)
-    return scored.where(F.col("similarity") > least).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    found = []
+    for b in range(blocks):
+        part = F.broadcast(every.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b))
+        dot = F.aggregate(F.zip_with("_v", "_q", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+        scored = rows.join(part, F.col(row_id) != F.col("query_id")).select("query_id", row_id, dot.alias("similarity"))
+        found.append(scored.where(F.col("similarity") > least).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k))
+    return reduce(DataFrame.unionByName, found)

@@ -22,10 +22,12 @@ def territory_derive(channel: Column, by_channel: dict[str, Column]) -> Column:
 
 
 def line_measures(df: DataFrame, price: str, quantity: str, discount: str, rate: str = "0.18") -> DataFrame:
-    """Line total, tax at a decimal rate rounded half up, and net revenue."""
+    """Gross, discount, line total, tax at a decimal rate rounded half up, and net revenue."""
     total = (money(price) * F.col(quantity).cast("decimal(10,0)") * (F.lit(1).cast("decimal(3,2)") - F.col(discount).cast("decimal(3,2)"))).cast(SUM)
-    return df.withColumn("line_total", total).withColumns(
+    gross = (money(price) * F.col(quantity).cast("decimal(10,0)")).cast(SUM)
+    return df.withColumns({"unit_price": money(price), "gross_revenue": gross, "line_total": total}).withColumns(
         {
+            "discount_amount": (F.col("gross_revenue") - F.col("line_total")).cast(SUM),
             "tax_amount": F.round(F.col("line_total") * F.lit(rate).cast("decimal(4,2)"), 2).cast(SUM),
             "net_revenue": F.col("line_total"),
         }
@@ -33,12 +35,14 @@ def line_measures(df: DataFrame, price: str, quantity: str, discount: str, rate:
 
 
 def channel_revenue(lines: DataFrame, grain: list[str], order: str, returned: Column) -> DataFrame:
-    """Rollup of measured lines: distinct orders, lines, sums, average order value and return rate."""
+    """Rollup of measured lines: distinct orders, lines, units, gross, discount, net, tax, average order value and return rate."""
     grouped = lines.groupBy(*grain).agg(
         F.count_distinct(order).alias("total_orders"),
         F.count(F.lit(1)).alias("total_lines"),
         F.sum(F.col("quantity").cast("long")).alias("total_units"),
-        F.sum("line_total").cast(SUM).alias("net_revenue"),
+        F.sum("gross_revenue").cast(SUM).alias("gross_revenue"),
+        F.sum("discount_amount").cast(SUM).alias("total_discount"),
+        F.sum("net_revenue").cast(SUM).alias("net_revenue"),
         F.sum("tax_amount").cast(SUM).alias("total_tax"),
         F.count_if(returned).alias("returned_lines"),
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 OPEN_END = "9999-12-31"
@@ -12,8 +12,9 @@ def asof_attach(facts: DataFrame, dim: DataFrame, key: str, dim_key: str, day: s
     """Each fact with the version of ``dim`` that covers its day, else the key's earliest version.
 
     ``columns`` of the version are added, null where the key is null or has
-    no version; facts keep their number.  Versions of a key must not overlap.
-    No fact is ranked: an equi-join with the interval as residual finds the one
+    no version; facts keep their number.  Versions of a key must not overlap:
+    overlapping ones raise, and ``asof_attach_overlapping`` takes them.  Facts
+    with a null key are spread over all tasks.  No fact is ranked: an equi-join with the interval as residual finds the one
     covering version, and one first version per key fills in.  With ``gap_free``
     timelines the first version reaches back to all earlier days instead, and
     the second join falls away.
@@ -24,8 +25,10 @@ def asof_attach(facts: DataFrame, dim: DataFrame, key: str, dim_key: str, day: s
         F.coalesce("valid_to", F.lit(OPEN_END).cast("date")).alias("_to"),
         F.struct(*columns).alias("_version"),
     )
-    first = versions.groupBy("_key").agg(F.min_by("_version", "_from").alias("_first"), F.min("_from").alias("_start"))
+    versions = _apart(versions)
+    first = versions.groupBy("_key", "_part").agg(F.min_by("_version", "_from").alias("_first"), F.min("_from").alias("_start"))
     given = [f"f.{c}" for c in facts.columns]
+    facts = facts.withColumn("_spread", F.when(F.col(key).isNull(), F.xxhash64(*facts.columns)).otherwise(F.lit(0).cast("long")))
     if gap_free:
         reach = versions.join(first.select("_key", "_start"), "_key").withColumn(
             "_from", F.when(F.col("_from") == F.col("_start"), F.lit("0001-01-01").cast("date")).otherwise(F.col("_from"))
@@ -33,20 +36,29 @@ def asof_attach(facts: DataFrame, dim: DataFrame, key: str, dim_key: str, day: s
         found = facts.alias("f").join(reach.alias("v"), _covers(key, day), "left")
         return found.select(*given, *[F.col(f"v._version.{c}").alias(c) for c in columns])
     found = facts.alias("f").join(versions.alias("v"), _covers(key, day), "left")
-    floored = found.join(first.alias("w"), F.col(f"f.{key}") == F.col("w._key"), "left")
+    floored = found.join(first.alias("w"), (F.col(f"f.{key}") == F.col("w._key")) & (F.col("f._spread") == F.col("w._part")), "left")
     return floored.select(*given, *[_pick(c) for c in columns])
 
 
+def _apart(versions: DataFrame) -> DataFrame:
+    """``versions`` with ``_part`` = 0, against which facts without a key are spread; a version that begins before its predecessor ends raises."""
+    w = Window.partitionBy("_key").orderBy("_from", "_to")
+    meets = F.coalesce(F.lag("_to").over(w) >= F.col("_from"), F.lit(False))
+    fail = F.raise_error(F.concat(F.lit("overlapping versions of "), F.col("_key").cast("string"))).cast("long")
+    return versions.withColumn("_part", F.when(meets, fail).otherwise(F.pmod(F.xxhash64("_key"), F.lit(1).cast("long"))))
+
+
 def _covers(key: str, day: str) -> Column:
-    return (F.col(f"f.{key}") == F.col("v._key")) & F.col(f"f.{day}").between(F.col("v._from"), F.col("v._to"))
+    return (F.col(f"f.{key}") == F.col("v._key")) & (F.col("f._spread") == F.col("v._part")) & F.col(f"f.{day}").between(F.col("v._from"), F.col("v._to"))
 
 
 def _pick(column: str) -> Column:
     return F.when(F.col("v._key").isNotNull(), F.col(f"v._version.{column}")).otherwise(F.col(f"w._first.{column}")).alias(column)
 
 
-def asof_attach_overlapping(facts: DataFrame, dim: DataFrame, row_id: str, key: str, dim_key: str, day: str, columns: list[str]) -> DataFrame:
+def asof_attach_overlapping(facts: DataFrame, dim: DataFrame, row_id: str | list[str], key: str, dim_key: str, day: str, columns: list[str]) -> DataFrame:
     """As ``asof_attach`` where versions may overlap: the latest covering version wins, by one aggregate per fact row."""
+    row_id = [row_id] if isinstance(row_id, str) else row_id
     versions = dim.select(
         F.col(dim_key).alias("_key"),
         F.col("valid_from").alias("_from"),
@@ -55,8 +67,8 @@ def asof_attach_overlapping(facts: DataFrame, dim: DataFrame, row_id: str, key:
     )
     covered = (
         facts.alias("f")
-        .join(versions.alias("v"), _covers(key, day))
-        .groupBy(f"f.{row_id}")
+        .join(versions.alias("v"), (F.col(f"f.{key}") == F.col("v._key")) & F.col(f"f.{day}").between(F.col("v._from"), F.col("v._to")))
+        .groupBy(*[f"f.{c}" for c in row_id])
         .agg(F.max_by("v._version", "v._from").alias("_covering"))
     )
     first = versions.groupBy("_key").agg(F.min_by("_version", "_from").alias("_first"))

@@ -18,10 +18,15 @@ def fk_flag(df: DataFrame, reference: DataFrame, column: str, key: str, flag: st
     return df.join(known, column, "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
 
 
-def surrogate_key(*columns: str) -> Column:
-    """A hash of columns that must not be null (the hash skips nulls, so two keys could meet)."""
-    missing = F.exists(F.array(*[F.col(c).isNull() for c in columns]), lambda x: x)
-    return F.when(missing, F.raise_error(F.lit(f"null in key columns {columns}")).cast("long")).otherwise(F.xxhash64(*columns))
+def surrogate_key(*columns: str | Column) -> Column:
+    """60 bits of the digest of columns that must not be null (nulls are skipped, so two keys could meet).
+
+    Any engine can compute it again, so keys survive a change of tools.
+    """
+    given = [F.col(c) if isinstance(c, str) else c for c in columns]
+    missing = F.exists(F.array(*[c.isNull() for c in given]), lambda x: x)
+    key = F.conv(F.substring(F.md5(F.concat_ws("|", *[c.cast("string") for c in given])), 1, 15), 16, 10).cast("long")
+    return F.when(missing, F.raise_error(F.lit("null in key columns")).cast("long")).otherwise(key)
 
 
 def date_key(day: Column) -> Column:

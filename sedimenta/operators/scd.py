@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .keys import surrogate_key
+from .keys import dedup_latest, surrogate_key
 
 
 def _differs(columns: list[str], a: str, b: str) -> Column:
@@ -83,11 +83,18 @@ def scd2_apply(
     return kept.select(columns).unionByName(fresh.select(columns))
 
 
-def scd2_from_timeline(timeline: DataFrame, key: str, effective: str, columns: list[str], attributes: DataFrame | None = None) -> DataFrame:
-    """Versions from a change log with one row per (key, effective date)."""
+def scd2_from_timeline(
+    timeline: DataFrame, key: str, effective: str, columns: list[str], attributes: DataFrame | None = None, order: list[Column] | None = None
+) -> DataFrame:
+    """Versions from a change log; of several rows on one (key, effective date) the first by ``order`` counts.
+
+    Without ``order``, the largest values of ``columns`` count, which is total:
+    rows that tie are equal.
+    """
+    one = dedup_latest(timeline, [key, effective], [*(order or []), *[F.desc_nulls_last(c) for c in columns]])
     w = Window.partitionBy(key).orderBy(effective)
     until = F.date_sub(F.lead(effective).over(w), 1)
-    versions = timeline.select(key, *columns, F.col(effective).alias("valid_from"), until.alias("valid_to")).withColumn(
+    versions = one.select(key, *columns, F.col(effective).alias("valid_from"), until.alias("valid_to")).withColumn(
         "is_current", F.col("valid_to").isNull()
     )
     return versions if attributes is None else versions.join(attributes, key)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import dims, scd
-from .retail import DIM, ORDERS, TIMELINE, customer_dim, customer_timeline, orders, table
+from .retail import DIM, ORDERS, TIMELINE, customer_dim, customer_timeline, key_sql, orders, table
 from .silver import STATES, _customers
 
 T0, T1 = "1998-01-01", "2000-01-01"
@@ -42,7 +42,8 @@ def first_activity(spark: SparkSession, d: str) -> DataFrame:
 
 def scd2_from_timeline(spark: SparkSession, d: str) -> DataFrame:
     names = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment")
-    return scd.scd2_from_timeline(customer_timeline(spark, d), "o_custkey", "order_date", ["priority"], names)
+    log = orders(spark, d).select("o_custkey", "order_date", F.col("o_orderpriority").alias("priority"))  # several rows a day
+    return scd.scd2_from_timeline(log, "o_custkey", "order_date", ["priority"], names)
 
 
 def timeline_orphans(spark: SparkSession, d: str) -> DataFrame:
@@ -51,10 +52,8 @@ def timeline_orphans(spark: SparkSession, d: str) -> DataFrame:
 
 
 def surrogate_key(spark: SparkSession, d: str) -> DataFrame:
-    """Keys of all versions: how many, and whether they are distinct (the hash itself is Spark's own)."""
-    return scd.with_surrogate(customer_dim(spark, d), "o_custkey").agg(
-        F.count(F.lit(1)).alias("versions"), F.count_distinct("surrogate_key").alias("keys")
-    )
+    """The key of every version."""
+    return scd.with_surrogate(customer_dim(spark, d), "o_custkey").select("o_custkey", "valid_from", "surrogate_key")
 
 
 def dim_date(spark: SparkSession, d: str) -> DataFrame:
@@ -65,10 +64,14 @@ def dim_date(spark: SparkSession, d: str) -> DataFrame:
 
 
 def lookup_dims(spark: SparkSession, d: str) -> DataFrame:
-    """Orders by channel, with the channels' names."""
-    channels, _ = dims.lookup_dims(spark)
-    n = orders(spark, d).groupBy(F.col("channel").alias("channel_id")).agg(F.count(F.lit(1)).alias("orders"))
-    return channels.join(n, "channel_id", "left").select("channel_id", "channel_name", "orders")
+    """Both literal lookups with the number of their orders: finished orders are delivered, open ones shipped, others pending."""
+    channels, statuses = dims.lookup_dims(spark)
+    status = F.when(F.col("o_orderstatus") == "F", "DELIVERED").when(F.col("o_orderstatus") == "O", "SHIPPED").otherwise("PENDING")
+    every = channels.select(F.lit("channel").alias("lookup"), F.col("channel_id").alias("id"), F.col("channel_name").alias("name"), F.col("channel_type").alias("category"), F.lit(0).alias("sort_order"))
+    every = every.unionByName(statuses.select(F.lit("status").alias("lookup"), F.col("status_id").alias("id"), F.col("status_name").alias("name"), F.col("status_category").alias("category"), "sort_order"))
+    used = orders(spark, d).select(F.explode(F.array(F.struct(F.lit("channel").alias("lookup"), F.col("channel").alias("id")), F.struct(F.lit("status").alias("lookup"), status.alias("id")))).alias("x"))
+    n = used.groupBy("x.lookup", "x.id").agg(F.count(F.lit(1)).alias("orders"))
+    return every.join(n, ["lookup", "id"], "left").withColumn("orders", F.coalesce("orders", F.lit(0)))
 
 
 def _latest(spark: SparkSession, d: str, until: str, dim: DataFrame | None = None) -> DataFrame:
@@ -88,8 +91,8 @@ def dim_synthesized(spark: SparkSession, d: str) -> DataFrame:
 
 
 def dim_upsert(spark: SparkSession, d: str) -> DataFrame:
-    """The later state of half the customers into the earlier dimension."""
-    later = _latest(spark, d, T1).where("o_custkey % 2 = 0")
+    """The customers of the last year into the earlier dimension."""
+    later = _latest(spark, d, T1).where(F.col("order_date") >= "1999-01-01")
     return dims.dim_upsert(_latest(spark, d, T0), later, ["o_custkey"])
 
 
@@ -111,7 +114,7 @@ ORACLE_SQL = {
     "first_activity": f"WITH {ORDERS} SELECT o_custkey, min(order_date) AS first_date FROM ord GROUP BY 1",
     "scd2_from_timeline": f"WITH {DIM} SELECT o_custkey, priority, valid_from, valid_to, valid_to IS NULL AS is_current, c_mktsegment FROM dim JOIN customer ON c_custkey = o_custkey",
     "timeline_orphans": f"WITH {TIMELINE} SELECT * FROM timeline WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment <> 'BUILDING')",
-    "surrogate_key": f"WITH {TIMELINE} SELECT count(*) AS versions, count(*) AS keys FROM timeline",
+    "surrogate_key": f"WITH {TIMELINE} SELECT o_custkey, order_date AS valid_from, {key_sql('o_custkey', 'order_date')} AS surrogate_key FROM timeline",
     "dim_date": f"""WITH {ORDERS}, days AS (SELECT CAST(x AS DATE) AS d FROM (SELECT unnest(generate_series(DATE '1995-01-01', DATE '2030-12-31', INTERVAL 1 DAY)) AS x)),
         hol AS (SELECT * FROM (VALUES ('01-01', 'New Year''s Day'), ('01-26', 'Republic Day'), ('08-15', 'Independence Day'), ('10-02', 'Gandhi Jayanti'), ('12-25', 'Christmas Day')) AS h(md, name)),
         n AS (SELECT order_date, count(*) AS orders FROM ord GROUP BY 1)
@@ -120,11 +123,15 @@ ORACLE_SQL = {
         CAST(year(d) AS INTEGER) AS year, CAST(year(d) - CASE WHEN month(d) >= 4 THEN 0 ELSE 1 END AS INTEGER) AS fiscal_year,
         CAST((month(d) + 8) % 12 // 3 + 1 AS INTEGER) AS fiscal_quarter, isodow(d) >= 6 AS is_weekend, name IS NOT NULL AS is_public_holiday, name AS holiday_name,
         coalesce(orders, 0) AS orders FROM days LEFT JOIN hol ON md = strftime(d, '%m-%d') LEFT JOIN n ON order_date = d""",
-    "lookup_dims": f"""WITH {ORDERS} SELECT channel AS channel_id, CASE channel WHEN 'D2C' THEN 'Direct to Consumer' WHEN 'B2B' THEN 'Business to Business' ELSE 'Physical Store' END AS channel_name,
-        count(*) AS orders FROM ord GROUP BY 1""",
+    "lookup_dims": f"""WITH {ORDERS}, l AS (SELECT * FROM (VALUES ('channel', 'D2C', 'Direct to Consumer', 'D2C', 0), ('channel', 'B2B', 'Business to Business', 'B2B', 0), ('channel', 'STORE', 'Physical Store', 'STORE', 0),
+        ('status', 'PENDING', 'Pending', 'ACTIVE', 1), ('status', 'PROCESSING', 'Processing', 'ACTIVE', 2), ('status', 'SHIPPED', 'Shipped', 'ACTIVE', 3), ('status', 'DELIVERED', 'Delivered', 'CLOSED', 4),
+        ('status', 'CANCELLED', 'Cancelled', 'EXCEPTION', 5), ('status', 'RETURN_INITIATED', 'Return Initiated', 'EXCEPTION', 6), ('status', 'RETURNED', 'Returned', 'EXCEPTION', 7)) AS v(lookup, id, name, category, sort_order)),
+        n AS (SELECT 'channel' AS lookup, channel AS id, count(*) AS orders FROM ord GROUP BY 2
+        UNION ALL SELECT 'status', CASE o_orderstatus WHEN 'F' THEN 'DELIVERED' WHEN 'O' THEN 'SHIPPED' ELSE 'PENDING' END, count(*) FROM ord GROUP BY 2)
+        SELECT lookup, id, name, category, CAST(sort_order AS INTEGER) AS sort_order, coalesce(orders, 0) AS orders FROM l LEFT JOIN n USING (lookup, id)""",
     "dim_from_bronze": f"WITH {ORDERS} {LATEST.format(T1)}",
     "dim_synthesized": """SELECT id AS n_nationkey, n_name, n_regionkey, CASE WHEN n_nationkey IS NULL THEN 'UNKNOWN' ELSE 'KNOWN' END AS status FROM
         (SELECT c_nationkey AS id FROM customer UNION SELECT s_nationkey FROM supplier UNION SELECT -1) LEFT JOIN nation ON n_nationkey = id AND n_regionkey > 0""",
-    "dim_upsert": f"""WITH {ORDERS}, a AS ({LATEST.format(T0)}), b AS (SELECT * FROM ({LATEST.format(T1)}) WHERE o_custkey % 2 = 0)
+    "dim_upsert": f"""WITH {ORDERS}, a AS ({LATEST.format(T0)}), b AS (SELECT * FROM ({LATEST.format(T1)}) WHERE order_date >= DATE '1999-01-01')
         SELECT * FROM b UNION ALL SELECT * FROM a WHERE o_custkey NOT IN (SELECT o_custkey FROM b)""",
 }

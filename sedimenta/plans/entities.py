@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..operators import keys
 from ..operators.rules import Rule, dq_tag, in_set, matches, none_negative, not_null, positive, required_when, unknown
 
-# The sets that columns may take.
+# The sets that columns may take; so are the keys and rule codes of the entities below.
 CHANNELS = ["D2C", "B2B", "STORE"]
 STATUSES = ["PENDING", "PROCESSING", "SHIPPED", "DELIVERED", "CANCELLED", "RETURNED", "RETURN_INITIATED"]
 SEGMENTS = ["INDIVIDUAL", "BUSINESS", "VIP"]

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import facts, joins, keys, merge
-from .retail import DIM, INVENTORY, MEASURED, customer_dim, inventory, measured_lines, orders, silver_lines, table
+from ..operators import facts, joins, keys, merge, scd
+from ..sources import storage
+from .retail import DIM, INVENTORY, MEASURED, STOCK, STOCK_DIM, customer_dim, inventory, key_sql, measured_lines, orders, product_dim, rep_dim, silver_lines, stock, stock_dim, table, versions_sql
 
-GRAIN = ["order_date", "channel", "category"]
+GRAIN = ["order_date", "channel", "category", "territory"]
 
 
 def line_order_join(spark: SparkSession, d: str) -> DataFrame:
@@ -45,12 +46,22 @@ def lookup_attach(spark: SparkSession, d: str) -> DataFrame:
     return joins.lookup_attach(table(spark, d, "supplier").select("s_suppkey", "s_nationkey"), nations, "s_nationkey", "n_nationkey", ["n_name", "n_regionkey"])
 
 
+def asof_attach_overlapping(spark: SparkSession, d: str) -> DataFrame:
+    """As-of over versions that each stay valid ten days longer than their successor's start."""
+    dim = customer_dim(spark, d).withColumn("valid_to", F.date_add("valid_to", 10))
+    return joins.asof_attach_overlapping(
+        _dated(spark, d), dim, ["l_orderkey", "l_linenumber"], "customer", "o_custkey", "ship_date", ["priority", "valid_from"]
+    )
+
+
 def _territories(spark: SparkSession, d: str) -> DataFrame:
-    lines = measured_lines(spark, d)
+    """Lines with the rep of B2B orders as of the order date, whose territory comes along, and the store's nation."""
+    lines = measured_lines(spark, d).withColumn("rep", F.when(F.col("channel") == "B2B", F.col("l_suppkey")))
+    reps = scd.with_surrogate(rep_dim(spark, d), "l_suppkey", "rep_surrogate_key").withColumnRenamed("l_suppkey", "dim_rep")
+    lines = joins.asof_attach(lines, reps, "rep", "dim_rep", "order_date", ["rep_surrogate_key", "rep_nation"], gap_free=True)
     lines = joins.lookup_attach(lines, table(spark, d, "supplier"), "l_suppkey", "s_suppkey", ["s_nationkey"])
-    lines = joins.lookup_attach(lines, table(spark, d, "customer"), "o_custkey", "c_custkey", ["c_nationkey"])
     territory = facts.territory_derive(
-        F.col("channel"), {"STORE": F.col("s_nationkey").cast("string"), "B2B": F.col("c_nationkey").cast("string"), "D2C": F.lit("ONLINE")}
+        F.col("channel"), {"STORE": F.col("s_nationkey").cast("string"), "B2B": F.col("rep_nation").cast("string"), "D2C": F.lit("ONLINE")}
     )
     return lines.withColumn("territory", territory)
 
@@ -64,27 +75,48 @@ def date_key(spark: SparkSession, d: str) -> DataFrame:
 
 
 def line_measures(spark: SparkSession, d: str) -> DataFrame:
-    return measured_lines(spark, d).select("l_orderkey", "l_linenumber", "quantity", "line_total", "tax_amount", "net_revenue")
+    return measured_lines(spark, d).select("l_orderkey", "l_linenumber", "quantity", "gross_revenue", "discount_amount", "line_total", "tax_amount", "net_revenue")
 
 
 def _fact_lines(spark: SparkSession, d: str) -> DataFrame:
-    lines = _territories(spark, d).withColumn("ship_date", F.to_date("l_shipdate"))
-    versions = joins.asof_attach(lines, customer_dim(spark, d), "o_custkey", "o_custkey", "ship_date", ["priority"], gap_free=True)
-    return versions.select(
+    lines = _territories(spark, d)
+    customers = scd.with_surrogate(customer_dim(spark, d), "o_custkey", "customer_surrogate_key").withColumnRenamed("o_custkey", "dim_customer")
+    products = scd.with_surrogate(product_dim(spark, d), "l_partkey", "product_surrogate_key").withColumnRenamed("l_partkey", "dim_product")
+    lines = joins.asof_attach(lines, customers, "o_custkey", "dim_customer", "order_date", ["customer_surrogate_key"], gap_free=True)
+    lines = joins.asof_attach(lines, products, "l_partkey", "dim_product", "order_date", ["product_surrogate_key"], gap_free=True)
+    return lines.select(
         "l_orderkey", "l_linenumber", keys.date_key(F.col("order_date")).alias("order_date_id"), "channel", "territory", "category",
-        F.col("priority").alias("customer_priority"), "quantity", "line_total", "tax_amount",
+        F.col("o_orderstatus").alias("status"), "customer_surrogate_key", "product_surrogate_key", "rep_surrogate_key",
+        "quantity", "unit_price", "gross_revenue", "discount_amount", "tax_amount", "net_revenue",
     )
 
 
+def _stored(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` written once, for builds that are read several times."""
+    path = storage.scratch(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def fact_order_line(spark: SparkSession, d: str) -> DataFrame:
-    """The full build, merged by line into a fact that holds the lines of even orders already."""
-    built = _fact_lines(spark, d)
-    held = built.where("l_orderkey % 2 = 0").withColumn("quantity", F.lit(0))
+    """The full build, merged by line into a fact that holds the lines of the first years without quantities."""
+    built = _stored(_fact_lines(spark, d), "fact_order_line")
+    held = built.where("order_date_id < 19980101").withColumn("quantity", F.lit(0))
     return merge.merge(held, built, ["l_orderkey", "l_linenumber"])
 
 
+def merge_partitions(spark: SparkSession, d: str) -> DataFrame:
+    """Orders by month, of which a load of two months changes totals and moves some orders: the new rows of every month it touches."""
+    held = orders(spark, d).select("o_orderkey", "o_totalprice", F.date_format("order_date", "yyyy-MM").alias("month"))
+    load = held.where("month in ('1997-03', '1997-04')").select(
+        "o_orderkey", (F.col("o_totalprice") + 1).alias("o_totalprice"), F.when(F.col("o_totalprice") > 250_000, "1997-05").otherwise(F.col("month")).alias("month")
+    )
+    found = merge.merge_partitions(held, load, ["o_orderkey"], "month")
+    return found.select("o_orderkey", "month", F.col("o_totalprice").cast("decimal(14,2)").alias("total"))
+
+
 def channel_revenue(spark: SparkSession, d: str) -> DataFrame:
-    return facts.channel_revenue(measured_lines(spark, d), GRAIN, "l_orderkey", F.col("l_returnflag") == "R")
+    return facts.channel_revenue(_territories(spark, d), GRAIN, "l_orderkey", F.col("l_returnflag") == "R")
 
 
 def upsert_null_safe(spark: SparkSession, d: str) -> DataFrame:
@@ -105,20 +137,28 @@ def rolling_7d(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _with_stock(spark: SparkSession, d: str) -> DataFrame:
+    rolled = facts.rolling_days(stock(spark, d), ["product", "store"], "day", "units")
     total = (F.col("rolling_avg") * F.col("rolling_days")).cast("decimal(14,0)")
     average = (total / F.col("rolling_days")).cast("decimal(14,6)")
-    return _rolled(spark, d).withColumn("days_of_stock", facts.days_of_stock(F.col("stock"), average, F.col("rolling_days"), 3))
+    return rolled.withColumn("days_of_stock", facts.days_of_stock(F.col("stock"), average, F.col("rolling_days")))
 
 
 def days_of_stock(spark: SparkSession, d: str) -> DataFrame:
-    return _with_stock(spark, d).select("user_id", "event_type", "day", "days_of_stock")
+    return _with_stock(spark, d).select("product", "store", "day", "days_of_stock")
 
 
 def fact_inventory_daily(spark: SparkSession, d: str) -> DataFrame:
-    """Snapshot with window measures and date key, merged null-safe by its composite key."""
-    built = _with_stock(spark, d).select(keys.date_key(F.col("day")).alias("date_id"), "user_id", "event_type", "units", "stock", "days_of_stock")
+    """Snapshot with the product's version as of its day, the store checked against the known ones, window measures and
+    date key, merged null-safe by its composite key; stores 20 and above are not known."""
+    products = scd.with_surrogate(stock_dim(spark, d), "product", "product_surrogate_key").withColumnRenamed("product", "dim_product")
+    rows = joins.asof_attach(_with_stock(spark, d), products, "product", "dim_product", "day", ["product_surrogate_key"], gap_free=True)
+    rows = keys.fk_flag(rows, spark.range(20).withColumnRenamed("id", "known_store"), "store", "known_store", "store_known")
+    built = _stored(
+        rows.select(keys.date_key(F.col("day")).alias("date_id"), "product", "store", "product_surrogate_key", "store_known", "units", "stock", "days_of_stock"),
+        "fact_inventory_daily",
+    )
     held = built.where("date_id < 20240110").withColumn("units", F.lit(0).cast("long"))
-    return merge.merge(held, built, ["date_id", "user_id", "event_type"], null_safe=True)
+    return merge.merge(held, built, ["date_id", "product", "store"], null_safe=True)
 
 
 def fact_summary(spark: SparkSession, d: str) -> DataFrame:
@@ -126,7 +166,7 @@ def fact_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def inventory_profile(spark: SparkSession, d: str) -> DataFrame:
-    return facts.inventory_profile(_with_stock(spark, d), "day", "event_type", "user_id", "units", "days_of_stock")
+    return facts.inventory_profile(_with_stock(spark, d), "day", "product", "store", "units", "days_of_stock")
 
 
 def dense_grid(spark: SparkSession, d: str) -> DataFrame:
@@ -137,7 +177,7 @@ def dense_grid(spark: SparkSession, d: str) -> DataFrame:
     return grid.join(n, ["user_id", "event_type"], "left").withColumn("events", F.coalesce("events", F.lit(0)))
 
 
-QUERIES = {f.__name__: f for f in (line_order_join, asof_attach, asof_attach_branch, lookup_attach, territory_derive, date_key, line_measures, fact_order_line, channel_revenue, upsert_null_safe, rolling_7d, days_of_stock, fact_inventory_daily, fact_summary, inventory_profile, dense_grid)}
+QUERIES = {f.__name__: f for f in (line_order_join, asof_attach, asof_attach_branch, asof_attach_overlapping, merge_partitions, lookup_attach, territory_derive, date_key, line_measures, fact_order_line, channel_revenue, upsert_null_safe, rolling_7d, days_of_stock, fact_inventory_daily, fact_summary, inventory_profile, dense_grid)}
 
 DATED = """dated AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 10 <> 0 THEN o_custkey END AS customer, CAST(l_shipdate AS DATE) AS ship_date
   FROM m)"""
@@ -152,11 +192,16 @@ def _asof(source: str) -> str:
 
 
 _DIM = DIM.partition("FROM orders), ")[2]  # the orders view is part of MEASURED
-TERR = """t AS (SELECT m.*, CASE channel WHEN 'STORE' THEN CAST(s_nationkey AS VARCHAR) WHEN 'B2B' THEN CAST(c_nationkey AS VARCHAR) WHEN 'D2C' THEN 'ONLINE' END AS territory
-  FROM m LEFT JOIN supplier ON s_suppkey = l_suppkey LEFT JOIN customer ON c_custkey = o_custkey)"""
+REPS = versions_sql("rdim", "l_suppkey", "rep_nation", "order_date", "(SELECT l_suppkey, order_date, c_nationkey AS rep_nation FROM m JOIN customer ON c_custkey = o_custkey)")
+CUSTOMERS = versions_sql("cdim", "o_custkey", "o_orderpriority", "order_date", "ord")
+PRODUCTS = versions_sql("pdim", "l_partkey", "l_returnflag", "CAST(l_shipdate AS DATE)", "lines")
+TERR = f"""{REPS}, t AS (SELECT m.*, rdim.valid_from AS rep_from, CASE channel WHEN 'STORE' THEN CAST(s_nationkey AS VARCHAR) WHEN 'B2B' THEN CAST(rep_nation AS VARCHAR) WHEN 'D2C' THEN 'ONLINE' END AS territory
+  FROM m LEFT JOIN supplier ON s_suppkey = l_suppkey LEFT JOIN rdim ON channel = 'B2B' AND rdim.l_suppkey = m.l_suppkey AND order_date BETWEEN lo AND hi)"""
 ROLLED = f"""{INVENTORY}, r AS (SELECT *, sum(units) OVER w AS total, count(*) OVER w AS rolling_days FROM inv
-  WINDOW w AS (PARTITION BY user_id, event_type ORDER BY day RANGE BETWEEN INTERVAL 6 DAYS PRECEDING AND CURRENT ROW)),
-  k AS (SELECT *, CASE WHEN rolling_days >= 3 AND total > 0 THEN CAST(floor(stock / CAST(round(CAST(total AS DECIMAL(20,8)) / rolling_days, 6) AS DECIMAL(14,6))) AS INTEGER) END AS days_of_stock FROM r)"""
+  WINDOW w AS (PARTITION BY user_id, event_type ORDER BY day RANGE BETWEEN INTERVAL 6 DAYS PRECEDING AND CURRENT ROW))"""
+STOCKED = f"""{STOCK}, r AS (SELECT *, sum(units) OVER w AS total, count(*) OVER w AS rolling_days FROM stk
+  WINDOW w AS (PARTITION BY product, store ORDER BY day RANGE BETWEEN INTERVAL 6 DAYS PRECEDING AND CURRENT ROW)),
+  k AS (SELECT *, CASE WHEN rolling_days >= 7 AND total > 0 THEN CAST(floor(stock / CAST(round(CAST(total AS DECIMAL(20,8)) / rolling_days, 6) AS DECIMAL(14,6))) AS INTEGER) END AS days_of_stock FROM r)"""
 SUMS = "count(*) AS rows, sum(quantity) AS units, CAST(sum(line_total) AS DECIMAL(14,2)) AS total, CAST(sum(tax_amount) AS DECIMAL(14,2)) AS tax"
 
 ORACLE_SQL = {
@@ -166,21 +211,34 @@ ORACLE_SQL = {
     "lookup_attach": "SELECT s_suppkey, s_nationkey, n_name, n_regionkey FROM supplier LEFT JOIN nation ON n_nationkey = s_nationkey AND n_regionkey <> 2",
     "territory_derive": f"WITH {MEASURED}, {TERR} SELECT channel, territory, count(*) AS rows FROM t GROUP BY 1, 2",
     "date_key": "SELECT o_orderkey, CAST(strftime(o_orderdate, '%Y%m%d') AS INTEGER) AS date_id FROM orders",
-    "line_measures": f"WITH {MEASURED} SELECT l_orderkey, l_linenumber, quantity, line_total, tax_amount, net_revenue FROM m",
-    "fact_order_line": f"""WITH {MEASURED}, {_DIM}, {TERR} SELECT l_orderkey, l_linenumber, CAST(strftime(t.order_date, '%Y%m%d') AS INTEGER) AS order_date_id, channel, territory, category,
-        CASE WHEN v.o_custkey IS NOT NULL THEN v.priority ELSE w.priority END AS customer_priority, quantity, line_total, tax_amount
-        FROM t LEFT JOIN dim v ON t.o_custkey = v.o_custkey AND CAST(l_shipdate AS DATE) BETWEEN v.valid_from AND coalesce(v.valid_to, DATE '9999-12-31')
-        LEFT JOIN (SELECT o_custkey, arg_min(priority, valid_from) AS priority FROM dim GROUP BY 1) w ON t.o_custkey = w.o_custkey""",
-    "channel_revenue": f"""WITH {MEASURED}, g AS (SELECT order_date, channel, category, count(DISTINCT l_orderkey) AS total_orders, count(*) AS total_lines, CAST(sum(quantity) AS BIGINT) AS total_units,
-        CAST(sum(line_total) AS DECIMAL(14,2)) AS net_revenue, CAST(sum(tax_amount) AS DECIMAL(14,2)) AS total_tax, count(*) FILTER (l_returnflag = 'R') AS returned_lines FROM m GROUP BY 1, 2, 3)
+    "line_measures": f"WITH {MEASURED} SELECT l_orderkey, l_linenumber, quantity, line_total, tax_amount, net_revenue, gross_revenue, discount_amount FROM m",
+    "fact_order_line": f"""WITH {MEASURED}, {TERR}, {CUSTOMERS}, {PRODUCTS} SELECT l_orderkey, l_linenumber, CAST(strftime(t.order_date, '%Y%m%d') AS INTEGER) AS order_date_id, channel, territory, category,
+        o_orderstatus AS status, {key_sql('t.o_custkey', 'cdim.valid_from')} AS customer_surrogate_key, {key_sql('t.l_partkey', 'pdim.valid_from')} AS product_surrogate_key,
+        {key_sql('t.l_suppkey', 'rep_from')} AS rep_surrogate_key, quantity, unit_price, gross_revenue, discount_amount, tax_amount, net_revenue
+        FROM t LEFT JOIN cdim ON cdim.o_custkey = t.o_custkey AND t.order_date BETWEEN cdim.lo AND cdim.hi
+        LEFT JOIN pdim ON pdim.l_partkey = t.l_partkey AND t.order_date BETWEEN pdim.lo AND pdim.hi""",
+    "asof_attach_overlapping": f"""WITH {MEASURED}, {_DIM}, {DATED}, longer AS (SELECT o_custkey, priority, valid_from, CAST(valid_to + INTERVAL 10 DAY AS DATE) AS valid_to FROM dim),
+        floors AS (SELECT o_custkey, min(valid_from) AS f FROM longer GROUP BY 1),
+        hit AS (SELECT l_orderkey, l_linenumber, max(valid_from) AS f FROM dated JOIN longer ON customer = o_custkey AND ship_date BETWEEN valid_from AND coalesce(valid_to, DATE '9999-12-31') GROUP BY 1, 2)
+        SELECT d.l_orderkey, d.l_linenumber, customer, ship_date, priority, valid_from FROM dated d LEFT JOIN hit ON hit.l_orderkey = d.l_orderkey AND hit.l_linenumber = d.l_linenumber
+        LEFT JOIN floors ON floors.o_custkey = customer LEFT JOIN longer ON longer.o_custkey = customer AND valid_from = coalesce(hit.f, floors.f)""",
+    "merge_partitions": """WITH h AS (SELECT o_orderkey, o_totalprice, strftime(o_orderdate, '%Y-%m') AS month FROM orders),
+        moved AS (SELECT o_orderkey, o_totalprice + 1 AS o_totalprice, CASE WHEN o_totalprice > 250000 THEN '1997-05' ELSE month END AS month FROM h WHERE month IN ('1997-03', '1997-04')),
+        months AS (SELECT month FROM moved UNION SELECT month FROM h WHERE o_orderkey IN (SELECT o_orderkey FROM moved))
+        SELECT o_orderkey, month, CAST(o_totalprice AS DECIMAL(14,2)) AS total FROM moved
+        UNION ALL SELECT o_orderkey, month, CAST(o_totalprice AS DECIMAL(14,2)) FROM h WHERE month IN (SELECT month FROM months) AND o_orderkey NOT IN (SELECT o_orderkey FROM moved)""",
+    "channel_revenue": f"""WITH {MEASURED}, {TERR}, g AS (SELECT order_date, channel, category, territory, count(DISTINCT l_orderkey) AS total_orders, count(*) AS total_lines, CAST(sum(quantity) AS BIGINT) AS total_units,
+        CAST(sum(gross_revenue) AS DECIMAL(14,2)) AS gross_revenue, CAST(sum(discount_amount) AS DECIMAL(14,2)) AS total_discount,
+        CAST(sum(line_total) AS DECIMAL(14,2)) AS net_revenue, CAST(sum(tax_amount) AS DECIMAL(14,2)) AS total_tax, count(*) FILTER (l_returnflag = 'R') AS returned_lines FROM t GROUP BY 1, 2, 3, 4)
         SELECT *, CAST(floor((CAST(net_revenue * 100 AS HUGEINT) * 2 + total_orders) / (2 * total_orders)) / 100 AS DECIMAL(14,2)) AS avg_order_value,
         CAST(floor((returned_lines * 20000 + total_lines) // (2 * total_lines)) / 100 AS DECIMAL(5,2)) AS return_rate_pct FROM g""",
     "upsert_null_safe": f"""WITH {MEASURED} SELECT channel, nullif(category, 'PROMO') AS category, count(*) AS rows, CAST(sum(line_total) AS DECIMAL(14,2)) AS total FROM m GROUP BY 1, 2""",
-    "rolling_7d": f"WITH {ROLLED} SELECT user_id, event_type, day, rolling_days, round(total / rolling_days, 6) AS rolling_avg FROM k",
-    "days_of_stock": f"WITH {ROLLED} SELECT user_id, event_type, day, days_of_stock FROM k",
-    "fact_inventory_daily": f"WITH {ROLLED} SELECT CAST(strftime(day, '%Y%m%d') AS INTEGER) AS date_id, user_id, event_type, units, stock, days_of_stock FROM k",
+    "rolling_7d": f"WITH {ROLLED} SELECT user_id, event_type, day, rolling_days, round(total / rolling_days, 6) AS rolling_avg FROM r",
+    "days_of_stock": f"WITH {STOCKED} SELECT product, store, day, days_of_stock FROM k",
+    "fact_inventory_daily": f"""WITH {STOCKED}, {STOCK_DIM} SELECT CAST(strftime(day, '%Y%m%d') AS INTEGER) AS date_id, k.product, store, {key_sql('k.product')} AS product_surrogate_key, store < 20 AS store_known,
+        units, stock, days_of_stock FROM k LEFT JOIN sdim ON sdim.product = k.product AND day BETWEEN lo AND hi""",
     "fact_summary": f"WITH {MEASURED} SELECT channel, {SUMS} FROM m GROUP BY 1 UNION ALL SELECT 'ALL', {SUMS} FROM m",
-    "inventory_profile": f"""WITH {ROLLED} SELECT day, count(*) AS rows, count(DISTINCT event_type) AS products, count(DISTINCT user_id) AS stores, CAST(sum(units) AS BIGINT) AS stock,
+    "inventory_profile": f"""WITH {STOCKED} SELECT day, count(*) AS rows, count(DISTINCT product) AS products, count(DISTINCT store) AS stores, CAST(sum(units) AS BIGINT) AS stock,
         count(*) FILTER (units = 0) AS stockouts, count(days_of_stock) AS with_derived FROM k GROUP BY 1""",
     "dense_grid": """SELECT user_id, event_type, count(event_id) AS events FROM (SELECT DISTINCT user_id FROM events) CROSS JOIN (SELECT DISTINCT event_type FROM events)
         LEFT JOIN events USING (user_id, event_type) GROUP BY 1, 2""",

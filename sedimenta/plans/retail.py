@@ -51,6 +51,35 @@ def customer_dim(spark: SparkSession, d: str) -> DataFrame:
     return scd.scd2_from_timeline(customer_timeline(spark, d), "o_custkey", "order_date", ["priority"])
 
 
+def product_dim(spark: SparkSession, d: str) -> DataFrame:
+    """Versions of parts by the days on which they shipped: the day's largest return flag."""
+    days = silver_lines(spark, d).select("l_partkey", F.to_date("l_shipdate").alias("day"), F.col("l_returnflag").alias("product_class"))
+    return scd.scd2_from_timeline(days, "l_partkey", "day", ["product_class"])
+
+
+def rep_dim(spark: SparkSession, d: str) -> DataFrame:
+    """Versions of suppliers, as sales reps, by order day: the largest nation of the day's customers is their territory."""
+    lines = silver_lines(spark, d).join(orders(spark, d), F.col("l_orderkey") == F.col("o_orderkey"))
+    lines = lines.join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    days = lines.select("l_suppkey", "order_date", F.col("c_nationkey").alias("rep_nation"))
+    return scd.scd2_from_timeline(days, "l_suppkey", "order_date", ["rep_nation"])
+
+
+def stock(spark: SparkSession, d: str) -> DataFrame:
+    """Events by type and one of 25 groups of users, as a daily snapshot of (product, store, day)."""
+    return table(spark, d, "events").groupBy(F.col("event_type").alias("product"), F.pmod("user_id", F.lit(25)).alias("store"), F.to_date("ts").alias("day")).agg(
+        F.count(F.lit(1)).alias("units"), F.sum(F.col("value").cast("decimal(12,2)")).cast("decimal(14,2)").alias("stock")
+    )
+
+
+def stock_dim(spark: SparkSession, d: str) -> DataFrame:
+    """Versions of event types by day: the number of users that day, at most nine."""
+    users = table(spark, d, "events").groupBy(F.col("event_type").alias("product"), F.to_date("ts").alias("day")).agg(
+        F.least(F.count_distinct("user_id"), F.lit(9)).alias("reach")
+    )
+    return scd.scd2_from_timeline(users, "product", "day", ["reach"])
+
+
 def inventory(spark: SparkSession, d: str) -> DataFrame:
     """Events by user, type and day, as a daily snapshot of (product, store, day)."""
     return table(spark, d, "events").groupBy("user_id", "event_type", F.to_date("ts").alias("day")).agg(
@@ -68,9 +97,27 @@ ORDERS = """ord AS (SELECT o_orderkey, o_custkey, o_orderstatus, CAST(o_orderdat
 MEASURED = f"""{LINES}, {ORDERS}, priced AS (SELECT lines.*, ord.*, p_type AS category, CAST(l_quantity AS INTEGER) AS quantity,
   CAST(CAST(l_extendedprice AS DECIMAL(12,2)) * CAST(CAST(l_quantity AS INTEGER) AS DECIMAL(10,0)) * (CAST(1 AS DECIMAL(3,2)) - CAST(l_discount AS DECIMAL(3,2))) AS DECIMAL(14,2)) AS line_total
   FROM lines JOIN ord ON l_orderkey = o_orderkey LEFT JOIN part ON l_partkey = p_partkey),
-m AS (SELECT *, CAST(round(line_total * CAST(0.18 AS DECIMAL(4,2)), 2) AS DECIMAL(14,2)) AS tax_amount, line_total AS net_revenue FROM priced)"""
+m AS (SELECT *, CAST(round(line_total * CAST(0.18 AS DECIMAL(4,2)), 2) AS DECIMAL(14,2)) AS tax_amount, line_total AS net_revenue,
+  CAST(l_extendedprice AS DECIMAL(12,2)) AS unit_price, CAST(CAST(l_extendedprice AS DECIMAL(12,2)) * CAST(quantity AS DECIMAL(10,0)) AS DECIMAL(14,2)) AS gross_revenue,
+  CAST(CAST(CAST(l_extendedprice AS DECIMAL(12,2)) * CAST(quantity AS DECIMAL(10,0)) AS DECIMAL(14,2)) - line_total AS DECIMAL(14,2)) AS discount_amount FROM priced)"""
 TIMELINE = f"{ORDERS}, timeline AS (SELECT o_custkey, order_date, max(o_orderpriority) AS priority FROM ord GROUP BY 1, 2)"
 DIM = f"""{TIMELINE}, dim AS (SELECT o_custkey, priority, order_date AS valid_from,
   CAST(lead(order_date) OVER (PARTITION BY o_custkey ORDER BY order_date) - INTERVAL 1 DAY AS DATE) AS valid_to FROM timeline)"""
 INVENTORY = """inv AS (SELECT user_id, event_type, CAST(ts AS DATE) AS day, count(*) AS units,
   CAST(sum(CAST(value AS DECIMAL(12,2))) AS DECIMAL(14,2)) AS stock FROM events GROUP BY 1, 2, 3)"""
+
+
+def versions_sql(name: str, key: str, column: str, day: str, source: str) -> str:
+    """A gap-free timeline in SQL: the largest value of a day counts; the first version reaches back to all days before it."""
+    return f"""{name}_days AS (SELECT {key}, {day} AS valid_from, max({column}) AS {column} FROM {source} GROUP BY 1, 2),
+  {name} AS (SELECT *, CASE WHEN row_number() OVER w = 1 THEN DATE '0001-01-01' ELSE valid_from END AS lo,
+    coalesce(CAST(lead(valid_from) OVER w - INTERVAL 1 DAY AS DATE), DATE '9999-12-31') AS hi FROM {name}_days WINDOW w AS (PARTITION BY {key} ORDER BY valid_from))"""
+
+
+def key_sql(key: str, day: str = "valid_from") -> str:
+    return f"CAST('0x' || substr(md5(CAST({key} AS VARCHAR) || '|' || strftime({day}, '%Y-%m-%d')), 1, 15) AS BIGINT)"
+
+
+STOCK = """stk AS (SELECT event_type AS product, user_id % 25 AS store, CAST(ts AS DATE) AS day, count(*) AS units,
+  CAST(sum(CAST(value AS DECIMAL(12,2))) AS DECIMAL(14,2)) AS stock FROM events GROUP BY 1, 2, 3)"""
+STOCK_DIM = versions_sql("sdim", "product", "reach", "day", "(SELECT event_type AS product, CAST(ts AS DATE) AS day, least(count(DISTINCT user_id), 9) AS reach FROM events GROUP BY 1, 2)")

@@ -114,7 +114,55 @@ def transition_counts(spark: SparkSession, d: str) -> DataFrame:
     return rules.transition_counts(moves, "from_status", "to_status")
 
 
-QUERIES = {f.__name__: f for f in (dedup_latest, dedup_latest_composite, fk_flag, dq_tag, dq_split, quarantine_envelope, change_tracking, upsert_guarded, reject_breakdown, layer_counts, transition_counts)}
+def _bronze(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """Bronze rows of orders, lines, customers and products, with faults in them."""
+    o = orders(spark, d)
+    status = F.when(F.col("o_orderstatus") == "F", "DELIVERED").when(F.col("o_orderstatus") == "O", "SHIPPED")
+    return {
+        "customers": table(spark, d, "customer").where("c_mktsegment <> 'BUILDING'").select(F.col("c_custkey").alias("customer_id")),
+        "products": table(spark, d, "part").where("p_size > 5").select(F.col("p_partkey").alias("product_id")),
+        "orders": o.select(
+            F.col("o_orderkey").alias("order_id"),
+            F.col("o_custkey").alias("customer_id"),
+            F.when(F.col("channel") == "D2C", F.when(F.col("o_orderpriority") == "5-LOW", "WEB").otherwise("D2C")).otherwise(F.col("channel")).alias("channel_type"),
+            "order_date",
+            status.alias("status"),
+            (F.col("o_totalprice") - 50_000).alias("total_amount"),
+            F.when(F.col("o_totalprice") < 300_000, F.col("o_custkey")).alias("store_id"),
+            F.when(F.col("o_totalprice") > 100_000, F.col("o_custkey")).alias("rep_id"),
+            F.to_timestamp("order_date").alias("_bronze_timestamp"),
+        ),
+        "order_lines": table(spark, d, "lineitem").select(
+            (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line_id"),
+            F.col("l_orderkey").alias("order_id"),
+            F.col("l_partkey").alias("product_id"),
+            (F.col("l_quantity").cast("int") - 3).alias("quantity"),
+            (F.col("l_extendedprice") - 5_000).alias("unit_price"),
+            F.col("l_shipdate").alias("_bronze_timestamp"),
+            "l_suppkey",
+        ),
+    }
+
+
+def entity_orders(spark: SparkSession, d: str) -> DataFrame:
+    from .entities import entities
+
+    bronze = _bronze(spark, d)
+    return entities()["orders"].tag(bronze["orders"], bronze, [F.col("order_id")]).select("order_id", "dq_passed", "dq_rejection_reason")
+
+
+def entity_order_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Lines against orders that passed and products that are known."""
+    from .entities import entities
+
+    bronze = _bronze(spark, d)
+    passed = entities()["orders"].tag(bronze["orders"], bronze, [F.col("order_id")]).where("dq_passed")
+    ties = [F.desc("unit_price"), F.col("product_id"), F.col("l_suppkey"), F.col("quantity")]
+    found = entities()["order_lines"].tag(bronze["order_lines"], bronze | {"orders": passed}, ties)
+    return found.select("line_id", "dq_passed", "dq_rejection_reason")
+
+
+QUERIES = {f.__name__: f for f in (entity_orders, entity_order_lines, dedup_latest, dedup_latest_composite, fk_flag, dq_tag, dq_split, quarantine_envelope, change_tracking, upsert_guarded, reject_breakdown, layer_counts, transition_counts)}
 
 FLAGGED = f"""{LINES}, fl AS (SELECT *, EXISTS (SELECT 1 FROM part WHERE p_partkey = l_partkey AND p_brand <> 'Brand#7') AS part_known,
   EXISTS (SELECT 1 FROM supplier WHERE s_suppkey = l_suppkey AND s_nationkey % 2 = 0) AS supplier_known FROM lines)"""
@@ -129,7 +177,20 @@ STATE = """SELECT o_custkey, o_orderpriority AS priority, o_orderstatus AS statu
 STATES = f"{ORDERS}, old AS ({STATE.format('1998-01-01')}), new AS ({STATE.format('2000-01-01')})"
 RAW = """'{"l_orderkey":' || l_orderkey || ',"l_linenumber":' || l_linenumber || ',"l_partkey":' || l_partkey || '}'"""
 
+ENTITY = f"""{ORDERS}, ent AS (SELECT *, list_filter([
+  CASE WHEN NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_mktsegment <> 'BUILDING') THEN 'UNKNOWN_CUSTOMER_ID' END,
+  CASE WHEN channel = 'D2C' AND o_orderpriority = '5-LOW' THEN 'INVALID_CHANNEL_TYPE' END,
+  CASE WHEN o_orderstatus NOT IN ('F', 'O') THEN 'NULL_STATUS' END, CASE WHEN o_totalprice - 50000 <= 0 THEN 'INVALID_TOTAL_AMOUNT' END,
+  CASE WHEN channel = 'STORE' AND o_totalprice >= 300000 THEN 'STORE_MISSING_STORE_ID' END, CASE WHEN channel = 'B2B' AND o_totalprice <= 100000 THEN 'B2B_MISSING_REP_ID' END],
+  lambda x: x IS NOT NULL) AS c FROM ord)"""
+
 ORACLE_SQL = {
+    "entity_orders": f"WITH {ENTITY} SELECT o_orderkey AS order_id, len(c) = 0 AS dq_passed, nullif(array_to_string(c, ';'), '') AS dq_rejection_reason FROM ent",
+    "entity_order_lines": f"""WITH {ENTITY}, l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey * 10 + l_linenumber ORDER BY l_shipdate DESC, l_extendedprice DESC, l_partkey, l_suppkey, l_quantity) AS rn FROM lineitem) WHERE rn = 1),
+        t AS (SELECT *, list_filter([CASE WHEN NOT EXISTS (SELECT 1 FROM ent WHERE o_orderkey = l_orderkey AND len(c) = 0) THEN 'UNKNOWN_ORDER_ID' END,
+        CASE WHEN NOT EXISTS (SELECT 1 FROM part WHERE p_partkey = l_partkey AND p_size > 5) THEN 'UNKNOWN_PRODUCT_ID' END,
+        CASE WHEN CAST(l_quantity AS INTEGER) - 3 <= 0 THEN 'INVALID_QUANTITY' END, CASE WHEN l_extendedprice - 5000 <= 0 THEN 'INVALID_UNIT_PRICE' END], lambda x: x IS NOT NULL) AS c FROM l)
+        SELECT l_orderkey * 10 + l_linenumber AS line_id, len(c) = 0 AS dq_passed, nullif(array_to_string(c, ';'), '') AS dq_rejection_reason FROM t""",
     "dedup_latest": f"WITH {LINES} SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_shipdate AS DATE) AS ship_date, CAST(l_extendedprice AS DECIMAL(12,2)) AS price FROM lines",
     "dedup_latest_composite": """SELECT user_id, event_type, day, event_id FROM (SELECT *, CAST(ts AS DATE) AS day, row_number() OVER
         (PARTITION BY user_id, event_type, CAST(ts AS DATE) ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1""",

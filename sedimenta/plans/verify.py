@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import checks
+from .facts import TERR
 from .retail import DIM, INVENTORY, LINES, MEASURED, ORDERS, customer_dim, inventory, measured_lines, orders, silver_lines, table
 
 
@@ -89,9 +90,18 @@ def grid_completeness(spark: SparkSession, d: str) -> DataFrame:
 
 
 def daily_audit(spark: SparkSession, d: str) -> DataFrame:
-    found = checks.daily_audit(table(spark, d, "events"), F.to_date("ts"), "ts")
+    """Events per day with first and last time, lines per order day, and the last three events."""
     fmt = "yyyy-MM-dd HH:mm:ss.SSSSSS"
-    return found.select("day", "rows", F.date_format("first_at", fmt).alias("first_at"), F.date_format("last_at", fmt).alias("last_at"))
+    events = checks.daily_audit(table(spark, d, "events"), F.to_date("ts"), "ts")
+    shown = [F.date_format(c, fmt).alias(c) for c in ("first_at", "last_at")]
+    none = [F.lit(None).cast("string").alias(c) for c in ("first_at", "last_at")]
+    lines = checks.lines_per_day(silver_lines(spark, d), orders(spark, d), "l_orderkey", "o_orderkey", "order_date")
+    last = checks.last_rows(table(spark, d, "events"), "ts", ["event_id"])
+    return (
+        events.select(F.lit("events").alias("part"), "day", "rows", *shown)
+        .unionByName(lines.select(F.lit("lines").alias("part"), "day", "rows", *none))
+        .unionByName(last.select(F.lit("last").alias("part"), F.to_date("ts").alias("day"), F.col("event_id").alias("rows"), F.date_format("ts", fmt).alias("first_at"), none[1]))
+    )
 
 
 def cardinality_histogram(spark: SparkSession, d: str) -> DataFrame:
@@ -116,8 +126,8 @@ def breakdowns(spark: SparkSession, d: str) -> DataFrame:
 def top_grain(spark: SparkSession, d: str) -> DataFrame:
     from .facts import channel_revenue
 
-    return checks.top_grain(channel_revenue(spark, d), "net_revenue", ["order_date", "channel", "category"]).select(
-        "order_date", "channel", "category", "net_revenue"
+    return checks.top_grain(channel_revenue(spark, d), "net_revenue", ["order_date", "channel", "category", "territory"]).select(
+        "order_date", "channel", "category", "territory", "net_revenue"
     )
 
 
@@ -163,7 +173,9 @@ ORACLE_SQL = {
     "grid_completeness": f"""WITH {INVENTORY}, g AS (SELECT day, count(*) * CASE WHEN day = DATE '2024-01-09' THEN 2 ELSE 1 END AS n, count(*) AS pairs, count(DISTINCT user_id) * count(DISTINCT event_type) AS grid
         FROM inv WHERE day <> DATE '2024-01-07' GROUP BY day), e AS (SELECT CAST(x AS DATE) AS day FROM (SELECT unnest(generate_series(DATE '2024-01-01', DATE '2024-02-01', INTERVAL 1 DAY)) AS x))
         SELECT e.day, CAST(coalesce(n, 0) AS BIGINT) AS rows, coalesce(grid, 0) AS grid, CASE WHEN n IS NULL THEN 'MISSING' WHEN n > pairs THEN 'DUPES' WHEN pairs < grid THEN 'PARTIAL' ELSE 'ok' END AS status FROM e LEFT JOIN g ON e.day = g.day""",
-    "daily_audit": "SELECT CAST(ts AS DATE) AS day, count(*) AS rows, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS first_at, strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') AS last_at FROM events GROUP BY 1",
+    "daily_audit": f"""WITH {LINES} SELECT 'events' AS part, CAST(ts AS DATE) AS day, count(*) AS rows, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS first_at, strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') AS last_at FROM events GROUP BY 2
+        UNION ALL SELECT 'lines', CAST(o_orderdate AS DATE), count(*), NULL, NULL FROM lines JOIN orders ON o_orderkey = l_orderkey GROUP BY 2
+        UNION ALL SELECT 'last', CAST(ts AS DATE), event_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f'), NULL FROM (SELECT * FROM events ORDER BY ts DESC, event_id DESC LIMIT 3)""",
     "cardinality_histogram": "SELECT size, count(*) AS keys FROM (SELECT count(*) AS size FROM orders GROUP BY o_custkey) GROUP BY 1",
     "null_profile": """SELECT c_nationkey, count(*) FILTER (b IS NULL) AS nulls, count(b) AS non_nulls, count(*) AS rows, count(*) FILTER (b < 0) AS negatives
         FROM (SELECT c_nationkey, CASE WHEN c_custkey % 5 <> 0 THEN c_acctbal - 1000 END AS b FROM customer) GROUP BY 1""",
@@ -171,7 +183,7 @@ ORACLE_SQL = {
         (SELECT CAST(ts AS DATE) AS day, count(*) FILTER (event_type = 'error') AS hits, count(*) AS rows FROM events GROUP BY 1)""",
     "breakdowns": f"""WITH {ORDERS} SELECT 'channel' AS "column", channel AS "value", count(*) AS rows FROM ord GROUP BY 2 UNION ALL SELECT 'o_orderstatus', o_orderstatus, count(*) FROM ord GROUP BY 2
         UNION ALL SELECT 'o_orderpriority', o_orderpriority, count(*) FROM ord GROUP BY 2""",
-    "top_grain": f"WITH {MEASURED} SELECT order_date, channel, category, CAST(sum(line_total) AS DECIMAL(14,2)) AS net_revenue FROM m GROUP BY 1, 2, 3 ORDER BY 4 DESC, 1, 2, 3 LIMIT 5",
+    "top_grain": f"WITH {MEASURED}, {TERR} SELECT order_date, channel, category, territory, CAST(sum(line_total) AS DECIMAL(14,2)) AS net_revenue FROM t GROUP BY 1, 2, 3, 4 ORDER BY 5 DESC, 1, 2, 3, 4 NULLS FIRST LIMIT 5",
     "scorecard": f"""SELECT 'bronze_duplicates' AS "check", count(*) AS "value", CAST(0 AS BIGINT) AS expected, CASE WHEN count(*) = 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM ({DUPES})
         UNION ALL SELECT x, 0, 0, 'PASS' FROM (VALUES ('line_duplicates'), ('no_current'), ('intervals'), ('part_orphans')) AS v(x)""",
 }

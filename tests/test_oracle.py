@@ -8,7 +8,7 @@ from sedimenta.plans import bindings
 
 def test_every_operator_has_sql():
     assert set(bindings.QUERIES) == set(bindings.ORACLE_SQL)
-    assert len(bindings.QUERIES) == 85
+    assert len(bindings.QUERIES) >= 85
 
 
 @pytest.mark.parametrize("name", sorted(bindings.QUERIES))

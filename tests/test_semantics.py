@@ -226,6 +226,47 @@ def test_landing_layouts(spark, tmp_path):
     assert [landing.landing_scan(spark, f"{tmp_path}/{x}").count() for x in ("by_date", "whole", "flat")] == [2, 2, 2]
 
 
+def test_landing_by_date_comes_before_full_and_full_is_one_snapshot(spark, tmp_path):
+    df = spark.createDataFrame([(i, dt.datetime(2024, 1, 1 + i % 3)) for i in range(30)], "id int, ts timestamp")
+    df.limit(7).write.parquet(f"{tmp_path}/full")
+    df.repartition(4).write.mode("append").parquet(f"{tmp_path}/full")
+    assert landing.landing_scan(spark, str(tmp_path)).count() == 30  # the newest write, all of its files
+    landing.by_date_extract(df.where("id < 12"), "ts", f"{tmp_path}/days")
+    assert landing.landing_scan(spark, str(tmp_path)).count() == 12
+    assert landing.latest_snapshot(spark, f"{tmp_path}/full").count() == 30
+
+
+def test_landing_writers_in_one_folder(spark, tmp_path):
+    spark.sql("select 1 as id, date'2024-01-01' as day, 1.5 as x").write.parquet(f"{tmp_path}/main")
+    spark.sql("select 2L as id, 0 as day, 'z' as extra").write.parquet(f"{tmp_path}/other")
+    found = landing.landing_scan(spark, str(tmp_path), preferred="/main/")
+    assert [f.dataType.simpleString() for f in found.schema] == ["bigint", "date", "decimal(2,1)"]
+    assert sorted((r.id, str(r.day), str(r.x)) for r in found.collect()) == [(1, "2024-01-01", "1.5"), (2, "None", "None")]
+    assert landing.landing_scan(spark, str(tmp_path)).columns == ["id", "day", "extra"]  # the newest of any
+
+
+def test_timeline_with_two_rows_on_a_day(spark):
+    log = spark.createDataFrame([("k", D(2024, 1, 1), "a"), ("k", D(2024, 1, 1), "b"), ("k", D(2024, 2, 1), "a")], "k string, day date, v string")
+    found = scd.scd2_from_timeline(log, "k", "day", ["v"])
+    assert rows(found.select("v", "valid_from", "valid_to")) == [("a", D(2024, 2, 1), None), ("b", D(2024, 1, 1), D(2024, 1, 31))]
+    assert checks.check_intervals(found, "k").count() == 0
+
+
+def test_asof_refuses_overlaps_and_spreads_facts_without_a_key(spark):
+    dim = spark.createDataFrame([("k", "v1", D(2020, 1, 1), D(2020, 12, 31)), ("k", "v2", D(2020, 2, 1), None)], "nk string, v string, valid_from date, valid_to date")
+    with pytest.raises(Exception, match="overlapping versions of k"):
+        joins.asof_attach(facts_frame(spark), dim, "key", "nk", "day", ["v"]).collect()
+    many = spark.range(400).select(F.col("id").cast("int").alias("id"), F.lit(None).cast("string").alias("key"), F.lit("2020-05-01").cast("date").alias("day"))
+    found = joins.asof_attach(many, dim.where("v = 'v2'").hint("merge"), "key", "nk", "day", ["v"], gap_free=True)
+    assert found.where("v is null").count() == 400 and found.columns == ["id", "key", "day", "v"]
+
+
+def test_cosine_topk_in_blocks(spark):
+    vectors = spark.createDataFrame([(i, [float(i % 7), float(i % 5), 1.0]) for i in range(60)] + [(90, [0.0, 0.0, 0.0]), (91, None)], "vec_id long, v array<float>")
+    one, many = (rows(detect.cosine_topk(vectors, vectors.where("vec_id < 20"), "vec_id", "v", 3, 0.5, block=b)) for b in (1000, 6))
+    assert one == many and len(one) == 60
+
+
 def test_guarded_write(spark, tmp_path):
     df = spark.createDataFrame([(1, "a"), (2, "b")], "v int, p string")
     path = f"{tmp_path}/t"
