@@ -179,6 +179,11 @@ def sampler(keys_of: Callable):
     return run
 
 
+def one_shard_a_task(blocks: DataFrame, shards: int) -> DataFrame:
+    """Blocks placed by the number of their shard: its hash would put several shards into some tasks and none into others."""
+    return blocks.repartitionById(shards, "shard")
+
+
 def _gathered(t: pa.Table) -> tuple[int, np.ndarray, np.ndarray]:
     parts = [_unblock(x) for x in t.column("block").to_pylist()]
     return t.column("shard")[0].as_py(), *_summed(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
@@ -347,7 +352,7 @@ def _level(texts: DataFrame, trie: Trie, name: str, contexts: int, keys_of: Call
     cuts = sorted({int(keys[i * len(keys) // parts]) for i in range(1, parts)}) if len(keys) else []
     grams = Grams(folder, name, width, cuts, {})
     blocks = texts.mapInArrow(counter(keys_of, grams.shard_of), "shard int, block binary")
-    done = blocks.groupBy("shard").applyInArrow(
+    done = one_shard_a_task(blocks, len(cuts) + 1).groupBy("shard").applyInArrow(
         build_grams(grams, totals_of, discount), "shard int, low long, high long, n long, at_low long, at_high long"
     )
     return Grams(folder, name, width, cuts, {r["shard"]: tuple(r)[1:] for r in done.collect()})
@@ -361,7 +366,7 @@ def train(texts: DataFrame, discount: float = DISCOUNT) -> dict:
     size = texts.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
     bits = max(0, int((size["bytes"] or 0) // (32 * SHARD_TOKENS)).bit_length())
     counted = texts.mapInArrow(counter(lambda tokens: tokens, lambda words: _word_shard(words, bits)), "shard int, block binary")
-    built = counted.groupBy("shard").applyInArrow(build_words(folder, bits), "shard int, n long, tokens long").collect()
+    built = one_shard_a_task(counted, 1 << bits).groupBy("shard").applyInArrow(build_words(folder, bits), "shard int, n long, tokens long").collect()
     sizes, tokens = [0] * (1 << bits), 0
     for r in built:
         sizes[r["shard"]] = r["n"]
