@@ -341,7 +341,8 @@ def removed_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     ``docs``: doc_id long, text_id long, text, no nulls.
     """
     every = docs.mapInArrow(anchors(length, only_anchor=True), "anchor long")
-    shared = every.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    # Counts are staged before they are joined: only then can adaptive execution split an anchor that very many rows have.
+    shared = staged(every.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "shared")
     schema = "anchor long, seg long, doc_id long, text_id long, start long, windows int"
     found = staged(docs.mapInArrow(anchors(length), schema).join(shared, "anchor", "left_semi"), "segments")
     lead = F.min(F.struct(*DOCUMENT, "start", "windows")).alias("lead")
@@ -351,7 +352,7 @@ def removed_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         .where(_elsewhere("start"))
         .select(*DOCUMENT, F.col("start").alias("begin"), (F.col("start") + F.col("windows") + (length - 1)).alias("end"))
     )
-    several = contents.groupBy("anchor").agg(F.count(F.lit(1)).alias("segs")).where("segs > 1")
+    several = staged(contents.groupBy("anchor").agg(F.count(F.lit(1)).alias("segs")).where("segs > 1"), "several")
     leads = contents.join(several, "anchor").select("anchor", "lead.*", "segs")
     wanted = leads.groupBy(DOCUMENT).agg(F.collect_list(F.struct("anchor", "start", "windows", "segs")).alias("wanted"))
     packed = docs.mapInArrow(squeezed, "doc_id long, text_id long, packed binary").dropDuplicates(DOCUMENT)
@@ -369,7 +370,7 @@ def removed_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         .where(_elsewhere("start"))
         .select(*DOCUMENT, F.col("start").alias("begin"), (F.col("start") + F.length("bytes")).alias("end"))
     )
-    several = pieces.groupBy("anchor").agg(F.count(F.lit(1)).alias("segs")).where("segs > 1")
+    several = staged(pieces.groupBy("anchor").agg(F.count(F.lit(1)).alias("segs")).where("segs > 1"), "several")
     columns = ["anchor", *DOCUMENT, "start", "segs", "bytes"]
     cut = cut.where("piece is null").select(columns).unionByName(pieces.join(several, "anchor").select("anchor", "segs", "lead.*").select(columns))
     shards = max(1, math.ceil(2 * cut.count() / SHARD_SEGMENTS))  # half full, with room for a large anchor
