@@ -318,8 +318,11 @@ def salted_join(left: DataFrame, right: DataFrame, key: list[str], salts: int, h
 
 
 def sharing_a_bucket(pairs: DataFrame, at: DataFrame) -> DataFrame:
-    """The pairs of which both have some bucket of ``at``."""
-    own = at.groupBy("doc_id").agg(F.collect_set("bucket").alias("own"))
+    """The pairs of which both have some bucket of ``at``.
+
+    The sets are staged before they are joined: only then can adaptive execution split a head that is in very many pairs.
+    """
+    own = staged(at.groupBy("doc_id").agg(F.collect_set("bucket").alias("own")), "own")
     a, b = (own.select(F.col("doc_id").alias(x), F.col("own").alias(f"of_{x}")) for x in ("a", "b"))
     return pairs.join(a, "a").join(b, "b").where(F.arrays_overlap("of_a", "of_b")).select("a", "b")
 
