@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import content_sort, dart_minhash, decontaminate, lid_crf, ngram_trie, packing, reply_trees, secret_scan, suffix_dedup, warc
+from . import content_sort, dart_minhash, decontaminate, lid_crf, line_dedup, ngram_trie, packing, prefix_trie, reply_trees, secret_scan, suffix_dedup, vector_codes, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lid_crf": lid_crf.op1_lid_crf,
@@ -19,10 +19,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_dart_minhash": dart_minhash.op8_dart_minhash,
     "op9_content_sort": content_sort.op9_content_sort,
     "op10_warc": warc.op10_warc,
+    "op11_prefix_trie": prefix_trie.op11_prefix_trie,
+    "op12_line_dedup": line_dedup.op12_line_dedup,
+    "op13_vector_codes": vector_codes.op13_vector_codes,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op6_reply_trees": reply_trees.OP6_SQL,
     "op7_decontaminate": decontaminate.OP7_SQL,
     "op9_content_sort": content_sort.OP9_SQL,
+    "op11_prefix_trie": prefix_trie.OP11_SQL,
+    "op12_line_dedup": line_dedup.OP12_SQL,
+    "op13_vector_codes": vector_codes.OP13_SQL,
 }
