@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.errors import PySparkException
+import time
+import uuid
+from collections.abc import Callable, Mapping
+from concurrent.futures import ThreadPoolExecutor, wait
+
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .keys import fk_flag
+
 
 def _rows() -> Column:
     return F.count(F.lit(1))
@@ -132,21 +139,69 @@ def top_grain(df: DataFrame, measure: str, ties: list[str], k: int = 5) -> DataF
     return df.orderBy(F.desc(measure), *ties).limit(k)
 
 
-def scorecard(spark: SparkSession, checks: dict[str, tuple[DataFrame, int]]) -> DataFrame:
-    """``(check, value, expected, status)``: the row count of each check's DataFrame against what it must be.
+def fk_card(fact: DataFrame, keys: list[tuple[str, str, DataFrame, str, bool]]) -> DataFrame:
+    """All foreign keys of a fact in one pass: ``(check, rows, nulls, orphans)``.
 
-    All checks run as one job; a check whose plan is invalid is an ERROR, apart from FAIL.
+    ``keys``: name, fact column, dimension, its key, and whether a null is an
+    orphan too.  The fact is joined to the distinct keys of each dimension.
+    """
+    rows = fact
+    for n, (_, column, dim, key, _) in enumerate(keys):
+        rows = fk_flag(rows, dim, column, key, f"_known{n}")
+    sums = []
+    for n, (_, column, _, _, required) in enumerate(keys):
+        missing = ~F.col(f"_known{n}") if required else ~F.col(f"_known{n}") & F.col(column).isNotNull()
+        sums += [F.count_if(F.col(column).isNull()).alias(f"nulls{n}"), F.count_if(missing).alias(f"orphans{n}")]
+    one = rows.agg(_rows().alias("rows"), *sums)
+    told = [F.struct(F.lit(name).alias("check"), "rows", F.col(f"nulls{n}").alias("nulls"), F.col(f"orphans{n}").alias("orphans")) for n, (name, *_) in enumerate(keys)]
+    return one.select(F.explode(F.array(*told)).alias("x")).select("x.*")
+
+
+def scorecard(
+    spark: SparkSession, checks: Mapping[str, tuple[DataFrame | Callable[[], DataFrame], int]], seconds: float = 300.0, workers: int = 4, attempts: int = 1
+) -> DataFrame:
+    """``(check, value, expected, status, attempts, error)``: the rows of each check's DataFrame against what they must be.
+
+    Every check is a job group of its own, ``workers`` side by side.  One that
+    raises, while planned or in a task, is an ERROR; one whose tasks run for
+    longer than ``seconds`` is cancelled by its group and is a TIMEOUT, tried up
+    to ``attempts`` times: a check that waits behind the tasks of another is not
+    late.  Neither touches the others, and neither is a FAIL.
+    Checks run when this is called; the card has one row for each.
     """
-    out, broken = None, []
-    for name, (df, expected) in checks.items():
-        try:
-            one = df.agg(_rows().alias("value")).select(F.lit(name).alias("check"), "value", F.lit(expected).cast("long").alias("expected"))
-        except PySparkException:
-            broken.append((name, None, expected, "ERROR"))
-            continue
-        out = one if out is None else out.unionByName(one)
-    scored = None if out is None else out.withColumn("status", F.when(F.col("value") == F.col("expected"), "PASS").otherwise("FAIL"))
-    if broken or scored is None:
-        errors = spark.createDataFrame(broken, "check string, value long, expected long, status string")
-        return errors if scored is None else scored.unionByName(errors)
-    return scored
+    sc, tracker = spark.sparkContext, spark.sparkContext.statusTracker()
+
+    def run(group: str, name: str, made: DataFrame | Callable[[], DataFrame]) -> int:
+        sc.setJobGroup(group, f"check {name}")
+        return (made() if callable(made) else made).count()
+
+    def at_work(group: str) -> bool:
+        jobs = [tracker.getJobInfo(j) for j in tracker.getJobIdsForGroup(group)]
+        stages = [tracker.getStageInfo(s) for j in jobs if j for s in j.stageIds]
+        return any(s and s.numActiveTasks for s in stages)
+
+    def watched(name: str, made: DataFrame | Callable[[], DataFrame]) -> tuple[int | None, str | None, int, str | None]:
+        for attempt in range(1, attempts + 1):
+            group, busy, seen, late = f"check-{uuid.uuid4().hex}", 0.0, time.monotonic(), False
+            with ThreadPoolExecutor(1) as one:
+                job = one.submit(inheritable_thread_target(spark)(run), group, name, made)
+                while not wait([job], timeout=0.2).done:
+                    now = time.monotonic()
+                    busy, seen = busy + (now - seen if at_work(group) else 0), now
+                    if busy >= seconds:
+                        late = True
+                        sc.cancelJobGroup(group)
+            if not job.exception():
+                return job.result(), None, attempt, None
+            if not late:
+                return None, "ERROR", attempt, str(job.exception()).strip().splitlines()[0][:300]
+        return None, "TIMEOUT", attempts, f"cancelled after {seconds:g} seconds"
+
+    with ThreadPoolExecutor(workers) as pool:
+        jobs = {name: pool.submit(watched, name, made) for name, (made, _) in checks.items()}
+    rows = []
+    for name, job in jobs.items():
+        value, status, tried, error = job.result()
+        expected = checks[name][1]
+        rows.append((name, value, expected, status or ("PASS" if value == expected else "FAIL"), tried, error))
+    return spark.createDataFrame(rows, "check string, value long, expected long, status string, attempts int, error string")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -32,10 +33,21 @@ def reject_alert(runs: DataFrame, quarantine: DataFrame) -> DataFrame:
     return runs.where("rows_rejected > 0").join(reasons, "run_id", "left")
 
 
-def duration_anomaly(runs: DataFrame, entity: str, start: str, seconds: str, factor: float = 5.0) -> DataFrame:
-    """Runs that took ``factor`` times the mean of the entity's earlier runs."""
-    w = Window.partitionBy(entity).orderBy(start).rowsBetween(Window.unboundedPreceding, -1)
-    return runs.withColumn("baseline", F.avg(seconds).over(w)).where(F.col(seconds) >= factor * F.col("baseline"))
+def duration_anomaly(runs: DataFrame, entity: str, start: str, seconds: str, factor: float = 5.0, period: str | None = None, k: int = 200) -> DataFrame:
+    """Runs that took ``factor`` times the median of the entity's runs in earlier periods, with that ``baseline``.
+
+    An earlier spike hardly moves a median.  Each (entity, period) is one
+    mergeable quantile sketch (exact up to about ``k`` runs), and sketches are
+    merged over the periods before, so what is ordered is periods and not runs.
+    Without a ``period`` ("day", "month") each value of ``start`` is one.
+    """
+    rows = runs.withColumn("_period", F.date_trunc(period, F.col(start).cast("timestamp")) if period else F.col(start))
+    sketches = rows.groupBy(entity, "_period").agg(F.kll_sketch_agg_double(F.col(seconds).cast("double"), k).alias("_sketch"))
+    before = Window.partitionBy(entity).orderBy("_period").rowsBetween(Window.unboundedPreceding, -1)
+    merged = sketches.select(F.col(entity).alias("_entity"), F.col("_period").alias("_of"), F.kll_merge_agg_double("_sketch", k).over(before).alias("_merged"), F.lag("_period").over(Window.partitionBy(entity).orderBy("_period")).alias("_earlier"))
+    told = merged.where("_earlier is not null").select("_entity", "_of", F.kll_sketch_get_quantile_double("_merged", F.lit(0.5)).alias("baseline"))
+    joined = rows.join(told, F.col(entity).eqNullSafe(F.col("_entity")) & (F.col("_period") == F.col("_of")))
+    return joined.where(F.col(seconds) >= factor * F.col("baseline")).select(*runs.columns, "baseline")
 
 
 def null_key_rate(fact: DataFrame, load: str, key: str) -> DataFrame:
@@ -48,7 +60,11 @@ def schema_drift(expected: T.StructType, actual: DataFrame) -> DataFrame:
     """Columns ADDED, REMOVED or RETYPED in a load: ``(column, expected_type, actual_type, change)``."""
     spark = actual.sparkSession
     rows = lambda s, name: spark.createDataFrame([(f.name, f.dataType.simpleString()) for f in s], f"column string, {name} string")
-    both = rows(expected, "expected_type").join(rows(actual.schema, "actual_type"), "column", "full")
+    return changed(rows(expected, "expected_type").join(rows(actual.schema, "actual_type"), "column", "full"))
+
+
+def changed(both: DataFrame) -> DataFrame:
+    """Rows of ``(expected_type, actual_type)`` that differ, with their ``change``."""
     change = (
         F.when(F.col("expected_type").isNull(), "ADDED")
         .when(F.col("actual_type").isNull(), "REMOVED")
@@ -83,27 +99,6 @@ def recurring_cause(found: DataFrame, component: str, cause: str, at: str, least
     )
 
 
-def status_transitions(log: DataFrame, entity: str, status: str, ts: str, tie: str) -> DataFrame:
-    """Each status change with the status before it and the seconds between."""
-    w = Window.partitionBy(entity).orderBy(ts, tie)
-    return log.select(
-        entity,
-        F.lag(status).over(w).alias("from_status"),
-        F.col(status).alias("to_status"),
-        (F.col(ts).cast("timestamp").cast("long") - F.lag(ts).over(w).cast("timestamp").cast("long")).alias("seconds"),
-    ).where("from_status is not null")
-
-
-def error_router(errors: DataFrame, text: str, row_id: str, manifest: list[tuple[str, str]]) -> DataFrame:
-    """The component of each error text: of the patterns that match, the longest is the most specific."""
-    ranked = sorted(manifest, key=lambda m: (-len(m[0]), m[0], m[1]))
-    component, pattern = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for p, c in reversed(ranked):
-        hit = F.col(text).rlike(p)
-        component, pattern = F.when(hit, c).otherwise(component), F.when(hit, p).otherwise(pattern)
-    return errors.select(row_id, component.alias("component"), pattern.alias("pattern"))
-
-
 def text_chunks(df: DataFrame, row_id: str, text: str, size: int = 500, overlap: int = 50) -> DataFrame:
     """Overlapping chunks of ``size`` white-space-separated tokens: ``(row_id, chunk, tokens, chunk_text)``."""
     words = F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
@@ -121,26 +116,32 @@ def unit_vectors(df: DataFrame, row_id: str, vector: str, name: str) -> DataFram
     return wide.withColumn("_n", length).where("_n > 0").select(row_id, F.transform("_w", lambda x: x / F.col("_n")).alias(name))
 
 
-#: Queries of a block, which is broadcast: about 16 MB at 100 dimensions.
-QUERY_BLOCK = 20_000
+#: Bound of a block of queries, which is broadcast.
+BLOCK_BYTES = 16 << 20
+
+
+def query_blocks(queries: DataFrame, vector: str, block: int | None = None) -> Iterator[DataFrame]:
+    """``queries`` (with ``query_id``) in parts of about ``block`` rows, by default as many as ``BLOCK_BYTES`` hold of the longest vector."""
+    rows, longest = queries.agg(F.count(F.lit(1)), F.max(F.size(vector))).first()
+    blocks = max(1, -(-rows // (block or max(1, BLOCK_BYTES // (8 * max(1, longest or 1))))))
+    for b in range(blocks):
+        yield queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
 
 
-def cosine_topk(corpus: DataFrame, queries: DataFrame, row_id: str, vector: str, k: int = 5, least: float = 0.7, block: int = QUERY_BLOCK) -> DataFrame:
+def cosine_topk(corpus: DataFrame, queries: DataFrame, row_id: str, vector: str, k: int = 5, least: float = 0.7, block: int | None = None) -> DataFrame:
     """The ``k`` nearest rows of each query above ``least``: ``(query_id, row_id, similarity, rank)``.
 
-    ``queries`` is a stated set, compared with every row.  It is counted and
-    broadcast in blocks of at most about ``block`` rows.  Lengths are taken out
+    ``queries`` is a stated set, compared with every row.  It is broadcast in
+    blocks of bounded bytes (or of about ``block`` rows).  Lengths are taken out
     once per row, so a comparison is a dot product.  Each task keeps its own
     best ``k`` of a query before rows are dealt by query.
     """
     rows = unit_vectors(corpus, row_id, vector, "_v")
     every = unit_vectors(queries, row_id, vector, "_q").withColumnRenamed(row_id, "query_id")
-    blocks = max(1, -(-queries.count() // block))
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), row_id)
     found = []
-    for b in range(blocks):
-        part = F.broadcast(every.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b))
+    for part in query_blocks(every, "_q", block):
         dot = F.aggregate(F.zip_with("_v", "_q", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-        scored = rows.join(part, F.col(row_id) != F.col("query_id")).select("query_id", row_id, dot.alias("similarity"))
+        scored = rows.join(F.broadcast(part), F.col(row_id) != F.col("query_id")).select("query_id", row_id, dot.alias("similarity"))
         found.append(scored.where(F.col("similarity") > least).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k))
     return reduce(DataFrame.unionByName, found)

@@ -13,9 +13,21 @@ def dedup_latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFra
 
 
 def fk_flag(df: DataFrame, reference: DataFrame, column: str, key: str, flag: str) -> DataFrame:
-    """``flag``: the key is known.  Null keys are unknown."""
-    known = reference.select(F.col(key).alias(column)).where(F.col(column).isNotNull()).distinct().withColumn(flag, F.lit(True))
-    return df.join(known, column, "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
+    """``flag``: the key is known.  Null keys are unknown, and are spread over all tasks."""
+    known = reference.select(F.col(key).alias("_key")).where(F.col("_key").isNotNull()).distinct().withColumn("_known", F.lit(True))
+    return join_spread(df, known, column).withColumn(flag, F.coalesce("_known", F.lit(False))).drop("_known")
+
+
+def join_spread(df: DataFrame, side: DataFrame, key: str) -> DataFrame:
+    """``df`` left-joined to the unique keys ``_key`` of ``side``.
+
+    Rows with a null key match nothing; where both sides are shuffled they
+    would all go to one task, so they are dealt by a hash of the row instead.
+    """
+    spread = F.when(F.col(key).isNull(), F.xxhash64(*df.columns)).otherwise(F.lit(0).cast("long"))
+    keyed = side.where(F.col("_key").isNotNull()).withColumn("_part", F.pmod(F.xxhash64("_key"), F.lit(1).cast("long")))
+    left = df.withColumn("_spread", spread)
+    return left.join(keyed, (left[key] == keyed["_key"]) & (left["_spread"] == keyed["_part"]), "left").drop("_key", "_part", "_spread")
 
 
 def surrogate_key(*columns: str | Column) -> Column:

@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def _checked(source: DataFrame, keys: list[str]) -> DataFrame:
     """``source``; a duplicate key raises when the rows are read, like a merge that matches twice."""
-    counts = source.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.first(F.struct(*source.columns)).alias("_row"))
+    n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
     fail = F.raise_error(F.concat(F.lit("duplicate merge key "), F.to_json(F.struct(*keys))))
-    return counts.where(F.when(F.col("_n") > 1, fail.cast("boolean")).otherwise(F.lit(True))).select("_row.*")
+    counted = source.withColumn("_n", n)
+    return counted.where(F.when(F.col("_n") > 1, fail.cast("boolean")).otherwise(F.lit(True))).drop("_n")
 
 
 def _on(keys: list[str], null_safe: bool) -> Column:

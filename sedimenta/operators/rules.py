@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.storage import write_observed
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -80,6 +82,15 @@ def dq_split(tagged: DataFrame) -> tuple[DataFrame, DataFrame]:
     return tagged.where("dq_passed"), tagged.where("not dq_passed")
 
 
+def dq_store(tagged: DataFrame, path: str) -> tuple[DataFrame, DataFrame, dict[str, int]]:
+    """Passed and rejected rows written side by side in one pass, with their numbers observed on the way."""
+    counts = write_observed(
+        tagged, path, "overwrite", "dq_passed", passed=F.count_if("dq_passed"), rejected=F.count_if(~F.col("dq_passed"))
+    )
+    stored = tagged.sparkSession.read.schema(tagged.schema).parquet(path).select(tagged.columns)
+    return *dq_split(stored), counts
+
+
 def dq_counts(tagged: DataFrame) -> DataFrame:
     return tagged.agg(
         F.count_if("dq_passed").alias("passed"), F.count_if(~F.col("dq_passed")).alias("rejected"), F.count(F.lit(1)).alias("total")

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bronze, dims, facts, monitor, silver, verify
+from . import bronze, dims, entity_runs, facts, monitor, silver, verify
 
-SECTIONS = (bronze, silver, dims, facts, verify, monitor)
+SECTIONS = (bronze, silver, entity_runs, dims, facts, verify, monitor)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for s in SECTIONS for k, v in s.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {k: v for s in SECTIONS for k, v in s.ORACLE_SQL.items()}

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from ..operators import dims, scd
 from .retail import DIM, ORDERS, TIMELINE, customer_dim, customer_timeline, key_sql, orders, table
-from .silver import STATES, _customers
+from .silver import AFTER, STATES, _customers
 
-T0, T1 = "1998-01-01", "2000-01-01"
+T0, T1 = "1998-01-01", AFTER
 
 
 def _snapshot(spark: SparkSession, d: str, until: str) -> DataFrame:
@@ -107,9 +107,9 @@ ORACLE_SQL = {
     "scd2_apply": f"""WITH {STATES}, act AS (SELECT new.*, {ACTION} AS action FROM new LEFT JOIN old USING (o_custkey)),
         firsts AS (SELECT o_custkey, min(order_date) AS f FROM ord GROUP BY 1)
         SELECT old.o_custkey, old.priority, CASE WHEN action = 'SCD1_OVERWRITE' THEN act.status ELSE old.status END AS status, DATE '1995-01-01' AS valid_from,
-        CASE WHEN action = 'SCD2_CHANGE' THEN DATE '1999-12-31' END AS valid_to, coalesce(action, '') <> 'SCD2_CHANGE' AS is_current
+        CASE WHEN action = 'SCD2_CHANGE' THEN CAST(DATE '{T1}' - INTERVAL 1 DAY AS DATE) END AS valid_to, coalesce(action, '') <> 'SCD2_CHANGE' AS is_current
         FROM old LEFT JOIN act USING (o_custkey)
-        UNION ALL SELECT o_custkey, priority, status, CASE WHEN action = 'NEW' THEN f ELSE DATE '2000-01-01' END, NULL, TRUE
+        UNION ALL SELECT o_custkey, priority, status, CASE WHEN action = 'NEW' THEN f ELSE DATE '{T1}' END, NULL, TRUE
         FROM act LEFT JOIN firsts USING (o_custkey) WHERE action IN ('NEW', 'SCD2_CHANGE')""",
     "first_activity": f"WITH {ORDERS} SELECT o_custkey, min(order_date) AS first_date FROM ord GROUP BY 1",
     "scd2_from_timeline": f"WITH {DIM} SELECT o_custkey, priority, valid_from, valid_to, valid_to IS NULL AS is_current, c_mktsegment FROM dim JOIN customer ON c_custkey = o_custkey",

@@ -54,10 +54,15 @@ def asof_attach_overlapping(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def _territories(spark: SparkSession, d: str) -> DataFrame:
+def stored_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Measured lines written once, for builds that read them several times."""
+    return _stored(measured_lines(spark, d), "measured_lines")
+
+
+def _territories(spark: SparkSession, d: str, lines: DataFrame) -> DataFrame:
     """Lines with the rep of B2B orders as of the order date, whose territory comes along, and the store's nation."""
-    lines = measured_lines(spark, d).withColumn("rep", F.when(F.col("channel") == "B2B", F.col("l_suppkey")))
-    reps = scd.with_surrogate(rep_dim(spark, d), "l_suppkey", "rep_surrogate_key").withColumnRenamed("l_suppkey", "dim_rep")
+    reps = scd.with_surrogate(rep_dim(spark, d, lines), "l_suppkey", "rep_surrogate_key").withColumnRenamed("l_suppkey", "dim_rep")
+    lines = lines.withColumn("rep", F.when(F.col("channel") == "B2B", F.col("l_suppkey")))
     lines = joins.asof_attach(lines, reps, "rep", "dim_rep", "order_date", ["rep_surrogate_key", "rep_nation"], gap_free=True)
     lines = joins.lookup_attach(lines, table(spark, d, "supplier"), "l_suppkey", "s_suppkey", ["s_nationkey"])
     territory = facts.territory_derive(
@@ -67,7 +72,7 @@ def _territories(spark: SparkSession, d: str) -> DataFrame:
 
 
 def territory_derive(spark: SparkSession, d: str) -> DataFrame:
-    return _territories(spark, d).groupBy("channel", "territory").agg(F.count(F.lit(1)).alias("rows"))
+    return _territories(spark, d, stored_lines(spark, d)).groupBy("channel", "territory").agg(F.count(F.lit(1)).alias("rows"))
 
 
 def date_key(spark: SparkSession, d: str) -> DataFrame:
@@ -79,9 +84,10 @@ def line_measures(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _fact_lines(spark: SparkSession, d: str) -> DataFrame:
-    lines = _territories(spark, d)
+    silver = stored_lines(spark, d)
+    lines = _territories(spark, d, silver)
     customers = scd.with_surrogate(customer_dim(spark, d), "o_custkey", "customer_surrogate_key").withColumnRenamed("o_custkey", "dim_customer")
-    products = scd.with_surrogate(product_dim(spark, d), "l_partkey", "product_surrogate_key").withColumnRenamed("l_partkey", "dim_product")
+    products = scd.with_surrogate(product_dim(spark, d, silver), "l_partkey", "product_surrogate_key").withColumnRenamed("l_partkey", "dim_product")
     lines = joins.asof_attach(lines, customers, "o_custkey", "dim_customer", "order_date", ["customer_surrogate_key"], gap_free=True)
     lines = joins.asof_attach(lines, products, "l_partkey", "dim_product", "order_date", ["product_surrogate_key"], gap_free=True)
     return lines.select(
@@ -99,9 +105,10 @@ def _stored(df: DataFrame, tag: str) -> DataFrame:
 
 
 def fact_order_line(spark: SparkSession, d: str) -> DataFrame:
-    """The full build, merged by line into a fact that holds the lines of the first years without quantities."""
+    """The full build, merged by line into a fact that holds the lines of the first years without quantities, and lines of orders that the load no longer has."""
     built = _stored(_fact_lines(spark, d), "fact_order_line")
-    held = built.where("order_date_id < 19980101").withColumn("quantity", F.lit(0))
+    gone = built.where("order_date_id < 19960101").withColumn("l_orderkey", -F.col("l_orderkey") - 1)
+    held = built.where("order_date_id < 19980101").withColumn("quantity", F.lit(0)).unionByName(gone)
     return merge.merge(held, built, ["l_orderkey", "l_linenumber"])
 
 
@@ -115,8 +122,32 @@ def merge_partitions(spark: SparkSession, d: str) -> DataFrame:
     return found.select("o_orderkey", "month", F.col("o_totalprice").cast("decimal(14,2)").alias("total"))
 
 
+def _revenue(lines: DataFrame) -> DataFrame:
+    return facts.channel_revenue(lines, GRAIN, "l_orderkey", F.col("l_returnflag") == "R")
+
+
 def channel_revenue(spark: SparkSession, d: str) -> DataFrame:
-    return facts.channel_revenue(_territories(spark, d), GRAIN, "l_orderkey", F.col("l_returnflag") == "R")
+    return _revenue(_territories(spark, d, stored_lines(spark, d)))
+
+
+#: What a later load of the rollup has.
+LATER = "not (channel = 'STORE' and year(order_date) = 1997) and not (year(order_date) = 1999 and month(order_date) = 3)"
+
+
+def rollup_replace(spark: SparkSession, d: str) -> DataFrame:
+    """The rollup after a load that lacks a year's store lines and a whole month: the months it touches are built again, and grains and months without lines are gone."""
+    lines = _stored(_territories(spark, d, stored_lines(spark, d)), "territories").withColumn("month", F.date_format("order_date", "yyyy-MM"))
+    path, month = storage.scratch(spark, "rollup"), F.date_format("order_date", "yyyy-MM")
+    _revenue(lines).withColumn("month", month).repartition(8, "month").write.partitionBy("month").parquet(path)
+    touched = [r[0] for r in lines.where(f"not ({LATER})").select("month").distinct().collect()]
+    again = _revenue(lines.where(F.col("month").isin(touched)).where(LATER)).withColumn("month", month).repartition(8, "month")
+    storage.replace_partitions(again, path, "month", touched)
+    return spark.read.parquet(path).drop("month")
+
+
+def asof_attach_sorted(spark: SparkSession, d: str) -> DataFrame:
+    """The same as ``asof_attach``, by sorting lines and versions together."""
+    return joins.asof_attach_sorted(_dated(spark, d), _dim(spark, d), "customer", "o_custkey", "ship_date", ["priority", "valid_from"])
 
 
 def upsert_null_safe(spark: SparkSession, d: str) -> DataFrame:
@@ -157,7 +188,8 @@ def fact_inventory_daily(spark: SparkSession, d: str) -> DataFrame:
         rows.select(keys.date_key(F.col("day")).alias("date_id"), "product", "store", "product_surrogate_key", "store_known", "units", "stock", "days_of_stock"),
         "fact_inventory_daily",
     )
-    held = built.where("date_id < 20240110").withColumn("units", F.lit(0).cast("long"))
+    gone = built.where("date_id < 20240104").withColumn("store", F.col("store") + 100)
+    held = built.where("date_id < 20240110").withColumn("units", F.lit(0).cast("long")).unionByName(gone)
     return merge.merge(held, built, ["date_id", "product", "store"], null_safe=True)
 
 
@@ -177,7 +209,7 @@ def dense_grid(spark: SparkSession, d: str) -> DataFrame:
     return grid.join(n, ["user_id", "event_type"], "left").withColumn("events", F.coalesce("events", F.lit(0)))
 
 
-QUERIES = {f.__name__: f for f in (line_order_join, asof_attach, asof_attach_branch, asof_attach_overlapping, merge_partitions, lookup_attach, territory_derive, date_key, line_measures, fact_order_line, channel_revenue, upsert_null_safe, rolling_7d, days_of_stock, fact_inventory_daily, fact_summary, inventory_profile, dense_grid)}
+QUERIES = {f.__name__: f for f in (line_order_join, asof_attach, asof_attach_sorted, rollup_replace, asof_attach_branch, asof_attach_overlapping, merge_partitions, lookup_attach, territory_derive, date_key, line_measures, fact_order_line, channel_revenue, upsert_null_safe, rolling_7d, days_of_stock, fact_inventory_daily, fact_summary, inventory_profile, dense_grid)}
 
 DATED = """dated AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 10 <> 0 THEN o_custkey END AS customer, CAST(l_shipdate AS DATE) AS ship_date
   FROM m)"""
@@ -204,19 +236,31 @@ STOCKED = f"""{STOCK}, r AS (SELECT *, sum(units) OVER w AS total, count(*) OVER
   k AS (SELECT *, CASE WHEN rolling_days >= 7 AND total > 0 THEN CAST(floor(stock / CAST(round(CAST(total AS DECIMAL(20,8)) / rolling_days, 6) AS DECIMAL(14,6))) AS INTEGER) END AS days_of_stock FROM r)"""
 SUMS = "count(*) AS rows, sum(quantity) AS units, CAST(sum(line_total) AS DECIMAL(14,2)) AS total, CAST(sum(tax_amount) AS DECIMAL(14,2)) AS tax"
 
+FACT = f"""WITH {MEASURED}, {TERR}, {CUSTOMERS}, {PRODUCTS}, fact AS (SELECT l_orderkey, l_linenumber, CAST(strftime(t.order_date, '%Y%m%d') AS INTEGER) AS order_date_id, channel, territory, category,
+  o_orderstatus AS status, {key_sql('t.o_custkey', 'cdim.valid_from')} AS customer_surrogate_key, {key_sql('t.l_partkey', 'pdim.valid_from')} AS product_surrogate_key,
+  {key_sql('t.l_suppkey', 'rep_from')} AS rep_surrogate_key, quantity, unit_price, gross_revenue, discount_amount, tax_amount, net_revenue
+  FROM t LEFT JOIN cdim ON cdim.o_custkey = t.o_custkey AND t.order_date BETWEEN cdim.lo AND cdim.hi
+  LEFT JOIN pdim ON pdim.l_partkey = t.l_partkey AND t.order_date BETWEEN pdim.lo AND pdim.hi)"""
+
+
+def _revenue_sql(where: str) -> str:
+    return f"""WITH {MEASURED}, {TERR}, g AS (SELECT order_date, channel, category, territory, count(DISTINCT l_orderkey) AS total_orders, count(*) AS total_lines, CAST(sum(quantity) AS BIGINT) AS total_units,
+        CAST(sum(gross_revenue) AS DECIMAL(14,2)) AS gross_revenue, CAST(sum(discount_amount) AS DECIMAL(14,2)) AS total_discount,
+        CAST(sum(line_total) AS DECIMAL(14,2)) AS net_revenue, CAST(sum(tax_amount) AS DECIMAL(14,2)) AS total_tax, count(*) FILTER (l_returnflag = 'R') AS returned_lines FROM t WHERE {where} GROUP BY 1, 2, 3, 4)
+        SELECT *, CAST(floor((CAST(net_revenue * 100 AS HUGEINT) * 2 + total_orders) / (2 * total_orders)) / 100 AS DECIMAL(14,2)) AS avg_order_value,
+        CAST(floor((returned_lines * 20000 + total_lines) // (2 * total_lines)) / 100 AS DECIMAL(5,2)) AS return_rate_pct FROM g"""
+
+
 ORACLE_SQL = {
     "line_order_join": f"WITH {MEASURED} SELECT channel, count(*) AS rows FROM m WHERE o_orderstatus <> 'F' GROUP BY 1 UNION ALL SELECT 'none', count(*) FROM m WHERE o_orderstatus = 'F'",
     "asof_attach": f"WITH {MEASURED}, {_DIM}, {DATED}, gaps AS (SELECT * FROM dim WHERE priority <> '5-LOW'), {_asof('gaps')}",
+    "asof_attach_sorted": f"WITH {MEASURED}, {_DIM}, {DATED}, gaps AS (SELECT * FROM dim WHERE priority <> '5-LOW'), {_asof('gaps')}",
     "asof_attach_branch": f"WITH {MEASURED}, {_DIM}, {DATED}, {_asof('dim')}",
     "lookup_attach": "SELECT s_suppkey, s_nationkey, n_name, n_regionkey FROM supplier LEFT JOIN nation ON n_nationkey = s_nationkey AND n_regionkey <> 2",
     "territory_derive": f"WITH {MEASURED}, {TERR} SELECT channel, territory, count(*) AS rows FROM t GROUP BY 1, 2",
     "date_key": "SELECT o_orderkey, CAST(strftime(o_orderdate, '%Y%m%d') AS INTEGER) AS date_id FROM orders",
     "line_measures": f"WITH {MEASURED} SELECT l_orderkey, l_linenumber, quantity, line_total, tax_amount, net_revenue, gross_revenue, discount_amount FROM m",
-    "fact_order_line": f"""WITH {MEASURED}, {TERR}, {CUSTOMERS}, {PRODUCTS} SELECT l_orderkey, l_linenumber, CAST(strftime(t.order_date, '%Y%m%d') AS INTEGER) AS order_date_id, channel, territory, category,
-        o_orderstatus AS status, {key_sql('t.o_custkey', 'cdim.valid_from')} AS customer_surrogate_key, {key_sql('t.l_partkey', 'pdim.valid_from')} AS product_surrogate_key,
-        {key_sql('t.l_suppkey', 'rep_from')} AS rep_surrogate_key, quantity, unit_price, gross_revenue, discount_amount, tax_amount, net_revenue
-        FROM t LEFT JOIN cdim ON cdim.o_custkey = t.o_custkey AND t.order_date BETWEEN cdim.lo AND cdim.hi
-        LEFT JOIN pdim ON pdim.l_partkey = t.l_partkey AND t.order_date BETWEEN pdim.lo AND pdim.hi""",
+    "fact_order_line": f"{FACT} SELECT * FROM fact UNION ALL SELECT * REPLACE (-l_orderkey - 1 AS l_orderkey) FROM fact WHERE order_date_id < 19960101",
     "asof_attach_overlapping": f"""WITH {MEASURED}, {_DIM}, {DATED}, longer AS (SELECT o_custkey, priority, valid_from, CAST(valid_to + INTERVAL 10 DAY AS DATE) AS valid_to FROM dim),
         floors AS (SELECT o_custkey, min(valid_from) AS f FROM longer GROUP BY 1),
         hit AS (SELECT l_orderkey, l_linenumber, max(valid_from) AS f FROM dated JOIN longer ON customer = o_custkey AND ship_date BETWEEN valid_from AND coalesce(valid_to, DATE '9999-12-31') GROUP BY 1, 2)
@@ -227,16 +271,14 @@ ORACLE_SQL = {
         months AS (SELECT month FROM moved UNION SELECT month FROM h WHERE o_orderkey IN (SELECT o_orderkey FROM moved))
         SELECT o_orderkey, month, CAST(o_totalprice AS DECIMAL(14,2)) AS total FROM moved
         UNION ALL SELECT o_orderkey, month, CAST(o_totalprice AS DECIMAL(14,2)) FROM h WHERE month IN (SELECT month FROM months) AND o_orderkey NOT IN (SELECT o_orderkey FROM moved)""",
-    "channel_revenue": f"""WITH {MEASURED}, {TERR}, g AS (SELECT order_date, channel, category, territory, count(DISTINCT l_orderkey) AS total_orders, count(*) AS total_lines, CAST(sum(quantity) AS BIGINT) AS total_units,
-        CAST(sum(gross_revenue) AS DECIMAL(14,2)) AS gross_revenue, CAST(sum(discount_amount) AS DECIMAL(14,2)) AS total_discount,
-        CAST(sum(line_total) AS DECIMAL(14,2)) AS net_revenue, CAST(sum(tax_amount) AS DECIMAL(14,2)) AS total_tax, count(*) FILTER (l_returnflag = 'R') AS returned_lines FROM t GROUP BY 1, 2, 3, 4)
-        SELECT *, CAST(floor((CAST(net_revenue * 100 AS HUGEINT) * 2 + total_orders) / (2 * total_orders)) / 100 AS DECIMAL(14,2)) AS avg_order_value,
-        CAST(floor((returned_lines * 20000 + total_lines) // (2 * total_lines)) / 100 AS DECIMAL(5,2)) AS return_rate_pct FROM g""",
+    "channel_revenue": _revenue_sql("TRUE"),
+    "rollup_replace": _revenue_sql(LATER),
     "upsert_null_safe": f"""WITH {MEASURED} SELECT channel, nullif(category, 'PROMO') AS category, count(*) AS rows, CAST(sum(line_total) AS DECIMAL(14,2)) AS total FROM m GROUP BY 1, 2""",
     "rolling_7d": f"WITH {ROLLED} SELECT user_id, event_type, day, rolling_days, round(total / rolling_days, 6) AS rolling_avg FROM r",
     "days_of_stock": f"WITH {STOCKED} SELECT product, store, day, days_of_stock FROM k",
-    "fact_inventory_daily": f"""WITH {STOCKED}, {STOCK_DIM} SELECT CAST(strftime(day, '%Y%m%d') AS INTEGER) AS date_id, k.product, store, {key_sql('k.product')} AS product_surrogate_key, store < 20 AS store_known,
-        units, stock, days_of_stock FROM k LEFT JOIN sdim ON sdim.product = k.product AND day BETWEEN lo AND hi""",
+    "fact_inventory_daily": f"""WITH {STOCKED}, {STOCK_DIM}, fact AS (SELECT CAST(strftime(day, '%Y%m%d') AS INTEGER) AS date_id, k.product, store, {key_sql('k.product')} AS product_surrogate_key, store < 20 AS store_known,
+        units, stock, days_of_stock FROM k LEFT JOIN sdim ON sdim.product = k.product AND day BETWEEN lo AND hi)
+        SELECT * FROM fact UNION ALL SELECT * REPLACE (store + 100 AS store) FROM fact WHERE date_id < 20240104""",
     "fact_summary": f"WITH {MEASURED} SELECT channel, {SUMS} FROM m GROUP BY 1 UNION ALL SELECT 'ALL', {SUMS} FROM m",
     "inventory_profile": f"""WITH {STOCKED} SELECT day, count(*) AS rows, count(DISTINCT product) AS products, count(DISTINCT store) AS stores, CAST(sum(units) AS BIGINT) AS stock,
         count(*) FILTER (units = 0) AS stockouts, count(days_of_stock) AS with_derived FROM k GROUP BY 1""",

@@ -51,15 +51,17 @@ def customer_dim(spark: SparkSession, d: str) -> DataFrame:
     return scd.scd2_from_timeline(customer_timeline(spark, d), "o_custkey", "order_date", ["priority"])
 
 
-def product_dim(spark: SparkSession, d: str) -> DataFrame:
-    """Versions of parts by the days on which they shipped: the day's largest return flag."""
-    days = silver_lines(spark, d).select("l_partkey", F.to_date("l_shipdate").alias("day"), F.col("l_returnflag").alias("product_class"))
+def product_dim(spark: SparkSession, d: str, lines: DataFrame | None = None) -> DataFrame:
+    """Versions of parts by the days on which they shipped: the day's largest return flag.  ``lines``: silver lines built before."""
+    days = (silver_lines(spark, d) if lines is None else lines).select("l_partkey", F.to_date("l_shipdate").alias("day"), F.col("l_returnflag").alias("product_class"))
     return scd.scd2_from_timeline(days, "l_partkey", "day", ["product_class"])
 
 
-def rep_dim(spark: SparkSession, d: str) -> DataFrame:
-    """Versions of suppliers, as sales reps, by order day: the largest nation of the day's customers is their territory."""
-    lines = silver_lines(spark, d).join(orders(spark, d), F.col("l_orderkey") == F.col("o_orderkey"))
+def rep_dim(spark: SparkSession, d: str, lines: DataFrame | None = None) -> DataFrame:
+    """Versions of suppliers, as sales reps, by order day: the largest nation of the day's customers is their territory.  ``lines``: measured lines built before."""
+    if lines is None:
+        lines = silver_lines(spark, d).join(orders(spark, d), F.col("l_orderkey") == F.col("o_orderkey"))
+    lines = lines.select("l_suppkey", "o_custkey", "order_date")
     lines = lines.join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     days = lines.select("l_suppkey", "order_date", F.col("c_nationkey").alias("rep_nation"))
     return scd.scd2_from_timeline(days, "l_suppkey", "order_date", ["rep_nation"])

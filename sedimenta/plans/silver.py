@@ -6,9 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import keys, merge, rules, scd
+from ..operators.meta import append_new
+from ..sources import storage
 from .retail import LINES, ORDERS, orders, silver_lines, table
 
 RUN, RUN_TS = "run-1", "2024-02-01 06:00:00"
+#: A day after the last order.
+AFTER = "2010-01-01"
 
 
 def dedup_latest(spark: SparkSession, d: str) -> DataFrame:
@@ -68,6 +72,23 @@ def dq_split(spark: SparkSession, d: str) -> DataFrame:
     return rules.dq_counts(_tagged(spark, d))
 
 
+def dq_store(spark: SparkSession, d: str) -> DataFrame:
+    """Both sides as stored, with the numbers observed while they were written."""
+    passed, rejected, counts = rules.dq_store(_tagged(spark, d).select("l_orderkey", "l_linenumber", "dq_rejection_reason", "dq_passed"), storage.scratch(spark, "tagged"))
+    sides = [df.agg(F.lit(side).alias("side"), F.count(F.lit(1)).alias("rows"), F.sum("l_orderkey").alias("keys")).withColumn("observed", F.lit(counts[side])) for side, df in (("passed", passed), ("rejected", rejected))]
+    return sides[0].unionByName(sides[1])
+
+
+def quarantine_append(spark: SparkSession, d: str) -> DataFrame:
+    """The append-only table after the same run wrote twice and a second run once."""
+    path, rows = storage.scratch(spark, "quarantine"), _quarantined(spark, d)
+    added = [append_new(rows, path, "quarantine_id") for _ in range(2)]
+    _, rejected = rules.dq_split(_tagged(spark, d).where("l_linenumber = 1"))
+    added.append(append_new(rules.quarantine_envelope(rejected, ["l_orderkey", "l_linenumber", "l_partkey"], "run-2", RUN_TS, "lines"), path, "quarantine_id"))
+    held = spark.read.parquet(path).groupBy("pipeline_run_id", "rejection_reason").agg(F.count(F.lit(1)).alias("rows"))
+    return held.withColumn("added_again", F.lit(added[1]))
+
+
 def _quarantined(spark: SparkSession, d: str) -> DataFrame:
     _, rejected = rules.dq_split(_tagged(spark, d))
     return rules.quarantine_envelope(rejected, ["l_orderkey", "l_linenumber", "l_partkey"], RUN, RUN_TS, "lines")
@@ -84,12 +105,12 @@ def _customers(spark: SparkSession, d: str, until: str) -> DataFrame:
 
 
 def change_tracking(spark: SparkSession, d: str) -> DataFrame:
-    return scd.change_tracking(_customers(spark, d, "2000-01-01"), _customers(spark, d, "1998-01-01"), "o_custkey", ["priority", "status"])
+    return scd.change_tracking(_customers(spark, d, AFTER), _customers(spark, d, "1998-01-01"), "o_custkey", ["priority", "status"])
 
 
 def upsert_guarded(spark: SparkSession, d: str) -> DataFrame:
     """New rows into the older state; a third of them are dated back and must not win."""
-    source = _customers(spark, d, "2000-01-01").withColumn(
+    source = _customers(spark, d, AFTER).withColumn(
         "updated", F.when(F.col("o_custkey") % 3 == 0, F.lit("1990-01-01").cast("date")).otherwise(F.col("updated"))
     )
     return merge.merge(_customers(spark, d, "1998-01-01"), source, ["o_custkey"], guard="updated")
@@ -108,7 +129,7 @@ def layer_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def transition_counts(spark: SparkSession, d: str) -> DataFrame:
-    from ..operators.detect import status_transitions
+    from ..operators.funnel import status_transitions
 
     moves = status_transitions(table(spark, d, "events"), "user_id", "event_type", "ts", "event_id")
     return rules.transition_counts(moves, "from_status", "to_status")
@@ -162,7 +183,7 @@ def entity_order_lines(spark: SparkSession, d: str) -> DataFrame:
     return found.select("line_id", "dq_passed", "dq_rejection_reason")
 
 
-QUERIES = {f.__name__: f for f in (entity_orders, entity_order_lines, dedup_latest, dedup_latest_composite, fk_flag, dq_tag, dq_split, quarantine_envelope, change_tracking, upsert_guarded, reject_breakdown, layer_counts, transition_counts)}
+QUERIES = {f.__name__: f for f in (entity_orders, entity_order_lines, dedup_latest, dedup_latest_composite, fk_flag, dq_tag, dq_split, dq_store, quarantine_envelope, quarantine_append, change_tracking, upsert_guarded, reject_breakdown, layer_counts, transition_counts)}
 
 FLAGGED = f"""{LINES}, fl AS (SELECT *, EXISTS (SELECT 1 FROM part WHERE p_partkey = l_partkey AND p_brand <> 'Brand#7') AS part_known,
   EXISTS (SELECT 1 FROM supplier WHERE s_suppkey = l_suppkey AND s_nationkey % 2 = 0) AS supplier_known FROM lines)"""
@@ -174,7 +195,7 @@ TAGGED = f"""{FLAGGED}, codes AS (SELECT *, list_filter([
 tagged AS (SELECT *, len(c) = 0 AS dq_passed, nullif(array_to_string(c, ';'), '') AS dq_rejection_reason FROM codes)"""
 STATE = """SELECT o_custkey, o_orderpriority AS priority, o_orderstatus AS status, order_date AS updated FROM
   (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY order_date DESC, o_orderkey DESC) AS rn FROM ord WHERE order_date < DATE '{}') WHERE rn = 1"""
-STATES = f"{ORDERS}, old AS ({STATE.format('1998-01-01')}), new AS ({STATE.format('2000-01-01')})"
+STATES = f"{ORDERS}, old AS ({STATE.format('1998-01-01')}), new AS ({STATE.format(AFTER)})"
 RAW = """'{"l_orderkey":' || l_orderkey || ',"l_linenumber":' || l_linenumber || ',"l_partkey":' || l_partkey || '}'"""
 
 ENTITY = f"""{ORDERS}, ent AS (SELECT *, list_filter([
@@ -197,6 +218,9 @@ ORACLE_SQL = {
     "fk_flag": f"WITH {FLAGGED} SELECT l_orderkey, l_linenumber, part_known, supplier_known FROM fl",
     "dq_tag": f"WITH {TAGGED} SELECT l_orderkey, l_linenumber, dq_passed, dq_rejection_reason FROM tagged",
     "dq_split": f"WITH {TAGGED} SELECT count(*) FILTER (dq_passed) AS passed, count(*) FILTER (NOT dq_passed) AS rejected, count(*) AS total FROM tagged",
+    "dq_store": f"""WITH {TAGGED} SELECT CASE WHEN dq_passed THEN 'passed' ELSE 'rejected' END AS side, count(*) AS rows, CAST(sum(l_orderkey) AS BIGINT) AS keys, count(*) AS observed FROM tagged GROUP BY 1""",
+    "quarantine_append": f"""WITH {TAGGED} SELECT 'run-1' AS pipeline_run_id, dq_rejection_reason AS rejection_reason, count(*) AS rows, 0 AS added_again FROM tagged WHERE NOT dq_passed GROUP BY 2
+        UNION ALL SELECT 'run-2', dq_rejection_reason, count(*), 0 FROM tagged WHERE NOT dq_passed AND l_linenumber = 1 GROUP BY 2""",
     "quarantine_envelope": f"""WITH {TAGGED} SELECT sha256('run-1|lines|' || {RAW}) AS quarantine_id, dq_rejection_reason AS rejection_reason,
         'run-1' AS pipeline_run_id, {RAW} AS raw_record, 'lines' AS source_table FROM tagged WHERE NOT dq_passed""",
     "change_tracking": f"""WITH {STATES} SELECT new.*, old.priority AS _prev_priority, old.status AS _prev_status,

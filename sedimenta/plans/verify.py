@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import checks
-from .facts import TERR
-from .retail import DIM, INVENTORY, LINES, MEASURED, ORDERS, customer_dim, inventory, measured_lines, orders, silver_lines, table
+from ..operators import checks, dims, scd
+from .facts import CUSTOMERS, FACT, PRODUCTS, REPS, STOCKED, TERR
+from .retail import DIM, INVENTORY, LINES, MEASURED, ORDERS, STOCK_DIM, customer_dim, inventory, key_sql, measured_lines, orders, product_dim, rep_dim, silver_lines, stock_dim, table
 
 
 def check_unique(spark: SparkSession, d: str) -> DataFrame:
@@ -72,14 +72,15 @@ def reconcile_counts(spark: SparkSession, d: str) -> DataFrame:
 
 def reconcile_sums(spark: SparkSession, d: str) -> DataFrame:
     """The rollup against the lines that it sums."""
-    from .facts import channel_revenue
+    from .facts import _revenue, _territories, stored_lines
 
+    lines = stored_lines(spark, d)
     pairs = {
         "net_revenue": (F.col("net_revenue"), F.col("line_total")),
         "tax": (F.col("total_tax"), F.col("tax_amount")),
         "units": (F.col("total_units"), F.col("quantity")),
     }
-    return checks.reconcile_sums(channel_revenue(spark, d), measured_lines(spark, d), pairs)
+    return checks.reconcile_sums(_revenue(_territories(spark, d, lines)), lines, pairs)
 
 
 def grid_completeness(spark: SparkSession, d: str) -> DataFrame:
@@ -131,9 +132,58 @@ def top_grain(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def fact_fk_card(spark: SparkSession, d: str) -> DataFrame:
+    """The seven foreign keys of the line fact and the three of the inventory fact against dimensions that each lack some rows."""
+    from .facts import _fact_lines, fact_inventory_daily
+
+    keyed = scd.with_surrogate
+    days = dims.dim_date(spark, "1995-01-01", "2000-12-31")
+    territories = table(spark, d, "nation").where("n_regionkey <> 3").select(F.col("n_nationkey").cast("string").alias("territory")).unionByName(spark.sql("select 'ONLINE' as territory"))
+    channels, statuses = (spark.sql(f"select explode(array({x})) as id") for x in ("'D2C', 'STORE'", "'F', 'O'"))
+    customers = keyed(customer_dim(spark, d), "o_custkey").where("priority <> '1-URGENT'")
+    products, reps = keyed(product_dim(spark, d), "l_partkey").where("product_class <> 'A'"), keyed(rep_dim(spark, d), "l_suppkey").where("rep_nation > 4")
+    line = checks.fk_card(
+        _fact_lines(spark, d),
+        [
+            ("line.customer", "customer_surrogate_key", customers, "surrogate_key", True),
+            ("line.product", "product_surrogate_key", products, "surrogate_key", True),
+            ("line.rep", "rep_surrogate_key", reps, "surrogate_key", False),
+            ("line.territory", "territory", territories, "territory", True),
+            ("line.date", "order_date_id", days, "date_id", True),
+            ("line.channel", "channel", channels, "id", True),
+            ("line.status", "status", statuses, "id", True),
+        ],
+    )
+    stocked = checks.fk_card(
+        fact_inventory_daily(spark, d),
+        [
+            ("inventory.product", "product_surrogate_key", keyed(stock_dim(spark, d), "product").where("product <> 'view'"), "surrogate_key", True),
+            ("inventory.store", "store", spark.range(20), "id", True),
+            ("inventory.date", "date_id", dims.dim_date(spark, "2024-01-03", "2024-01-20"), "date_id", True),
+        ],
+    )
+    return line.unionByName(stocked)
+
+
+def scorecard_isolated(spark: SparkSession, d: str) -> DataFrame:
+    """Checks of which one raises in a task and one cannot be planned: the others are answered."""
+    lines = table(spark, d, "lineitem")
+    bad = lines.where(F.when(F.col("l_linenumber") > 0, F.raise_error(F.lit("broken check")).cast("boolean")))
+    card = checks.scorecard(
+        spark,
+        {
+            "raises": (bad, 0),
+            "no_such_column": (lambda: lines.where("nothing > 1"), 0),
+            "duplicates": (checks.check_duplicates(lines, ["l_orderkey", "l_linenumber"]), 0),
+            "orphans": (lambda: checks.fk_orphans(lines, table(spark, d, "part"), "l_partkey", "p_partkey"), 0),
+        },
+    )
+    return card.select("check", "value", "status", F.col("error").isNotNull().alias("has_error"))
+
+
 def scorecard(spark: SparkSession, d: str) -> DataFrame:
     dim, lines = customer_dim(spark, d), silver_lines(spark, d)
-    return checks.scorecard(
+    card = checks.scorecard(
         spark,
         {
             "bronze_duplicates": (checks.check_duplicates(table(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"]), 0),
@@ -143,9 +193,10 @@ def scorecard(spark: SparkSession, d: str) -> DataFrame:
             "part_orphans": (checks.fk_orphans(lines, table(spark, d, "part"), "l_partkey", "p_partkey"), 0),
         },
     )
+    return card.select("check", "value", "expected", "status")
 
 
-QUERIES = {f.__name__: f for f in (check_unique, check_duplicates, check_no_current, check_intervals, fk_orphans, distinct_fk_orphans, invariants, reconcile_counts, reconcile_sums, grid_completeness, daily_audit, cardinality_histogram, null_profile, rate_by_date, breakdowns, top_grain, scorecard)}
+QUERIES = {f.__name__: f for f in (check_unique, check_duplicates, check_no_current, check_intervals, fk_orphans, distinct_fk_orphans, invariants, reconcile_counts, reconcile_sums, grid_completeness, daily_audit, cardinality_histogram, null_profile, rate_by_date, breakdowns, top_grain, fact_fk_card, scorecard_isolated, scorecard)}
 
 DUPES = "SELECT l_orderkey, l_linenumber, count(*) AS rows FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1"
 BROKEN = f"""{DIM}, broken AS (SELECT o_custkey, valid_from, CASE WHEN valid_to IS NOT NULL AND o_custkey % 11 = 0 THEN CAST(valid_from - INTERVAL 1 DAY AS DATE)
@@ -153,7 +204,36 @@ BROKEN = f"""{DIM}, broken AS (SELECT o_custkey, valid_from, CASE WHEN valid_to
   WHEN valid_to IS NULL AND o_custkey % 7 = 0 THEN DATE '2010-01-01' ELSE valid_to END AS valid_to, valid_to IS NULL AND o_custkey % 7 <> 0 AS is_current
   FROM dim WHERE NOT (o_custkey % 17 = 0 AND priority = '3-MEDIUM'))"""
 
+
+
+def _fk_sql(name: str, source: str, column: str, known: str) -> str:
+    return f"SELECT '{name}' AS \"check\", (SELECT count(*) FROM {source}) AS rows, (SELECT count(*) FROM {source} WHERE {column} IS NULL) AS nulls, (SELECT count(*) FROM {source} WHERE {column} NOT IN ({known})) + {0 if name == 'line.rep' else 1} * (SELECT count(*) FROM {source} WHERE {column} IS NULL) AS orphans"
+
+
+FK_CARD = f"""{FACT}, {STOCKED}, {STOCK_DIM}, inv AS (SELECT CAST(strftime(day, '%Y%m%d') AS INTEGER) AS date_id, k.product, store, {key_sql('k.product')} AS product_surrogate_key
+  FROM k LEFT JOIN sdim ON sdim.product = k.product AND day BETWEEN lo AND hi),
+every AS (SELECT * FROM inv UNION ALL SELECT * REPLACE (store + 100 AS store) FROM inv WHERE date_id < 20240104)
+""" + " UNION ALL ".join(
+    _fk_sql(*x)
+    for x in [
+        ("line.customer", "fact", "customer_surrogate_key", f"SELECT {key_sql('o_custkey')} FROM cdim WHERE o_orderpriority <> '1-URGENT'"),
+        ("line.product", "fact", "product_surrogate_key", f"SELECT {key_sql('l_partkey')} FROM pdim WHERE l_returnflag <> 'A'"),
+        ("line.rep", "fact", "rep_surrogate_key", f"SELECT {key_sql('l_suppkey')} FROM rdim WHERE rep_nation > 4"),
+        ("line.territory", "fact", "territory", "SELECT CAST(n_nationkey AS VARCHAR) FROM nation WHERE n_regionkey <> 3 UNION ALL SELECT 'ONLINE'"),
+        ("line.date", "fact", "order_date_id", "SELECT CAST(strftime(x, '%Y%m%d') AS INTEGER) FROM (SELECT unnest(generate_series(DATE '1995-01-01', DATE '2000-12-31', INTERVAL 1 DAY)) AS x)"),
+        ("line.channel", "fact", "channel", "SELECT unnest(['D2C', 'STORE'])"),
+        ("line.status", "fact", "status", "SELECT unnest(['F', 'O'])"),
+        ("inventory.product", "every", "product_surrogate_key", f"SELECT {key_sql('product')} FROM sdim WHERE product <> 'view'"),
+        ("inventory.store", "every", "store", "SELECT * FROM range(20)"),
+        ("inventory.date", "every", "date_id", "SELECT * FROM range(20240103, 20240121)"),
+    ]
+)
+
 ORACLE_SQL = {
+    "fact_fk_card": FK_CARD,
+    "scorecard_isolated": f"""SELECT 'duplicates' AS "check", count(*) AS "value", CASE WHEN count(*) = 0 THEN 'PASS' ELSE 'FAIL' END AS status, FALSE AS has_error FROM ({DUPES})
+        UNION ALL SELECT 'orphans', count(*), CASE WHEN count(*) = 0 THEN 'PASS' ELSE 'FAIL' END, FALSE FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part)
+        UNION ALL SELECT 'raises', NULL, 'ERROR', TRUE UNION ALL SELECT 'no_such_column', NULL, 'ERROR', TRUE""",
     "check_unique": f"""WITH {LINES} SELECT count(*) AS rows, count(DISTINCT (l_orderkey, l_linenumber)) AS distinct_keys, count(*) = count(DISTINCT (l_orderkey, l_linenumber)) AS is_unique, 'bronze' AS layer FROM lineitem
         UNION ALL SELECT count(*), count(DISTINCT (l_orderkey, l_linenumber)), count(*) = count(DISTINCT (l_orderkey, l_linenumber)), 'silver' FROM lines""",
     "check_duplicates": DUPES,

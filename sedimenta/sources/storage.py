@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -36,6 +36,13 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def folder_names(spark: SparkSession, path: str) -> list[str]:
+    """The names directly in a folder, without looking further down."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return sorted(s.getPath().getName() for s in p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(p))
+
+
 def read_if_exists(spark: SparkSession, path: str) -> DataFrame | None:
     try:
         return spark.read.parquet(path)
@@ -55,21 +62,51 @@ def snapshot_overwrite(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(path)
 
 
+def write_observed(df: DataFrame, path: str, mode: str = "overwrite", partition: str | None = None, **metrics: Column) -> dict[str, object]:
+    """Write ``df`` and return what is observed on the way, ``rows`` and the given aggregates, in the one pass of the write.
+
+    With a ``partition`` only the partitions that ``df`` holds are replaced.
+    """
+    seen = Observation()
+    rows = df.observe(seen, F.count(F.lit(1)).alias("rows"), *[m.alias(n) for n, m in metrics.items()])
+    writer = rows.write.mode(mode)
+    if partition:
+        writer = writer.option("partitionOverwriteMode", "dynamic").partitionBy(partition)
+    writer.parquet(path)
+    return seen.get
+
+
+def replace_partitions(df: DataFrame, path: str, partition: str, affected: list[str]) -> None:
+    """Replace the ``affected`` partitions of a table by their rows in ``df``; one of which no row is left is removed.
+
+    Partitions that are not affected are neither read nor written.
+    """
+    spark = df.sparkSession
+    rows = df.where(F.col(partition).cast("string").isin(affected))
+    partition_replace(rows, path, partition)
+    left = {str(r[0]) for r in spark.read.parquet(path).where(F.col(partition).cast("string").isin(affected)).select(partition).distinct().collect()}
+    here = {str(r[0]) for r in rows.select(F.col(partition).cast("string")).distinct().collect()}
+    jvm = spark.sparkContext._jvm
+    for value in sorted(left - here):
+        old = jvm.org.apache.hadoop.fs.Path(f"{path}/{partition}={value}")
+        old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
+
+
 def guarded_write(df: DataFrame, path: str, partition: str, value: str, force: bool = False) -> int:
     """Write one partition once.
 
-    Refuses if it already has rows, unless ``force``; refuses empty input;
-    checks that as many rows came in as were written.  Returns that number.
+    Refuses if it already has rows, unless ``force``; refuses empty input, of
+    which nothing is written.  ``df`` is evaluated once: its rows are counted
+    while they are written, and compared with what the table then has (told by
+    its files' footers).  Returns that number.
     """
     spark = df.sparkSession
     there = read_if_exists(spark, path)
     if there is not None and not force and not there.where(F.col(partition) == value).isEmpty():
         raise PartitionExists(f"{partition}={value}")
-    rows = df.where(F.col(partition) == value)
-    expected = rows.count()
+    expected = write_observed(df.where(F.col(partition) == value), path, partition=partition)["rows"]
     if not expected:
         raise EmptyInput(f"{partition}={value}")
-    partition_replace(rows, path, partition)
     written = spark.read.parquet(path).where(F.col(partition) == value).count()
     if written != expected:
         raise RuntimeError(f"{partition}={value}: {written} rows written, {expected} expected")
