@@ -25,6 +25,7 @@ Other columns are ignored.
 
 from __future__ import annotations
 
+import bisect
 import json
 import math
 import re
@@ -202,19 +203,39 @@ def best_fit(lengths: np.ndarray, size: int) -> list[list[int]]:
 
 
 def _best_exchange(full: list[int], spare: list[int], lengths: list[int], room: int) -> tuple[int, list[int], list[int]] | None:
-    """``(gain, out of full, out of spare)`` with the largest gain of at most ``room``."""
-    best = None
-    for a in (None, *full):
-        off = 0 if a is None else lengths[a]
-        for i, x in enumerate(spare):
-            gain = lengths[x] - off
-            if 0 < gain <= room and (best is None or gain > best[0]):
-                best = (gain, [] if a is None else [a], [x])
-            for y in spare[i + 1 :]:
-                gain = lengths[x] + lengths[y] - off
-                if 0 < gain <= room and (best is None or gain > best[0]):
-                    best = (gain, [] if a is None else [a], [x, y])
-    return best
+    """``(gain, out of full, out of spare)`` with the largest gain of at most ``room``.
+
+    Pieces of one length are interchangeable, so distinct lengths are searched,
+    and for a piece given and one of two taken the best other one is found by
+    bisection.
+    """
+    by_length: dict[int, list[int]] = {}
+    for i in spare:
+        by_length.setdefault(lengths[i], []).append(i)
+    ordered, best, chosen = sorted(by_length), 0, None
+    for off, a in {0: None, **{lengths[i]: i for i in full}}.items():
+        most = room + off
+        if best == room or not ordered:
+            break
+        at = bisect.bisect_right(ordered, most) - 1
+        if at >= 0 and ordered[at] - off > best:
+            best, chosen = ordered[at] - off, (a, ordered[at], 0)
+        for one in ordered:
+            other = min(one, most - one)  # the second is not the longer one
+            if one + other - off <= best and one + other < most:
+                continue
+            at = bisect.bisect_right(ordered, other) - 1
+            if at >= 0 and ordered[at] == one and len(by_length[one]) == 1:
+                at -= 1
+            if at >= 0 and one + ordered[at] - off > best:
+                best, chosen = one + ordered[at] - off, (a, one, ordered[at])
+                if best == room:
+                    break
+    if chosen is None:
+        return None
+    a, one, two = chosen
+    into = [by_length[one][0]] + ([by_length[two][-1]] if two else [])
+    return best, [] if a is None else [a], into
 
 
 def local_search(bins: list[list[int]], lengths: np.ndarray, size: int, passes: int = PASSES) -> list[list[int]]:
@@ -244,8 +265,9 @@ def local_search(bins: list[list[int]], lengths: np.ndarray, size: int, passes:
                 if best is None:
                     break
                 b, (gain, out, into) = best
-                bins[a] = [i for i in bins[a] if i not in out] + into
-                bins[b] = [i for i in bins[b] if i not in into] + out
+                gone, come = set(out), set(into)
+                bins[a] = [i for i in bins[a] if i not in gone] + into
+                bins[b] = [i for i in bins[b] if i not in come] + out
                 fill[a] += gain
                 fill[b] -= gain
                 changed = True
