@@ -71,6 +71,11 @@ def whole_rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.struct(*docs.columns).alias("doc_id"), "text")
 
 
+def text_digest(text: Column) -> Column:
+    """60 bits of SHA-256, to tell texts of one id apart; a null text counts as empty."""
+    return F.conv(F.substring(F.sha2(F.coalesce(text, F.lit("")), 256), 1, 15), 16, 10).cast("long")
+
+
 def with_id(docs: DataFrame, columns: str) -> StructType:
     """A schema of the ``doc_id`` of ``docs`` and more columns."""
     return StructType([docs.schema["doc_id"], *StructType.fromDDL(columns).fields])

@@ -28,19 +28,20 @@ are the same by either way and at every size: pairs that share a band.  With 25
 
 One row per row of the input: the class is named by its smallest doc_id.  Null
 and empty texts (no words) and rows with null ids are their own class, the
-latter with a null class id.  Rows with equal ids are one document.  Other
-columns are ignored.
+latter with a null class id.  A document is an id with a text: rows that repeat
+both are one document, and different texts of one id are different documents,
+of which the class of each is found.  Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bytewords import ALNUM, Words, chunks, mix, span_hashes, words_of
-from .common import bound_batches, staged, table
+from .bytewords import ALNUM, Words, apart_hashes, chunks, mix, words_of
+from .common import bound_batches, staged, table, text_digest
 from .components import components
 
 SHINGLE = 5
@@ -192,8 +193,8 @@ def sketch(weighted: bool = False, bands: int = BANDS, per_band: int = PER_BAND)
                     [
                         b.column("doc_id").slice(row, nxt - row),
                         pa.array(np.diff(w.first), pa.int64()),
-                        pa.array(span_hashes(w.hashes, first, last).view(np.int64)),
-                        pa.array(span_hashes(mix(w.hashes + np.uint64(77)), first, last).view(np.int64)),
+                        pa.array(apart_hashes(w.hashes, first, last).view(np.int64)),
+                        pa.array(apart_hashes(mix(w.hashes + np.uint64(77)), first, last).view(np.int64)),
                         pa.ListArray.from_arrays(
                             pa.array(np.arange(nxt - row + 1, dtype=np.int32) * bands), pa.array(keys.ravel())
                         ),
@@ -333,15 +334,24 @@ def _labelled(placed: DataFrame, labels: DataFrame | None) -> DataFrame:
     return placed.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
 
 
-def near_duplicates(docs: DataFrame, least: float = SIMILARITY, weighted: bool = False) -> DataFrame:
-    """``(doc_id, class_id, n_words)``, one row per row of ``docs``."""
+def _document() -> Column:
+    """What a document is known by: its id, which orders documents, and a digest of its text."""
+    return F.struct(F.col("doc_id").alias("id"), text_digest(F.col("text")).alias("digest"))
+
+
+def documents(docs: DataFrame) -> DataFrame:
+    return docs.select(_document().alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+def _classes(docs: DataFrame, least: float, weighted: bool) -> DataFrame:
+    """``(doc_id, n_words, class_of)``: both are documents, the second null for one that is alone."""
     spark = docs.sparkSession
     bound_batches(spark)
-    given = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    given = documents(docs)
+    kind = given.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_words long, key_a long, key_b long, buckets array<long>"
     sketches = staged(given.mapInArrow(sketch(weighted), schema), "sketches")
-    worded = sketches.where("n_words > 0 and doc_id is not null")
+    worded = sketches.where("n_words > 0 and doc_id.id is not null")
     heads = worded.groupBy("key_a", "key_b").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     told = salted_join(worded.select("doc_id", "key_a", "key_b"), heads, ["key_a", "key_b"], KEY_SALTS, "left")
     members = staged(told.select("doc_id", F.coalesce("head", "doc_id").alias("head")).distinct(), "members")
@@ -352,7 +362,7 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, weighted: bool =
     sharing = placed.groupBy("doc_id").agg(F.sum("n").alias("sharing"))
     placed = staged(placed.drop("n").join(sharing, "doc_id"), "buckets")
     texts = staged(
-        given.where("doc_id is not null").join(sharing.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]),
+        given.where("doc_id.id is not null").join(sharing.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]),
         "texts",
     )
     total = texts.count()
@@ -397,16 +407,26 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, weighted: bool =
     named = members if labels is None else members.join(labels, members["head"] == labels["node"], "left").select(
         "doc_id", F.coalesce("label", "head").alias("head")
     )
-    named = named.select("doc_id", F.col("head").alias("class_id"))
-    return sketches.select("doc_id", "n_words").join(named, "doc_id", "left").select(
-        "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), "n_words"
-    )
+    return sketches.select("doc_id", "n_words").join(named.select("doc_id", F.col("head").alias("class_of")), "doc_id", "left")
+
+
+def near_duplicates(docs: DataFrame, least: float = SIMILARITY, weighted: bool = False) -> DataFrame:
+    """``(doc_id, class_id, n_words)``, one row per row of ``docs``."""
+    return _classes(docs, least, weighted).select("doc_id.id", F.coalesce("class_of.id", "doc_id.id").alias("class_id"), "n_words").withColumnRenamed("id", "doc_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that name their class, and rows without an id."""
-    named = near_duplicates(docs).where("doc_id = class_id").select("doc_id").distinct()
-    return docs.where("doc_id is not null").join(named, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
+    """The row of ``docs`` that names its class (one, if it is repeated), and all rows without an id.
+
+    Columns travel as one struct, so no name of theirs can clash.
+    """
+    found = _classes(docs, SIMILARITY, False).where("doc_id.id is not null and (class_of is null or class_of = doc_id)")
+    names = staged(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("copies")), "names")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), _document().alias("doc_id"))
+    kept = rows.join(names, "doc_id")
+    once, again = kept.where("copies = 1"), kept.where("copies > 1").dropDuplicates(["doc_id"])
+    named = once.select("row").unionByName(again.select("row"))
+    return named.unionByName(rows.where("doc_id.id is null").select("row")).select("row.*")
 
 
 def op8_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

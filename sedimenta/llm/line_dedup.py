@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, staged, table
+from .common import partitions, staged, table, text_digest
 from .content_sort import MAX_RANGES, SAMPLE_PER_RANGE, range_of
 
 LEAST_CHARS, LEAST_DOCS = 20, 3
@@ -41,11 +41,6 @@ def line_key(line: Column) -> Column:
     return F.when(plain, F.lower(bare)).otherwise(F.translate(bare, UPPER, LOWER))
 
 
-def text_digest(text: Column) -> Column:
-    """60 bits of SHA-256, to tell texts of one id apart."""
-    return F.conv(F.substring(F.sha2(F.coalesce(text, F.lit("")), 256), 1, 15), 16, 10).cast("long")
-
-
 def _place(h: Column, doc_id: Column) -> Column:
     return F.concat(h, F.lpad(F.hex(F.xxhash64(doc_id)), 16, "0"))
 
