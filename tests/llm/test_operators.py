@@ -61,6 +61,26 @@ def test_words_and_hashes():
 # 1: language identification
 
 
+def thue_morse(n, a, b):
+    """Two runs of ``a`` and ``b`` of 2**n that polynomials modulo 2**64 do not tell apart."""
+    one = [a if bin(i).count("1") % 2 else b for i in range(1 << n)]
+    return one, [b if x == a else a for x in one]
+
+
+def test_words_of_two_letters_have_hashes_of_their_own(spark):
+    one, two = ("".join(x) for x in thue_morse(10, "a", "b"))
+    (_, _, data, at), = bytewords.chunks(pa.array([f"{one} {two} {one}"]))
+    h = bytewords.words_of(data, at).hashes
+    assert h[0] == h[2] != h[1]
+    model = ngram_trie.train(spark.createDataFrame([(one,)], "text string"))
+    assert [r.n_known for r in ngram_trie.scores(spark.createDataFrame([(1, two), (2, one)], "doc_id long, text string"), model).orderBy("doc_id").collect()] == [1, 2]
+    left, right = thue_morse(10, "red", "blue")
+    values = np.array([7, 9], np.uint64)
+    a, b = (values[[int(x == "red") for x in side]] for side in (left, right))
+    ends = np.array([len(a)])
+    assert bytewords.apart_hashes(a, ends * 0, ends)[0] != bytewords.apart_hashes(b, ends * 0, ends)[0]
+
+
 def test_language_held_out_accuracy(spark, sf):
     truth = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     rows = lid_crf.op1_lid_crf(spark, sf).collect()
@@ -423,6 +443,26 @@ def test_local_search_empties_sequences():
     assert all(lengths[b].sum() <= 10 for b in bins)
 
 
+def test_search_of_many_short_pieces_is_quick_and_right():
+    def brute(full, spare, lengths, room):
+        gains = [0]
+        for off in (0, *(lengths[a] for a in full)):
+            for i, x in enumerate(spare):
+                gains += [g for g in (lengths[x] - off, *(lengths[x] + lengths[y] - off for y in spare[i + 1 :])) if 0 < g <= room]
+        return max(gains)
+
+    rng = random.Random(2)
+    for _ in range(3000):
+        lengths, full, spare, room = [rng.randrange(1, 30) for _ in range(12)], list(range(rng.randrange(6))), list(range(6, 6 + rng.randrange(6))), rng.randrange(1, 25)
+        found = packing._best_exchange(full, spare, lengths, room) or (0, [], [])
+        assert found[0] == brute(full, spare, lengths, room) == sum(lengths[i] for i in found[2]) - sum(lengths[i] for i in found[1])
+        assert len(set(found[2])) == len(found[2]) <= 2
+    for n, length in ((20_000, 50), (20_000, 137)):
+        lengths, began = np.full(n, length), time.monotonic()
+        bins = packing.local_search(packing.best_fit(lengths, 4096), lengths, 4096)
+        assert time.monotonic() - began < 5 and len(bins) == math.ceil(n / (4096 // length))
+
+
 def test_packing_odd_and_many_shards(spark, odd, none):
     found = packing.pieces(odd, packing.tokenizer_path())
     rows = packing.pack(found, shard_pieces=5).collect()
@@ -623,6 +663,18 @@ def test_classes_odd(spark, odd, none):
     assert (by[2], by[3], by[4], by[7], by[9], by[None]) == (1, 3, 4, 6, 8, None)
 
 
+def test_texts_that_share_an_id_are_judged_each(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    texts = [(3, long), (7, long + " tail"), (7, "a text that resembles nothing else here at all"), (9, long + " end"), (7, long + " tail"), (9, None), (None, long), (None, "lost"), (20, "again and again this text"), (20, "again and again this text")]
+    df = spark.createDataFrame(texts, "doc_id long, text string").withColumns({c: F.lit(7) for c in ("id", "digest", "row", "copies", "class_of")})
+    rows = dart_minhash.near_duplicates(df).collect()
+    assert sorted(((r.doc_id, r.class_id) for r in rows), key=str) == sorted([(3, 3), (7, 3), (7, 3), (7, 7), (9, 3), (9, 9), (None, None), (None, None), (20, 20), (20, 20)], key=str)
+    kept = dart_minhash.one_of_each(df)
+    assert kept.columns == df.columns
+    want = [(3, long), (7, "a text that resembles nothing else here at all"), (9, None), (None, long), (None, "lost"), (20, "again and again this text")]
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(want, key=str)
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(1, 60)] + [(100, 101)], "a long, b long")
     got = {r.node: r.label for r in components.components(links).collect()}
