@@ -111,6 +111,28 @@ class EliasFano:
             live = live[lo[live] < hi[live]]
         return lo
 
+    def find_between(self, x: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Index of each ``x`` among the numbers from place ``begin`` to before ``end``, or -1: a search for its successor there.
+
+        Only places that share the high part of ``x`` are looked at.
+        """
+        if not self.n or not len(x):
+            return np.full(len(x), -1, np.int64)
+        x = np.asarray(x, np.uint64)
+        top = self._top(x)
+        lo = np.maximum(begin, np.where(top > 0, self.select0(np.maximum(top - 1, 0)) - (top - 1), 0))
+        stop = np.minimum(end, self.select0(top) - top)
+        hi, want = np.maximum(stop, lo), x & self.mask
+        live = np.flatnonzero(lo < hi)
+        while len(live):
+            mid = (lo[live] + hi[live]) >> 1
+            less = self.lows(mid) < want[live]
+            lo[live] = np.where(less, mid + 1, lo[live])
+            hi[live] = np.where(less, hi[live], mid)
+            live = live[lo[live] < hi[live]]
+        same = (lo < stop) & (self.lows(np.minimum(lo, self.n - 1)) == want)
+        return np.where(same, lo, -1)
+
     def find(self, x: np.ndarray) -> np.ndarray:
         """Index of each ``x``, or -1."""
         if not self.n or not len(x):

@@ -4,13 +4,15 @@ Level one holds the training words, as the sorted sequence of their hashes,
 with exact counts (the contract's base needs them) and quantised
 probabilities; a word's number is its place.  Level two holds, for every
 context word in order, the numbers of the words seen after it, level three the
-same for every pair of level two: the monotone sequence
-``context * width + word``, with monotone pointers to each context's range and
-a quantised discounted probability for each entry.  An entry's number, its
-place in its level, is its context number one level down.  Levels are cut into
-shards of bounded size that are files in the shared folder; scoring maps those
-that it needs into memory and finds an entry by successor search in its
-context's range.  A context that very many words follow is split over shards.
+same for every pair of level two.  Numbers are relative to their context: each
+range begins where the one before ended, so a level is one monotone sequence
+whose universe grows with what was seen, with monotone pointers to each
+context's range and a quantised discounted probability for each entry.  An
+entry's number, its place in its level, is its context number one level down.
+Levels are cut into shards of bounded size that are files in the shared folder;
+scoring maps those that it needs into memory, reads a context's two pointers,
+and finds the word by successor search between them.  A context that very many
+words follow is split over shards.
 
     p(w | u v) = discounted(u v, w) + left(u v) * p(w | v)
     p(w | v) = discounted(v, w) + left(v) * p(w)
@@ -46,7 +48,8 @@ SHARD_TOKENS = 4_000_000
 #: Bytes of text that are looked up at once: each shard that they hit costs the same again.
 LOOKUP_BYTES = 4 << 20
 BUFFER_TOKENS = 4_000_000
-SAMPLE_TEXTS = 1_000
+#: Shards are cut at keys of a sample: of so many texts, or of so many tokens for each shard if that is more; one key in 16 is taken.
+SAMPLE_TEXTS, SAMPLE_TOKENS = 1_000, 256
 #: Steps of a quantised probability or count to a factor of ten.
 STEPS = 4096
 END = np.uint64(0x2545F4914F6CDD1D)
@@ -246,9 +249,15 @@ class Grams:
             here = np.flatnonzero((context >= low) & (context <= high))
             if not len(here):
                 continue
-            found = ef.find(keys[a:b][here] - np.uint64(low * self.width))
             begin, end = (pointers.access(context[here] - low + i).astype(np.int64) for i in (0, 1))
-            seen = (found >= begin) & (found < end)
+            here, begin, end = here[begin < end], begin[begin < end], end[begin < end]
+            if not len(here):
+                continue
+            base = np.where(begin > 0, ef.access(np.maximum(begin - 1, 0)), np.uint64(0))
+            word = keys[a:b][here] % np.uint64(self.width)
+            last = ef.access(end - 1)
+            found = np.where(base + word <= last, ef.find_between(np.minimum(base + word, last), begin, end), -1)
+            seen = found >= 0
             at = found[seen]
             number[a + here[seen]] = self.first[s] + at
             p[a + here[seen]] = 1.0 / _value(codes[at])
@@ -288,8 +297,11 @@ def build_grams(grams: Grams, totals_of: Callable, discount: float):
         context = (keys // np.uint64(width)).astype(np.int64)
         low, high = int(context[0]), int(context[-1])
         path = f"{grams.path}-{s}"
-        EliasFano.build(keys - np.uint64(low * width), (high - low + 1) * width).save(path)
         own, begin, many = np.unique(context, return_index=True, return_counts=True)
+        words = keys % np.uint64(width)
+        ends = np.cumsum(words[begin + many - 1], dtype=np.uint64)  # each context's last number is the next one's base
+        relative = words + np.repeat(np.concatenate([np.zeros(1, np.uint64), ends[:-1]]), many)
+        EliasFano.build(relative, int(relative[-1]) + 1).save(path)
         pointers = np.zeros(high - low + 2, np.uint64)
         pointers[own - low + 1] = many
         EliasFano.build(np.cumsum(pointers, dtype=np.uint64), len(keys) + 1).save(f"{path}.pointers")
@@ -346,7 +358,8 @@ def _level(texts: DataFrame, trie: Trie, name: str, contexts: int, keys_of: Call
     if contexts * width >= 1 << 64:
         raise OverflowError(f"{contexts} contexts of {width} words do not fit 64-bit keys")
     parts = max(1, tokens // SHARD_TOKENS)
-    some = texts.sample(min(1.0, SAMPLE_TEXTS / total), seed=7) if total > SAMPLE_TEXTS else texts
+    share = max(SAMPLE_TEXTS / total, SAMPLE_TOKENS * parts / tokens)
+    some = texts.sample(share, seed=7) if share < 1 else texts
     drawn = some.mapInArrow(sampler(keys_of), "key long").where(F.pmod(F.xxhash64("key"), F.lit(16)) == 0)
     keys = np.sort(np.array([r[0] for r in drawn.collect()], np.int64).view(np.uint64)) if parts > 1 else []
     cuts = sorted({int(keys[i * len(keys) // parts]) for i in range(1, parts)}) if len(keys) else []
