@@ -314,6 +314,11 @@ def test_elias_fano():
             assert (ef.access(np.arange(n)) == values).all()
             assert (ef.successor(x) == np.searchsorted(values, x)).all()
         assert ((ef.find(x) >= 0) == np.isin(x, values)).all()
+        begin = rng.integers(0, n + 1, len(x))
+        end = np.minimum(n, begin + rng.integers(0, n + 1, len(x)))
+        x = np.where(rng.random(len(x)) < 0.5, values[np.minimum(begin, max(n - 1, 0))] if n else x, x)
+        want = [next((i for i in range(b, e) if values[i] == v), -1) for v, b, e in zip(x, begin, end, strict=True)]
+        assert ef.find_between(x, begin, end).tolist() == want
 
 
 def test_scores_against_counting(spark, sf, monkeypatch):
