@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import uuid
 
@@ -70,6 +71,11 @@ class EliasFano:
         n, width = np.load(f"{path}.shape.npy").tolist()
         return cls(n, width, *(np.load(f"{path}.{x}.npy", mmap_mode="r") for x in ("low", "high", "zeros")))
 
+    @functools.cached_property
+    def last(self) -> np.uint64:
+        """The largest number."""
+        return self.access(np.array([self.n - 1]))[0]
+
     def select0(self, k: np.ndarray) -> np.ndarray:
         """Place of the ``k``-th zero, from 0."""
         at = np.searchsorted(self.zeros, k.astype(np.uint32), "right") - 1

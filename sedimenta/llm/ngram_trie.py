@@ -254,10 +254,9 @@ class Grams:
             if not len(here):
                 continue
             base = np.where(begin > 0, ef.access(np.maximum(begin - 1, 0)), np.uint64(0))
-            word = keys[a:b][here] % np.uint64(self.width)
-            last = ef.access(end - 1)
-            found = np.where(base + word <= last, ef.find_between(np.minimum(base + word, last), begin, end), -1)
-            seen = found >= 0
+            wanted = base + keys[a:b][here] % np.uint64(self.width)
+            found = ef.find_between(np.minimum(wanted, ef.last), begin, end)
+            seen = (found >= 0) & (wanted <= ef.last)
             at = found[seen]
             number[a + here[seen]] = self.first[s] + at
             p[a + here[seen]] = 1.0 / _value(codes[at])
