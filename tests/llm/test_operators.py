@@ -90,6 +90,32 @@ def test_language_held_out_accuracy(spark, sf):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def test_language_query_against_a_plain_chain(spark, sf):
+    """Scores of the query from the same model, by forward and backward sums over each whole text in doubles, one word after the other."""
+    model = lid_crf.learn(spark.read.parquet(f"{sf}/documents.parquet"))
+    names, start, moves = model["labels"], model["start"].astype(float), model["moves"].astype(float)
+    rows = {r.doc_id: r for r in lid_crf.op1_lid_crf(spark, sf).collect()}
+    texts = texts_of(spark, sf)
+    longest = sorted(texts, key=lambda k: -len(texts[k]))[:3]
+    for k in [*longest, *sorted(texts)[::9]]:
+        (_, _, data, at), = bytewords.chunks(pa.array([texts[k].lower()]), 1 << 40)
+        w = lid_crf.Words(data, at)
+        e = lid_crf.emissions(w, model).astype(float)
+        if not len(e):
+            assert (rows[k].lang_pred, rows[k].score) == (lid_crf.UNKNOWN, 0.0)
+            continue
+        ahead, back = np.empty_like(e), np.zeros_like(e)
+        ahead[0] = start + e[0]
+        for t in range(1, len(e)):
+            ahead[t] = np.logaddexp.reduce(ahead[t - 1][:, None] + moves, axis=0) + e[t]
+        for t in range(len(e) - 2, -1, -1):
+            back[t] = np.logaddexp.reduce(moves + e[t + 1] + back[t + 1], axis=1)
+        p = np.exp(ahead + back - np.logaddexp.reduce(ahead[-1]))
+        mean = p.mean(axis=0)
+        if rows[k].lang_pred != lid_crf.UNKNOWN:
+            assert abs(rows[k].score - mean.max()) < 2e-3 and abs(mean[names.index(rows[k].lang_pred)] - mean.max()) < 2e-3
+
+
 def test_language_switches_are_seen(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     model = lid_crf.learn(docs)

@@ -1,10 +1,13 @@
 """The pipeline's stages on odd rows, empty tables and the smallest test tables."""
 
+import math
+import re
 from collections import Counter
 
 import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
+from test_operators import classes_by_hand
 
 
 def test_stages_keep_columns_and_clean_documents(spark, sf):
@@ -52,3 +55,45 @@ def test_rows_that_share_an_id_are_judged_one_by_one(spark, sf, none):
         given = rows(bad).unionByName(docs) if stage == "language" else rows(bad)
         found = stages[stage](spark, given, sf).where("doc_id is null or doc_id = -7")
         assert sorted((str(r.doc_id), r.source, r.text) for r in found.collect()) == sorted((i, s, t) for i in ("None", "-7") for t, s in ((one, "one"), (two, "two")))
+
+
+def test_stages_against_brute_force(spark, sf):
+    """What each stage after the language keeps, told in plain Python from what its predecessor kept, and the packing of the rest."""
+    stages, docs = dict(corpus_pipeline.STAGES), spark.read.parquet(f"{sf}/documents.parquet")
+    kept = lambda name, docs: {r.doc_id: r.text or "" for r in stages[name](spark, docs, sf).collect()}
+    given = lambda texts: docs.where(F.col("doc_id").isin(list(texts)))
+
+    texts = kept("language", docs)
+    groups = {}
+    for k, t in texts.items():
+        groups.setdefault(re.sub(r"[\x20\x09-\x0d]+", " ", t), []).append(k)
+    want = {min(g) for g in groups.values()}
+    found = kept("exact_dedup", given(texts))
+    assert set(found) == want
+
+    texts, classes = found, classes_by_hand(found)
+    found = kept("near_dedup", given(texts))
+    assert set(found) == {k for k, c in classes.items() if k == c}
+
+    words = lambda t: re.findall(rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", t.encode().translate(bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))))
+    windows = set()
+    for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect():
+        w = words(r.text or "")
+        windows |= {tuple(w[i : i + 13]) for i in range(max(1, len(w) - 12))} if w else set()
+    sizes, clean = {len(w) for w in windows}, set()
+    for k, t in found.items():
+        w, hit = words(t), set()
+        for n in sizes:
+            hit |= {j for i in range(len(w) - n + 1) if tuple(w[i : i + n]) in windows for j in range(i, i + n)}
+        if not hit or 20 * len(hit) < len(w):
+            clean.add(k)
+    texts, found = found, kept("decontamination", given(found))
+    assert set(found) == clean
+
+    rows = corpus_pipeline.run(spark, sf).collect()
+    assert {r.doc_id for r in rows} == clean
+    by = {}
+    for r in rows:
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert all(sum(n for _, n in x) <= 4096 and [o for o, _ in sorted(x)] == [sum(n for _, n in sorted(x)[:i]) for i in range(len(x))] for x in by.values())
+    assert len(by) <= math.ceil(sum(r.length for r in rows) / 4096) + 1
