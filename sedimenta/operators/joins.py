@@ -10,14 +10,16 @@ from .keys import join_spread
 OPEN_END = "9999-12-31"
 
 
-def asof_attach(facts: DataFrame, dim: DataFrame, key: str, dim_key: str, day: str, columns: list[str], gap_free: bool = False) -> DataFrame:
+def asof_attach(facts: DataFrame, dim: DataFrame, key: str, dim_key: str, day: str, columns: list[str], gap_free: bool = False, apart: bool = False) -> DataFrame:
     """Each fact with the version of ``dim`` that covers its day, else the key's earliest version.
 
     ``columns`` of the version are added, null where the key is null or has
     no version; facts keep their number.  Versions of a key must not overlap:
-    overlapping ones raise, and ``asof_attach_overlapping`` takes them.  Facts
-    with a null key are spread over all tasks.  No fact is ranked: an equi-join with the interval as residual finds the one
-    covering version, and one first version per key fills in.  With ``gap_free``
+    overlapping ones raise, and ``asof_attach_overlapping`` takes them; a caller
+    whose timeline cannot overlap, as those of ``scd2_from_timeline``, says
+    ``apart`` and saves the check.  Facts with a null key are spread over all
+    tasks.  No fact is ranked: an equi-join with the interval as residual finds
+    the one covering version, and one first version per key fills in.  With ``gap_free``
     timelines the first version reaches back to all earlier days instead, and
     the second join falls away.
     """
@@ -27,7 +29,7 @@ def asof_attach(facts: DataFrame, dim: DataFrame, key: str, dim_key: str, day: s
         F.coalesce("valid_to", F.lit(OPEN_END).cast("date")).alias("_to"),
         F.struct(*columns).alias("_version"),
     )
-    versions = _apart(versions)
+    versions = _apart(versions, apart)
     first = versions.groupBy("_key", "_part").agg(F.min_by("_version", "_from").alias("_first"), F.min("_from").alias("_start"))
     given = [f"f.{c}" for c in facts.columns]
     facts = facts.withColumn("_spread", F.when(F.col(key).isNull(), F.xxhash64(*facts.columns)).otherwise(F.lit(0).cast("long")))
@@ -42,12 +44,15 @@ def asof_attach(facts: DataFrame, dim: DataFrame, key: str, dim_key: str, day: s
     return floored.select(*given, *[_pick(c) for c in columns])
 
 
-def _apart(versions: DataFrame) -> DataFrame:
-    """``versions`` with ``_part`` = 0, against which facts without a key are spread; a version that begins before its predecessor ends raises."""
+def _apart(versions: DataFrame, known: bool) -> DataFrame:
+    """``versions`` with ``_part`` = 0, against which facts without a key are spread; a version that begins before its predecessor ends raises, unless it is ``known`` that none does."""
+    none = F.pmod(F.xxhash64("_key"), F.lit(1).cast("long"))
+    if known:
+        return versions.withColumn("_part", none)
     w = Window.partitionBy("_key").orderBy("_from", "_to")
     meets = F.coalesce(F.lag("_to").over(w) >= F.col("_from"), F.lit(False))
     fail = F.raise_error(F.concat(F.lit("overlapping versions of "), F.col("_key").cast("string"))).cast("long")
-    return versions.withColumn("_part", F.when(meets, fail).otherwise(F.pmod(F.xxhash64("_key"), F.lit(1).cast("long"))))
+    return versions.withColumn("_part", F.when(meets, fail).otherwise(none))
 
 
 def _covers(key: str, day: str) -> Column:

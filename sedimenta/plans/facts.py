@@ -38,7 +38,7 @@ def asof_attach(spark: SparkSession, d: str) -> DataFrame:
 
 def asof_attach_branch(spark: SparkSession, d: str) -> DataFrame:
     """As-of over the gap-free timeline; rows without a customer keep null columns without a branch of their own."""
-    return joins.asof_attach(_dated(spark, d), customer_dim(spark, d), "customer", "o_custkey", "ship_date", ["priority", "valid_from"], gap_free=True)
+    return joins.asof_attach(_dated(spark, d), customer_dim(spark, d), "customer", "o_custkey", "ship_date", ["priority", "valid_from"], gap_free=True, apart=True)
 
 
 def lookup_attach(spark: SparkSession, d: str) -> DataFrame:
@@ -63,7 +63,7 @@ def _territories(spark: SparkSession, d: str, lines: DataFrame) -> DataFrame:
     """Lines with the rep of B2B orders as of the order date, whose territory comes along, and the store's nation."""
     reps = scd.with_surrogate(rep_dim(spark, d, lines), "l_suppkey", "rep_surrogate_key").withColumnRenamed("l_suppkey", "dim_rep")
     lines = lines.withColumn("rep", F.when(F.col("channel") == "B2B", F.col("l_suppkey")))
-    lines = joins.asof_attach(lines, reps, "rep", "dim_rep", "order_date", ["rep_surrogate_key", "rep_nation"], gap_free=True)
+    lines = joins.asof_attach(lines, reps, "rep", "dim_rep", "order_date", ["rep_surrogate_key", "rep_nation"], gap_free=True, apart=True)
     lines = joins.lookup_attach(lines, table(spark, d, "supplier"), "l_suppkey", "s_suppkey", ["s_nationkey"])
     territory = facts.territory_derive(
         F.col("channel"), {"STORE": F.col("s_nationkey").cast("string"), "B2B": F.col("rep_nation").cast("string"), "D2C": F.lit("ONLINE")}
@@ -88,8 +88,8 @@ def _fact_lines(spark: SparkSession, d: str) -> DataFrame:
     lines = _territories(spark, d, silver)
     customers = scd.with_surrogate(customer_dim(spark, d), "o_custkey", "customer_surrogate_key").withColumnRenamed("o_custkey", "dim_customer")
     products = scd.with_surrogate(product_dim(spark, d, silver), "l_partkey", "product_surrogate_key").withColumnRenamed("l_partkey", "dim_product")
-    lines = joins.asof_attach(lines, customers, "o_custkey", "dim_customer", "order_date", ["customer_surrogate_key"], gap_free=True)
-    lines = joins.asof_attach(lines, products, "l_partkey", "dim_product", "order_date", ["product_surrogate_key"], gap_free=True)
+    lines = joins.asof_attach(lines, customers, "o_custkey", "dim_customer", "order_date", ["customer_surrogate_key"], gap_free=True, apart=True)
+    lines = joins.asof_attach(lines, products, "l_partkey", "dim_product", "order_date", ["product_surrogate_key"], gap_free=True, apart=True)
     return lines.select(
         "l_orderkey", "l_linenumber", keys.date_key(F.col("order_date")).alias("order_date_id"), "channel", "territory", "category",
         F.col("o_orderstatus").alias("status"), "customer_surrogate_key", "product_surrogate_key", "rep_surrogate_key",
@@ -182,7 +182,7 @@ def fact_inventory_daily(spark: SparkSession, d: str) -> DataFrame:
     """Snapshot with the product's version as of its day, the store checked against the known ones, window measures and
     date key, merged null-safe by its composite key; stores 20 and above are not known."""
     products = scd.with_surrogate(stock_dim(spark, d), "product", "product_surrogate_key").withColumnRenamed("product", "dim_product")
-    rows = joins.asof_attach(_with_stock(spark, d), products, "product", "dim_product", "day", ["product_surrogate_key"], gap_free=True)
+    rows = joins.asof_attach(_with_stock(spark, d), products, "product", "dim_product", "day", ["product_surrogate_key"], gap_free=True, apart=True)
     rows = keys.fk_flag(rows, spark.range(20).withColumnRenamed("id", "known_store"), "store", "known_store", "store_known")
     built = _stored(
         rows.select(keys.date_key(F.col("day")).alias("date_id"), "product", "store", "product_surrogate_key", "store_known", "units", "stock", "days_of_stock"),
