@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .keys import dedup_latest, surrogate_key
+from .keys import dedup_latest, join_spread, surrogate_key
 
 
 def _differs(columns: list[str], a: str, b: str) -> Column:
@@ -16,12 +16,13 @@ def _differs(columns: list[str], a: str, b: str) -> Column:
 
 
 def change_tracking(incoming: DataFrame, current: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """``incoming`` with ``_prev_<column>`` and ``_scd_changed`` (false at first sight)."""
-    old = current.select(key, *columns).withColumn("_seen", F.lit(True))
-    return incoming.alias("n").join(old.alias("o"), key, "left").select(
-        "n.*",
-        *[F.col(f"o.{c}").alias(f"_prev_{c}") for c in columns],
-        F.when(F.col("o._seen").isNull(), False).otherwise(_differs(columns, "n", "o")).alias("_scd_changed"),
+    """``incoming`` with ``_prev_<column>`` and ``_scd_changed`` (false at first sight); rows without a key are spread over all tasks."""
+    both = join_spread(incoming, current.select(F.col(key).alias("_key"), F.struct(*columns).alias("_old")), key)
+    differs = reduce(lambda x, y: x | y, [~F.col(c).eqNullSafe(F.col(f"_old.{c}")) for c in columns], F.lit(False))
+    return both.select(
+        *incoming.columns,
+        *[F.col(f"_old.{c}").alias(f"_prev_{c}") for c in columns],
+        (F.col("_old").isNotNull() & differs).alias("_scd_changed"),
     )
 
 
