@@ -150,36 +150,50 @@ def anchors(length: int = LENGTH, only_anchor: bool = False):
     return run
 
 
-def two_stage_order(data: np.ndarray, places: np.ndarray, direct: np.ndarray, length: int) -> np.ndarray:
+def two_stage_order(data: np.ndarray, places: np.ndarray, length: int) -> np.ndarray:
     """``places`` in the order of the ``length`` bytes that follow each.
 
-    ``direct`` marks places whose successor is not in ``places``.  A suffix
-    that is smaller than its successor, or starts with the same byte, is
-    sorted directly.  Any other starts with a larger byte than its successor,
-    so it stands before the directly sorted ones of its bucket, in the order of
-    the successors, which lie in earlier buckets.
+    A suffix is smaller than its successor if the first byte that differs from
+    its own first is larger; in the last run of ``data`` all count as smaller.
+    Only smaller ones are sorted directly.  A larger one stands before these in
+    the bucket of its first byte: shorter runs of that byte first, and equal
+    runs in the order of the successors, which are placed already.  Successors
+    that are no ``places`` are sorted along, up to the first smaller one.
     """
-    first = data[places]
-    falls = ~direct & (first > data[np.minimum(places + 1, len(data) - 1)])
-    rank = np.zeros(len(data) + 1, np.int32)
+    head = np.concatenate([[0], np.flatnonzero(data[1:] != data[:-1]) + 1])
+    runs = np.diff(np.append(head, len(data)))
+    rising = np.append(data[head[1:]] > data[head[:-1]], True)
+    smaller, left = np.repeat(rising, runs), np.repeat(head + runs, runs) - np.arange(len(data))
+    larger = places[~smaller[places]]
+    ends = np.flatnonzero(smaller)
+    steps = np.bincount(larger, minlength=len(data) + 1) - np.bincount(ends[np.searchsorted(ends, larger)] + 1, minlength=len(data) + 1)
+    along = np.cumsum(steps)[:-1] > 0
+    along[places] = True
+    own, induced = np.flatnonzero(along & smaller), np.flatnonzero(along & ~smaller)
     view = np.lib.stride_tricks.sliding_window_view(data, length)
-    own = places[~falls]
-    keys = np.ascontiguousarray(view[own]).view(f"S{length}").ravel()
-    own = own[np.argsort(keys, kind="stable")]
-    induced = places[falls]
+    own = own[np.argsort(np.ascontiguousarray(view[own]).view(f"S{length}").ravel(), kind="stable")]
+    induced = induced[np.lexsort((left[induced], data[induced]))]
+    layer = data[induced].astype(np.int64) * (len(data) + 1) + left[induced]
+    rank = np.zeros(len(data), np.int32)
     out, done = [], 0
-    own_first, induced_first = data[own], data[induced]
-    order = np.argsort(induced_first, kind="stable")
-    induced, induced_first = induced[order], induced_first[order]
+    edges = np.searchsorted(data[own].astype(np.int64), np.arange(257))
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(layer)) + 1, [len(layer)]])
+    byte_of = np.searchsorted(cuts[:-1], np.searchsorted(layer, np.arange(257) * (len(data) + 1)))
     for byte in range(256):
-        mine = induced[np.searchsorted(induced_first, byte) : np.searchsorted(induced_first, byte, "right")]
-        mine = mine[np.argsort(rank[mine + 1], kind="stable")]
-        rest = own[np.searchsorted(own_first, byte) : np.searchsorted(own_first, byte, "right")]
-        bucket = np.concatenate([mine, rest])
-        rank[bucket] = np.arange(done, done + len(bucket))
-        done += len(bucket)
-        out.append(bucket)
-    return np.concatenate(out)
+        for k in range(byte_of[byte], byte_of[byte + 1]):
+            mine = induced[cuts[k] : cuts[k + 1]]
+            mine = mine[np.argsort(rank[mine + 1], kind="stable")]
+            rank[mine] = np.arange(done, done + len(mine))
+            done += len(mine)
+            out.append(mine)
+        mine = own[edges[byte] : edges[byte + 1]]
+        rank[mine] = np.arange(done, done + len(mine))
+        done += len(mine)
+        out.append(mine)
+    order = np.concatenate(out)
+    asked = np.zeros(len(data), bool)
+    asked[places] = True
+    return order[asked[order]]
 
 
 def common_prefixes(data: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
@@ -203,17 +217,12 @@ def repeats(parts: list[bytes], doc: np.ndarray, start: np.ndarray, length: int
     data = np.frombuffer(b"".join(parts) + bytes(2 * length), np.uint8)
     base = np.cumsum(sizes) - sizes
     windows = sizes - length + 1
-    # behind its windows a segment gives successors up to the first that is sorted directly
-    rises = np.flatnonzero(data[:-1] <= data[1:])
-    stop = np.minimum(rises[np.searchsorted(rises, base + windows)], base + sizes - 1) - base
-    count = np.maximum(stop, windows) + 1
-    seg = np.repeat(np.arange(len(parts)), count)
-    offset = np.arange(len(seg)) - np.repeat(np.cumsum(count) - count, count)
-    places, real = base[seg] + offset, offset < windows[seg]
-    owner, shift = np.full(len(data), -1, np.int32), np.zeros(len(data), np.int32)
-    owner[places[real]], shift[places[real]] = seg[real], offset[real]
-    order = two_stage_order(data, places, offset == count[seg] - 1, length)
-    order = order[owner[order] >= 0]
+    seg = np.repeat(np.arange(len(parts)), windows)
+    offset = np.arange(len(seg)) - np.repeat(np.cumsum(windows) - windows, windows)
+    places = base[seg] + offset
+    owner, shift = np.zeros(len(data), np.int32), np.zeros(len(data), np.int32)
+    owner[places], shift[places] = seg, offset
+    order = two_stage_order(data, places, length)
     group = np.cumsum(common_prefixes(data, order, length) < length)
     s, o = owner[order], shift[order]
     by = np.lexsort((start[s] + o, doc[s], group))

@@ -207,11 +207,23 @@ def test_two_stage_order():
     rng = np.random.default_rng(2)
     for letters in (2, 4, 26):
         data = np.concatenate([rng.integers(97, 97 + letters, 400), np.full(300, 255)]).astype(np.uint8)  # the last place rises
-        places = np.arange(400)
-        order = suffix_dedup.two_stage_order(data, places, places == 399, 100)
+        order = suffix_dedup.two_stage_order(data, np.arange(400), 100)
         assert [bytes(data[i : i + 100]) for i in order] == sorted(bytes(data[i : i + 100]) for i in range(400))
 
 
+def test_two_stage_order_of_runs_and_of_some_places():
+    rng = np.random.default_rng(3)
+    for longest in (2, 9, 150):
+        runs = np.repeat(rng.integers(0, 4, 60) * 85, rng.integers(1, longest + 1, 60)).astype(np.uint8)
+        data = np.concatenate([runs, np.zeros(200, np.uint8)])
+        for share in (1.0, 0.3, 0.0):
+            places = np.flatnonzero(rng.random(len(runs)) < share)
+            order = suffix_dedup.two_stage_order(data, places, 100)
+            assert sorted(order) == list(places)
+            found = [bytes(data[i : i + 100]) for i in order]
+            assert found == sorted(found)
+
+
 def test_repeats_odd(spark, odd, none):
     rows = suffix_dedup.deduplicated(odd).collect()
     assert len(rows) == odd.count() and suffix_dedup.deduplicated(none).count() == 0
