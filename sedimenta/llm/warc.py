@@ -29,7 +29,7 @@ import zlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bound_batches, new_path, staged, table
@@ -131,29 +131,32 @@ def squeezed(batches):
 def revisits(pages: DataFrame, least_revisit: int = 0) -> DataFrame:
     """``(page_id, url, packed, kind, unique)``: the html in zlib form, and whether its payload is in a group.
 
-    Groups are found on digests alone; only compressed pages move.
+    Groups are found on digests alone; only compressed pages move.  Of rows that share id and payload
+    the one with the smallest url leads, found by an aggregate of such rows alone, however many there are.
     """
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("sha", F.sha1("html"))
     keys = rows.groupBy("page_id", "sha", F.octet_length("html").alias("size")).count()
     grouped = keys.where(F.col("size") >= least_revisit)
     groups = grouped.groupBy("sha").agg(F.max("page_id").alias("top"), F.sum("count").alias("rows")).where("rows > 1")
-    flags = grouped.join(groups, "sha").select("page_id", "sha", "top")
-    same = Window.partitionBy("page_id", "sha").orderBy("url")
+    top = F.col("page_id").eqNullSafe(F.col("top"))
+    flags = grouped.join(groups, "sha").select("page_id", "sha", top.alias("is_top"), (top & (F.col("count") > 1)).alias("several"))
     packed = rows.select("page_id", "url", "sha", F.octet_length("html").alias("size"), F.col("html").cast("binary").alias("html"))
     kind = pages.schema["page_id"].dataType.simpleString()
     packed = packed.mapInArrow(squeezed, f"page_id {kind}, url string, sha string, size int, packed binary")
     told = packed.alias("r").join(
         flags.alias("f"), F.col("r.page_id").eqNullSafe(F.col("f.page_id")) & (F.col("r.sha") == F.col("f.sha")), "left"
     )
-    picked = told.select(
-        "r.page_id", "r.url", "r.size", "r.packed", "r.sha", "f.top", F.col("f.sha").isNotNull().alias("grouped")
-    ).withColumn("nth", F.row_number().over(same))
-    first = F.col("page_id").eqNullSafe(F.col("top")) & (F.col("nth") == 1)
-    return picked.select(
+    columns = ["r.page_id", "r.url", "r.size", "r.packed", "r.sha", "f.is_top", F.coalesce("f.several", F.lit(False)).alias("several")]
+    numbered = staged(told.select(*columns, F.monotonically_increasing_id().alias("row")), "pages")
+    several = numbered.where("several")
+    first = several.groupBy("page_id", "sha").agg(F.min(F.struct("url", "row"))["row"].alias("row")).withColumn("picked", F.lit(True))
+    picked = several.join(first.select("row", "picked"), "row", "left").withColumn("is_top", F.coalesce("picked", F.lit(False)))
+    rows = numbered.where("not several").unionByName(picked.select(numbered.columns)).withColumn("grouped", F.col("is_top").isNotNull())
+    return rows.select(
         "page_id",
         "url",
         "packed",
-        F.when(~F.col("grouped") | first, "response").otherwise("revisit").alias("kind"),
+        F.when(F.coalesce("is_top", F.lit(True)), "response").otherwise("revisit").alias("kind"),
         (F.col("grouped") | (F.col("size") >= least_revisit)).alias("unique"),
     )
 

@@ -773,6 +773,13 @@ def test_archive(spark, tmp_path):
     assert {r.record_type for r in warc.read_archive(spark, f"{tmp_path}/all").collect()} == {"response"}
 
 
+def test_rows_that_share_page_and_payload_have_one_response(spark):
+    rows = [(None, "n", None)] * 400 + [(None, None, "")] * 3 + [(7, f"u{i % 3}", "same") for i in range(300)] + [(6, "a", "same")] * 2
+    found = warc.revisits(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()
+    assert len(found) == len(rows) and all(r.unique for r in found)
+    assert sorted((str(r.page_id), str(r.url)) for r in found if r.kind == "response") == [("7", "u0"), ("None", "None")]
+
+
 def test_archive_query(spark, sf):
     pages = [(r.page_id, (r.html or "").encode()) for r in spark.read.parquet(f"{sf}/pages.parquet").collect()]
     top = {}
