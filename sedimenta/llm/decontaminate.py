@@ -1,13 +1,15 @@
 """Benchmark decontamination with suffix arrays over the training texts.
 
 Distinct benchmark items are read in blocks of bounded size, and one block's
-word windows at a time are built and broadcast; between blocks the texts with
-what was found go to the shared folder.  Every task takes its texts a shard at a time, keeps
-the word suffixes that start like some window (their first words are a run
+word windows at a time are built and broadcast.  A benchmark of up to one block
+is found in one pass over the corpus; between blocks the texts with what was
+found go to the shared folder.  Every task takes its texts a shard at a time,
+keeps the word suffixes that start like some window (their first words are a run
 that the benchmark holds), sorts them into a suffix array and finds every
-benchmark suffix in it by binary search: the range of training suffixes with
-that prefix gives all places where it occurs.  Neighbouring windows on one
-diagonal are joined into longest verbatim matches.
+benchmark suffix that starts like one of them in it by binary search: the range
+of training suffixes with that prefix gives all places where it occurs.
+Neighbouring windows on one diagonal are joined into longest verbatim matches.
+A shard costs what its own suffixes need, however large the block is.
 
 A window is 13 consecutive words of an item; an item of fewer words, but not
 none, is one window.  Words are runs of ASCII letters and digits, in lower
@@ -32,9 +34,12 @@ from .bytewords import ALNUM, Words, chunks, mix, words_of
 from .common import bound_batches, staged, table, whole_rows, with_id
 
 WINDOW = 13
-LEADING = 3
-#: Bound of the benchmark texts of a block, which is broadcast in a form about 16 times that large.
-BLOCK_BYTES = 4 << 20
+LEADING = 5
+#: Bound of the benchmark texts of a block, which is broadcast in a form of about twice that size; one pass over the corpus for each.
+BLOCK_BYTES = 128 << 20
+#: Benchmark bytes of which words are cut at once, and windows searched at once in a shard's suffix array.
+BUILD_BYTES = 4 << 20
+SEARCHED = 1 << 16
 
 SPANS = "array<struct<item_id:string,start:long,item_start:long,words:long>>"
 _SPAN = pa.list_(
@@ -43,10 +48,11 @@ _SPAN = pa.list_(
 
 
 def _lead(ids: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """32 bits of a hash of the ``n`` words at each place."""
     h = np.zeros(len(at), np.uint64)
     for i in range(n):
         h = mix(h ^ ids[at + i].astype(np.uint64))
-    return h
+    return (h >> np.uint64(32)).astype(np.uint32)
 
 
 def _keys(ids: np.ndarray, at: np.ndarray, limit: np.ndarray, pad: int = 0) -> np.ndarray:
@@ -59,62 +65,83 @@ def _keys(ids: np.ndarray, at: np.ndarray, limit: np.ndarray, pad: int = 0) -> n
 
 
 class Block:
-    """The windows of some benchmark items, ready for search."""
+    """The windows of some benchmark items, ready for search.
 
-    def __init__(self, items: list[tuple[str, str]]):
-        texts = pa.array([x[1] for x in items], pa.binary())
+    Per benchmark word it holds a number and, for the window that begins there,
+    its place and a hash of its leading words, in the order of those hashes.
+    """
+
+    def __init__(self, items: list[tuple[str, bytes]]):
         self.items = [x[0] for x in items]
-        parts = [words_of(data, at) for _, _, data, at in chunks(texts, 1 << 40)]
-        w = parts[0] if parts else Words(*[np.zeros(0, np.int64)] * 3, np.zeros(0, np.uint64), np.zeros(1, np.int64))
-        self.vocabulary = np.unique(w.hashes)
-        ids = np.searchsorted(self.vocabulary, w.hashes).astype(np.int64) + 1
-        last = w.first[1:][w.doc] if len(w.doc) else np.zeros(0, np.int64)
-        begin = w.first[:-1][w.doc] if len(w.doc) else np.zeros(0, np.int64)
-        place = np.arange(len(ids))
-        length = np.minimum(WINDOW, last - begin)
-        at = place[place + length <= last]
-        at = at[(length[at] == WINDOW) | (at == begin[at])]
-        self.size, self.item, self.at = length[at], w.doc[at], at - begin[at]
-        self.low, self.high = _keys(ids, at, at + self.size), _keys(ids, at, at + self.size, 0xFFFFFFFF)
-        self.leads = {
-            int(n): (int(min(n, LEADING)), np.unique(_lead(ids, at[self.size == n], int(min(n, LEADING)))))
-            for n in np.unique(self.size)
-        }
-
-    def matches(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
-        """``(word, window)`` of every occurrence of a window in a shard of texts."""
+        texts = pa.array([x[1] for x in items], pa.large_binary())
+        parts = [words_of(data, at) for _, _, data, at in chunks(texts, BUILD_BYTES)]
+        hashes = np.concatenate([np.zeros(0, np.uint64), *[w.hashes for w in parts]])
+        counts = np.concatenate([np.zeros(1, np.int64), *[np.diff(w.first) for w in parts]])
+        self.first = np.cumsum(counts)  # of each item, the index of its first word; one more at the end
+        self.vocabulary, ids = np.unique(hashes, return_inverse=True)
+        self.ids = (ids + 1).astype(np.uint32)
+        words = counts[1:]
+        self.windows: dict[int, tuple[int, np.ndarray, np.ndarray]] = {}
+        for n in np.unique(np.minimum(words[words > 0], WINDOW)).tolist():
+            many = np.where(words >= WINDOW, words - WINDOW + 1, 0) if n == WINDOW else (words == n).astype(np.int64)
+            begin = np.repeat(self.first[:-1] - (np.cumsum(many) - many), many)
+            place = (begin + np.arange(len(begin))).astype(np.uint32)
+            lead = _lead(self.ids, place, min(n, LEADING))
+            order = np.argsort(lead, kind="stable")
+            self.windows[n] = (min(n, LEADING), lead[order], place[order])
+
+    def nbytes(self) -> int:
+        return self.vocabulary.nbytes + self.ids.nbytes + self.first.nbytes + sum(a.nbytes + b.nbytes for _, a, b in self.windows.values())
+
+    def matches(self, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``(word, place of the window in the block, its words)`` of every occurrence of a window in a shard of texts."""
         none = np.zeros(0, np.int64)
         if not len(w.hashes) or not len(self.vocabulary):
-            return none, none
+            return none, none, none
         at = np.minimum(np.searchsorted(self.vocabulary, w.hashes), len(self.vocabulary) - 1)
         ids = np.where(self.vocabulary[at] == w.hashes, at + 1, 0)
         ids = np.concatenate([ids, np.zeros(WINDOW, np.int64)])
         known = np.concatenate([[0], np.cumsum(ids > 0)])
         last = w.first[1:][w.doc]
         place, starts = np.arange(len(w.hashes)), np.zeros(len(w.hashes), bool)
-        for n, (k, leads) in self.leads.items():
+        wanted: list[tuple[int, np.ndarray]] = []
+        for n, (k, leads, windows) in self.windows.items():
             p = place[(place + n <= last) & (known[place + n] - known[place] == n)]
             lead = _lead(ids, p, k)
-            starts[p[leads[np.minimum(np.searchsorted(leads, lead), len(leads) - 1)] == lead]] = True
+            here = leads[np.minimum(np.searchsorted(leads, lead), len(leads) - 1)] == lead
+            starts[p[here]] = True
+            lead = np.unique(lead[here])
+            low, high = np.searchsorted(leads, lead, "left"), np.searchsorted(leads, lead, "right")
+            wanted.append((n, windows[_ranges(low, high - low)]))
         p = np.flatnonzero(starts)
         if not len(p):
-            return none, none
+            return none, none, none
         keys = _keys(ids, p, last[p])
         suffixes = np.argsort(keys, kind="stable")  # the shard's suffix array
         keys = keys[suffixes]
-        low, high = np.searchsorted(keys, self.low, "left"), np.searchsorted(keys, self.high, "right")
-        many = np.maximum(high - low, 0)
-        window = np.repeat(np.arange(len(low)), many)
-        within = np.arange(len(window)) - np.repeat(np.cumsum(many) - many, many)
-        return p[suffixes[low[window] + within]], window
+        found = [(none, none, none)]
+        for n, windows in wanted:
+            for i in range(0, len(windows), SEARCHED):
+                at = windows[i : i + SEARCHED].astype(np.int64)
+                low = np.searchsorted(keys, _keys(self.ids, at, at + n), "left")
+                high = np.searchsorted(keys, _keys(self.ids, at, at + n, 0xFFFFFFFF), "right")
+                many = np.maximum(high - low, 0)
+                found.append((p[suffixes[_ranges(low, many)]], np.repeat(at, many), np.full(int(many.sum()), n)))
+        word, window, size = (np.concatenate(x) for x in zip(*found, strict=True))
+        return word, window, size
+
+
+def _ranges(low: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """``low``, ``low + 1`` and so on, ``many`` numbers of each."""
+    return np.repeat(low - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
 
 
-def _joined(block: Block, w: Words, word: np.ndarray, window: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
+def _joined(block: Block, w: Words, word: np.ndarray, window: np.ndarray, size: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
     """Longest matches ``(text, item, first word in text, in item, words)``."""
     if not len(word):
         return
-    text, item = w.doc[word], block.item[window]
-    start, item_at, size = word - w.first[text], block.at[window], block.size[window]
+    text, item = w.doc[word], np.searchsorted(block.first, window, "right") - 1
+    start, item_at = word - w.first[text], window - block.first[item]
     order = np.lexsort((start, start - item_at, item, text))
     text, item, start, item_at, size = (x[order] for x in (text, item, start, item_at, size))
     fresh = np.ones(len(order), bool)
@@ -133,9 +160,8 @@ def search(block: Block, last: bool):
             texts, before = b.column("text"), b.column("spans")
             for row, nxt, data, at in chunks(texts):
                 w = words_of(data, at, ALNUM)
-                word, window = block.matches(w)
                 found: dict[int, list] = {}
-                for text, item, start, item_at, n in _joined(block, w, word, window):
+                for text, item, start, item_at, n in _joined(block, w, *block.matches(w)):
                     found.setdefault(text, []).append(
                         {"item_id": block.items[item], "start": start, "item_start": item_at, "words": n}
                     )

@@ -606,6 +606,41 @@ def test_longest_matches(spark):
     assert found[2].n_hit == 0
 
 
+def test_windows_against_all_places(monkeypatch):
+    """Few different words, so that windows overlap, repeat and share their leading words; windows are searched a few at a time."""
+    monkeypatch.setattr(decontaminate, "SEARCHED", 3)
+    monkeypatch.setattr(decontaminate, "BUILD_BYTES", 64)
+    rng = random.Random(7)
+    for _ in range(30):
+        vocabulary = [f"w{i}" for i in range(rng.choice([1, 2, 3, 40]))]
+        items = [[rng.choice(vocabulary) for _ in range(rng.choice([0, 1, 4, 5, 6, 12, 13, 14, 30]))] for _ in range(6)]
+        texts = [[rng.choice(vocabulary) for _ in range(rng.randrange(60))] + rng.choice(items) + ["tail"] for _ in range(5)]
+        block = decontaminate.Block([(str(i), " ".join(x).encode()) for i, x in enumerate(items)])
+        ((_, _, data, at),) = bytewords.chunks(pa.array([" ".join(t) for t in texts], pa.string()))
+        w = bytewords.words_of(data, at)
+        got = [(int(w.doc[p]), int(p - w.first[w.doc[p]]), int(x), int(n)) for p, x, n in zip(*block.matches(w), strict=True)]
+        want = []
+        for i, item in enumerate(items):
+            n = min(13, len(item))
+            for x in range(len(item) - n + 1 if n else 0):
+                for d, t in enumerate(texts):
+                    want += [(d, p, int(block.first[i]) + x, n) for p in range(len(t) - n + 1) if t[p : p + n] == item[x : x + n]]
+        assert sorted(got) == sorted(want)
+
+
+def test_block_is_small_and_searched_by_its_texts():
+    rng = np.random.default_rng(3)
+    items = [(str(i), " ".join(f"word{x}" for x in rng.integers(0, 50_000, 2_000)).encode()) for i in range(400)]
+    block = decontaminate.Block(items)
+    assert block.nbytes() < 2 * sum(len(t) for _, t in items)
+    ((_, _, data, at),) = bytewords.chunks(pa.array([items[5][1].decode()], pa.string()))
+    w = bytewords.words_of(data, at)
+    began = time.monotonic()
+    word, window, size = block.matches(w)
+    assert time.monotonic() - began < 1
+    assert sorted(word.tolist()) == list(range(1_988)) and (window - word == block.first[5]).all() and set(size.tolist()) == {13}
+
+
 # 8: near duplicates
 
 
