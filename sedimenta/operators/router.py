@@ -92,17 +92,20 @@ def error_router(errors: DataFrame, text: str, row_id: str, manifest: list[tuple
     ranked = sorted(manifest, key=lambda m: (-len(m[0]), m[0], m[1]))
     keyed, others = index(ranked)
     spark = errors.sparkSession
-    rules = F.broadcast(spark.createDataFrame([(g, n, ranked[n][0]) for g, n in keyed], "piece string, number int, pattern string"))
+    rules = F.broadcast(spark.createDataFrame(keyed, "piece string, number int"))
+    names = F.broadcast(spark.createDataFrame([(n, c, p) for n, (p, c) in enumerate(ranked)], "number int, component string, pattern string"))
     rows = errors.select(row_id, F.col(text).alias("_text"))
     size = F.char_length("_text") - GRAM
     pieces = F.array_distinct(F.transform(F.sequence(F.lit(0), size), lambda i: F.substring(F.col("_text"), i + 1, F.lit(GRAM))))
-    split = rows.where(size >= 0).select(row_id, "_text", F.explode(pieces).alias("piece"))
-    found = [split.join(rules, "piece").where(F.expr("_text rlike pattern")).select(row_id, "number")]
+    # Pieces travel without their text, which may be long; it comes back to the few patterns that share one with it.
+    split = rows.where(size >= 0).select(F.col(row_id).alias("_id"), F.explode(pieces).alias("piece"))
+    met = split.join(rules, "piece").groupBy("_id").agg(F.collect_set("number").alias("numbers"))
+    able = rows.join(met, F.col(row_id).eqNullSafe(F.col("_id"))).select(row_id, "_text", F.explode("numbers").alias("number"))
+    found = [able.join(names, "number").where(F.expr("_text rlike pattern")).select(row_id, "number")]
     if others:
         tried = F.coalesce(*[F.when(F.col("_text").rlike(ranked[n][0]), n) for n in others])
         found.append(rows.select(row_id, tried.alias("number")).where("number is not null"))
     # Every row once more without a number, so that rows without a match stay.
     every = reduce(DataFrame.unionByName, [*found, rows.select(row_id, F.lit(None).cast("int").alias("number"))])
     best = every.groupBy(row_id).agg(F.min("number").alias("number"))
-    names = F.broadcast(spark.createDataFrame([(n, c, p) for n, (p, c) in enumerate(ranked)], "number int, component string, pattern string"))
     return best.join(names, "number", "left").select(row_id, "component", "pattern")

@@ -83,8 +83,9 @@ def line_measures(spark: SparkSession, d: str) -> DataFrame:
     return measured_lines(spark, d).select("l_orderkey", "l_linenumber", "quantity", "gross_revenue", "discount_amount", "line_total", "tax_amount", "net_revenue")
 
 
-def _fact_lines(spark: SparkSession, d: str) -> DataFrame:
-    silver = stored_lines(spark, d)
+def _fact_lines(spark: SparkSession, d: str, silver: DataFrame | None = None) -> DataFrame:
+    """The line fact.  ``silver``: measured lines stored before."""
+    silver = stored_lines(spark, d) if silver is None else silver
     lines = _territories(spark, d, silver)
     customers = scd.with_surrogate(customer_dim(spark, d), "o_custkey", "customer_surrogate_key").withColumnRenamed("o_custkey", "dim_customer")
     products = scd.with_surrogate(product_dim(spark, d, silver), "l_partkey", "product_surrogate_key").withColumnRenamed("l_partkey", "dim_product")

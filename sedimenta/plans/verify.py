@@ -134,16 +134,17 @@ def top_grain(spark: SparkSession, d: str) -> DataFrame:
 
 def fact_fk_card(spark: SparkSession, d: str) -> DataFrame:
     """The seven foreign keys of the line fact and the three of the inventory fact against dimensions that each lack some rows."""
-    from .facts import _fact_lines, fact_inventory_daily
+    from .facts import _fact_lines, _stored, fact_inventory_daily, stored_lines
 
-    keyed = scd.with_surrogate
+    keyed, silver = scd.with_surrogate, stored_lines(spark, d)
     days = dims.dim_date(spark, "1995-01-01", "2000-12-31")
     territories = table(spark, d, "nation").where("n_regionkey <> 3").select(F.col("n_nationkey").cast("string").alias("territory")).unionByName(spark.sql("select 'ONLINE' as territory"))
     channels, statuses = (spark.sql(f"select explode(array({x})) as id") for x in ("'D2C', 'STORE'", "'F', 'O'"))
     customers = keyed(customer_dim(spark, d), "o_custkey").where("priority <> '1-URGENT'")
-    products, reps = keyed(product_dim(spark, d), "l_partkey").where("product_class <> 'A'"), keyed(rep_dim(spark, d), "l_suppkey").where("rep_nation > 4")
+    products = keyed(product_dim(spark, d, silver), "l_partkey").where("product_class <> 'A'")
+    reps = keyed(rep_dim(spark, d, silver), "l_suppkey").where("rep_nation > 4")
     line = checks.fk_card(
-        _fact_lines(spark, d),
+        _stored(_fact_lines(spark, d, silver), "fact_order_line"),
         [
             ("line.customer", "customer_surrogate_key", customers, "surrogate_key", True),
             ("line.product", "product_surrogate_key", products, "surrogate_key", True),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -79,17 +80,18 @@ def write_observed(df: DataFrame, path: str, mode: str = "overwrite", partition:
 def replace_partitions(df: DataFrame, path: str, partition: str, affected: list[str]) -> None:
     """Replace the ``affected`` partitions of a table by their rows in ``df``; one of which no row is left is removed.
 
-    Partitions that are not affected are neither read nor written.
+    ``df`` is evaluated once: the partitions that get rows are told while they
+    are written.  Partitions that are not affected are neither read nor written.
     """
     spark = df.sparkSession
-    rows = df.where(F.col(partition).cast("string").isin(affected))
-    partition_replace(rows, path, partition)
-    left = {str(r[0]) for r in spark.read.parquet(path).where(F.col(partition).cast("string").isin(affected)).select(partition).distinct().collect()}
-    here = {str(r[0]) for r in rows.select(F.col(partition).cast("string")).distinct().collect()}
+    value = F.col(partition).cast("string")
+    written = write_observed(df.where(value.isin(affected)), path, partition=partition, held=F.collect_set(value))["held"]
+    gone = set(affected) - set(written or [])
     jvm = spark.sparkContext._jvm
-    for value in sorted(left - here):
-        old = jvm.org.apache.hadoop.fs.Path(f"{path}/{partition}={value}")
-        old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
+    for name in folder_names(spark, path):
+        if name.startswith(f"{partition}=") and unquote(name.partition("=")[2]) in gone:
+            old = jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+            old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
 
 
 def guarded_write(df: DataFrame, path: str, partition: str, value: str, force: bool = False) -> int:

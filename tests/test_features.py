@@ -137,6 +137,25 @@ def test_required_literals_are_in_every_match():
         assert router.required_literals(pattern) == []
 
 
+def test_router_with_long_texts_and_odd_ids(spark):
+    manifest = [("disk full on node", "storage"), ("timeout", "network"), ("x{3}", "odd"), ("never said", "none")]
+    long = "".join(chr(97 + (i * i + i // 7) % 26) for i in range(20_000))
+    rows = [(1, f"{long} timeout {long} disk full on node {long}"), (2, None), (2, "a timeout"), (None, "xxx"), (3, ""), (4, "tim")]
+    found = router.error_router(spark.createDataFrame(rows, "id int, text string"), "text", "id", manifest)
+    got = {r.id: (r.component, r.pattern) for r in found.collect()}
+    assert got == {1: manifest[0][::-1], 2: manifest[1][::-1], None: manifest[2][::-1], 3: (None, None), 4: (None, None)}
+    assert found.count() == 5
+
+
+def test_partitions_are_replaced_from_one_evaluation(spark, tmp_path):
+    path, seen = str(tmp_path / "t"), spark.sparkContext.accumulator(0)
+    spark.createDataFrame([(1, "a b"), (2, "c:d"), (3, "e")], "v int, p string").write.partitionBy("p").parquet(path)
+    new = spark.sparkContext.parallelize([(4, "a b"), (5, "a b")], 2).map(lambda r: (seen.add(1), r)[1])
+    storage.replace_partitions(spark.createDataFrame(new, "v int, p string"), path, "p", ["a b", "c:d"])
+    assert sorted(map(tuple, spark.read.parquet(path).collect())) == [(3, "e"), (4, "a b"), (5, "a b")]
+    assert seen.value == 2
+
+
 def test_router_with_ten_thousand_patterns_is_the_case(spark):
     rng = random.Random(3)
     words = ["".join(rng.choices("abcdefgh", k=rng.randrange(3, 9))) for _ in range(12_000)]
