@@ -6,12 +6,16 @@ an entity with very many rows is worked on by as many tasks as it has periods.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Quantiles of a dwell time, and the accuracy of their sketch: the values are exact up to so many rows of a pair.
-QUANTILES, ACCURACY = (0.5, 0.9), 10_000
+#: Quantiles of a dwell time, as decimals.
+QUANTILES = {"median": "0.5", "p90": "0.9"}
+#: Seconds that are counted together before a quantile is looked for among them.
+SPAN = 3_600
 
 
 def _period(ts: Column, period: str) -> Column:
@@ -46,13 +50,34 @@ def status_transitions(log: DataFrame, entity: str, status: str, ts: str, tie: s
     )
 
 
+def exact_quantiles(counts: DataFrame, group: str, value: str, rows: str, quantiles: dict[str, str], span: int = SPAN) -> DataFrame:
+    """Per ``group`` the values at the given quantiles, ``(_group, *names)``: of n values that are not null, the one at rank ``ceil(q * n)``.
+
+    ``counts`` tells how many ``rows`` have which whole ``value``.  The span of
+    values that holds a rank is found from the spans' counts, and only its
+    values are ordered, so no group is sorted by one task.
+    """
+    counts = counts.where(F.col(value).isNotNull()).select(F.col(group).alias("_in"), F.col(value).alias("_at"), F.col(rows).alias("_n"), F.floor(F.col(value) / span).alias("_span"))
+    spans = counts.groupBy(F.col("_in").alias("_group"), F.col("_span").alias("_of")).agg(F.sum("_n").alias("_all"))
+    by = Window.partitionBy("_group")
+    spans = spans.withColumn("_total", F.sum("_all").over(by)).withColumn("_upto", F.sum("_all").over(by.orderBy("_of").rowsBetween(Window.unboundedPreceding, 0)))
+    rank = {n: F.ceil(F.col("_total") * F.lit(q).cast("decimal(6,5)")) for n, q in quantiles.items()}
+    before = F.col("_upto") - F.col("_all")
+    held = reduce(lambda a, b: a | b, [(before < r) & (r <= F.col("_upto")) for r in rank.values()])
+    wanted = spans.where(held).select("_group", "_of", before.alias("_before"), *[r.alias(f"_{n}") for n, r in rank.items()])
+    inside = counts.join(wanted, F.col("_in").eqNullSafe(F.col("_group")) & (F.col("_span") == F.col("_of")))
+    here = Window.partitionBy("_group", "_span").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    led = inside.withColumn("_last", F.col("_before") + F.sum("_n").over(here))
+    first = lambda n: F.min(F.when((F.col("_last") - F.col("_n") < F.col(f"_{n}")) & (F.col(f"_{n}") <= F.col("_last")), F.col("_at")))
+    return led.groupBy("_group").agg(*[first(n).alias(n) for n in quantiles])
+
+
 def dwell_times(moves: DataFrame) -> DataFrame:
-    """Per pair of states: moves, shortest, median, 90th percentile and longest seconds between, from mergeable sketches."""
-    q = F.percentile_approx("seconds", list(QUANTILES), ACCURACY)
-    told = moves.groupBy("from_status", "to_status").agg(
-        F.count(F.lit(1)).alias("moves"), F.min("seconds").alias("shortest"), q.alias("q"), F.max("seconds").alias("longest")
-    )
-    return told.select("from_status", "to_status", "moves", "shortest", F.col("q")[0].alias("median"), F.col("q")[1].alias("p90"), "longest")
+    """Per pair of states: moves, shortest, median, 90th percentile and longest seconds between, all exact."""
+    counts = moves.groupBy(F.struct("from_status", "to_status").alias("pair"), "seconds").agg(F.count(F.lit(1)).alias("n"))
+    told = counts.groupBy("pair").agg(F.sum("n").alias("moves"), F.min("seconds").alias("shortest"), F.max("seconds").alias("longest"))
+    found = exact_quantiles(counts, "pair", "seconds", "n", QUANTILES)
+    return told.join(found, F.col("pair").eqNullSafe(F.col("_group")), "left").select("pair.*", "moves", "shortest", *QUANTILES, "longest")
 
 
 _STATE = T.StructType([T.StructField("reached", T.ArrayType(T.TimestampType())), T.StructField("cancelled_at", T.TimestampType())])
@@ -119,11 +144,11 @@ def funnel_summary(entities: DataFrame, stages: list[str]) -> DataFrame:
     at = F.array(*[F.lit(i) for i in range(len(stages) + 1)])
     since = F.when(F.col("stage") > 1, F.get("reached", F.col("stage") - 1).cast("long") - F.get("reached", F.col("stage") - 2).cast("long"))
     rows = entities.select("furthest", "reached", "cancelled_at", F.explode(at).alias("stage")).where("stage <= furthest")
-    told = rows.groupBy("stage").agg(
-        F.count(F.lit(1)).alias("entities"),
-        F.count_if((F.col("stage") == F.col("furthest")) & F.col("cancelled_at").isNotNull()).alias("cancelled"),
-        F.percentile_approx(since, 0.5, ACCURACY).alias("median_seconds"),
-    )
+    lost = (F.col("stage") == F.col("furthest")) & F.col("cancelled_at").isNotNull()
+    counts = rows.groupBy("stage", since.alias("seconds"), lost.alias("lost")).agg(F.count(F.lit(1)).alias("n"))
+    told = counts.groupBy("stage").agg(F.sum("n").alias("entities"), F.sum(F.when(F.col("lost"), F.col("n")).otherwise(0)).alias("cancelled"))
+    medians = exact_quantiles(counts, "stage", "seconds", "n", {"median_seconds": "0.5"})
+    told = told.join(medians, F.col("stage") == F.col("_group"), "left")
     names = F.element_at(F.array(F.lit("(start)"), *[F.lit(s) for s in stages]), F.col("stage") + 1)
     share = lambda a, b: F.round(F.try_divide(a * 100, b), 2).cast("decimal(6,2)")
     before = F.lag("entities").over(Window.orderBy("stage"))  # one row per stage

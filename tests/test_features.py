@@ -71,6 +71,25 @@ def test_funnel_against_a_state_machine(spark, period):
     assert funnel.funnel(spark.createDataFrame([], LOG), "user", "status", "at", "id", stages, "void").count() == 0
 
 
+def test_dwell_times_are_exact(spark):
+    """Fifteen thousand different times of a pair, more than a sketch holds exactly."""
+    rng = random.Random(4)
+    took = [rng.randrange(1 << 40) for _ in range(15_000)]
+    moves = spark.createDataFrame([("a", "b", s) for s in took] + [("a", None, 7), ("a", None, None)], "from_status string, to_status string, seconds long")
+    took.sort()
+    want = [("a", "b", 15_000, took[0], took[7_499], took[13_499], took[-1]), ("a", None, 2, 7, 7, 7, 7)]
+    assert sorted((tuple(r) for r in funnel.dwell_times(moves).collect()), key=str) == sorted(want, key=str)
+
+
+def test_funnel_median_is_exact(spark):
+    rng, start = random.Random(5), dt.datetime(2024, 1, 1)
+    took = [rng.randrange(10**9) for _ in range(25_000)]
+    rows_in = [(n, 2, [start, start + dt.timedelta(seconds=s)], None) for n, s in enumerate(took)]
+    entities = spark.createDataFrame(rows_in, "user long, furthest int, reached array<timestamp>, cancelled_at timestamp")
+    told = {r.stage: (r.entities, r.cancelled, r.median_seconds) for r in funnel.funnel_summary(entities, ["new", "paid"]).collect()}
+    assert told == {0: (25_000, 0, None), 1: (25_000, 0, None), 2: (25_000, 0, sorted(took)[12_499])}
+
+
 def test_scorecard_survives_failing_and_slow_checks(spark):
     broken = spark.range(100).where(F.when(F.col("id") == 50, F.raise_error(F.lit("in a task")).cast("boolean")).otherwise(F.lit(False)))
     slow = spark.range(10**13).where("cast(sqrt(id) as string) = 'x'")
