@@ -14,7 +14,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .detect import query_blocks, unit_vectors
+from .detect import best_rows, unit_vectors
 
 #: Rows of the sample that cells are fitted on, at most, and the bound on cells; the centres are broadcast.
 SAMPLE_ROWS, MOST_CELLS = 50_000, 1_024
@@ -71,25 +71,17 @@ def cell_topk(
     every = unit_vectors(queries, row_id, vector, "_q").withColumnRenamed(row_id, "query_id")
     near = _with_nearness(every, centres, "_q").withColumn("_near", F.sort_array("_near", asc=False))
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), row_id)
-
-    def looked(wanted: DataFrame) -> DataFrame:
-        """The best ``k`` rows of each query in the cells that ``wanted`` names for it."""
-        found = None
-        for part in query_blocks(wanted, "_q"):
-            scored = index.join(F.broadcast(part), "cell").where(F.col(row_id) != F.col("query_id")).select("query_id", row_id, dot(F.col("_v"), F.col("_q")).alias("similarity"))
-            best = scored.where(F.col("similarity") > least).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-            found = best if found is None else found.unionByName(best)
-        return found
-
-    first = near.select("query_id", "_q", F.explode(F.slice("_near", 1, probes)).alias("n")).select("query_id", "_q", F.col("n.cell").alias("cell"))
-    best = looked(first)
+    first = near.select("query_id", "_q", F.transform(F.slice("_near", 1, probes), lambda n: n["cell"]).alias("cells"))
+    best = best_rows(index, first, row_id, k, least, cells=True)
     if not exact or probes >= len(centres):
         return best
-    radius = index.groupBy("cell").agg(F.max("angle").alias("radius"))
+    radius = index.groupBy("cell").agg(F.max("angle").alias("radius")).agg(F.map_from_entries(F.collect_list(F.struct("cell", "radius"))).alias("_radius"))  # at most MOST_CELLS
     bound = best.where(F.col("rank") == k).select("query_id", F.col("similarity").alias("kth"))
-    others = near.select("query_id", "_q", F.explode(F.slice("_near", F.lit(probes + 1), F.greatest(F.size("_near") - probes, F.lit(1)))).alias("n"))
-    could = F.cos(F.greatest(_angle(F.col("n.similarity")) - F.col("radius") - MARGIN, F.lit(0.0)))
-    more = others.join(bound, "query_id", "left").withColumn("cell", F.col("n.cell")).join(F.broadcast(radius), "cell")
-    second = looked(more.where(could >= F.greatest(F.coalesce("kth", F.lit(least)), F.lit(least))).select("query_id", "_q", "cell"))
+    others = near.join(bound, "query_id", "left").crossJoin(F.broadcast(radius))
+    needed = F.greatest(F.coalesce("kth", F.lit(least)), F.lit(least))
+    could = lambda n: F.cos(F.greatest(_angle(n["similarity"]) - F.try_element_at(F.col("_radius"), n["cell"]) - MARGIN, F.lit(0.0))) >= needed
+    rest = F.slice("_near", F.lit(probes + 1), F.greatest(F.size("_near") - probes, F.lit(1)))
+    more = others.select("query_id", "_q", F.transform(F.filter(rest, could), lambda n: n["cell"]).alias("cells")).where(F.size("cells") > 0)
+    second = best_rows(index, more, row_id, k, least, cells=True)
     both = best.drop("rank").unionByName(second.drop("rank"))
     return both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

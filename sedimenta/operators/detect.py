@@ -5,6 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -118,6 +121,8 @@ def unit_vectors(df: DataFrame, row_id: str, vector: str, name: str) -> DataFram
 
 #: Bound of a block of queries, which is broadcast.
 BLOCK_BYTES = 16 << 20
+#: Products at once in a task, and the margin within which a product of matrices may differ from a sum in order.
+PRODUCTS, ROUNDING = 1 << 21, 1e-9
 
 
 def query_blocks(queries: DataFrame, vector: str, block: int | None = None) -> Iterator[DataFrame]:
@@ -128,20 +133,110 @@ def query_blocks(queries: DataFrame, vector: str, block: int | None = None) -> I
         yield queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
 
 
+def _in_order(v: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Row by row products, summed from the first component on, so equal pairs of vectors have equal sums wherever they lie."""
+    s = np.zeros(len(v))
+    for j in range(v.shape[1]):
+        s += v[:, j] * q[:, j]
+    return s
+
+
+def _best(ids: np.ndarray, v: np.ndarray, qids: np.ndarray, q: np.ndarray, floor: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of rows and queries, and the products, of each query's ``k`` best rows; ``floor`` (what a query's best must reach) is raised to the ``k``-th.
+
+    Candidates come from a product of matrices; they are summed again in order
+    before they are compared, nan above all, ties by id.
+    """
+    _, codes = np.unique(np.concatenate([ids, qids]), return_inverse=True)
+    at, of, found = [], [], []
+    step = max(1, PRODUCTS // len(ids))
+    for a in range(0, len(q), step):
+        part = slice(a, a + step)
+        near = q[part] @ v.T
+        near[np.isnan(near)] = np.inf
+        near[codes[None, : len(ids)] == codes[len(ids) + np.arange(len(q))[part], None]] = -np.inf
+        bound = floor[part]
+        if len(ids) > k:
+            bound = np.maximum(bound, np.partition(near, len(ids) - k, axis=1)[:, len(ids) - k])
+        y, x = np.nonzero(near >= (bound - ROUNDING)[:, None])
+        y += a
+        exact = _in_order(v[x], q[y])
+        keep = np.isnan(exact) | (exact > least)
+        y, x, exact = y[keep], x[keep], exact[keep]
+        none = np.isnan(exact)
+        order = np.lexsort((codes[x], -np.where(none, np.inf, exact), ~none, y))
+        y, x, exact = y[order], x[order], exact[order]
+        rank = np.arange(len(y)) - np.searchsorted(y, y)
+        keep = rank < k
+        last = rank == k - 1
+        floor[y[last]] = np.maximum(floor[y[last]], np.where(np.isnan(exact[last]), np.inf, exact[last]))
+        at.append(x[keep]), of.append(y[keep]), found.append(exact[keep])
+    return np.concatenate(at), np.concatenate(of), np.concatenate(found)
+
+
+def best_rows(rows: DataFrame, queries: DataFrame, row_id: str, k: int, least: float, block: int | None = None, cells: bool = False) -> DataFrame:
+    """The ``k`` best of ``rows`` (``_v``) for each of ``queries`` (``query_id``, ``_q``) above ``least``: ``(query_id, row_id, similarity, rank)``.
+
+    Queries are broadcast in blocks of bounded bytes; a task multiplies its rows
+    with a block as matrices and keeps its own best before rows are dealt by
+    query.  With ``cells`` a query meets only rows whose ``cell`` is in its
+    array ``cells``.
+    """
+    spark = rows.sparkSession
+    schema = T.StructType([queries.schema["query_id"], rows.schema[row_id], T.StructField("similarity", T.DoubleType())])
+    columns = [row_id, "_v", *(["cell"] if cells else [])]
+    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), row_id)
+    found = []
+    for part in query_blocks(queries.where("query_id is not null"), "_q", block):
+        held = part.select("query_id", "_q", *(["cells"] if cells else [])).toArrow()  # a block of bounded bytes
+        sent = spark.sparkContext.broadcast((held["query_id"].to_numpy(), _matrices(held["_q"]), held["cells"].to_pylist() if cells else None))
+
+        def score(batches, sent=sent):
+            qids, by_width, looks = sent.value
+            meets = {}  # (cell, width): the queries that look there, and what their best must reach
+            for batch in batches:
+                ids, mine = batch.column(row_id).to_numpy(zero_copy_only=False), batch.column("cell").to_numpy() if cells else np.zeros(len(batch), int)
+                for width, (places, v) in _matrices(batch.column("_v")).items():
+                    if width not in by_width:
+                        continue
+                    of, q = by_width[width]
+                    for cell in np.unique(mine[places]):
+                        if (cell, width) not in meets:
+                            some = np.array([i for i, n in enumerate(of) if not cells or cell in looks[n]], int)
+                            meets[cell, width] = some, np.full(len(some), float(least))
+                        (some, floor), here = meets[cell, width], np.flatnonzero(mine[places] == cell)
+                        if not len(some):
+                            continue
+                        x, y, near = _best(ids[places][here], v[here], qids[of][some], q[some], floor, k, least)
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(qids[of][some][y], held_type), pa.array(ids[places][here][x], batch.schema.field(row_id).type), pa.array(near)], names=schema.names
+                        )
+
+        held_type = held.schema.field("query_id").type
+        scored = rows.where(F.col(row_id).isNotNull()).select(*columns).mapInArrow(score, schema)
+        found.append(scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
+    return reduce(DataFrame.unionByName, found)
+
+
+def _matrices(column: pa.Array | pa.ChunkedArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Vectors by their width: places and matrix."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    widths = pc.list_value_length(column).to_numpy(zero_copy_only=False)
+    out = {}
+    for width in np.unique(widths):
+        places = np.flatnonzero(widths == width)
+        out[int(width)] = places, column.take(pa.array(places)).flatten().to_numpy(zero_copy_only=False).reshape(len(places), int(width))
+    return out
+
+
 def cosine_topk(corpus: DataFrame, queries: DataFrame, row_id: str, vector: str, k: int = 5, least: float = 0.7, block: int | None = None) -> DataFrame:
     """The ``k`` nearest rows of each query above ``least``: ``(query_id, row_id, similarity, rank)``.
 
     ``queries`` is a stated set, compared with every row.  It is broadcast in
     blocks of bounded bytes (or of about ``block`` rows).  Lengths are taken out
-    once per row, so a comparison is a dot product.  Each task keeps its own
-    best ``k`` of a query before rows are dealt by query.
+    once per row, so a comparison is a dot product.
     """
     rows = unit_vectors(corpus, row_id, vector, "_v")
     every = unit_vectors(queries, row_id, vector, "_q").withColumnRenamed(row_id, "query_id")
-    w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), row_id)
-    found = []
-    for part in query_blocks(every, "_q", block):
-        dot = F.aggregate(F.zip_with("_v", "_q", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-        scored = rows.join(F.broadcast(part), F.col(row_id) != F.col("query_id")).select("query_id", row_id, dot.alias("similarity"))
-        found.append(scored.where(F.col("similarity") > least).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k))
-    return reduce(DataFrame.unionByName, found)
+    return best_rows(rows, every, row_id, k, least, block)

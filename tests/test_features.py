@@ -259,3 +259,22 @@ def test_cells_recall_and_exactness(spark, sf):
     exact = cells.cell_topk(index, centres, queries, "vec_id", "embedding", 5, 0.1, probes=2, exact=True)
     assert rows(exact.select("query_id", "vec_id", "rank")) == want
     assert cells.fit_cells(vectors.limit(0), "vec_id", "embedding", 4) == []
+
+
+def test_copies_of_a_vector_tie_by_id(spark):
+    """Equal vectors among others, in several batches and blocks: equal similarities, so the smallest ids lead."""
+    rng = random.Random(6)
+    one = [rng.gauss(0, 1) for _ in range(33)]
+    vectors = [(n, one if n % 3 else [rng.gauss(0, 1) for _ in range(33)]) for n in range(4000)] + [(4001, [1.0, 2.0]), (4002, [2.0, 4.0]), (4003, [float("nan")] * 5), (None, one)]
+    df = spark.createDataFrame(vectors, "id long, v array<float>").repartition(7)
+    queries = df.where("id in (1, 3000, 4001, 100)")
+    got = rows(detect.cosine_topk(df, queries, "id", "v", 3, 0.9, block=2).select("query_id", "id", "rank"))
+    assert got == sorted([(1, 2, 1), (1, 4, 2), (1, 5, 3), (100, 1, 1), (100, 2, 2), (100, 4, 3), (4001, 4002, 1)], key=str)
+
+
+def test_search_multiplies_matrices(spark):
+    """2,000 queries against 40,000 rows: eighty million products, some minutes if each is summed by expressions."""
+    df = spark.range(40_000).select("id", F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: F.sin(F.col("id") * i)).alias("v"))
+    began = time.monotonic()
+    assert detect.cosine_topk(df, df.where("id % 20 = 0"), "id", "v", 1, 0.0).count() == 1_999  # the row 0 has no length
+    assert time.monotonic() - began < 60
