@@ -26,8 +26,17 @@ def merge(target: DataFrame, source: DataFrame, keys: list[str], guard: str | No
 
     With ``guard`` a source row replaces a target row only if its guard value
     is not smaller.  Without ``null_safe`` null keys never match.
+
+    Without ``guard`` every source row stays as it is, so only the target's rows
+    and the source's keys meet; the source is read three times: give a stored one.
     """
     columns = target.columns
+    if not guard:
+        counted = source.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+        fail = F.raise_error(F.concat(F.lit("duplicate merge key "), F.to_json(F.struct(*keys))))
+        twice = counted.where("_n > 1").select(*[fail.cast(source.schema[c].dataType).alias(c) for c in columns])
+        old = target.alias("t").join(counted.where("_n > 0").alias("s"), _on(keys, null_safe), "left_anti")
+        return old.unionByName(source.select(columns)).unionByName(twice)
     s, t = _checked(source.select(columns), keys), target
     both = t.withColumn("_t", F.lit(True)).alias("t").join(
         s.withColumn("_s", F.lit(True)).alias("s"), _on(keys, null_safe), "full"
