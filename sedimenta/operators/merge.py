@@ -33,7 +33,8 @@ def merge(target: DataFrame, source: DataFrame, keys: list[str], guard: str | No
     columns = target.columns
     if not guard:
         counted = source.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-        fail = F.raise_error(F.concat(F.lit("duplicate merge key "), F.to_json(F.struct(*keys))))
+        # Spark may ask a filter on the result before that on the count, so the raise has its own condition.
+        fail = F.when(F.col("_n") > 1, F.raise_error(F.concat(F.lit("duplicate merge key "), F.to_json(F.struct(*keys)))))
         twice = counted.where("_n > 1").select(*[fail.cast(source.schema[c].dataType).alias(c) for c in columns])
         old = target.alias("t").join(counted.where("_n > 0").alias("s"), _on(keys, null_safe), "left_anti")
         return old.unionByName(source.select(columns)).unionByName(twice)
