@@ -81,9 +81,13 @@ def dq_store(spark: SparkSession, d: str) -> DataFrame:
 
 def quarantine_append(spark: SparkSession, d: str) -> DataFrame:
     """The append-only table after the same run wrote twice and a second run once."""
-    path, rows = storage.scratch(spark, "quarantine"), _quarantined(spark, d)
+    path, stored = storage.scratch(spark, "quarantine"), storage.scratch(spark, "rejected")
+    _, rejected = rules.dq_split(_tagged(spark, d))
+    rejected.select("l_orderkey", "l_linenumber", "l_partkey", "dq_rejection_reason").write.parquet(stored)
+    rejected = spark.read.parquet(stored)  # lines are tagged once for the three runs
+    rows = rules.quarantine_envelope(rejected, ["l_orderkey", "l_linenumber", "l_partkey"], RUN, RUN_TS, "lines")
     added = [append_new(rows, path, "quarantine_id") for _ in range(2)]
-    _, rejected = rules.dq_split(_tagged(spark, d).where("l_linenumber = 1"))
+    rejected = rejected.where("l_linenumber = 1")
     added.append(append_new(rules.quarantine_envelope(rejected, ["l_orderkey", "l_linenumber", "l_partkey"], "run-2", RUN_TS, "lines"), path, "quarantine_id"))
     held = spark.read.parquet(path).groupBy("pipeline_run_id", "rejection_reason").agg(F.count(F.lit(1)).alias("rows"))
     return held.withColumn("added_again", F.lit(added[1]))
