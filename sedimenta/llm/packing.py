@@ -12,7 +12,7 @@ sequences too.  So no task ever sees more than about a shard's bound.
 
 A tokenizer with the settings that ``_SETTINGS`` states never joins characters
 across white space, so a text is the concatenation of its white-space-separated
-chunks; chunks are encoded once per worker and kept in a cache of bounded size.
+chunks; chunks are encoded once per task and kept in a cache of bounded size.
 With any other tokenizer file, whole texts are encoded as they are.  A chunk of printable
 ASCII and Latin-1 letters is cut and mapped to byte symbols here, and only its
 new pieces go through the tokenizer's model; any other chunk is encoded by the
@@ -31,6 +31,7 @@ import math
 import re
 import struct
 import zlib
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -43,7 +44,9 @@ from .common import bound_batches, staged, table
 SIZE = 4096
 END_ID = 1
 SHARD_PIECES = 20_000
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
+#: Characters of texts that are encoded at once.
+SLICE_CHARS = 1 << 18
 #: A sequence with more free places than this gives its pieces back between rounds.
 LOOSE = 64
 #: How many of the emptiest sequences local search looks at for each underfull one.
@@ -107,6 +110,24 @@ def _worker(path: str) -> tuple:
     return _tokenizers[path]
 
 
+def release() -> None:
+    """Forget the tokenizers and caches of this worker: Spark keeps it for other stages, which have no use for them."""
+    _tokenizers.clear()
+
+
+def slices(texts: Iterable[str], most: int | None = None) -> Iterator[list[str]]:
+    """Runs of texts that end with the one that brings them to ``most`` characters."""
+    part, size, most = [], 0, most or SLICE_CHARS
+    for text in texts:
+        part.append(text)
+        size += len(text)
+        if size >= most:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
 def _bytes(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
@@ -126,7 +147,9 @@ def encode(texts: list[str], path: str) -> list[bytes]:
         cache.clear()
         known.clear()
     rest = []
-    for chunk in set().union(*split) - cache.keys():
+    for chunk in set().union(*split):
+        if chunk in cache:
+            continue
         if "<|" in chunk or not _PLAIN.fullmatch(chunk):
             rest.append(chunk)
             continue
@@ -152,24 +175,31 @@ def pieces(docs: DataFrame, path: str, size: int = SIZE, end_id: int = END_ID) -
     bound_batches(docs.sparkSession)
     end = _bytes([end_id])
 
-    def run(batches):
-        for b in batches:
-            rows: list[tuple[int, int, int, int, int]] = []
-            texts = [t or "" for t in b.column("text").to_pylist()]
-            for row, ids in enumerate(encode(texts, path)):
+    def piece_rows(texts):
+        row = 0
+        for part in slices(t.as_py() or "" for t in texts):
+            for row, ids in enumerate(encode(part, path), row):
                 ids += end
                 for n, at in enumerate(range(0, len(ids), 4 * size)):
-                    part = ids[at : at + 4 * size]
-                    rows.append((row, n, at // 4, len(part) // 4, zlib.crc32(part)))
-            row, n, start, length, crc = zip(*rows, strict=True) if rows else ((),) * 5
-            yield pa.RecordBatch.from_arrays(
-                [
-                    b.column("doc_id").take(pa.array(row, pa.int64())),
-                    pa.array(n, pa.int32()),
-                    *(pa.array(x, pa.int64()) for x in (start, length, crc)),
-                ],
-                ["doc_id", "piece", "start", "length", "ids_crc32"],
-            )
+                    piece = ids[at : at + 4 * size]
+                    yield row, n, at // 4, len(piece) // 4, zlib.crc32(piece)
+            row += 1
+
+    def run(batches):
+        try:
+            for b in batches:
+                rows = list(piece_rows(b.column("text")))
+                row, n, start, length, crc = zip(*rows, strict=True) if rows else ((),) * 5
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        b.column("doc_id").take(pa.array(row, pa.int64())),
+                        pa.array(n, pa.int32()),
+                        *(pa.array(x, pa.int64()) for x in (start, length, crc)),
+                    ],
+                    ["doc_id", "piece", "start", "length", "ids_crc32"],
+                )
+        finally:
+            release()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long"

@@ -1,14 +1,18 @@
 """The pipeline's stages on odd rows, empty tables and the smallest test tables."""
 
 import math
+import os
 import re
 from collections import Counter
 
 import corpus_pipeline
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from test_operators import classes_by_hand
 
+from sedimenta.llm import packing
+
 
 def test_stages_keep_columns_and_clean_documents(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
@@ -97,3 +101,23 @@ def test_stages_against_brute_force(spark, sf):
         by.setdefault(r.sequence_id, []).append((r.offset, r.length))
     assert all(sum(n for _, n in x) <= 4096 and [o for o, _ in sorted(x)] == [sum(n for _, n in sorted(x)[:i]) for i in range(len(x))] for x in by.values())
     assert len(by) <= math.ceil(sum(r.length for r in rows) / 4096) + 1
+
+
+def test_packing_leaves_nothing_in_workers(spark, sf):
+    """Spark keeps a worker for later stages; what packing held would count against their memory."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    assert packing.pieces(docs, packing.tokenizer_path()).count() >= docs.count()
+
+    def held(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"pid": [os.getpid()], "held": [sum(len(x) for t in packing._tokenizers.values() for x in t[2:]) + len(packing._tokenizers)]})
+
+    found = docs.repartition(3).mapInArrow(held, "pid long, held long").collect()
+    assert found and {r.held for r in found} == {0}
+
+
+def test_packing_encodes_a_bounded_slice_at_once():
+    texts = ["ab" * n for n in (0, 3, 50, 1, 200, 0)]
+    found = list(packing.slices(iter(texts), 100))
+    assert sum(found, []) == texts and [len(x) for x in found] == [3, 2, 1]
+    assert list(packing.slices(iter([]), 100)) == []
