@@ -1,8 +1,10 @@
 """Hand-written frames for the cases that the test tables do not hold."""
 
 import datetime as dt
+import random
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from sedimenta.operators import checks, detect, dims, facts, joins, keys, merge, meta, rules, scd
@@ -173,6 +175,29 @@ def test_asof_overlap_takes_latest(spark):
     assert [r.problem for r in checks.check_intervals(dim, "nk").collect()] == ["OVERLAP"]
 
 
+def test_asof_overlap_by_hand_reads_facts_once(spark):
+    rng, day = random.Random(4), lambda n: D(2020, 1, 1) + dt.timedelta(n)
+    versions = []
+    for key in ("a", "b", "c"):
+        for at in rng.sample(range(300), 25):
+            versions.append((key, f"{key}{at}", day(at), rng.choice([None] + [day(at + rng.randrange(-2, 90))] * 9)))
+    versions.append((None, "none", day(0), None))
+    given = [(i // 2, rng.choice(["a", "b", "c", "unknown", None]), None if i % 60 == 0 else day(rng.randrange(-20, 450))) for i in range(900)]
+    dim = spark.createDataFrame(versions, "nk string, v string, valid_from date, valid_to date")
+    facts = spark.createDataFrame(given, "id int, key string, day date")
+
+    def hand(key, at):
+        own = [v for v in versions if v[0] == key and key is not None]
+        hit = [v for v in own if at is not None and v[2] <= at <= (v[3] or D(9999, 12, 31))]
+        return max(hit, key=lambda v: v[2])[1] if hit else min(own, key=lambda v: v[2])[1] if own else None
+
+    found = joins.asof_attach_overlapping(facts, dim, "id", "key", "nk", "day", ["v"])
+    assert sorted(map(str, found.collect())) == sorted(str(Row(id=i, key=k, day=d, v=hand(k, d))) for i, k, d in given)
+    many = spark.range(10).select("id", F.lit("a").alias("key"), F.lit(day(3)).alias("day"))
+    plan = joins.asof_attach_overlapping(many, dim, "id", "key", "nk", "day", ["v"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Range (") == 1
+
+
 def test_asof_moves_no_facts(spark):
     dim = spark.createDataFrame([("k", "v1", D(2020, 1, 1), None)], "nk string, v string, valid_from date, valid_to date")
     found = joins.asof_attach(facts_frame(spark), dim, "key", "nk", "day", ["v"])
