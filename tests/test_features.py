@@ -147,6 +147,14 @@ def test_sorted_asof_makes_no_facts_times_versions(spark):
     assert len(re.findall(r"Join", plan)) == 1 and "Join Inner" in plan  # the floor of each bucket; facts are in no join
 
 
+def test_sorted_asof_deals_versions_only_where_facts_are(spark):
+    day = lambda n: F.date_add(F.lit("2000-01-01").cast("date"), n.cast("int"))
+    dim = spark.range(1000).select(F.lit("k").alias("nk"), F.col("id").alias("v"), day(F.col("id") * 32).alias("valid_from")).withColumn("valid_to", F.lit(None).cast("date"))
+    facts = spark.range(100).select("id", F.lit("k").alias("key"), day(F.col("id") * 32 + 7).alias("day"))
+    steps = joins._steps(facts, dim, "key", "nk", "day", ["v"], 32, 4)
+    assert steps.where("_kind = 1").count() == 100 and steps.where("_kind = 0").count() <= 201  # with every part of every bucket: 4400
+
+
 def test_required_literals_are_in_every_match():
     samples = {"colou?r tab": ["color tab", "colour tab"], r"a\.b+c": ["a.bc", "a.bbbc"], "x(yz|q)w{2}end": ["xyzwwend", "xqwwend"], "[ab]cdef$": ["acdef", "bcdef"], "a{0,2}late": ["late", "aalate"]}
     for pattern, texts in samples.items():
