@@ -139,17 +139,19 @@ def top_grain(df: DataFrame, measure: str, ties: list[str], k: int = 5) -> DataF
     return df.orderBy(F.desc(measure), *ties).limit(k)
 
 
-def fk_card(fact: DataFrame, keys: list[tuple[str, str, DataFrame, str, bool]]) -> DataFrame:
+def fk_card(fact: DataFrame | Mapping[str, DataFrame], keys: list[tuple[str, str, DataFrame, str, bool]]) -> DataFrame:
     """All foreign keys of a fact: ``(check, rows, nulls, orphans)``.
 
     ``keys``: name, fact column, dimension, its key, and whether a null is an
-    orphan too.  A column's values are counted before they meet the keys of
-    their dimension, so no fact row is moved.  Give a stored fact: each of its
-    columns is read once.
+    orphan too.  A column's values are counted together with the keys of their
+    dimension, so no fact row is moved and a value once.  Give a stored fact, each
+    of whose columns is read once, or the DataFrame of every column.
     """
     found = None
     for name, column, dim, key, required in keys:
-        counts = fk_flag(fact.groupBy(F.col(column).alias("_value")).agg(_rows().alias("_n")), dim, "_value", key, "_held")
+        values = (fact if isinstance(fact, DataFrame) else fact[column]).select(F.col(column).alias("_value"), F.lit(1).cast("long").alias("_n"), F.lit(False).alias("_held"))
+        known = dim.where(F.col(key).isNotNull()).select(F.col(key).alias("_value"), F.lit(0).cast("long").alias("_n"), F.lit(True).alias("_held"))
+        counts = values.unionByName(known).groupBy("_value").agg(F.sum("_n").alias("_n"), F.max("_held").alias("_held"))
         missing = ~F.col("_held") if required else ~F.col("_held") & F.col("_value").isNotNull()
         total = lambda of: F.coalesce(F.sum(F.when(of, F.col("_n"))), F.lit(0).cast("long"))
         one = counts.agg(F.lit(name).alias("check"), total(F.lit(True)).alias("rows"), total(F.col("_value").isNull()).alias("nulls"), total(missing).alias("orphans"))
