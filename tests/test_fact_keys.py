@@ -42,6 +42,13 @@ def test_counts_are_those_of_sql_on_odd_tables(spark, odd, threshold):
     assert found == oracle_rows(bindings.ORACLE_SQL["fact_fk_card"], odd)
 
 
+def test_line_fact_takes_versions_from_lines_without_an_order(spark, tmp_path):
+    for name in ("lineitem", "orders", "part", "supplier", "customer"):
+        where = "WHERE o_orderkey % 3 <> 2" if name == "orders" else ""
+        duckdb.connect().execute(f"COPY (SELECT * FROM '{SF}/{name}.parquet' {where}) TO '{tmp_path}/{name}.parquet' (FORMAT parquet)")
+    assert spark_rows(bindings.QUERIES["fact_order_line"](spark, str(tmp_path))) == oracle_rows(bindings.ORACLE_SQL["fact_order_line"], tmp_path)
+
+
 def test_lines_move_narrow(spark):
     """Every line once as it is and then with what one key follows from, also where no table is broadcast."""
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
